@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .balance import mix
+from .bytenet import held_out, score_quality
 from .common import table
+from .debruijn import dedup_spans
 from .decontaminate import decontaminate
 from .lines import drop_boilerplate
 from .minhash import label_components
 from .ring import assign
+from .secrets import KINDS, scan_secrets
+from .suffix import dedup_substrings
 
 SHARDS = 24
 SITES = 8
@@ -33,12 +38,28 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     clean = drop_boilerplate(docs, "source", sites=SITES)
     return clean.select("doc_id", "n_lines", "n_removed", hex_sha256(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_sha256"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+    base = F.filter("secrets", lambda s: s["kind"].isin(*KINDS[:3]))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *map(count, KINDS[:3]), hex_sha256(listed(base).cast("binary")).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     placed = assign(docs, F.col("doc_id"), SHARDS)
@@ -50,12 +71,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_decontaminate": op1_decontaminate,
-    "op2_near_dedup": op2_near_dedup,
-    "op4_line_dedup": op4_line_dedup,
-    "op7_sharding": op7_sharding,
-    "op8_mixing": op8_mixing,
+    f.__name__: f
+    for f in (op1_decontaminate, op2_near_dedup, op3_substring_dedup, op4_line_dedup, op5_secret_scan, op6_nearest, op7_sharding, op8_mixing, op9_quality, op10_span_dedup)
 }
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -82,6 +109,4 @@ k AS (SELECT doc_id, i, line, trim(line, ' ') IN (SELECT line FROM b) AS gone FR
 SELECT doc_id, count(i) AS n_lines, CAST(coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_removed,
        sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
 FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id""",
-    "op8_mixing": "",
 }
-del ORACLES["op8_mixing"]
