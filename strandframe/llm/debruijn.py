@@ -126,6 +126,7 @@ def dedup_spans(docs: DataFrame, window: int = 13, core: int = CORE, keep: tuple
     paths = docs.filter("doc_id is not null").select("rid", "doc_id", "text").mapInArrow(_paths(window, core), f"m long, path long, rid long, doc_id {kind}, place long")
     # buckets that more than one document reaches
     buckets = paths.groupBy("m").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"), F.min("path").alias("p1"), F.max("path").alias("p2")).filter("d1 < d2").select("m", "d1", (F.col("p1") == F.col("p2")).alias("alone"))
+    buckets = stash(buckets)  # the join then shuffles both sides anew, and Spark can split a hot bucket
     met = stash(paths.join(buckets, "m"))
     single = met.filter("alone and doc_id > d1").select("rid", "place")
 
