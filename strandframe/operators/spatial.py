@@ -28,10 +28,9 @@ def _d2() -> Column:
 
 def pairs_within(left: DataFrame, right: DataFrame, c: float) -> DataFrame:
     """All pairs of one structure at most c apart: columns p_*, q_* and distance."""
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     p = _renamed(left, "p_")
-    for i, a in enumerate(XYZ):
-        p = p.withColumn(f"__{a}", F.explode(F.transform(steps, lambda s, i=i: s + _cell(c, "p_")[i])))
+    for a, cell in zip(XYZ, _cell(c, "p_"), strict=True):
+        p = p.withColumn(f"__{a}", F.explode(F.array(cell - 1, cell, cell + 1)))
     q = _renamed(right, "q_")
     for a, cell in zip(XYZ, _cell(c, "q_"), strict=True):
         q = q.withColumn(f"__q{a}", cell)
