@@ -107,13 +107,14 @@ def gram(df: DataFrame, features: list[str]) -> np.ndarray:
 
 def vif(g: np.ndarray, names: list[str]) -> dict[str, float]:
     """Variance inflation of each column from the Gram matrix; about the mean while the constant is in."""
-    inverse = np.linalg.pinv(g)
     has = "const" in names
     c = names.index("const") if has else 0
     out = {}
     for i, name in enumerate(names):
         total = g[i, i] - (g[i, c] ** 2 / g[c, c] if has and name != "const" else 0)
-        out[name] = float(total * inverse[i, i]) if inverse[i, i] > 0 else math.inf
+        rest = [j for j in range(len(names)) if j != i]
+        unexplained = g[i, i] - g[i, rest] @ np.linalg.pinv(g[np.ix_(rest, rest)]) @ g[rest, i]
+        out[name] = float(total / unexplained) if unexplained > 1e-10 * abs(g[i, i]) else math.inf
     return out
 
 

@@ -39,7 +39,7 @@ def upsert_latest(spark: SparkSession, stream: DataFrame, folder: str, key: list
     def write(batch: DataFrame, number: int) -> None:
         old = read_latest(spark, folder, below=number)
         both = batch if old is None else batch.unionByName(old.select(*batch.columns))
-        keep_last(both, key, order).withColumn("__version", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/table/v={number:08d}")
+        keep_last(both, key, order).write.mode("overwrite").parquet(f"{folder}/table/upsert_version={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
@@ -51,6 +51,6 @@ def read_latest(spark: SparkSession, folder: str, below: int | None = None) -> D
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         return None
-    some = every if below is None else every.filter(F.col("v") < below)
-    last = some.agg(F.max("v")).first()[0]
-    return None if last is None else some.filter(F.col("v") == last).drop("v", "__version")
+    some = every if below is None else every.filter(F.col("upsert_version") < below)
+    last = some.agg(F.max("upsert_version")).first()[0]
+    return None if last is None else some.filter(F.col("upsert_version") == last).drop("upsert_version")
