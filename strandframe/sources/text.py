@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """One row a line with its file's stem and number; files are split by Spark's text reader as wholes so that numbers hold."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.[A-Za-z0-9]+$", "").alias("file"), F.split("value", "\r?\n").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.[A-Za-z0-9]+$", "").alias("file"), F.split("value", "\r?\n").alias("v"))
     return whole.select("file", F.posexplode("v").alias("line_no", "value"))
 
 
