@@ -21,6 +21,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stable
+
 #: The ring has this many places; it bounds the number of arcs.
 PLACES = 1 << 16
 
@@ -77,6 +79,7 @@ def assign(df: DataFrame, key: Column, shards: int, virtual: int = 64, lots: int
     spark = df.sparkSession
     points = arcs(shards, virtual)
     places = [p for p, _ in points]
+    df = stable(df)
     kept = [c for c in df.columns if c not in (shard, slot)]
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"),
