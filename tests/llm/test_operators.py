@@ -297,8 +297,9 @@ def test_mixing(spark, docs, empty):
         assert r["copies"] in (0, 1, 2) and r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
         taken[r["source"]] += r["copies"] * r["size"]
     assert len(got) == len(DOCS)
-    for s, n in want.items():
-        assert abs(taken[s] - n) <= max(5, 0.02 * n)
+    largest = {s: max(r["size"] for r in got if r["source"] == s) for s in want}
+    for s, n in want.items():  # whole copies: off by at most half of the largest document
+        assert abs(taken[s] - n) <= largest[s] / 2
     assert balance.mix(empty).count() == 0
     again = Counter((r["doc_id"], r["copies"]) for r in balance.mix(docs).collect())
     assert again == Counter((r["doc_id"], r["copies"]) for r in got)
