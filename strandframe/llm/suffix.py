@@ -10,9 +10,8 @@ Byte windows that occur twice are found without comparing whole texts:
    There, all suffixes that start at an anchor are sorted with their longest common
    prefixes, and so are the reversed prefixes that end there. A stack scan over the first
    yields the intervals of the common-prefix tree; those whose left extensions differ
-   are maximal repeats, and the interval holds all of their occurrences. A window that
-   reaches `a` bytes left of the anchor occurs again exactly if another stretch lies in the
-   same interval at the depth of the rest of the window and in the same left class at depth a.
+   are maximal repeats, and the interval holds all of their occurrences. Within an interval, the
+   longest left extension that a member shares with another one bounds the windows that occur again.
 3. Anchors with too many distinct stretches for one task compare the hashes of
    their windows in an aggregation instead.
 """
@@ -34,6 +33,8 @@ from .winnow import stretches
 
 #: Distinct stretches of one anchor that one task holds at once.
 BLOCK_STRETCHES = 20_000
+#: Members of intervals that are looked at together.
+MEMBERS = 500_000
 
 _RUN = "m long, s long, rid long, first int, last int, anchor int"
 
@@ -118,7 +119,9 @@ class Block:
         self.length, self.core, self.before, self.least, n = length, core, before, least, len(texts)
         self.after = np.array([len(t) for t in texts]) - before
         side = length - core
-        self.left, self.right = np.zeros((n, side), np.uint8), np.zeros((n, side), np.uint8)
+        self._least = None
+        # padded by a byte that UTF-8 does not have, which equals none of a text
+        self.left, self.right = np.full((n, side), 255, np.uint8), np.full((n, side), 255, np.uint8)
         for i, t in enumerate(texts):
             raw = np.frombuffer(t, np.uint8)
             b = int(before[i])
@@ -128,22 +131,52 @@ class Block:
         self.suffixes, self.lcp = common_prefixes(self.right, group)
         self.prefixes, self.lcs = common_prefixes(self.left, group)
 
-    def _classes(self, order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
-        out = np.empty(len(order), np.int64)
-        out[order] = np.cumsum(common < depth)
+    def _shared_left(self, places: np.ndarray) -> np.ndarray:
+        """Common bytes before the anchor of neighbours in a list of growing places in the order of prefixes."""
+        lo, hi = places[:-1] + 1, places[1:] + 1
+        if self._least is None:  # least common prefixes of 1, 2, 4, ... neighbours
+            self._least = [self.lcs]
+            while 2 << (len(self._least) - 1) <= len(self.lcs):
+                have = self._least[-1]
+                half = 1 << (len(self._least) - 1)
+                self._least.append(np.minimum(have[:-half], have[half:]))
+        level = np.frexp(np.maximum(hi - lo, 1))[1] - 1
+        out = np.zeros(len(lo), np.int64)
+        for k in np.unique(level).tolist():
+            at = np.flatnonzero((level == k) & (hi > lo))
+            out[at] = np.minimum(self._least[k][lo[at]], self._least[k][hi[at] - (1 << k)])
         return out
 
     def repeated(self) -> np.ndarray:
-        """[i, a]: whether stretch i's window that begins a bytes before the anchor occurs in another stretch."""
-        side = self.length - self.core
-        out = np.zeros((len(self.before), side + 1), bool)
-        for a in range(side + 1):
-            live = np.flatnonzero((self.least <= a) & (a <= self.before))
-            if len(live) > 1:
-                both = self._classes(self.suffixes, self.lcp, side - a)[live] * (len(self.before) + 1) + self._classes(self.prefixes, self.lcs, a)[live]
-                _, at, count = np.unique(both, return_inverse=True, return_counts=True)
-                out[live, a] = count[at] > 1
-        return out
+        """[i, a]: whether stretch i's window that begins a bytes before the anchor occurs in another stretch.
+
+        The members of an interval share `depth` bytes after the anchor. Sorted by their left extensions, each
+        has its longest common left extension with a neighbour; windows up to there and from
+        side - depth on repeat. Where all left extensions differ at once, an interval adds nothing.
+        """
+        side, n = self.length - self.core, len(self.before)
+        change = np.zeros((n, side + 2), np.int32)
+        place = np.empty(n, np.int64)
+        place[self.prefixes] = np.arange(n)
+        tree = np.array(prefix_intervals(self.lcp), np.int64).reshape(-1, 3)
+        size = tree[:, 2] - tree[:, 1]
+        cuts = np.searchsorted(np.cumsum(size), np.arange(MEMBERS, size.sum() + MEMBERS, MEMBERS), "left") + 1
+        for part in np.split(np.arange(len(tree)), np.unique(cuts[cuts < len(tree)])):
+            if not len(part):
+                continue
+            depth, first, count = tree[part, 0], tree[part, 1], size[part]
+            interval = np.repeat(np.arange(len(part)), count)
+            member = self.suffixes[first[interval] + np.arange(len(interval)) - np.repeat(np.cumsum(count) - count, count)]
+            order = np.argsort(interval * n + place[member])
+            member = member[order]
+            shared = self._shared_left(place[member])
+            shared[interval[1:] != interval[:-1]] = -1
+            most = np.maximum(np.append(shared, -1), np.insert(shared, 0, -1))
+            low, high = np.maximum(side - depth[interval], self.least[member]), np.minimum(most, self.before[member])
+            hit = low <= high
+            np.add.at(change, (member[hit], low[hit]), 1)
+            np.add.at(change, (member[hit], high[hit] + 1), -1)
+        return np.cumsum(change, axis=1)[:, : side + 1] > 0
 
     def maximal_repeats(self) -> list[tuple[int, int, np.ndarray]]:
         """(common bytes before the anchor, common bytes from it on, members): intervals of the common-prefix tree with diverse left extensions."""

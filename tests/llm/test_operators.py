@@ -172,6 +172,23 @@ def test_prefix_intervals():
     assert sorted(suffix.prefix_intervals(np.array([-1, 2, 3, 0, 1]))) == [(0, 0, 5), (1, 3, 5), (2, 0, 3), (3, 1, 3)]
 
 
+@pytest.mark.parametrize("members", [3, 500_000])
+def test_interval_windows(monkeypatch, members):
+    monkeypatch.setattr(suffix, "MEMBERS", members)
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        length, core = int(rng.integers(4, 14)), 3
+        side, rows = length - core, set()
+        for _ in range(30):
+            least = int(rng.integers(0, side + 1))
+            before = int(rng.integers(least, side + 1))
+            rows.add((int(rng.integers(0, 3)), bytes(rng.integers(0, 2, before).tolist()) + b"abc" + bytes(rng.integers(0, 2, side - least).tolist()), before, least))
+        group, texts, before, least = zip(*sorted(rows), strict=True)
+        seen = Counter((g, a, t[b - a : b - a + length]) for g, t, b, low in sorted(rows) for a in range(low, b + 1))
+        want = [[low <= a <= b and seen[(g, a, t[b - a : b - a + length])] > 1 for a in range(side + 1)] for g, t, b, low in sorted(rows)]
+        assert suffix.Block(np.array(group), texts, np.array(before), np.array(least), length, core).repeated().tolist() == want
+
+
 # 4
 def test_lines(spark, empty):
     rows = [(i, f"own {i}\n shared line \n\nrare" if i % 2 else "shared line\nrare" + "x" * (i % 3), None if i == 4 else f"s{i % 6}", i) for i in range(12)] + [(99, None, "s1", 0), (98, "", None, 0), (3, "shared line", "s9", 0), (3, "shared line", "s9", 0)]
