@@ -273,7 +273,7 @@ def repeated_runs(docs: DataFrame, length: int, core: int) -> DataFrame:
     small_batches(docs.sparkSession)
     runs = docs.select("rid", "text").mapInArrow(_runs(length, core), _RUN)
     again = runs.groupBy("m").agg(F.count("*").alias("n"), F.min("s").alias("s1"), F.max("s").alias("s2")).filter("n > 1").select("m", (F.col("s1") == F.col("s2")).alias("alike"))
-    return runs.join(again, "m")
+    return runs.join(stash(again), "m")  # both sides are shuffled anew, and Spark can split a hot anchor
 
 
 def dedup_substrings(docs: DataFrame, length: int = 400, core: int | None = None, keep: tuple = ("n_bytes", "n_removed", "n_spans", "kept_sha256"), block: int = BLOCK_STRETCHES) -> DataFrame:
