@@ -131,7 +131,7 @@ def dedup_spans(docs: DataFrame, window: int = 13, core: int = CORE, keep: tuple
     single = met.filter("alone and doc_id > d1").select("rid", "place")
 
     branching = met.filter("not alone").select("m", "path", "rid", "doc_id", "place")
-    first = branching.groupBy("m", "path").agg(F.min("doc_id").alias("p_first"))
+    first = stash(branching.groupBy("m", "path").agg(F.min("doc_id").alias("p_first")))  # as for buckets
     held = stash(branching.join(first, ["m", "path"]).select("rid", "doc_id", "place", "p_first"))
     copies = held.filter("doc_id > p_first").select("rid", "place")
     opened = held.filter("doc_id = p_first").groupBy("rid").agg(F.collect_list("place").alias("places"))
