@@ -11,13 +11,13 @@ from .common import stash
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the node's least neighbour."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    least = stash(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))  # the join then shuffles both sides anew, and Spark can split a hot node
     return both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, move to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = stash(edges.groupBy("a").agg(F.min("b").alias("m")))
     moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
