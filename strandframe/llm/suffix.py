@@ -293,7 +293,7 @@ def dedup_substrings(docs: DataFrame, length: int = 400, core: int | None = None
     distinct = mixed.groupBy("m", "s").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "last", "anchor")).alias("one"))
     distinct = stash(distinct)
     copies = distinct.filter("n > 1").select("m", "s")
-    equal = mixed.join(copies, ["m", "s"]).select("rid", F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
+    equal = stash(mixed.join(copies, ["m", "s"]).select("rid", F.col("first").alias("begin"), (F.col("last") + length).alias("end")))
 
     large = distinct.groupBy("m").agg(F.count("*").alias("distinct")).filter(F.col("distinct") > block)
     parts = distinct.select("m", "one.*").join(large, "m", "left").select("rid", F.struct("m", "first", "last", "anchor", F.lit(length).alias("length"), F.col("distinct").isNotNull().cast("int").alias("large")).alias("part"))
