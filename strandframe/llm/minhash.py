@@ -216,18 +216,19 @@ def near_duplicates(docs: DataFrame, width: int, num: int = 80, den: int = 100,
     rows = docs.select("rid", F.col("text").cast("binary").alias("text"))
     sketches = stash(rows.mapInArrow(_sketches(width), "rid long, n_shingles long, set1 long, set2 long, bands array<long>, sig binary"))
     full = sketches.filter("n_shingles > 0")
-    classes = full.groupBy("set1", "set2", "n_shingles").agg(F.min("rid").alias("node"))
+    # aggregates are written before they are joined on their own keys: both sides are then shuffled anew, and Spark can split a hot key
+    classes = stash(full.groupBy("set1", "set2", "n_shingles").agg(F.min("rid").alias("node")))
     members = stash(full.select("rid", "set1", "set2", "n_shingles").join(classes, ["set1", "set2", "n_shingles"]).select("rid", "node", "n_shingles"))
     nodes = members.filter("rid = node").select("node", "n_shingles")
 
     keyed = sketches.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "sig", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / group_rows).alias("blocks"))
+    shared = stash(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / group_rows).alias("blocks")))
     grouped = _blocks(keyed.join(shared, "key"), "key", "node", "blocks").select("gid", "node", "sig")
     likely = grouped.repartition("gid").sortWithinPartitions("gid").mapInArrow(_estimated, "a long, b long")
     candidates = stash(components(likely))
 
     sized = candidates.join(nodes, "node")
-    blocks = sized.groupBy("root").agg(F.ceil(F.sum("n_shingles") / group_shingles).alias("blocks"))
+    blocks = stash(sized.groupBy("root").agg(F.ceil(F.sum("n_shingles") / group_shingles).alias("blocks")))
     gids = _blocks(sized.join(blocks, "root"), "root", "node", "blocks").select("gid", "node")
     texts = rows.join(gids, F.col("rid") == F.col("node")).select("gid", "node", "text")
     links = texts.repartition("gid").sortWithinPartitions("gid").mapInArrow(_confirmed(width, num, den), "a long, b long")
@@ -246,6 +247,6 @@ def label_components(docs: DataFrame, width: int, **options) -> DataFrame:
     rows = with_rid(docs, "__rid")
     found = near_duplicates(rows.select(F.col("__rid").alias("rid"), "text"), width, **options)
     ids = stash(rows.select(F.col("__rid").alias("rid"), "doc_id").join(found, "rid"))
-    best = ids.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
+    best = stash(ids.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")))
     labels = ids.join(best, F.col("root") == F.col("r")).select(F.col("rid").alias("__rid"), "n_shingles", "component_id", (F.col("rid") == F.col("best.rid")).alias("first"))
     return rows.join(labels, "__rid").select(*[F.col(f"`{c}`") for c in kept], "n_shingles", "component_id", "first")
