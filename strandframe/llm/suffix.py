@@ -295,7 +295,7 @@ def dedup_substrings(docs: DataFrame, length: int = 400, core: int | None = None
     copies = distinct.filter("n > 1").select("m", "s")
     equal = stash(mixed.join(copies, ["m", "s"]).select("rid", F.col("first").alias("begin"), (F.col("last") + length).alias("end")))
 
-    large = distinct.groupBy("m").agg(F.count("*").alias("distinct")).filter(F.col("distinct") > block)
+    large = stash(distinct.groupBy("m").agg(F.count("*").alias("distinct")).filter(F.col("distinct") > block))
     parts = distinct.select("m", "one.*").join(large, "m", "left").select("rid", F.struct("m", "first", "last", "anchor", F.lit(length).alias("length"), F.col("distinct").isNotNull().cast("int").alias("large")).alias("part"))
     parts = parts.groupBy("rid").agg(F.collect_list("part").alias("parts"))
     bytes_of = docs.join(parts, "rid").select("rid", "text", "parts").mapInArrow(_cut(["m", "first", "last", "anchor", "large"]), "m long, first int, last int, anchor int, large int, rid long, bytes binary")
