@@ -9,8 +9,9 @@ the full shingle sets.
 Neither step emits all pairs: within a group it is enough to know a spanning forest of
 the links. A task compares pivots with the whole group until every member outside the
 largest component has been a pivot; then no link between components can be left.
-Groups that are too large for one task are split into blocks, and each pair of
-blocks is one group.
+Larger groups go in pieces that share a few pivots. Most near copies are then joined across
+the pieces, and only members outside the group's largest component still meet all others: a link
+between two components has an end outside the largest.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ MINIMA = BANDS * ROWS
 #: A pair at the limit has 0.8 of its minima in common and so 0.85 of the 2-bit values: 19.2 of 128
 #: differ, with a standard deviation of 4.04. 40 is five of these above.
 MOST_DIFFERENT = 40
-#: Members of a candidate group, and shingles of a verification group, that one task holds.
-GROUP_ROWS = 50_000
-GROUP_SHINGLES = 4_000_000
+#: Members of a candidate group, and shingles of a verification group, in one piece, and at most in one task.
+PIECE_ROWS, GROUP_ROWS = 250, 50_000
+PIECE_SHINGLES, GROUP_SHINGLES = 100_000, 4_000_000
+#: Members of a large group that each of its pieces holds.
+PIVOTS = 4
 
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,28 +107,27 @@ def _sketches(width: int):
     return run
 
 
-def spanning_forest(n: int, links) -> list[tuple[int, int]]:
+def spanning_forest(label: np.ndarray, links) -> list[tuple[int, int]]:
     """Links that join the members of a group like all its links. links(i): which members are linked with i.
 
-    Members of the largest component are compared only as far as needed: once every
-    member outside it was a pivot, no link between components is unknown.
+    label: a component, below the number of members, for each; members of one are joined already. The largest component is
+    compared only as far as needed: once every member outside it was a pivot, no link
+    between components is unknown.
     """
-    label, done, out = np.arange(n), np.zeros(n, bool), []
-    pivot = 0
+    label, done, out = label.copy(), np.zeros(len(label), bool), []
     while True:
+        left = np.flatnonzero((label != np.bincount(label).argmax()) & ~done)
+        if not len(left):
+            return out
+        pivot = int(left[0])
         done[pivot] = True
         found = np.flatnonzero(links(pivot))
         new, at = np.unique(label[found], return_index=True)
         for other, i in zip(new.tolist(), found[at].tolist(), strict=True):
             if other != label[pivot]:
                 out.append((pivot, i))
-        low = min(int(new.min(initial=n)), int(label[pivot]))
-        label[np.isin(label, np.append(new, label[pivot]))] = low
-        sizes = np.bincount(label, minlength=n)
-        left = np.flatnonzero((label != sizes.argmax()) & ~done)
-        if not len(left):
-            return out
-        pivot = int(left[0])
+        joined = np.append(new, label[pivot])
+        label[np.isin(label, joined)] = joined.min()
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[pa.RecordBatch]]]:
@@ -147,6 +149,12 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[obje
         yield held_key, held
 
 
+def _members(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and component labels of a group."""
+    node, root = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("node", "root"))
+    return node, np.unique(root, return_inverse=True)[1]
+
+
 def _links_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -155,10 +163,10 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of each candidate group under the estimated similarity."""
     a, b = [], []
     for _, parts in _grouped(batches, "gid"):
-        node = np.concatenate([p.column("node").to_numpy() for p in parts])
+        node, label = _members(parts)
         if len(node) > 1:
             sig = np.frombuffer(b"".join(x for p in parts for x in p.column("sig").to_pylist()), np.uint64).reshape(len(node), -1)
-            for i, j in spanning_forest(len(node), lambda i, sig=sig: different(sig[i], sig) <= MOST_DIFFERENT):
+            for i, j in spanning_forest(label, lambda i, sig=sig: different(sig[i], sig) <= MOST_DIFFERENT):
                 a.append(int(node[i]))
                 b.append(int(node[j]))
         if len(a) >= 10_000:
@@ -173,7 +181,7 @@ def _confirmed(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for _, parts in _grouped(batches, "gid"):
-            node = np.concatenate([p.column("node").to_numpy() for p in parts])
+            node, label = _members(parts)
             sets = [s for p in parts for s in shingle_sets(p.column("text"), width)]
             size = np.array([len(s) for s in sets])
             edges = np.cumsum(size) - size
@@ -185,7 +193,7 @@ def _confirmed(width: int, num: int, den: int):
                 common = np.add.reduceat(mine[token], edges, dtype=np.int64)
                 return den * common >= num * (size + size[i] - common)
 
-            for i, j in spanning_forest(len(node), linked):
+            for i, j in spanning_forest(label, linked):
                 a.append(int(node[i]))
                 b.append(int(node[j]))
             if len(a) >= 10_000:
@@ -196,14 +204,40 @@ def _confirmed(width: int, num: int, den: int):
     return run
 
 
-def _blocks(rows: DataFrame, key: str, node: str, blocks: str) -> DataFrame:
-    """Add gid: the key itself, or for a key in several blocks the pairs of its row's block with all others."""
-    mine = F.pmod(F.xxhash64(F.col(node)), F.col(blocks))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1), lambda j: F.xxhash64(F.col(key), F.least(mine, j), F.greatest(mine, j)))
-    return rows.withColumn("gid", F.explode(F.when(F.col(blocks) == 1, F.array(F.xxhash64(key, F.lit(0)))).otherwise(pairs)))
-
+def grouped_components(members: DataFrame, piece: int, most: int, scan) -> DataFrame:
+    """(key, node, weight, ...) -> (node, root): components of the links that scan finds among the members of each key.
 
-def near_duplicates(docs: DataFrame, width: int, num: int = 80, den: int = 100, group_rows: int = GROUP_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    scan takes (gid, node, root, ...) rows, at most about two `most` of weight in each gid, and returns (a, b) links that join each gid's
+    members as all their links do, given that members of equal root are joined. A key of more than `piece` goes in pieces
+    with common pivots; then its members outside its largest component meet all of its members, in blocks no smaller
+    than they are together, so that the rows stay within twice the key's until that exceeds `most`.
+    """
+    others = [c for c in members.columns if c not in ("key", "node", "weight")]
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    pieces = stash(members.groupBy("key").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).filter("n > 1").select("key", F.ceil(F.col("w") / min(piece, most)).alias("pieces")))
+    rows = members.join(pieces, "key")
+    first = rows.withColumn("at", place("pieces"))
+    as_groups = lambda df, *key: df.select(F.xxhash64(*key).alias("gid"), "node", F.col("root" if "root" in df.columns else "node").alias("root"), *others)
+    if pieces.filter("pieces > 1").isEmpty():
+        return components(scan(as_groups(first, "key", "at")))
+    large = stash(rows.filter("pieces > 1"))
+    picks = large.groupBy("key", "pieces").agg(F.array_distinct(F.array(*[F.min_by(F.struct("node", *others), F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)])).alias("pivots"))
+    pivots = picks.select("key", "pieces", F.inline("pivots")).withColumn("at", each("pieces")).filter(F.col("at") != place("pieces"))
+    known = stash(components(scan(as_groups(first, "key", "at").unionByName(as_groups(pivots, "key", "at")))))
+
+    rooted = stash(large.drop("pieces").join(known, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    shares = rooted.groupBy("key", "root").agg(F.sum("weight").alias("w"))
+    open_keys = shares.groupBy("key").agg(F.max(F.struct("w", "root")).alias("main"), F.sum("w").alias("w")).select("key", F.col("main.root").alias("main"), "w", (F.col("w") - F.col("main.w")).alias("outside")).filter("outside > 0")
+    block = F.least(F.greatest(F.col("outside"), F.lit(min(piece, most))), F.lit(most))
+    meet = rooted.join(stash(open_keys.select("key", "main", F.ceil(F.col("w") / block).alias("blocks"), F.ceil(F.col("outside") / most).alias("sides"))), "key")
+    every = meet.withColumns({"at": place("blocks")}).withColumn("side", each("sides"))
+    outside = meet.filter("root <> main").withColumns({"side": place("sides")}).withColumn("at", each("blocks")).filter(F.col("at") != place("blocks"))
+    links = scan(as_groups(every, "key", "at", "side").unionByName(as_groups(outside, "key", "at", "side")))
+    return components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
+def near_duplicates(docs: DataFrame, width: int, num: int = 80, den: int = 100, piece_rows: int = PIECE_ROWS, group_rows: int = GROUP_ROWS, piece_shingles: int = PIECE_SHINGLES, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(rid, text) -> (rid, n_shingles, root): root is one rid for all documents that links connect.
 
     rid: unique longs. Documents are linked if their sets of `width`-word shingles
@@ -221,18 +255,15 @@ def near_duplicates(docs: DataFrame, width: int, num: int = 80, den: int = 100,
     members = stash(full.select("rid", "set1", "set2", "n_shingles").join(classes, ["set1", "set2", "n_shingles"]).select("rid", "node", "n_shingles"))
     nodes = members.filter("rid = node").select("node", "n_shingles")
 
-    keyed = sketches.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "sig", F.explode("bands").alias("key"))
-    shared = stash(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / group_rows).alias("blocks")))
-    grouped = _blocks(keyed.join(shared, "key"), "key", "node", "blocks").select("gid", "node", "sig")
-    likely = grouped.repartition("gid").sortWithinPartitions("gid").mapInArrow(_estimated, "a long, b long")
-    candidates = stash(components(likely))
-
-    sized = candidates.join(nodes, "node")
-    blocks = stash(sized.groupBy("root").agg(F.ceil(F.sum("n_shingles") / group_shingles).alias("blocks")))
-    gids = _blocks(sized.join(blocks, "root"), "root", "node", "blocks").select("gid", "node")
-    texts = rows.join(gids, F.col("rid") == F.col("node")).select("gid", "node", "text")
-    links = texts.repartition("gid").sortWithinPartitions("gid").mapInArrow(_confirmed(width, num, den), "a long, b long")
-    found = components(links)
+    keyed = sketches.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.explode("bands").alias("key"), F.col("rid").alias("node"), F.lit(1).alias("weight"), "sig")
+    candidates = stash(grouped_components(keyed, piece_rows, group_rows, lambda groups: groups.repartition("gid").sortWithinPartitions("gid").mapInArrow(_estimated, "a long, b long")))
+
+    def confirm(groups: DataFrame) -> DataFrame:
+        texts = rows.join(groups, F.col("rid") == F.col("node")).select("gid", "node", "root", "text")
+        return texts.repartition("gid").sortWithinPartitions("gid").mapInArrow(_confirmed(width, num, den), "a long, b long")
+
+    sized = candidates.join(nodes, "node").select(F.col("root").alias("key"), "node", F.col("n_shingles").alias("weight"))
+    found = grouped_components(sized, piece_shingles, group_shingles, confirm)
 
     roots = members.join(found, "node", "left").select("rid", F.coalesce("root", "node").alias("root"))
     return sketches.select("rid", "n_shingles").join(roots, "rid", "left").select("rid", "n_shingles", F.coalesce("root", "rid").alias("root"))

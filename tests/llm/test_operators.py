@@ -112,7 +112,7 @@ def brute_components(width, num, den):
     return Counter((d[0], len(s), least.get(x)) for d, s, x in zip(DOCS, sets, label, strict=True))
 
 
-@pytest.mark.parametrize("limits", [{}, {"group_rows": 2, "group_shingles": 60}])
+@pytest.mark.parametrize("limits", [{}, {"group_rows": 2, "group_shingles": 60}, {"piece_rows": 2, "piece_shingles": 60}])
 def test_near_duplicates(docs, empty, limits):
     got = minhash.label_components(docs, 4, **limits)
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == brute_components(4, 80, 100)
