@@ -258,8 +258,10 @@ def near_duplicates(docs: DataFrame, width: int, num: int = 80, den: int = 100,
     keyed = sketches.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.explode("bands").alias("key"), F.col("rid").alias("node"), F.lit(1).alias("weight"), "sig")
     candidates = stash(grouped_components(keyed, piece_rows, group_rows, lambda groups: groups.repartition("gid").sortWithinPartitions("gid").mapInArrow(_estimated, "a long, b long")))
 
+    near = stash(rows.join(candidates.select(F.col("node").alias("rid")), "rid", "left_semi"))  # all texts are shuffled once, however often groups are compared
+
     def confirm(groups: DataFrame) -> DataFrame:
-        texts = rows.join(groups, F.col("rid") == F.col("node")).select("gid", "node", "root", "text")
+        texts = near.join(groups, F.col("rid") == F.col("node")).select("gid", "node", "root", "text")
         return texts.repartition("gid").sortWithinPartitions("gid").mapInArrow(_confirmed(width, num, den), "a long, b long")
 
     sized = candidates.join(nodes, "node").select(F.col("root").alias("key"), "node", F.col("n_shingles").alias("weight"))
