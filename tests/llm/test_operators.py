@@ -255,6 +255,30 @@ def test_nearest(spark):
     assert ann.nearest(df.filter("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+@pytest.mark.parametrize("levels", [4, 1])
+def test_nearest_in_tight_groups(spark, monkeypatch, levels):
+    monkeypatch.setattr(ann, "LEVELS", levels)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(3000, 32))
+    v[:1000] = v[0] + 1e-4 * rng.normal(size=(1000, 32))  # a third, distinct and near-equal
+    v[1000:1300] = np.round(v[1000] * 1000) * np.arange(1, 301)[:, None]  # exact multiples
+    order = rng.permutation(3000)
+    df = spark.createDataFrame([(i, v[j].tolist()) for i, j in enumerate(order)], "vec_id long, embedding array<double>").repartition(3)
+    place = np.argsort(order)
+    asked = [int(i) for j in (*range(0, 1000, 25), 1100) for i in [place[j]]]
+    found = {}
+    for r in ann.nearest(df, F.col("vec_id").isin(asked), k=5, block=32).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert found.pop(int(place[1100])) == sorted(set(place[1000:1300].tolist()) - {int(place[1100])})[:5]
+    d = v[order] / np.linalg.norm(v[order], axis=1, keepdims=True)
+    recall = []
+    for q, got in found.items():
+        far = ((d - d[q]) ** 2).sum(1)
+        far[q] = 9
+        recall.append(len(set(got) & set(np.argsort(far)[:5].tolist())) / 5)
+    assert len(recall) == 40 and np.mean(recall) >= 0.97 and min(recall) >= 0.6
+
+
 def test_hilbert_curve_is_one_path():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     key = ann.hilbert_keys(cells, 3)
