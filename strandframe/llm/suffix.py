@@ -9,11 +9,10 @@ Byte windows that occur twice are found without comparing whole texts:
 2. Of the other anchors, each distinct stretch sends its bytes to the anchor's block.
    There, all suffixes that start at an anchor are sorted with their longest common
    prefixes, and so are the reversed prefixes that end there. A stack scan over the first
-   yields the intervals of the common-prefix tree; those whose left extensions differ
-   are maximal repeats, and the interval holds all of their occurrences. Within an interval, the
-   longest left extension that a member shares with another one bounds the windows that occur again.
-3. Anchors with too many distinct stretches for one task compare the hashes of
-   their windows in an aggregation instead.
+   yields the intervals of the common-prefix tree. Within an interval, a second scan over its members' left
+   extensions yields the maximal repeats, with all members of each; the bytes in these are the spans.
+3. Anchors with too many distinct stretches for one task find their maximal repeats by
+   aggregations over the depths at which the two sides branch.
 """
 
 from __future__ import annotations
@@ -111,11 +110,19 @@ def prefix_intervals(lcp: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def _portions(size: np.ndarray) -> list[np.ndarray]:
+    """Indices of items in runs of about `MEMBERS` members."""
+    if not len(size):
+        return []
+    cuts = np.searchsorted(np.cumsum(size), np.arange(MEMBERS, size.sum() + MEMBERS, MEMBERS), "left") + 1
+    return [part for part in np.split(np.arange(len(size)), np.unique(cuts[cuts < len(size)])) if len(part)]
+
+
 class Block:
     """The anchored suffixes and prefixes of some distinct stretches, sorted."""
 
     def __init__(self, group: np.ndarray, texts: list[bytes], before: np.ndarray, least: np.ndarray, length: int, core: int):
-        """before: bytes that stand before each anchor. least: fewest bytes before the anchor of any window of the stretch."""
+        """before: bytes that stand before each anchor. least: fewest bytes before the anchor of any window of the stretch; its bytes end with that window."""
         self.length, self.core, self.before, self.least, n = length, core, before, least, len(texts)
         self.after = np.array([len(t) for t in texts]) - before
         side = length - core
@@ -147,48 +154,55 @@ class Block:
             out[at] = np.minimum(self._least[k][lo[at]], self._least[k][hi[at] - (1 << k)])
         return out
 
-    def repeated(self) -> np.ndarray:
-        """[i, a]: whether stretch i's window that begins a bytes before the anchor occurs in another stretch.
+    def _nodes(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """All maximal repeats of at least `length` bytes, as arrays (left, depth, first, end) and the members that first and end refer to.
 
-        The members of an interval share `depth` bytes after the anchor. Sorted by their left extensions, each
-        has its longest common left extension with a neighbour; windows up to there and from
-        side - depth on repeat. Where all left extensions differ at once, an interval adds nothing.
+        Members of an interval of the common-prefix tree share `depth` bytes after the anchor. Their left
+        extensions form a tree of their own; each of its intervals whose members also differ in the next byte on the
+        right is a maximal repeat, with `left` bytes before the anchor. A stretch's end differs from everything.
         """
         side, n = self.length - self.core, len(self.before)
-        change = np.zeros((n, side + 2), np.int32)
         place = np.empty(n, np.int64)
         place[self.prefixes] = np.arange(n)
-        tree = np.array(prefix_intervals(self.lcp), np.int64).reshape(-1, 3)
+        rest = (self.after - self.core)[self.suffixes]
+        lcp = self.lcp.copy()
+        lcp[1:] = np.minimum(lcp[1:], np.minimum(rest[1:], rest[:-1]))
+        tree = np.array(prefix_intervals(lcp), np.int64).reshape(-1, 3)
         size = tree[:, 2] - tree[:, 1]
-        cuts = np.searchsorted(np.cumsum(size), np.arange(MEMBERS, size.sum() + MEMBERS, MEMBERS), "left") + 1
-        for part in np.split(np.arange(len(tree)), np.unique(cuts[cuts < len(tree)])):
-            if not len(part):
-                continue
+        for part in _portions(size):
             depth, first, count = tree[part, 0], tree[part, 1], size[part]
             interval = np.repeat(np.arange(len(part)), count)
-            member = self.suffixes[first[interval] + np.arange(len(interval)) - np.repeat(np.cumsum(count) - count, count)]
+            within = np.arange(len(interval)) - np.repeat(np.cumsum(count) - count, count)
+            at = first[interval] + within
+            child = np.cumsum((lcp[at] == depth[interval]) & (within > 0))
+            member = self.suffixes[at]
             order = np.argsort(interval * n + place[member])
-            member = member[order]
-            shared = self._shared_left(place[member])
-            shared[interval[1:] != interval[:-1]] = -1
-            most = np.maximum(np.append(shared, -1), np.insert(shared, 0, -1))
-            low, high = np.maximum(side - depth[interval], self.least[member]), np.minimum(most, self.before[member])
-            hit = low <= high
-            np.add.at(change, (member[hit], low[hit]), 1)
-            np.add.at(change, (member[hit], high[hit] + 1), -1)
+            member, child = member[order], child[order]
+            shared = np.minimum(self._shared_left(place[member]), np.minimum(self.before[member[1:]], self.before[member[:-1]]))
+            shared[(interval[1:] != interval[:-1]) | (shared < side - depth[interval[1:]])] = -1
+            nodes = np.array(prefix_intervals(np.concatenate([[-1], shared])), np.int64).reshape(-1, 3)
+            changes = np.concatenate([[0], np.cumsum(child[1:] != child[:-1])])
+            nodes = nodes[changes[nodes[:, 2] - 1] > changes[nodes[:, 1]]]
+            yield nodes[:, 0], depth[interval[nodes[:, 1]]], nodes[:, 1], nodes[:, 2], member
+
+    def repeated(self) -> np.ndarray:
+        """[i, a]: whether stretch i's window that begins a bytes before the anchor lies in a maximal repeat, and so occurs in another stretch."""
+        side, n = self.length - self.core, len(self.before)
+        change = np.zeros((n, side + 2), np.int32)
+        for left, depth, first, end, member in self._nodes():
+            for part in _portions(end - first):
+                count = (end - first)[part]
+                node = np.repeat(part, count)
+                held = member[first[node] + np.arange(len(node)) - np.repeat(np.cumsum(count) - count, count)]
+                np.add.at(change, (held, side - depth[node]), 1)
+                np.add.at(change, (held, left[node] + 1), -1)
         return np.cumsum(change, axis=1)[:, : side + 1] > 0
 
     def maximal_repeats(self) -> list[tuple[int, int, np.ndarray]]:
-        """(common bytes before the anchor, common bytes from it on, members): intervals of the common-prefix tree with diverse left extensions."""
-        place = np.empty(len(self.prefixes), np.int64)
-        place[self.prefixes] = np.arange(len(self.prefixes))
+        """(common bytes before the anchor, common bytes from it on, members) of all maximal repeats of at least `length` bytes."""
         out = []
-        for depth, first, end in prefix_intervals(self.lcp):
-            members = self.suffixes[first:end]
-            lo, hi = int(place[members].min()), int(place[members].max())
-            shared = int(self.lcs[lo + 1 : hi + 1].min())
-            shared = min(shared, int(self.before[members].min()))
-            out.append((shared, min(self.core + depth, int(self.after[members].min())), members))
+        for left, depth, first, end, member in self._nodes():
+            out += [(e, self.core + d, member[i:j]) for e, d, i, j in zip(left.tolist(), depth.tolist(), first.tolist(), end.tolist(), strict=True)]
         return out
 
 
@@ -223,20 +237,6 @@ def _scan(length: int, core: int, most: int):
     return run
 
 
-def _window_hashes(length: int):
-    """The hash of each window of a stretch, for anchors that are too frequent for a block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for m, rid, first, t in zip(batch.column("m").to_pylist(), batch.column("rid").to_pylist(), batch.column("first").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                raw = np.frombuffer(t, np.uint8)
-                start = np.arange(len(raw) - length + 1)
-                h = tx.stretch_hashes(tx.prefix_sums(tx.BYTE_VALUES[raw]), start, start + length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), m)), pa.array(h.view(np.int64)), pa.array(np.full(len(start), rid)), pa.array((first + start).astype(np.int32))], names=["m", "h", "rid", "begin"])
-
-    return run
-
-
 def _clean(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,6 +276,20 @@ def repeated_runs(docs: DataFrame, length: int, core: int) -> DataFrame:
     return runs.join(stash(again), "m")  # both sides are shuffled anew, and Spark can split a hot anchor
 
 
+def _distinct(runs: DataFrame) -> DataFrame:
+    """(m, s, n, rid, first, last, anchor): the distinct stretches, n being 2 for all that occur more than once, and where one stands."""
+    n = F.least(F.count("*"), F.lit(2)).cast("int").alias("n")
+    return runs.groupBy("m", "s").agg(n, F.min(F.struct("rid", "first", "last", "anchor")).alias("one")).select("m", "s", "n", "one.*")
+
+
+def _bytes(docs: DataFrame, distinct: DataFrame, length: int, block: int) -> DataFrame:
+    """Distinct stretches with their bytes; `large`: whether their anchor has over `block` of them."""
+    large = stash(distinct.groupBy("m").agg(F.count("*").alias("distinct")).filter(F.col("distinct") > block))
+    parts = distinct.join(large, "m", "left").select("rid", F.struct("m", "s", "n", "first", "last", "anchor", F.lit(length).alias("length"), F.col("distinct").isNotNull().cast("int").alias("large")).alias("part"))
+    parts = parts.groupBy("rid").agg(F.collect_list("part").alias("parts"))
+    return docs.join(parts, "rid").select("rid", "text", "parts").mapInArrow(_cut(["m", "s", "n", "first", "last", "anchor", "large"]), "m long, s long, n int, first int, last int, anchor int, large int, rid long, bytes binary")
+
+
 def dedup_substrings(docs: DataFrame, length: int = 400, core: int | None = None, keep: tuple = ("n_bytes", "n_removed", "n_spans", "kept_sha256"), block: int = BLOCK_STRETCHES) -> DataFrame:
     """(doc_id, text) -> doc_id and the columns `keep` of: n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
@@ -290,20 +304,16 @@ def dedup_substrings(docs: DataFrame, length: int = 400, core: int | None = None
     whole = runs.filter("alike").select("rid", F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
 
     mixed = runs.filter(~F.col("alike"))
-    distinct = mixed.groupBy("m", "s").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "last", "anchor")).alias("one"))
-    distinct = stash(distinct)
+    distinct = stash(_distinct(mixed))
     copies = distinct.filter("n > 1").select("m", "s")
     equal = stash(mixed.join(copies, ["m", "s"]).select("rid", F.col("first").alias("begin"), (F.col("last") + length).alias("end")))
 
-    large = stash(distinct.groupBy("m").agg(F.count("*").alias("distinct")).filter(F.col("distinct") > block))
-    parts = distinct.select("m", "one.*").join(large, "m", "left").select("rid", F.struct("m", "first", "last", "anchor", F.lit(length).alias("length"), F.col("distinct").isNotNull().cast("int").alias("large")).alias("part"))
-    parts = parts.groupBy("rid").agg(F.collect_list("part").alias("parts"))
-    bytes_of = docs.join(parts, "rid").select("rid", "text", "parts").mapInArrow(_cut(["m", "first", "last", "anchor", "large"]), "m long, first int, last int, anchor int, large int, rid long, bytes binary")
-    bytes_of = stash(bytes_of)
-    near = bytes_of.filter("large = 0").select("m", "rid", "first", "last", "anchor", "bytes").repartition("m").sortWithinPartitions("m").mapInArrow(_scan(length, core, block), "rid long, begin int, end int")
-    hashes = bytes_of.filter("large = 1").select("m", "rid", "first", "bytes").mapInArrow(_window_hashes(length), "m long, h long, rid long, begin int")
-    often = hashes.groupBy("m", "h").agg(F.count("*").alias("n")).filter("n > 1").select("m", "h")
-    frequent = hashes.join(often, ["m", "h"]).select("rid", "begin", (F.col("begin") + length).alias("end"))
+    rows = stash(_bytes(docs, distinct, length, block))
+    near = rows.filter("large = 0").select("m", "rid", "first", "last", "anchor", "bytes").repartition("m").sortWithinPartitions("m").mapInArrow(_scan(length, core, block), "rid long, begin int, end int")
+    large = rows.filter("large = 1")
+    found = _frequent_repeats(large, length, core).join(large.select("m", "s", "rid", "anchor"), ["m", "s"])
+    begin = F.col("anchor") - F.col("left")
+    frequent = found.select("rid", begin.alias("begin"), (begin + F.col("n_bytes")).alias("end"))
 
     spans = whole.unionByName(equal).unionByName(near).unionByName(frequent)
     per_doc = spans.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
@@ -312,22 +322,78 @@ def dedup_substrings(docs: DataFrame, length: int = 400, core: int | None = None
     return docs.join(per_doc, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_clean(list(keep)), schema)
 
 
+def _depths(core: int):
+    """For each number of bytes before (side 0) and after (side 1) the anchor: its hash, and the next byte as least and largest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m, s, first, anchor, t in zip(*(batch.column(c).to_pylist() for c in ("m", "s", "first", "anchor", "bytes")), strict=True):
+                raw = np.frombuffer(t, np.uint8)
+                sums, b = tx.prefix_sums(tx.BYTE_VALUES[raw]), anchor - first
+                rest = raw[b + core :]
+                e, d = np.arange(b + 1), np.arange(len(rest) + 1)
+                h = np.concatenate([tx.stretch_hashes(sums, b - e, np.full(len(e), b + core)), tx.stretch_hashes(sums, np.full(len(d), b), b + core + d)])
+                after = [raw[:b][::-1].astype(np.int32), rest.astype(np.int32)]  # a stretch's end differs from everything
+                low, high = (np.concatenate([after[0], [x], after[1], [x]]).astype(np.int32) for x in (-1, 256))
+                n = len(h)
+                columns = [np.full(n, m), np.full(n, s), np.repeat([0, 1], [len(e), len(d)]).astype(np.int32), np.concatenate([e, d]).astype(np.int32), h.view(np.int64), low, high]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["m", "s", "side", "depth", "h", "low", "high"])
+
+    return run
+
+
+def _pairs(length: int, core: int):
+    """For each pair of depths at which a stretch's two sides branch: the name of the bytes between, and the next bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m, s, n, first, anchor, t, lefts, rights in zip(*(batch.column(c).to_pylist() for c in ("m", "s", "n", "first", "anchor", "bytes", "lefts", "rights")), strict=True):
+                b, end = anchor - first, len(t)
+                found = [(left, right) for left in {*lefts, b} for right in {*rights, end - b - core} if left + core + right >= length]
+                names, ends = [], []
+                for left, right in found:
+                    i, j = b - left, b + core + right
+                    names.append(hashlib.sha256(t[i:j]).hexdigest())
+                    ends.append((t[i - 1] if i else -1, t[i - 1] if i else 256, t[j] if j < end else -1, t[j] if j < end else 256))
+                k = len(found)
+                whole = [np.full(k, m), np.full(k, s), np.full(k, n, np.int32)]
+                each = [pa.array([left for left, _ in found], pa.int32()), pa.array([left + core + right for left, right in found], pa.int32())]
+                sides = [pa.array([x[c] for x in ends], pa.int32()) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *map(pa.array, whole), *each, *sides], names=["repeat", "m", "s", "n", "left", "n_bytes", "l0", "l1", "r0", "r1"])
+
+    return run
+
+
+def _frequent_repeats(rows: DataFrame, length: int, core: int) -> DataFrame:
+    """Maximal repeats of anchors with too many distinct stretches for a block, by aggregations only.
+
+    The two ends of a maximal repeat are branching nodes of the trees of all bytes before and after its
+    anchor. These come from an aggregation over each depth; then a second one, over the pairs of a stretch's branching depths.
+    """
+    depths = stash(rows.mapInArrow(_depths(core), "m long, s long, side int, depth int, h long, low int, high int"))
+    branching = depths.groupBy("m", "side", "depth", "h").agg(F.count("*").alias("k"), F.min("low").alias("low"), F.max("high").alias("high")).filter("k > 1 AND low <> high").select("m", "side", "depth", "h")
+    mine = depths.join(stash(branching), ["m", "side", "depth", "h"])
+    of = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("depth")))
+    mine = mine.groupBy("m", "s").agg(of(0).alias("lefts"), of(1).alias("rights"))
+    pairs = stash(rows.join(mine, ["m", "s"]).mapInArrow(_pairs(length, core), "repeat string, m long, s long, n int, left int, n_bytes int, l0 int, l1 int, r0 int, r1 int"))
+    key = ["m", "repeat", "left", "n_bytes"]
+    ends = [f(c).alias(c) for c, f in (("l0", F.min), ("l1", F.max), ("r0", F.min), ("r1", F.max))]
+    diverse = pairs.groupBy(*key).agg(F.sum("n").alias("k"), *ends).filter("k > 1 AND l0 <> l1 AND r0 <> r1").select(*key)
+    return pairs.join(stash(diverse), key).select("repeat", "n_bytes", "m", "s", "left")
+
+
 def repeat_groups(docs: DataFrame, length: int = 400, core: int | None = None, block: int = BLOCK_STRETCHES) -> DataFrame:
     """(doc_id, text) -> maximal repeats of at least `length` bytes: (repeat, n_bytes, doc_id, begin), one row for each occurrence.
 
     repeat is the SHA-256 of the repeated bytes. Intervals are found among the distinct stretches
     of an anchor and their occurrences joined from all texts. A repeat longer than a stretch is
-    reported by each anchor in it, with the part that its stretches show; anchors
-    with over `block` distinct stretches are left to dedup_substrings.
+    reported by each anchor in it, with the part that its stretches show. Anchors with over `block` distinct
+    stretches go through aggregations instead of a block.
     """
     core = core or length // 2
     docs = with_rid(docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")))
     runs = stash(repeated_runs(docs, length, core))
-    distinct = runs.groupBy("m", "s").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "last", "anchor")).alias("one"))
-    small = distinct.groupBy("m").agg(F.count("*").alias("d")).filter(F.col("d") <= block).select("m")
-    parts = distinct.join(small, "m").select("m", "s", "n", "one.*").select("rid", F.struct("m", "s", F.least("n", F.lit(2)).cast("int").alias("n"), "first", "last", "anchor", F.lit(length).alias("length")).alias("part"))
-    parts = parts.groupBy("rid").agg(F.collect_list("part").alias("parts"))
-    rows = docs.join(parts, "rid").select("rid", "text", "parts").mapInArrow(_cut(["m", "s", "n", "first", "last", "anchor"]), "m long, s long, n int, first int, last int, anchor int, rid long, bytes binary")
+    rows = stash(_bytes(docs, stash(_distinct(runs)), length, block))
 
     def run(batches):
         for m, got in _grouped(batches, "m"):
@@ -344,6 +410,7 @@ def repeat_groups(docs: DataFrame, length: int = 400, core: int | None = None, b
                     k = len(members)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * k), pa.array([left + right] * k, pa.int32()), pa.array(np.full(k, m)), pa.array(s[members]), pa.array([left] * k, pa.int32())], names=["repeat", "n_bytes", "m", "s", "left"])
 
-    found = rows.repartition("m").sortWithinPartitions("m").mapInArrow(run, "repeat string, n_bytes int, m long, s long, left int")
+    near = rows.filter("large = 0").repartition("m").sortWithinPartitions("m").mapInArrow(run, "repeat string, n_bytes int, m long, s long, left int")
+    found = near.unionByName(_frequent_repeats(rows.filter("large = 1"), length, core))
     at = found.join(runs.select("m", "s", "rid", "anchor"), ["m", "s"]).select("repeat", "n_bytes", "rid", (F.col("anchor") - F.col("left")).alias("begin"))
     return at.join(docs.select("rid", "doc_id"), "rid").select("repeat", "n_bytes", "doc_id", "begin").distinct()

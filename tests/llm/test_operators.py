@@ -168,6 +168,66 @@ def test_maximal_repeats(spark):
         assert hashlib.sha256(texts[r["doc_id"]][r["begin"] : r["begin"] + r["n_bytes"]].encode()).hexdigest() == r["repeat"]
 
 
+def test_maximal_repeats_by_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        length, core = int(rng.integers(4, 12)), 3
+        side, rows = length - core, set()
+        for _ in range(25):
+            before, after = (int(x) for x in rng.integers(0, side + 1, 2))
+            if before + after >= side:
+                rows.add((bytes(rng.integers(0, 2, before).tolist()) + b"abc" + bytes(rng.integers(0, 2, after).tolist()), before))
+        rows = sorted(rows)
+        classes = {}
+        for i, (t, b) in enumerate(rows):
+            for e in range(b + 1):
+                for d in range(len(t) - b - core + 1):
+                    if e + core + d >= length:
+                        ends = (t[b - e - 1] if e < b else -1 - i, t[b + core + d] if b + core + d < len(t) else -1 - i)
+                        classes.setdefault((e, core + d, t[b - e : b + core + d]), []).append((i, *ends))
+        want = {(e, r, frozenset(i for i, _, _ in x)) for (e, r, _), x in classes.items() if len({a for _, a, _ in x}) > 1 and len({a for _, _, a in x}) > 1}
+        before = np.array([b for _, b in rows])
+        got = suffix.Block(np.zeros(len(rows), np.int64), [t for t, _ in rows], before, before * 0, length, core).maximal_repeats()
+        assert len(got) == len(want) and {(e, r, frozenset(x.tolist())) for e, r, x in got} == want
+
+
+@pytest.mark.parametrize("block", [20_000, 1])
+def test_repeat_groups(spark, block):
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    # A and B share 3 more bytes before the passage than C does; A and C share 3 more after it than B does
+    sets, texts = [(some(6), some(36), some(8)) for _ in range(10)], []
+    for near, core, far in sets:
+        texts += [some(30) + "x" + near + core + far + "u" + some(30), some(30) + "y" + near + core + far[:5] + "v" + some(30), some(30) + "z" + near[3:] + core + far + "w" + some(30)]
+    texts += [texts[3], DOCS[-1][1][:3000], DOCS[5][1], DOCS[6][1], DOCS[7][1]]
+    length, seen = 40, {}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        for p in range(len(raw) - length + 1):
+            seen.setdefault(raw[p : p + length], []).append((i, p))
+    got = suffix.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=length, block=block).collect()
+    groups, covered, want = {}, set(), set()
+    for r in got:
+        groups.setdefault(r["repeat"], []).append((r["doc_id"], r["begin"]))
+        covered |= {(r["doc_id"], r["begin"] + x) for x in range(r["n_bytes"])}
+        assert hashlib.sha256(texts[r["doc_id"]].encode()[r["begin"] : r["begin"] + r["n_bytes"]]).hexdigest() == r["repeat"]
+    for places in seen.values():
+        if len(places) > 1:
+            want |= {(i, p + x) for i, p in places for x in range(length)}
+    assert covered == want
+    # every occurrence of each repeat
+    for r in got:
+        t = texts[r["doc_id"]].encode()[r["begin"] : r["begin"] + r["n_bytes"]]
+        every = [(i, p) for i, p in seen[t[:length]] if texts[i].encode()[p : p + len(t)] == t]
+        assert sorted(groups[r["repeat"]]) == sorted(every) and len(every) > 1
+    # both subgroups, wherever one minimizer is in all of their windows
+    both = 0
+    for i, (near, core, far) in enumerate(sets):
+        name = lambda t: [d - 3 * i for d, _ in sorted(groups.get(hashlib.sha256(t.encode()).hexdigest(), []))]  # noqa: B023, E731
+        both += [name(near + core + far[:5]), name(near[3:] + core + far), name(near[3:] + core + far[:5])] == [[0, 1], [0, 2], [0, 1, 2]]
+    assert both >= 2
+
+
 def test_prefix_intervals():
     assert sorted(suffix.prefix_intervals(np.array([-1, 2, 3, 0, 1]))) == [(0, 0, 5), (1, 3, 5), (2, 0, 3), (3, 1, 3)]
 
