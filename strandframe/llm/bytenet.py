@@ -20,7 +20,7 @@ from . import text as tx
 from .common import small_batches
 
 WIDTH, FILTERS, BLOCK = 5, 16, 256
-#: Bound of the training sample: rows, and bytes of a text that can be in it.
+#: Bound of the training sample: rows, and bytes of each text that are learnt from.
 TRAIN_ROWS, TRAIN_BYTES = 2500, 32_768
 EPOCHS, BATCH, RATE = 10, 32, 0.01
 #: Bytes that a task convolves at once.
@@ -158,15 +158,21 @@ def held_out(doc_id):
 def train_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> Net:
     """Fit on a bounded sample: up to `rows` labelled rows that are not held out, those of least hash.
 
-    A sampled text has 1 to `most` bytes. Null labels and ids are no labels. Without any row the
-    initial network is returned.
+    Only labels with a text of at least one byte count. Of a text of more than `most` bytes, a window of that length is learnt
+    from, at a place that the id's hash chooses. Null labels and ids are no labels. Without any row there is an
+    error if there are documents to score; of an empty table the initial network is returned.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("l_quality"))
     order = [F.xxhash64(F.col("l_id"), F.lit("sample")), F.col("l_id"), F.col("l_quality")]
-    # one third more than needed: some have no text that qualifies
-    known = known.orderBy(*order).limit(rows + rows // 3)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).filter(F.octet_length("text").between(1, most))
-    sample = texts.join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select(*order[:1], "l_id", "l_quality", "text").toDF("h", "id", "quality", "text").orderBy("h", "id", "quality", "text").limit(rows).collect()
+    usable = docs.filter(F.octet_length("text") > 0)
+    chosen = known.join(usable.select("doc_id"), F.col("doc_id") == F.col("l_id")).select("l_id", "l_quality").orderBy(*order).limit(rows).distinct()
+    size = F.octet_length("text")
+    begin = F.pmod(F.xxhash64("l_id", F.lit("window")), F.greatest(size - most + 1, F.lit(1))) + 1
+    texts = usable.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
+    texts = texts.select(*order, F.substring("text", begin.cast("int"), F.lit(most))).toDF("h", "id", "quality", "text")
+    sample = texts.orderBy("h", "id", "quality", "text").limit(rows).collect()
+    if not sample and not docs.isEmpty():
+        raise ValueError("documents to score, but no labelled text to learn from")
     return Net().train([bytes(r["text"]) for r in sample], [r["quality"] for r in sample])
 
 

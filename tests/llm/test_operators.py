@@ -426,6 +426,27 @@ def test_quality(spark, empty):
     assert bytenet.score_quality(empty, labels.limit(0), ["doc_id"]).count() == 0
 
 
+def test_sample_is_taken_of_usable_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(bytenet.Net, "train", lambda net, texts, labels: seen.append((texts, labels)) or net)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, quality int")
+    free = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
+    some = free[::100]  # few labels have a text
+    docs = spark.createDataFrame([(i, "ab" * 10) for i in some], "doc_id long, text string")
+    bytenet.train_quality(docs, labels, rows=12)
+    assert len(seen[-1][0]) == 12
+    # long texts: a window
+    docs = spark.createDataFrame([(i, f"{i:04}" * 50) for i in some], "doc_id long, text string")
+    bytenet.train_quality(docs, labels, rows=12, most=100)
+    assert len(seen[-1][0]) == 12 and {len(t) for t in seen[-1][0]} == {100}
+    texts = {i: (f"{i:04}" * 50).encode() for i in some}
+    assert all(any(t in x and i % 2 == q for i, x in texts.items()) for t, q in zip(*seen[-1], strict=True))
+    with pytest.raises(ValueError, match="no labelled text"):
+        bytenet.train_quality(docs, labels.filter("doc_id < 0"))
+    bytenet.train_quality(docs.limit(0), labels)
+    assert seen[-1] == ([], [])
+
+
 def test_network_covers_whole_texts():
     net = bytenet.Net()
     rng = np.random.default_rng(0)
