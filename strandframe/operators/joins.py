@@ -117,7 +117,12 @@ def fill_from(df: DataFrame, other: DataFrame, on: list[str], column: str) -> Da
     return df.select(*on, column).join(right, on, "full").select(*on, F.coalesce(column, "__other").alias(column))
 
 
+def ensemble_members(ca: DataFrame) -> DataFrame:
+    """(protein, structure, resname, chain, resid) of CA atoms -> (protein, structure, signature); structures of a protein with equal CA tables share a signature."""
+    return ca.groupBy("protein", "structure").agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws(":", "chain", F.lpad(F.col("resid").cast("string"), 6, "0"), "resname")))), 256).alias("signature"))
+
+
 def same_ensemble(ca: DataFrame) -> DataFrame:
-    """(protein, structure, resname, chain, resid) of CA atoms -> pairs of structures of a protein with equal CA tables."""
-    sign = ca.groupBy("protein", "structure").agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws(":", "chain", F.lpad(F.col("resid").cast("string"), 6, "0"), "resname")))), 256).alias("signature"))
+    """Pairs of structures of a protein with equal CA tables: all pairs of a group. Where members or counts do, take ensemble_members."""
+    sign = ensemble_members(ca)
     return sign.alias("a").join(sign.alias("b"), ["protein", "signature"]).select("protein", "signature", F.col("a.structure").alias("structure"), F.col("b.structure").alias("member"))

@@ -102,11 +102,18 @@ def local_sequence(df: DataFrame, key: list[str], order: list[str], letter: str,
 
 
 def step_up_fdr(df: DataFrame, p: str, tie: str) -> DataFrame:
-    """Adjusted p-values: the least of p * m / rank from here on, at most 1. A global order: for tables of terms."""
-    up = Window.orderBy(p, tie)
-    ranked = df.withColumn("__i", F.row_number().over(up)).withColumn("__m", F.count("*").over(Window.partitionBy()))
-    after = Window.orderBy("__i").rowsBetween(0, Window.unboundedFollowing)
-    return ranked.withColumn("fdr", F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__i")).over(after))).drop("__i", "__m")
+    """Adjusted p-values: the least of p * m / rank from here on, at most 1. Only counts and minima of range partitions meet in one task."""
+    ranked = df.repartitionByRange(p, tie).sortWithinPartitions(p, tie).withColumn("__at", F.monotonically_increasing_id())
+    ranked = (ranked.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranked.persist()).withColumn("__part", F.shiftright("__at", 33))
+    parts = ranked.groupBy("__part").agg(F.min("__at").alias("__lowest"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("__part", "__lowest", before.alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__m"))
+    ranked = ranked.join(F.broadcast(parts), "__part").withColumn("__q", F.col(p) * F.col("__m") / (F.col("__before") + F.col("__at") - F.col("__lowest") + 1))
+    later = ranked.groupBy("__part").agg(F.min("__q").alias("__q"))
+    later = later.select("__part", F.min("__q").over(Window.orderBy("__part").rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
+    after = Window.partitionBy("__part").orderBy("__at").rowsBetween(0, Window.unboundedFollowing)
+    least = F.least(F.lit(1.0), F.min("__q").over(after), "__later")
+    return ranked.join(F.broadcast(later), "__part").withColumn("fdr", least).select(*df.columns, "fdr")
 
 
 def dihedrals(backbone: DataFrame) -> DataFrame:

@@ -154,7 +154,8 @@ query("g17_status_tally", "SELECT o_orderstatus AS status, count(*) AS n FROM or
 @query("g11_ensemble_signature", "SELECT count(*) AS pairs FROM (SELECT a.resid FROM sig a JOIN sig b USING (sig))".replace("FROM sig a", "FROM (SELECT l_suppkey, string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS sig, 1 AS resid FROM lineitem GROUP BY 1) a").replace("JOIN sig b", "JOIN (SELECT l_suppkey, string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS sig FROM lineitem GROUP BY 1) b"))
 def g11(s, d):
     ca = si.table(s, d, "lineitem").select(F.lit("P").alias("protein"), F.col("l_suppkey").alias("structure"), F.lit("LYS").alias("resname"), F.lit("A").alias("chain"), F.col("l_linenumber").alias("resid")).distinct()
-    return jn.same_ensemble(ca).agg(F.count("*").alias("pairs"))
+    sizes = jn.ensemble_members(ca).groupBy("protein", "signature").agg(F.count("*").alias("n"))
+    return sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("pairs"))
 
 
 # joins
