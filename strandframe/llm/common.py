@@ -24,21 +24,43 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """The rows in an order that every plan over them sees: a plain scan as it is, anything else written to the shared folder."""
-    steps = set(re.findall(r"^[\s:+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString(), re.M))
-    return df if steps <= {"Project", "Filter", "Relation", "LogicalRDD", "LocalRelation"} else stash(df)
+#: A row's id holds its place in its file in the lower bits and the file's number in the upper ones.
+ROW_BITS, MOST_FILES = 40, 1 << 20
+
+
+def _numbered_files(df: DataFrame) -> DataFrame | None:
+    """(file, number) of the Parquet files that a plain scan reads, in the order of their paths; None for other plans and for too many files."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if set(re.findall(r"^[\s:+-]*(\w+)", plan, re.M)) - {"Project", "Relation"} or not re.search(r"^[\s:+-]*Relation .* parquet$", plan, re.M):
+        return None
+    paths = df.select(df.metadataColumn("_metadata")["file_path"].alias("path")).distinct().limit(MOST_FILES + 1).select("path", F.xxhash64("path").alias("file")).collect()
+    if len(paths) > MOST_FILES or len({r["file"] for r in paths}) < len(paths):
+        return None
+    return df.sparkSession.createDataFrame([(r["file"], i) for i, r in enumerate(sorted(paths))], "__file long, __number long")
 
 
 def with_rid(df: DataFrame, name: str = "rid") -> DataFrame:
-    """A unique row id from partition and position of stable rows; the same on each run over the same files."""
-    return stable(df).withColumn(name, F.monotonically_increasing_id())
+    """A unique row id (long) that is the same in every job, however the scan is split.
+
+    Over Parquet files it is made of the file's number and the row's place in the file, which the scan itself
+    gives; only the files' numbers are broadcast, and the driver has listed the files before (of over
+    `MOST_FILES`, as of anything that isn't a plain scan, the rows are written with their ids and read from there).
+    """
+    files = _numbered_files(df)
+    if files is None:
+        return stash(df.withColumn(name, F.monotonically_increasing_id()))
+    place = df.metadataColumn("_metadata")
+    rows = df.select("*", F.xxhash64(place["file_path"]).alias("__file"), place["row_index"].alias("__row_index"))
+    rows = rows.join(F.broadcast(files), "__file")
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.shiftleft("__number", ROW_BITS).bitwiseOR(F.col("__row_index")).alias(name))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; on one machine (local mode, as in tests) a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -50,3 +72,12 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete stashed tables that no result reads any more."""
+    for df in stashed:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if path.rsplit("/", 1)[1].startswith("stash-"):
+                where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
