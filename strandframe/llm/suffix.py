@@ -1,17 +1,19 @@
 """Exact substring dedup: common-prefix intervals of an enhanced suffix array.
 
-Byte windows that occur twice are found without comparing whole texts:
+Byte strings that occur twice are found without comparing whole texts:
 
-1. Each text is cut into stretches of windows that share a minimizer (an `anchor` of
-   `core` bytes), and only hashes of anchors and stretches are shuffled. Anchors that
-   occur once are done with. If an anchor has one distinct stretch only, all of its
-   occurrences are copies throughout.
-2. Of the other anchors, each distinct stretch sends its bytes to the anchor's block.
+1. Every window of `report` bytes chooses an anchor, its minimizer of `core` bytes; so equal windows
+   have equal anchors at equal places. An anchor's context is what any window of
+   `length` bytes whose first `report` bytes chose it can hold. Anchors that occur once are done with, and of the
+   others only hashes are shuffled (64 bits of the anchor, 128 of the context, whose equality is taken for that of the bytes).
+2. Each distinct context of an anchor that has several sends its bytes to the anchor's block.
    There, all suffixes that start at an anchor are sorted with their longest common
    prefixes, and so are the reversed prefixes that end there. A stack scan over the first
    yields the intervals of the common-prefix tree. Within an interval, a second scan over its members' left
-   extensions yields the maximal repeats, with all members of each; the bytes in these are the spans.
-3. Anchors with too many distinct stretches for one task find their maximal repeats by
+   extensions yields those groups that differ both in the byte before and in the byte after what
+   they share: the maximal repeats, with all members of each. The bytes in these are the spans.
+   A context that occurs several times is a repeat as a whole.
+3. Anchors with too many distinct contexts for one task find their maximal repeats by
    aggregations over the depths at which the two sides branch.
 """
 
@@ -26,19 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import small_batches, stash, with_rid
+from .common import discard, small_batches, stash, with_rid
 from .minhash import _grouped
 from .winnow import stretches
 
-#: Distinct stretches of one anchor that one task holds at once.
-BLOCK_STRETCHES = 20_000
+#: Distinct contexts of one anchor that one task holds at once.
+BLOCK_CONTEXTS = 20_000
 #: Members of intervals that are looked at together.
 MEMBERS = 500_000
 
-_RUN = "m long, s long, rid long, first int, last int, anchor int"
+_CONTEXT = "m long, s1 long, s2 long, rid long, place int, before int, after int"
+_KEY = ["m", "s1", "s2"]
 
 
-def _runs(length: int, core: int):
+def _anchors(window: int, core: int, left: int, right: int, whole: bool):
+    """The anchors of each text, as their hashes `m` only or with the hashes, places and sizes of their contexts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tx.binary_column(batch.column("text"))
@@ -47,39 +52,46 @@ def _runs(length: int, core: int):
                 at = int(offsets[i])
                 mine = data[at : int(offsets[j])]
                 bounds = offsets[i : j + 1] - at
-                if len(mine) < length:
+                if len(mine) < window:
                     continue
                 sums = tx.prefix_sums(tx.BYTE_VALUES[mine])
+                more = tx.prefix_sums(tx.OTHER_VALUES[mine]) if whole else None
 
                 def grams(a, b, sums=sums):
                     start = np.arange(a, b)
                     return tx.stretch_hashes(sums, start, start + core)
 
-                for first, last, place, m, doc in stretches(grams, len(mine), bounds, length, core):
-                    s = tx.stretch_hashes(sums, first, last + length)
-                    begin = bounds[doc]
-                    columns = [m.view(np.int64), s.view(np.int64), rid[i + doc], *((x - begin).astype(np.int32) for x in (first, last, place))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["m", "s", "rid", "first", "last", "anchor"])
+                last = -1
+                for _, _, place, m, doc in stretches(grams, len(mine), bounds, window, core):
+                    if place[0] == last:  # a piece's first window may have the anchor of the one before it
+                        place, m, doc = place[1:], m[1:], doc[1:]
+                    if not len(place):
+                        continue
+                    last = int(place[-1])
+                    names, columns = ["m"], [m.view(np.int64)]
+                    if whole:
+                        before, after = np.minimum(left, place - bounds[doc]), np.minimum(right, bounds[doc + 1] - place)
+                        s1, s2 = (tx.stretch_hashes(x, place - before, place + after) for x in (sums, more))
+                        s1 = tx.mix(s1 + before.astype(np.uint64))  # the anchor's place in it is part of a context
+                        names += ["s1", "s2", "rid", "place", "before", "after"]
+                        columns += [s1.view(np.int64), s2.view(np.int64), rid[i + doc], *(x.astype(np.int32) for x in (place - bounds[doc], before, after))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return run
 
 
-def _cut(names: list[str]):
-    """One row for each stretch in `parts`, with its bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in [*names, "rid", "bytes"]}
-            for rid, text, parts in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                for p in parts:
-                    for n in names:
-                        out[n].append(p[n])
-                    out["rid"].append(rid)
-                    out["bytes"].append(text[p["first"] : p["last"] + p["length"]])
-            kinds = {"m": pa.int64(), "s": pa.int64(), "rid": pa.int64(), "bytes": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(n, pa.int32())) for n, v in out.items()], names=list(out))
-
-    return run
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each context in `parts`, with its bytes."""
+    kinds = {"m": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "rid": pa.int64(), "n": pa.int32(), "place": pa.int32(), "before": pa.int32(), "large": pa.int32(), "bytes": pa.binary()}
+    for batch in batches:
+        out: dict[str, list] = {n: [] for n in kinds}
+        for rid, text, parts in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+            for p in parts:
+                for n in ("m", "s1", "s2", "n", "place", "before", "large"):
+                    out[n].append(p[n])
+                out["rid"].append(rid)
+                out["bytes"].append(text[p["place"] - p["before"] : p["place"] + p["after"]])
+        yield pa.RecordBatch.from_arrays([pa.array(v, kinds[n]) for n, v in out.items()], names=list(out))
 
 
 def common_prefixes(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,16 +131,15 @@ def _portions(size: np.ndarray) -> list[np.ndarray]:
 
 
 class Block:
-    """The anchored suffixes and prefixes of some distinct stretches, sorted."""
+    """The anchored suffixes and prefixes of some distinct contexts, sorted."""
 
-    def __init__(self, group: np.ndarray, texts: list[bytes], before: np.ndarray, least: np.ndarray, length: int, core: int):
-        """before: bytes that stand before each anchor. least: fewest bytes before the anchor of any window of the stretch; its bytes end with that window."""
-        self.length, self.core, self.before, self.least, n = length, core, before, least, len(texts)
+    def __init__(self, group: np.ndarray, texts: list[bytes], before: np.ndarray, least: int, core: int):
+        """before: bytes that stand before each anchor. least: the shortest repeats that count."""
+        self.least, self.core, self.before, n = least, core, before, len(texts)
         self.after = np.array([len(t) for t in texts]) - before
-        side = length - core
-        self._least = None
+        self._minima = None
         # padded by a byte that UTF-8 does not have, which equals none of a text
-        self.left, self.right = np.full((n, side), 255, np.uint8), np.full((n, side), 255, np.uint8)
+        self.left, self.right = np.full((n, int(before.max(initial=0))), 255, np.uint8), np.full((n, int(self.after.max(initial=core)) - core), 255, np.uint8)
         for i, t in enumerate(texts):
             raw = np.frombuffer(t, np.uint8)
             b = int(before[i])
@@ -141,27 +152,27 @@ class Block:
     def _shared_left(self, places: np.ndarray) -> np.ndarray:
         """Common bytes before the anchor of neighbours in a list of growing places in the order of prefixes."""
         lo, hi = places[:-1] + 1, places[1:] + 1
-        if self._least is None:  # least common prefixes of 1, 2, 4, ... neighbours
-            self._least = [self.lcs]
-            while 2 << (len(self._least) - 1) <= len(self.lcs):
-                have = self._least[-1]
-                half = 1 << (len(self._least) - 1)
-                self._least.append(np.minimum(have[:-half], have[half:]))
+        if self._minima is None:  # least common prefixes of 1, 2, 4, ... neighbours
+            self._minima = [self.lcs]
+            while 2 << (len(self._minima) - 1) <= len(self.lcs):
+                have = self._minima[-1]
+                half = 1 << (len(self._minima) - 1)
+                self._minima.append(np.minimum(have[:-half], have[half:]))
         level = np.frexp(np.maximum(hi - lo, 1))[1] - 1
         out = np.zeros(len(lo), np.int64)
         for k in np.unique(level).tolist():
             at = np.flatnonzero((level == k) & (hi > lo))
-            out[at] = np.minimum(self._least[k][lo[at]], self._least[k][hi[at] - (1 << k)])
+            out[at] = np.minimum(self._minima[k][lo[at]], self._minima[k][hi[at] - (1 << k)])
         return out
 
     def _nodes(self) -> Iterator[tuple[np.ndarray, ...]]:
-        """All maximal repeats of at least `length` bytes, as arrays (left, depth, first, end) and the members that first and end refer to.
+        """All maximal repeats of at least `least` bytes, as arrays (left, depth, first, end) and the members that first and end refer to.
 
         Members of an interval of the common-prefix tree share `depth` bytes after the anchor. Their left
-        extensions form a tree of their own; each of its intervals whose members also differ in the next byte on the
-        right is a maximal repeat, with `left` bytes before the anchor. A stretch's end differs from everything.
+        extensions form a tree of their own; each of its intervals, which are diverse in the next byte on the left, whose
+        members also differ in the next byte on the right is a maximal repeat, with `left` bytes before the anchor. A context's end differs from everything.
         """
-        side, n = self.length - self.core, len(self.before)
+        n = len(self.before)
         place = np.empty(n, np.int64)
         place[self.prefixes] = np.arange(n)
         rest = (self.after - self.core)[self.suffixes]
@@ -179,55 +190,60 @@ class Block:
             order = np.argsort(interval * n + place[member])
             member, child = member[order], child[order]
             shared = np.minimum(self._shared_left(place[member]), np.minimum(self.before[member[1:]], self.before[member[:-1]]))
-            shared[(interval[1:] != interval[:-1]) | (shared < side - depth[interval[1:]])] = -1
+            shared[(interval[1:] != interval[:-1]) | (shared < self.least - self.core - depth[interval[1:]])] = -1
             nodes = np.array(prefix_intervals(np.concatenate([[-1], shared])), np.int64).reshape(-1, 3)
             changes = np.concatenate([[0], np.cumsum(child[1:] != child[:-1])])
             nodes = nodes[changes[nodes[:, 2] - 1] > changes[nodes[:, 1]]]
             yield nodes[:, 0], depth[interval[nodes[:, 1]]], nodes[:, 1], nodes[:, 2], member
 
-    def repeated(self) -> np.ndarray:
-        """[i, a]: whether stretch i's window that begins a bytes before the anchor lies in a maximal repeat, and so occurs in another stretch."""
-        side, n = self.length - self.core, len(self.before)
-        change = np.zeros((n, side + 2), np.int32)
+    def reach(self, *lengths: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length, how far the maximal repeats of at least that length that hold a context's anchor reach: bytes before its begin and from there on; -1 where there are none."""
+        n = len(self.before)
+        out = [(np.full(n, -1), np.full(n, -1)) for _ in lengths]
         for left, depth, first, end, member in self._nodes():
             for part in _portions(end - first):
                 count = (end - first)[part]
                 node = np.repeat(part, count)
                 held = member[first[node] + np.arange(len(node)) - np.repeat(np.cumsum(count) - count, count)]
-                np.add.at(change, (held, side - depth[node]), 1)
-                np.add.at(change, (held, left[node] + 1), -1)
-        return np.cumsum(change, axis=1)[:, : side + 1] > 0
+                total = left[node] + self.core + depth[node]
+                for length, (low, high) in zip(lengths, out, strict=True):
+                    long = total >= length
+                    np.maximum.at(low, held[long], left[node[long]])
+                    np.maximum.at(high, held[long], self.core + depth[node[long]])
+        return out
 
     def maximal_repeats(self) -> list[tuple[int, int, np.ndarray]]:
-        """(common bytes before the anchor, common bytes from it on, members) of all maximal repeats of at least `length` bytes."""
+        """(common bytes before the anchor, common bytes from it on, members) of all maximal repeats of at least `least` bytes."""
         out = []
         for left, depth, first, end, member in self._nodes():
             out += [(e, self.core + d, member[i:j]) for e, d, i, j in zip(left.tolist(), depth.tolist(), first.tolist(), end.tolist(), strict=True)]
         return out
 
 
-def _scan(length: int, core: int, most: int):
-    """Spans of repeated windows of the stretches of each anchor (rows sorted by m)."""
+_SPAN = "rid long, begin int, end int, removed boolean"
+
+
+def _scan(length: int, report: int, core: int, most: int):
+    """Spans of the maximal repeats of the contexts of each anchor (rows sorted by m)."""
 
     def flush(held):
         group = np.repeat(np.arange(len(held)), [len(x["rid"]) for x in held])
-        first, last, anchor, rid = (np.concatenate([x[k] for x in held]) for k in ("first", "last", "anchor", "rid"))
-        block = Block(group, [t for x in held for t in x["bytes"]], anchor - first, anchor - last, length, core)
-        again = block.repeated()
-        edge = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        row, low = np.nonzero(edge == 1)
-        _, high = np.nonzero(edge == -1)
-        spans = [rid[row], anchor[row] - (high - 1), anchor[row] - low + length]
-        return pa.RecordBatch.from_arrays([pa.array(spans[0], pa.int64()), pa.array(spans[1].astype(np.int32)), pa.array(spans[2].astype(np.int32))], names=["rid", "begin", "end"])
+        before, place, rid = (np.concatenate([x[k] for x in held]) for k in ("before", "place", "rid"))
+        block = Block(group, [t for x in held for t in x["bytes"]], before, report, core)
+        spans = []
+        for removed, (low, high) in zip((False, True), block.reach(report, length), strict=True):
+            at = np.flatnonzero(low >= 0)
+            spans.append((rid[at], place[at] - low[at], place[at] + high[at], np.full(len(at), removed)))
+        rid, begin, end, removed = (np.concatenate(x) for x in zip(*spans, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(removed)], names=["rid", "begin", "end", "removed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for _, parts in _grouped(batches, "m"):
-            one = {k: np.concatenate([p.column(k).to_numpy() for p in parts]) for k in ("rid", "first", "last", "anchor")}
+            one = {k: np.concatenate([p.column(k).to_numpy() for p in parts]) for k in ("rid", "place", "before")}
             one["bytes"] = [b for p in parts for b in p.column("bytes").to_pylist()]
-            if len(one["rid"]) > 1:
-                held.append(one)
-                n += len(one["rid"])
+            held.append(one)
+            n += len(one["rid"])
             if n >= most:
                 yield flush(held)
                 held, n = [], 0
@@ -237,87 +253,83 @@ def _scan(length: int, core: int, most: int):
     return run
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
 def _clean(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, removed, runs, sums, left = [], [], [], [], []
+            n, removed, runs, sums, left, again = [], [], [], [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                text = text or b""
-                at, gone, count, kept = 0, 0, 0, []
-                end = -1
-                for s in sorted((x["begin"], x["end"]) for x in spans or ()):
-                    if s[0] > end:
-                        kept.append(text[at : s[0]])
-                        count += 1
-                        gone += s[1] - s[0]
-                        end = s[1]
-                    elif s[1] > end:
-                        gone += s[1] - end
-                        end = s[1]
-                    at = max(at, end)
+                text, spans = text or b"", spans or ()
+                gone = _merged([(x["begin"], x["end"]) for x in spans if x["removed"]])
+                at, kept = 0, []
+                for a, b in gone:
+                    kept.append(text[at:a])
+                    at = b
                 kept.append(text[at:])
                 whole = b"".join(kept)
                 n.append(len(text))
-                removed.append(gone)
-                runs.append(count)
+                removed.append(len(text) - len(whole))
+                runs.append(len(gone))
                 sums.append(hashlib.sha256(whole).hexdigest())
                 left.append(whole)
-            columns = {"n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sums, pa.string()), "kept": pa.array(left, pa.binary())}
+                again.append(sum(b - a for a, b in _merged([(x["begin"], x["end"]) for x in spans])))
+            columns = {"n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sums, pa.string()), "n_repeated": pa.array(again, pa.int64()), "kept": pa.array(left, pa.binary())}
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(columns[k] for k in keep)], names=["doc_id", *keep])
 
     return run
 
 
-def repeated_runs(docs: DataFrame, length: int, core: int) -> DataFrame:
-    """(rid, text) -> stretches (m, s, rid, first, last, anchor) of anchors that occur more than once; `alike`: whether their anchor has one distinct stretch."""
+def _contexts(docs: DataFrame, window: int, core: int, right: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rid, text) -> all contexts of repeated anchors; the distinct ones with their number (2 for more), and where one stands;
+    and those of them whose anchor has several, with their bytes and whether it has over `block` (`large`)."""
     small_batches(docs.sparkSession)
-    runs = docs.select("rid", "text").mapInArrow(_runs(length, core), _RUN)
-    again = runs.groupBy("m").agg(F.count("*").alias("n"), F.min("s").alias("s1"), F.max("s").alias("s2")).filter("n > 1").select("m", (F.col("s1") == F.col("s2")).alias("alike"))
-    return runs.join(stash(again), "m")  # both sides are shuffled anew, and Spark can split a hot anchor
-
-
-def _distinct(runs: DataFrame) -> DataFrame:
-    """(m, s, n, rid, first, last, anchor): the distinct stretches, n being 2 for all that occur more than once, and where one stands."""
+    texts = docs.select("rid", "text")
+    again = stash(texts.mapInArrow(_anchors(window, core, window - core, right, False), "m long").groupBy("m").agg(F.count("*").alias("k")).filter("k > 1").select("m"))
+    # the join shuffles both sides anew, so Spark can split a hot anchor
+    found = stash(texts.mapInArrow(_anchors(window, core, window - core, right, True), _CONTEXT).join(again, "m"))
+    discard(again)
     n = F.least(F.count("*"), F.lit(2)).cast("int").alias("n")
-    return runs.groupBy("m", "s").agg(n, F.min(F.struct("rid", "first", "last", "anchor")).alias("one")).select("m", "s", "n", "one.*")
-
-
-def _bytes(docs: DataFrame, distinct: DataFrame, length: int, block: int) -> DataFrame:
-    """Distinct stretches with their bytes; `large`: whether their anchor has over `block` of them."""
-    large = stash(distinct.groupBy("m").agg(F.count("*").alias("distinct")).filter(F.col("distinct") > block))
-    parts = distinct.join(large, "m", "left").select("rid", F.struct("m", "s", "n", "first", "last", "anchor", F.lit(length).alias("length"), F.col("distinct").isNotNull().cast("int").alias("large")).alias("part"))
+    distinct = stash(found.groupBy(*_KEY).agg(n, F.min(F.struct("rid", "place", "before", "after")).alias("one")).select(*_KEY, "n", "one.*"))
+    several = stash(distinct.groupBy("m").agg(F.count("*").alias("distinct")).filter("distinct > 1"))
+    parts = distinct.join(several, "m").select("rid", F.struct(*_KEY, "n", "place", "before", "after", (F.col("distinct") > block).cast("int").alias("large")).alias("part"))
     parts = parts.groupBy("rid").agg(F.collect_list("part").alias("parts"))
-    return docs.join(parts, "rid").select("rid", "text", "parts").mapInArrow(_cut(["m", "s", "n", "first", "last", "anchor", "large"]), "m long, s long, n int, first int, last int, anchor int, large int, rid long, bytes binary")
+    rows = stash(docs.join(parts, "rid").select("rid", "text", "parts").mapInArrow(_cut, "m long, s1 long, s2 long, rid long, n int, place int, before int, large int, bytes binary"))
+    discard(several)
+    return found, distinct, rows
 
 
-def dedup_substrings(docs: DataFrame, length: int = 400, core: int | None = None, keep: tuple = ("n_bytes", "n_removed", "n_spans", "kept_sha256"), block: int = BLOCK_STRETCHES) -> DataFrame:
-    """(doc_id, text) -> doc_id and the columns `keep` of: n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+def dedup_substrings(docs: DataFrame, length: int = 400, report: int | None = None, core: int | None = None, keep: tuple = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"), block: int = BLOCK_CONTEXTS) -> DataFrame:
+    """(doc_id, text) -> doc_id and the columns `keep` of: n_bytes, n_removed, n_spans, kept_sha256, n_repeated, kept (the remaining bytes).
 
     Removes each byte that a `length`-byte string covers which also starts anywhere else in the
     UTF-8 bytes of the texts, the same document included; strings never cross
-    documents. Null texts are empty. Repeated rows are rows of their own, and so repeat
-    each other; texts shorter than `length` stay. An empty table gives an empty result.
+    documents. n_repeated counts the bytes that such strings of `report` bytes cover (three fifths of `length` by
+    default: 240 bytes, which fifty short words have), whether they are removed or not. Null texts are empty. Repeated rows are rows of their own, and so repeat
+    each other; texts shorter than `length` stay. An empty table gives an empty result. Extra columns are not looked at.
     """
-    core = core or length // 2
+    report = report or length * 3 // 5
+    core = core or report // 2
     docs = with_rid(docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")))
-    runs = stash(repeated_runs(docs, length, core))
-    whole = runs.filter("alike").select("rid", F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
-
-    mixed = runs.filter(~F.col("alike"))
-    distinct = stash(_distinct(mixed))
-    copies = distinct.filter("n > 1").select("m", "s")
-    equal = stash(mixed.join(copies, ["m", "s"]).select("rid", F.col("first").alias("begin"), (F.col("last") + length).alias("end")))
-
-    rows = stash(_bytes(docs, distinct, length, block))
-    near = rows.filter("large = 0").select("m", "rid", "first", "last", "anchor", "bytes").repartition("m").sortWithinPartitions("m").mapInArrow(_scan(length, core, block), "rid long, begin int, end int")
+    found, distinct, rows = _contexts(docs, report, core, length, block)
+    span = lambda begin, end: [begin.alias("begin"), end.alias("end"), (end - begin >= length).alias("removed")]
+    copies = distinct.filter("n > 1").select(*_KEY)
+    equal = found.join(copies, _KEY).select("rid", *span(F.col("place") - F.col("before"), F.col("place") + F.col("after")))
+    near = rows.filter("large = 0").select("m", "rid", "place", "before", "bytes").repartition("m").sortWithinPartitions("m").mapInArrow(_scan(length, report, core, BLOCK_CONTEXTS), _SPAN)
     large = rows.filter("large = 1")
-    found = _frequent_repeats(large, length, core).join(large.select("m", "s", "rid", "anchor"), ["m", "s"])
-    begin = F.col("anchor") - F.col("left")
-    frequent = found.select("rid", begin.alias("begin"), (begin + F.col("n_bytes")).alias("end"))
+    begin = F.col("place") - F.col("left")
+    frequent = _frequent_repeats(large, report, core).join(large.select(*_KEY, "rid", "place"), _KEY).select("rid", *span(begin, begin + F.col("n_bytes")))
 
-    spans = whole.unionByName(equal).unionByName(near).unionByName(frequent)
-    per_doc = spans.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    kinds = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary"}
+    per_doc = equal.unionByName(near).unionByName(frequent).groupBy("rid").agg(F.collect_list(F.struct("begin", "end", "removed")).alias("spans"))
+    kinds = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "n_repeated": "long", "kept": "binary"}
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{k} {kinds[k]}" for k in keep)
     return docs.join(per_doc, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_clean(list(keep)), schema)
 
@@ -327,90 +339,95 @@ def _depths(core: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for m, s, first, anchor, t in zip(*(batch.column(c).to_pylist() for c in ("m", "s", "first", "anchor", "bytes")), strict=True):
+            for m, s1, s2, b, t in zip(*(batch.column(c).to_pylist() for c in ("m", "s1", "s2", "before", "bytes")), strict=True):
                 raw = np.frombuffer(t, np.uint8)
-                sums, b = tx.prefix_sums(tx.BYTE_VALUES[raw]), anchor - first
+                sums = tx.prefix_sums(tx.BYTE_VALUES[raw])
                 rest = raw[b + core :]
                 e, d = np.arange(b + 1), np.arange(len(rest) + 1)
                 h = np.concatenate([tx.stretch_hashes(sums, b - e, np.full(len(e), b + core)), tx.stretch_hashes(sums, np.full(len(d), b), b + core + d)])
-                after = [raw[:b][::-1].astype(np.int32), rest.astype(np.int32)]  # a stretch's end differs from everything
+                after = [raw[:b][::-1].astype(np.int32), rest.astype(np.int32)]  # a context's end differs from everything
                 low, high = (np.concatenate([after[0], [x], after[1], [x]]).astype(np.int32) for x in (-1, 256))
                 n = len(h)
-                columns = [np.full(n, m), np.full(n, s), np.repeat([0, 1], [len(e), len(d)]).astype(np.int32), np.concatenate([e, d]).astype(np.int32), h.view(np.int64), low, high]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["m", "s", "side", "depth", "h", "low", "high"])
+                columns = [np.full(n, m), np.full(n, s1), np.full(n, s2), np.repeat([0, 1], [len(e), len(d)]).astype(np.int32), np.concatenate([e, d]).astype(np.int32), h.view(np.int64), low, high]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["m", "s1", "s2", "side", "depth", "h", "low", "high"])
 
     return run
 
 
-def _pairs(length: int, core: int):
-    """For each pair of depths at which a stretch's two sides branch: the name of the bytes between, and the next bytes."""
+def _pairs(least: int, core: int):
+    """For each pair of depths at which a context's two sides branch: the name of the bytes between, and the next bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for m, s, n, first, anchor, t, lefts, rights in zip(*(batch.column(c).to_pylist() for c in ("m", "s", "n", "first", "anchor", "bytes", "lefts", "rights")), strict=True):
-                b, end = anchor - first, len(t)
-                found = [(left, right) for left in {*lefts, b} for right in {*rights, end - b - core} if left + core + right >= length]
+            for m, s1, s2, n, b, t, lefts, rights in zip(*(batch.column(c).to_pylist() for c in ("m", "s1", "s2", "n", "before", "bytes", "lefts", "rights")), strict=True):
+                end = len(t)
+                found = [(left, right) for left in {*lefts, b} for right in {*rights, end - b - core} if left + core + right >= least]
                 names, ends = [], []
                 for left, right in found:
                     i, j = b - left, b + core + right
                     names.append(hashlib.sha256(t[i:j]).hexdigest())
                     ends.append((t[i - 1] if i else -1, t[i - 1] if i else 256, t[j] if j < end else -1, t[j] if j < end else 256))
                 k = len(found)
-                whole = [np.full(k, m), np.full(k, s), np.full(k, n, np.int32)]
+                whole = [np.full(k, m), np.full(k, s1), np.full(k, s2), np.full(k, n, np.int32)]
                 each = [pa.array([left for left, _ in found], pa.int32()), pa.array([left + core + right for left, right in found], pa.int32())]
                 sides = [pa.array([x[c] for x in ends], pa.int32()) for c in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *map(pa.array, whole), *each, *sides], names=["repeat", "m", "s", "n", "left", "n_bytes", "l0", "l1", "r0", "r1"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *map(pa.array, whole), *each, *sides], names=["repeat", "m", "s1", "s2", "n", "left", "n_bytes", "l0", "l1", "r0", "r1"])
 
     return run
 
 
-def _frequent_repeats(rows: DataFrame, length: int, core: int) -> DataFrame:
-    """Maximal repeats of anchors with too many distinct stretches for a block, by aggregations only.
+def _frequent_repeats(rows: DataFrame, least: int, core: int) -> DataFrame:
+    """Maximal repeats of anchors with too many distinct contexts for a block, by aggregations only.
 
     The two ends of a maximal repeat are branching nodes of the trees of all bytes before and after its
-    anchor. These come from an aggregation over each depth; then a second one, over the pairs of a stretch's branching depths.
+    anchor. These come from an aggregation over each depth; then a second one, over the pairs of a context's branching depths.
     """
-    depths = stash(rows.mapInArrow(_depths(core), "m long, s long, side int, depth int, h long, low int, high int"))
+    depths = stash(rows.mapInArrow(_depths(core), "m long, s1 long, s2 long, side int, depth int, h long, low int, high int"))
     branching = depths.groupBy("m", "side", "depth", "h").agg(F.count("*").alias("k"), F.min("low").alias("low"), F.max("high").alias("high")).filter("k > 1 AND low <> high").select("m", "side", "depth", "h")
     mine = depths.join(stash(branching), ["m", "side", "depth", "h"])
     of = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("depth")))
-    mine = mine.groupBy("m", "s").agg(of(0).alias("lefts"), of(1).alias("rights"))
-    pairs = stash(rows.join(mine, ["m", "s"]).mapInArrow(_pairs(length, core), "repeat string, m long, s long, n int, left int, n_bytes int, l0 int, l1 int, r0 int, r1 int"))
+    mine = mine.groupBy(*_KEY).agg(of(0).alias("lefts"), of(1).alias("rights"))
+    pairs = stash(rows.join(mine, _KEY).mapInArrow(_pairs(least, core), "repeat string, m long, s1 long, s2 long, n int, left int, n_bytes int, l0 int, l1 int, r0 int, r1 int"))
     key = ["m", "repeat", "left", "n_bytes"]
     ends = [f(c).alias(c) for c, f in (("l0", F.min), ("l1", F.max), ("r0", F.min), ("r1", F.max))]
     diverse = pairs.groupBy(*key).agg(F.sum("n").alias("k"), *ends).filter("k > 1 AND l0 <> l1 AND r0 <> r1").select(*key)
-    return pairs.join(stash(diverse), key).select("repeat", "n_bytes", "m", "s", "left")
+    return pairs.join(stash(diverse), key).select("repeat", "n_bytes", *_KEY, "left")
 
 
-def repeat_groups(docs: DataFrame, length: int = 400, core: int | None = None, block: int = BLOCK_STRETCHES) -> DataFrame:
+def repeat_groups(docs: DataFrame, length: int = 400, core: int | None = None, block: int = BLOCK_CONTEXTS) -> DataFrame:
     """(doc_id, text) -> maximal repeats of at least `length` bytes: (repeat, n_bytes, doc_id, begin), one row for each occurrence.
 
-    repeat is the SHA-256 of the repeated bytes. Intervals are found among the distinct stretches
-    of an anchor and their occurrences joined from all texts. A repeat longer than a stretch is
-    reported by each anchor in it, with the part that its stretches show. Anchors with over `block` distinct
-    stretches go through aggregations instead of a block.
+    repeat is the SHA-256 of the repeated bytes. Intervals are found among the distinct contexts
+    of an anchor and their occurrences joined from all texts. A repeat longer than a context is
+    reported by each anchor in it, with the part that its contexts show. Anchors with over `block` distinct
+    contexts go through aggregations instead of a block. Null texts are empty; an empty table gives an empty result.
     """
     core = core or length // 2
     docs = with_rid(docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")))
-    runs = stash(repeated_runs(docs, length, core))
-    rows = stash(_bytes(docs, stash(_distinct(runs)), length, block))
+    found, distinct, rows = _contexts(docs, length, core, length, block)
 
     def run(batches):
         for m, got in _grouped(batches, "m"):
-            s, n, first, last, anchor = (np.concatenate([p.column(k).to_numpy() for p in got]) for k in ("s", "n", "first", "last", "anchor"))
+            s1, s2, before = (np.concatenate([p.column(k).to_numpy() for p in got]) for k in ("s1", "s2", "before"))
             texts = [b for p in got for b in p.column("bytes").to_pylist()]
-            before = anchor - first
-            repeats = [(int(before[i]), len(texts[i]) - int(before[i]), np.array([i])) for i in np.flatnonzero(n > 1)]
-            if len(texts) > 1:
-                repeats += Block(np.zeros(len(texts), np.int64), texts, before, anchor - last, length, core).maximal_repeats()
-            for left, right, members in repeats:
-                if left + right >= length:
-                    i = int(members[0])
-                    name = hashlib.sha256(texts[i][before[i] - left : before[i] + right]).hexdigest()
-                    k = len(members)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * k), pa.array([left + right] * k, pa.int32()), pa.array(np.full(k, m)), pa.array(s[members]), pa.array([left] * k, pa.int32())], names=["repeat", "n_bytes", "m", "s", "left"])
-
-    near = rows.filter("large = 0").repartition("m").sortWithinPartitions("m").mapInArrow(run, "repeat string, n_bytes int, m long, s long, left int")
-    found = near.unionByName(_frequent_repeats(rows.filter("large = 1"), length, core))
-    at = found.join(runs.select("m", "s", "rid", "anchor"), ["m", "s"]).select("repeat", "n_bytes", "rid", (F.col("anchor") - F.col("left")).alias("begin"))
+            for left, right, members in Block(np.zeros(len(texts), np.int64), texts, before, length, core).maximal_repeats():
+                i, k = int(members[0]), len(members)
+                name = hashlib.sha256(texts[i][before[i] - left : before[i] + right]).hexdigest()
+                yield pa.RecordBatch.from_arrays([pa.array([name] * k), pa.array([left + right] * k, pa.int32()), pa.array(np.full(k, m)), pa.array(s1[members]), pa.array(s2[members]), pa.array([left] * k, pa.int32())], names=["repeat", "n_bytes", *_KEY, "left"])
+
+    def named(batches):
+        for batch in batches:
+            names = []
+            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                names += [{**p, "repeat": hashlib.sha256(text[p["place"] - p["before"] : p["place"] + p["after"]]).hexdigest()} for p in places]
+            kinds = {"repeat": pa.string(), "m": pa.int64(), "s1": pa.int64(), "s2": pa.int64()}
+            columns = [pa.array([x["repeat"] for x in names], pa.string()), pa.array([x["before"] + x["after"] for x in names], pa.int32()), *(pa.array([x[k] for x in names], kinds[k]) for k in _KEY), pa.array([x["before"] for x in names], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["repeat", "n_bytes", *_KEY, "left"])
+
+    kind = "repeat string, n_bytes int, m long, s1 long, s2 long, left int"
+    near = rows.filter("large = 0").repartition("m").sortWithinPartitions("m").mapInArrow(run, kind)
+    copies = distinct.filter("n > 1").groupBy("rid").agg(F.collect_list(F.struct(*_KEY, "place", "before", "after")).alias("places"))
+    whole = docs.join(copies, "rid").select("text", "places").mapInArrow(named, kind)
+    each = near.unionByName(whole).unionByName(_frequent_repeats(rows.filter("large = 1"), length, core))
+    at = each.join(found.select(*_KEY, "rid", "place"), _KEY).select("repeat", "n_bytes", "rid", (F.col("place") - F.col("left")).alias("begin"))
     return at.join(docs.select("rid", "doc_id"), "rid").select("repeat", "n_bytes", "doc_id", "begin").distinct()

@@ -17,6 +17,8 @@ _WORD_INVERSE = pow(_WORD_BASE, -1, 1 << 64)
 PIECE = 1 << 20
 
 BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: For a second, independent hash.
+OTHER_VALUES = np.random.default_rng(20250311).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 FOLDED_VALUES = BYTE_VALUES.copy()
 FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
 

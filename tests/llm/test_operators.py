@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandframe.llm import ann, balance, bytenet, components, debruijn, decontaminate, lines, minhash, queries, ring, secrets, suffix
+from strandframe.llm import ann, balance, bytenet, components, debruijn, decontaminate, lines, minhash, queries, ring, secrets, suffix, winnow
+from strandframe.llm import text as tx
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -139,23 +140,73 @@ def test_components(spark):
 
 
 # 3
-@pytest.mark.parametrize("block", [20_000, 2])
-def test_substrings(docs, empty, block):
-    length, seen = 40, Counter()
-    raw = [(i, (t or "").encode()) for i, t, *_ in DOCS]
-    for _, t in raw:
-        seen.update(t[p : p + length] for p in range(len(t) - length + 1))
-    want = Counter()
-    for i, t in raw:
+def covered_by_repeats(raw, length):
+    """For each text, which bytes a string of that length covers that starts anywhere else."""
+    seen = Counter(t[p : p + length] for t in raw for p in range(len(t) - length + 1))
+    out = []
+    for t in raw:
         gone = bytearray(len(t))
         for p in range(len(t) - length + 1):
             if seen[t[p : p + length]] > 1:
                 gone[p : p + length] = b"\1" * length
+        out.append(gone)
+    return out
+
+
+def brute_substrings(rows, length, report):
+    raw = [(t or "").encode() for _, t in rows]
+    want = Counter()
+    for (i, _), t, gone, again in zip(rows, raw, covered_by_repeats(raw, length), covered_by_repeats(raw, report), strict=True):
         runs = sum(1 for j in range(len(t)) if gone[j] and not (j and gone[j - 1]))
-        want[(i, len(t), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest())] += 1
-    got = suffix.dedup_substrings(docs, length=length, block=block)
-    assert rows_of(got, *got.columns) == want
-    assert suffix.dedup_substrings(empty, length=length).count() == 0
+        want[(i, len(t), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest(), sum(again))] += 1
+    return want
+
+
+@pytest.mark.parametrize("block", [20_000, 2])
+def test_substrings(docs, empty, block):
+    got = suffix.dedup_substrings(docs, length=40, block=block)
+    assert rows_of(got, *got.columns) == brute_substrings([(i, t) for i, t, *_ in DOCS], 40, 24)
+    assert suffix.dedup_substrings(empty, length=40).count() == 0
+
+
+@pytest.mark.parametrize("block", [20_000, 2])
+def test_substrings_that_overlap_themselves(spark, block):
+    rng = random.Random(21)
+    some = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    rows = list(enumerate([*(some(rng.randint(0, 90)) for _ in range(40)), "a" * 70, "a" * 23, "ab" * 50, "abc" * 9, some(300) * 3]))
+    got = suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), length=15, report=9, core=4, block=block)
+    assert rows_of(got, *got.columns) == brute_substrings(rows, 15, 9)
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    rng = random.Random(23)
+    monkeypatch.setattr(suffix.tx, "PIECE", 500)
+    monkeypatch.setattr(winnow, "MOST", 256)
+    some = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 7))) for _ in range(n))
+    passage = some(60)
+    rows = list(enumerate([some(700) + " " + passage + " " + some(300), some(20), some(500) + " " + passage, some(2000), passage + some(1000)[3:]]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r for r in df.select(F.col("doc_id").alias("rid"), F.col("text").cast("binary").alias("text")).toArrow().to_batches()]
+    place = [(r, p) for b in suffix._anchors(24, 12, 12, 40, True)(iter(got)) for r, p in zip(b.column("rid").to_pylist(), b.column("place").to_pylist(), strict=True)]
+    assert len(place) == len(set(place)) > 200  # no anchor twice where pieces meet
+    words = [t.encode().split() for _, t in rows]
+    one = np.concatenate([tx.words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), tx.BYTE_VALUES)[0] for _, t in rows])
+    assert len(one) == sum(map(len, words)) and len(np.unique(one)) == len({w for x in words for w in x})
+
+
+def test_text_over_a_piece(spark):
+    rng = random.Random(29)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    long = " ".join(rng.choice(words) for _ in range(330_000))
+    assert len(long) > 2 * tx.PIECE
+    a = long.index(" ", tx.PIECE - 900) + 1
+    passage = long[a : a + 1800]  # over the end of a piece
+    rows = [(1, long), (2, "own begin " + passage + " own end"), (3, "something else")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix.dedup_substrings(df).collect()}
+    assert 1800 <= got[2]["n_removed"] <= 1804 and got[1]["n_removed"] == got[2]["n_removed"] and got[3]["n_removed"] == 0
+    spans = {r["doc_id"]: r["n_removed"] for r in debruijn.dedup_spans(df).collect()}
+    assert spans == {1: 0, 2: len(passage.split()) - (not passage.endswith(" ") and long[a + 1800] != " "), 3: 0}
 
 
 def test_maximal_repeats(spark):
@@ -187,7 +238,7 @@ def test_maximal_repeats_by_brute_force():
                         classes.setdefault((e, core + d, t[b - e : b + core + d]), []).append((i, *ends))
         want = {(e, r, frozenset(i for i, _, _ in x)) for (e, r, _), x in classes.items() if len({a for _, a, _ in x}) > 1 and len({a for _, _, a in x}) > 1}
         before = np.array([b for _, b in rows])
-        got = suffix.Block(np.zeros(len(rows), np.int64), [t for t, _ in rows], before, before * 0, length, core).maximal_repeats()
+        got = suffix.Block(np.zeros(len(rows), np.int64), [t for t, _ in rows], before, length, core).maximal_repeats()
         assert len(got) == len(want) and {(e, r, frozenset(x.tolist())) for e, r, x in got} == want
 
 
@@ -233,20 +284,31 @@ def test_prefix_intervals():
 
 
 @pytest.mark.parametrize("members", [3, 500_000])
-def test_interval_windows(monkeypatch, members):
+def test_reach_of_intervals(monkeypatch, members):
     monkeypatch.setattr(suffix, "MEMBERS", members)
     rng = np.random.default_rng(4)
     for _ in range(60):
-        length, core = int(rng.integers(4, 14)), 3
-        side, rows = length - core, set()
+        least, core, rows = int(rng.integers(4, 10)), 3, set()
+        length = least + int(rng.integers(0, 5))
         for _ in range(30):
-            least = int(rng.integers(0, side + 1))
-            before = int(rng.integers(least, side + 1))
-            rows.add((int(rng.integers(0, 3)), bytes(rng.integers(0, 2, before).tolist()) + b"abc" + bytes(rng.integers(0, 2, side - least).tolist()), before, least))
-        group, texts, before, least = zip(*sorted(rows), strict=True)
-        seen = Counter((g, a, t[b - a : b - a + length]) for g, t, b, low in sorted(rows) for a in range(low, b + 1))
-        want = [[low <= a <= b and seen[(g, a, t[b - a : b - a + length])] > 1 for a in range(side + 1)] for g, t, b, low in sorted(rows)]
-        assert suffix.Block(np.array(group), texts, np.array(before), np.array(least), length, core).repeated().tolist() == want
+            before, after = int(rng.integers(0, least - core + 1)), int(rng.integers(0, length - core + 1))
+            if before + core + after >= least:
+                rows.add((int(rng.integers(0, 3)), bytes(rng.integers(0, 2, before).tolist()) + b"abc" + bytes(rng.integers(0, 2, after).tolist()), before))
+        rows = sorted(rows)
+        block = suffix.Block(np.array([g for g, _, _ in rows]), [t for _, t, _ in rows], np.array([b for _, _, b in rows]), least, core)
+        for n, (low, high) in zip((least, length), block.reach(least, length), strict=True):
+            for i, (g, t, b) in enumerate(rows):
+                best = (-1, -1)
+                for j, (g2, t2, b2) in enumerate(rows):
+                    if i != j and g == g2:
+                        e = d = 0
+                        while e < min(b, b2) and t[b - e - 1] == t2[b2 - e - 1]:
+                            e += 1
+                        while b + d < len(t) and b2 + d < len(t2) and t[b + d] == t2[b2 + d]:
+                            d += 1
+                        if e + d >= n:
+                            best = (max(best[0], e), max(best[1], d))
+                assert (low[i], high[i]) == best
 
 
 # 4
