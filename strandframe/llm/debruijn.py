@@ -1,15 +1,15 @@
 """Long repeated word spans by compaction of a De Bruijn graph.
 
-Edges of the graph are windows of `window` words, which join the nodes of one word less at their ends.
-Windows that follow each other in a text form a path. Paths are compacted as they are
-read: a stretch of windows that share a minimizer is one compacted edge, known by
-the hash of its words (a `path`), and paths meet only in the bucket of their minimizer.
-
-A bucket with one distinct path has no branch and no broken end inside: all of its windows
-have the same documents, and the whole path is a repeat if another document has it. Only
-in other buckets, where paths branch or end inside one another, the edges are taken one by
-one. Spark joins bring the first document of each path or edge to its places
-in the source texts, and the texts' own words at these places give the spans.
+Nodes of the graph are `window` - 1 words in a row, edges are windows of `window` words, which join the nodes at their ends.
+
+1. Edges are dealt out by their minimizers. Edges in a row with one minimizer are compacted as they are read, into a `path` with its source
+   coordinates; only minimizers that two documents hold go on. Where all paths of a minimizer are equal, no node inside branches and no path begins or ends
+   inside another one: the path is a repeat as a whole.
+2. Of other minimizers, the paths at their first source coordinates are opened into edges again. Aggregations give the
+   first document of each edge and the in- and out-degree of each node over the distinct edges. Joins bring these to
+   the edges' coordinates, and repeated edges that follow each other there across a node of in- and out-degree one compact into one span.
+3. All occurrences of a path meet its first one by a join, in which the words at both coordinates have to agree in 96 bits of two independent
+   hashes (those of an edge in 160); spans then are cut out of the texts at these coordinates.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import small_batches, stash, with_rid
+from .common import discard, small_batches, stash, with_rid
 from .winnow import stretches
 
 #: Words of the minimizers.
@@ -41,7 +41,13 @@ def _grams(words: np.ndarray, k: int):
     return at
 
 
-def _paths(window: int, core: int):
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _paths(window: int, core: int, whole: bool):
+    """The compacted paths of each text: minimizer and document only, or with the hashes of their words and their coordinates."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tx.binary_column(batch.column("text"))
@@ -50,17 +56,21 @@ def _paths(window: int, core: int):
                 words, bounds = tx.words(data, offsets[i : j + 1], tx.BYTE_VALUES)
                 if len(words) < window:
                     continue
-                sums = tx.word_prefix_sums(words)
+                if whole:
+                    sums = tx.word_prefix_sums(words)
+                    more = tx.word_prefix_sums(tx.words(data, offsets[i : j + 1], tx.OTHER_VALUES)[0])
                 for first, last, _, m, doc in stretches(_grams(words, core), len(words), bounds, window, core):
-                    path = tx.word_stretch_hashes(sums, first, last + window)
-                    place = (first - bounds[doc]).astype(np.int64) << np.int64(8) | (last - first)
-                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(path.view(np.int64)), pa.array(rid[i + doc]), doc_id.take(pa.array(i + doc)), pa.array(place)], names=["m", "path", "rid", "doc_id", "place"])
+                    columns = {"m": pa.array(m.view(np.int64)), "doc_id": doc_id.take(pa.array(i + doc))}
+                    if whole:
+                        p1, p2 = (tx.word_stretch_hashes(x, first, last + window) for x in (sums, more))
+                        columns |= {"p1": pa.array(p1.view(np.int64)), "p2": pa.array(_short(p2)), "rid": pa.array(rid[i + doc]), "first": pa.array((first - bounds[doc]).astype(np.int32)), "n": pa.array((last - first + 1).astype(np.int32))}
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
 def _edges(window: int):
-    """The hash of each window in the stretches `places` of each text."""
+    """The edges of the paths `places` of each text, with the nodes u and v at their ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,14 +79,14 @@ def _edges(window: int):
             for i, j in tx.groups_of_docs(offsets):
                 words, bounds = tx.words(data, offsets[i : j + 1], tx.BYTE_VALUES)
                 sums = tx.word_prefix_sums(words)
-                place = np.array([p for d in places[i:j] for p in d], np.int64)
-                doc = np.repeat(np.arange(i, j), [len(d) for d in places[i:j]])
-                n = (place & 255) + 1
-                begin = np.repeat(place >> 8, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                doc = np.repeat(doc, n)
+                more = tx.word_prefix_sums(tx.words(data, offsets[i : j + 1], tx.OTHER_VALUES)[0])
+                first, n = (np.array([p[k] for d in places[i:j] for p in d], np.int64) for k in ("first", "n"))
+                doc = np.repeat(np.repeat(np.arange(i, j), [len(d) for d in places[i:j]]), n)
+                begin = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 start = bounds[doc - i] + begin
-                edge = tx.word_stretch_hashes(sums, start, start + window)
-                yield pa.RecordBatch.from_arrays([pa.array(edge.view(np.int64)), pa.array(rids[doc]), doc_ids.take(pa.array(doc)), pa.array(begin.astype(np.int64) << 8)], names=["edge", "rid", "doc_id", "place"])
+                u, v = (tx.word_stretch_hashes(sums, start + k, start + k + window - 1).view(np.int64) for k in (0, 1))
+                e = _short(tx.word_stretch_hashes(more, start, start + window))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(e), pa.array(rids[doc]), doc_ids.take(pa.array(doc)), pa.array(begin.astype(np.int32))], names=["u", "v", "e", "rid", "doc_id", "first"])
 
     return run
 
@@ -88,8 +98,7 @@ def _clean(window: int, keep: list[str]):
             for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 words = text.split() if text else []
                 merged: list[list[int]] = []
-                for p in sorted(places or ()):
-                    a, b = p >> 8, (p >> 8) + (p & 255) + window
+                for a, b in sorted((p["first"], p["first"] + p["n"] + window - 1) for p in places or ()):
                     if merged and merged[-1][1] >= a:
                         merged[-1][1] = max(b, merged[-1][1])
                     else:
@@ -111,6 +120,26 @@ def _clean(window: int, keep: list[str]):
     return run
 
 
+def compacted(edges: DataFrame) -> DataFrame:
+    """(u, v, e, rid, doc_id, first), edges at coordinates -> (rid, first, n): runs of edges that a smaller doc_id holds too.
+
+    Edges are equal if u, v and e are. An edge and the next one at its coordinates compact if both have the same first
+    document and the node between them has one edge in and one out; all others begin a run of their own.
+    """
+    distinct = stash(edges.groupBy("u", "v", "e").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")))
+    ends = distinct.select(F.col("u").alias("node"), F.lit(0).alias("into"), F.lit(1).alias("out")).unionByName(distinct.select(F.col("v").alias("node"), F.lit(1).alias("into"), F.lit(0).alias("out")))
+    inner = stash(ends.groupBy("node").agg(F.sum("into").alias("into"), F.sum("out").alias("out")).filter("into = 1 AND out = 1").select("node"))
+    known = distinct.filter("d1 < d2").join(inner, F.col("u") == F.col("node"), "left").select("u", "v", "e", "d1", F.col("node").isNotNull().alias("inner"))
+    known = stash(known)  # the join then shuffles both sides anew, and Spark can split a hot edge
+    later = edges.join(known, ["u", "v", "e"]).filter("doc_id > d1").select("rid", "first", "d1", "inner")
+    in_text = Window.partitionBy("rid").orderBy("first")
+    goes_on = F.col("inner") & (F.lag("first").over(in_text) == F.col("first") - 1) & (F.lag("d1").over(in_text) == F.col("d1"))
+    runs = later.withColumn("begins", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("begins").over(in_text))
+    runs = stash(runs.groupBy("rid", "run").agg(F.min("first").alias("first"), F.count("*").cast("int").alias("n")).select("rid", "first", "n"))
+    discard(distinct, inner, known)
+    return runs
+
+
 def dedup_spans(docs: DataFrame, window: int = 13, core: int = CORE, keep: tuple = ("n_words", "n_removed", "kept_sha256")) -> DataFrame:
     """(doc_id, text) -> doc_id and the columns `keep` of: n_words, n_removed, kept_sha256, kept (words joined by a space), spans (removed words).
 
@@ -118,28 +147,29 @@ def dedup_spans(docs: DataFrame, window: int = 13, core: int = CORE, keep: tuple
     also start in a document of smaller doc_id. Null texts have no words, shorter texts no
     windows. A null doc_id is neither smaller nor larger than others: its row keeps all
     words and is no reason to remove any. Rows with one doc_id leave each other alone.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Extra columns are not looked at.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = with_rid(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
-    paths = docs.filter("doc_id is not null").select("rid", "doc_id", "text").mapInArrow(_paths(window, core), f"m long, path long, rid long, doc_id {kind}, place long")
-    # buckets that more than one document reaches
-    buckets = paths.groupBy("m").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"), F.min("path").alias("p1"), F.max("path").alias("p2")).filter("d1 < d2").select("m", "d1", (F.col("p1") == F.col("p2")).alias("alone"))
-    buckets = stash(buckets)  # the join then shuffles both sides anew, and Spark can split a hot bucket
-    met = stash(paths.join(buckets, "m"))
-    single = met.filter("alone and doc_id > d1").select("rid", "place")
-
-    branching = met.filter("not alone").select("m", "path", "rid", "doc_id", "place")
-    first = stash(branching.groupBy("m", "path").agg(F.min("doc_id").alias("p_first")))  # as for buckets
-    held = stash(branching.join(first, ["m", "path"]).select("rid", "doc_id", "place", "p_first"))
-    copies = held.filter("doc_id > p_first").select("rid", "place")
-    opened = held.filter("doc_id = p_first").groupBy("rid").agg(F.collect_list("place").alias("places"))
-    edges = stash(docs.join(opened, "rid").select("rid", "doc_id", "text", "places").mapInArrow(_edges(window), f"edge long, rid long, doc_id {kind}, place long"))
-    known = edges.groupBy("edge").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).filter("d1 < d2").select("edge", "d1")
-    later = edges.join(known, "edge").filter("doc_id > d1").select("rid", "place")
-
-    places = single.unionByName(copies).unionByName(later).groupBy("rid").agg(F.collect_list("place").alias("places"))
+    texts = docs.filter("doc_id is not null").select("rid", "doc_id", "text")
+    # minimizers that more than one document holds; written first, so that the join shuffles both sides anew and Spark can split a hot one
+    shared = stash(texts.mapInArrow(_paths(window, core, False), f"m long, doc_id {kind}").groupBy("m").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).filter("d1 < d2").select("m"))
+    met = texts.mapInArrow(_paths(window, core, True), f"m long, doc_id {kind}, p1 long, p2 int, rid long, first int, n int").join(shared, "m")
+    met = stash(met)
+    discard(shared)
+    paths = stash(met.groupBy("m", "p1", "p2").agg(F.min("doc_id").alias("p_first")))
+    alone = stash(paths.groupBy("m").agg(F.count("*").alias("paths")).filter("paths = 1").select("m", F.lit(True).alias("alone")))
+    of_paths = stash(paths.join(alone, "m", "left").select("m", "p1", "p2", "p_first", F.coalesce("alone", F.lit(False)).alias("alone")))
+    held = stash(met.join(of_paths, ["m", "p1", "p2"]).select("rid", "doc_id", "first", "n", "p_first", "alone"))
+    discard(met, paths, alone, of_paths)
+    copies = held.filter("doc_id > p_first").select("rid", "first", "n")
+    opened = held.filter("doc_id = p_first AND NOT alone").groupBy("rid").agg(F.collect_list(F.struct("first", "n")).alias("places"))
+    edges = stash(docs.join(opened, "rid").select("rid", "doc_id", "text", "places").mapInArrow(_edges(window), f"u long, v long, e int, rid long, doc_id {kind}, first int"))
+    later = compacted(edges)
+    discard(edges)
+
+    places = copies.unionByName(later).groupBy("rid").agg(F.collect_list(F.struct("first", "n")).alias("places"))
     kinds = {"n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept": "binary", "spans": "array<struct<first:int,end:int>>"}
     schema = f"doc_id {kind}, " + ", ".join(f"{k} {kinds[k]}" for k in keep)
     return docs.join(places, "rid", "left").select("doc_id", "text", "places").mapInArrow(_clean(window, list(keep)), schema)

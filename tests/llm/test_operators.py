@@ -545,6 +545,33 @@ def test_spans(docs, empty):
     assert debruijn.dedup_spans(empty).count() == 0
 
 
+def test_compaction_stops_at_branches(spark):
+    # coordinates are single letters; an edge is a pair of them
+    texts = {1: "abcdefg", 2: "xbcdey", 3: "abcdefg"}
+    rows = [(ord(t[i]), ord(t[i + 1]), 0, d * 10, d, i) for d, t in texts.items() for i in range(len(t) - 1)]
+    got = debruijn.compacted(spark.createDataFrame(rows, "u long, v long, e int, rid long, doc_id long, first int"))
+    # b and e have two edges in or out; a and c, d are inner or ends
+    assert sorted(map(tuple, got.collect())) == [(20, 1, 3), (30, 0, 1), (30, 1, 3), (30, 4, 2)]
+
+
+def test_spans_of_longer_windows(spark):
+    rng = random.Random(31)
+    some = lambda n: [rng.choice("abc") for _ in range(n)]
+    rows = [(rng.randint(0, 25), " ".join(some(rng.randint(0, 60)))) for _ in range(40)]
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for p in range(len(w) - 4):
+            first[tuple(w[p : p + 5])] = min(i, first.get(tuple(w[p : p + 5]), i))
+    want = Counter()
+    for i, t in rows:
+        w = t.split()
+        gone = {p + x for p in range(len(w) - 4) if first[tuple(w[p : p + 5])] < i for x in range(5)}
+        want[(i, len(w), len(gone))] += 1
+    got = debruijn.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), window=5, core=2)
+    assert rows_of(got, "doc_id", "n_words", "n_removed") == want
+
+
 # queries and pipeline
 FOLDER = "/root/testdata/sf0.001"
 
