@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import stash, with_rid
 
-#: Newton steps; the error squares with each one, and rates between 1e-4 and 2 need at most 14.
+#: Newton steps between two looks at the error, which squares with each one near the solution; rates between 1e-4 and 2 need at most 14.
 STEPS = 14
+#: Largest error of a source's tokens, as a share of its target.
+TOLERANCE = 1e-9
+#: An error after so many looks is raised, not used.
+MOST_LOOKS = 50
 #: Documents that are rounded together.
 LOT = 500
 
@@ -48,21 +52,29 @@ def targets(stats: DataFrame, share: float, weights: list[float], most: float) -
     return w.select("source", "source_size", F.when(F.col("__full"), F.col("__limit")).otherwise(F.col("__w") * F.col("__top")).alias("target"))
 
 
+def _tilted(units: DataFrame, state: DataFrame) -> DataFrame:
+    """One row a source: target, lam, and `tokens`, the sum of n * size * exp(lam) over its units."""
+    joined = units.alias("u").join(state.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source")))
+    return joined.groupBy(F.col("s.source").alias("source")).agg(F.first("s.target").alias("target"), F.first("s.lam").alias("lam"), F.sum(F.col("u.n") * F.col("u.size") * F.exp("s.lam")).alias("tokens"))
+
+
 def multipliers(units: DataFrame, wanted: DataFrame, steps: int = STEPS) -> DataFrame:
     """The dual solution: `lam` for each source of `wanted` (source, target); null where nothing is to be taken.
 
     units: (source, size, n), n documents of that size. Each Newton step sums over the
-    units: gradient sum(n*size*exp(lam)) - target, curvature sum(n*size*exp(lam)).
+    units: gradient sum(n*size*exp(lam)) - target, curvature sum(n*size*exp(lam)). After every `steps` steps the
+    state is written and its error looked at, until no source's tokens are off by over `TOLERANCE` of its target.
     """
-    state = wanted.select("source", "target", F.when(F.col("target") > 0, F.lit(0.0)).alias("lam"))
     units = units.filter(F.col("size") > 0)
-    for _ in range(steps):
-        tilted = units.alias("u").join(state.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source")))
-        state = tilted.groupBy(F.col("s.source").alias("source")).agg(
-            F.first("s.target").alias("target"),
-            (F.first("s.lam") - 1 + F.first("s.target") / F.sum(F.col("u.n") * F.col("u.size") * F.exp("s.lam"))).alias("lam"),
-        )
-    return state.select("source", "lam")
+    state = wanted.select("source", "target", F.when(F.col("target") > 0, F.lit(0.0)).alias("lam"))
+    for _ in range(MOST_LOOKS):
+        for _ in range(steps):
+            state = _tilted(units, state).select("source", "target", (F.col("lam") - 1 + F.col("target") / F.col("tokens")).alias("lam"))
+        state = stash(state)
+        worst = _tilted(units, state).agg(F.max(F.abs(F.col("tokens") / F.col("target") - 1))).first()[0]
+        if worst is None or worst <= TOLERANCE:
+            return state.select("source", "lam")
+    raise ArithmeticError(f"the Newton steps leave an error of {worst}")
 
 
 def _round(sizes: Column, rate: Column) -> Column:
@@ -77,15 +89,15 @@ def _round(sizes: Column, rate: Column) -> Column:
     return F.aggregate(sizes, start, step, lambda acc: acc["copies"])
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights: tuple = (5.0, 2.0, 1.0), most: float = 2.0, lot: int = LOT) -> DataFrame:
-    """(source, text and other columns) -> the same rows with size, source_size, target and `copies` (0, 1 or 2).
+def mix(docs: DataFrame, share: float = 1.5, weights: tuple = (5.0, 2.0, 1.0), most: float = 2.0, lot: int = LOT, keep: list[str] | None = None) -> DataFrame:
+    """(source, text and other columns) -> the columns `keep` (all by default) with size, source_size, target and `copies` (0, 1 or 2).
 
     Nulls: a null source is a source of its own, the last one; a null or empty text has
     size 0 and no copies. Repeated rows are rows of their own; ties in size go by row id. An
-    empty table gives an empty result. Other columns pass through. Reruns agree.
+    empty table gives an empty result. Columns of any name pass through, but those of the four names are replaced. Reruns agree.
     A hot source is rounded in lots of about `lot` documents, each by itself.
     """
-    kept = docs.columns
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "source_size", "target", "copies")]
     rows = with_rid(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.col("source"), words_of(F.col("text")).alias("size")), "__rid")
     thin = stash(rows.select("__rid", "source", "size"))
     units = thin.groupBy("source", "size").agg(F.count("*").alias("n"))

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as tx
 from .common import small_batches
@@ -44,9 +45,11 @@ class Net:
         return out
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Largest and mean chunk maximum of each filter for each text; zeros for empty ones."""
+        """Largest and mean chunk maximum of each filter for each text; zeros for empty ones. A single long text goes piece by piece."""
         lengths = np.diff(offsets)
         docs = len(lengths)
+        if docs == 1 and lengths[0] > GROUP_BYTES:
+            return self._long(data[int(offsets[0]) : int(offsets[1])])[None]
         out = np.zeros((docs, 2 * FILTERS), np.float32)
         full = np.flatnonzero(lengths)
         if not len(full):
@@ -74,6 +77,22 @@ class Net:
         out[full, FILTERS:] = np.add.reduceat(chunk, first, axis=0) / blocks[:, None]
         return out
 
+    def _long(self, text: np.ndarray) -> np.ndarray:
+        """The features of one text, of which `GROUP_BYTES` are convolved at once."""
+        largest, total, before = np.zeros(FILTERS, np.float32), np.zeros(FILTERS), None
+        for at in range(0, len(text), GROUP_BYTES):  # whole blocks
+            piece = text[at : at + GROUP_BYTES + WIDTH - 1]
+            outputs = self.convolve(np.pad(piece, (0, max(0, min(GROUP_BYTES, len(text) - at) + WIDTH - 1 - len(piece)))))
+            top = np.maximum.reduceat(outputs, np.arange(0, len(outputs), BLOCK), axis=0)
+            if before is not None:
+                top = np.concatenate([before, top])
+            before = top[-1:]
+            chunk = np.maximum(np.maximum(top[:-1], top[1:]) + self.bias, 0)
+            total += chunk.sum(0, dtype=np.float64)
+            largest = np.maximum(largest, chunk.max(0, initial=0))
+        chunk = np.maximum(before[0] + self.bias, 0)  # the last block has none after it
+        return np.concatenate([np.maximum(largest, chunk), (total + chunk) / -(-len(text) // BLOCK)]).astype(np.float32)
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         z = self.features(data, offsets).astype(np.float64) @ self.dense.astype(np.float64) + float(self.offset[0])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -187,5 +206,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str], net: Net
     net = net or train_quality(docs, labels)
     model = spark.sparkContext.broadcast(pickle.dumps(net))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("binary").alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__text").schema)
-    return rows.mapInArrow(_score(keep, model), f"{kinds}, score double")
+    return rows.mapInArrow(_score(keep, model), T.StructType(rows.drop("__text").schema.fields).add("score", "double"))

@@ -29,9 +29,9 @@ from .components import components
 
 BANDS, ROWS, BITS = 32, 4, 2
 MINIMA = BANDS * ROWS
-#: A pair at the limit has 0.8 of its minima in common and so 0.85 of the 2-bit values: 19.2 of 128
-#: differ, with a standard deviation of 4.04. 40 is five of these above.
-MOST_DIFFERENT = 40
+#: Candidates with at least this estimate are confirmed on their full sets. A pair at similarity 0.8 has 0.85 of the 2-bit values in
+#: common: 19.2 of 128 differ, with a standard deviation of 4.04. Here 40 may, five deviations more.
+LEAST_ESTIMATE = 0.58
 #: Members of a candidate group, and shingles of a verification group, in one piece, and at most in one task.
 PIECE_ROWS, GROUP_ROWS = 250, 50_000
 PIECE_SHINGLES, GROUP_SHINGLES = 100_000, 4_000_000
@@ -166,7 +166,7 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, label = _members(parts)
         if len(node) > 1:
             sig = np.frombuffer(b"".join(x for p in parts for x in p.column("sig").to_pylist()), np.uint64).reshape(len(node), -1)
-            for i, j in spanning_forest(label, lambda i, sig=sig: different(sig[i], sig) <= MOST_DIFFERENT):
+            for i, j in spanning_forest(label, lambda i, sig=sig: estimate(different(sig[i], sig)) >= LEAST_ESTIMATE):
                 a.append(int(node[i]))
                 b.append(int(node[j]))
         if len(a) >= 10_000:
@@ -274,12 +274,13 @@ def near_duplicates(docs: DataFrame, width: int, num: int = 80, den: int = 100,
 def label_components(docs: DataFrame, width: int, **options) -> DataFrame:
     """Add n_shingles, component_id (the smallest doc_id linked, directly or not) and `first` (whether the row is the one to keep).
 
-    A null doc_id is larger than all others; of rows with equal doc_id one is first. All columns pass through.
+    A null doc_id is larger than all others; of rows with equal doc_id one is first. All columns pass through, but
+    those of the three names are replaced. Repeated rows are rows of their own; an empty table gives an empty result.
     """
-    kept = docs.columns
+    kept = [c for c in docs.columns if c not in ("n_shingles", "component_id", "first")]
     rows = with_rid(docs, "__rid")
     found = near_duplicates(rows.select(F.col("__rid").alias("rid"), "text"), width, **options)
     ids = stash(rows.select(F.col("__rid").alias("rid"), "doc_id").join(found, "rid"))
     best = stash(ids.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")))
-    labels = ids.join(best, F.col("root") == F.col("r")).select(F.col("rid").alias("__rid"), "n_shingles", "component_id", (F.col("rid") == F.col("best.rid")).alias("first"))
-    return rows.join(labels, "__rid").select(*[F.col(f"`{c}`") for c in kept], "n_shingles", "component_id", "first")
+    labels = ids.join(best, F.col("root") == F.col("r")).select(F.col("rid").alias("__rid"), F.struct("n_shingles", "component_id", (F.col("rid") == F.col("best.rid")).alias("first")).alias("__label"))
+    return rows.join(labels, "__rid").select(*[F.col(f"`{c}`") for c in kept], "__label.*")

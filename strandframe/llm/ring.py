@@ -79,13 +79,9 @@ def assign(df: DataFrame, key: Column, shards: int, virtual: int = 64, lots: int
     spark = df.sparkSession
     points = arcs(shards, virtual)
     places = [p for p, _ in points]
-    df = with_rid(df, "__rid")
-    kept = [c for c in df.columns if c not in (shard, slot, "__rid")]
-    rows = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"),
-        F.pmod(F.xxhash64(F.lit("ring"), key), F.lit(PLACES)).cast("int").alias("__place"),
-        "__rid",
-    )
+    kept = [c for c in df.columns if c not in (shard, slot)]
+    place = F.pmod(F.xxhash64(F.lit("ring"), key), F.lit(PLACES)).cast("int")
+    rows = with_rid(df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), place.alias("__place")), "__rid")
     lookup = spark.createDataFrame([(p, bisect_left(places, p) % len(places)) for p in range(PLACES)], "__place int, __arc int")
     rows = rows.join(F.broadcast(lookup), "__place").withColumn("__lot", F.pmod(F.xxhash64("__rid"), F.lit(lots)).cast("int"))
 

@@ -17,6 +17,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 
@@ -137,6 +138,6 @@ def scan_secrets(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
     result; no other column matters.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(_scan(keep), f"{kinds}, secrets array<struct<kind:string,first:int,end:int>>")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    found = T.StructType.fromDDL("secrets array<struct<kind:string,first:int,end:int>>")
+    return rows.mapInArrow(_scan(keep), T.StructType([*rows.drop("__text").schema.fields, *found.fields]))

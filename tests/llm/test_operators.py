@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandframe.llm import ann, balance, bytenet, components, debruijn, decontaminate, lines, minhash, queries, ring, secrets, suffix, winnow
+from strandframe.llm import ann, balance, bytenet, common, components, debruijn, decontaminate, lines, minhash, queries, ring, secrets, suffix, winnow
 from strandframe.llm import text as tx
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -524,6 +524,16 @@ def test_network_covers_whole_texts():
         assert net.features(t, np.array([0, len(t)]))[0] == pytest.approx(np.concatenate([chunk.max(0), chunk.mean(0)]), abs=1e-4)
 
 
+def test_long_texts_go_in_pieces(monkeypatch):
+    net, rng = bytenet.Net(), np.random.default_rng(3)
+    for n in (1025, 1500, 2048, 3001, 3071, 3075):
+        text = rng.integers(1, 255, n).astype(np.uint8)
+        whole = net.features(text, np.array([0, n]))
+        monkeypatch.setattr(bytenet, "GROUP_BYTES", 1024)
+        assert net.features(text, np.array([0, n]))[0] == pytest.approx(whole[0], abs=1e-5)
+        monkeypatch.undo()
+
+
 # 10
 def test_spans(docs, empty):
     window, first = 6, {}
@@ -572,6 +582,34 @@ def test_spans_of_longer_windows(spark):
     assert rows_of(got, "doc_id", "n_words", "n_removed") == want
 
 
+# row ids
+def _digest(spark, name, folder):
+    f = {"pipeline": lambda: corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)}.get(name, lambda: queries.QUERIES[name](spark, folder))
+    return f()
+
+
+@pytest.mark.parametrize("name", ["op2_near_dedup", "op3_substring_dedup", "op7_sharding", "op8_mixing", "op10_span_dedup", "pipeline"])
+def test_splits_that_change_between_jobs(spark, tmp_path, monkeypatch, name):
+    """Executors come and go, and with them the number of tasks that a scan has: rows keep their ids."""
+    spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 400").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    want = rows_of(_digest(spark, name, str(tmp_path)), "*")
+    sizes, key, true_stash = iter([1, 4] * 500), "spark.sql.leafNodeDefaultParallelism", common.stash
+
+    def changing(df):
+        spark.conf.set(key, str(next(sizes)))
+        return true_stash(df)
+
+    for module in (common, minhash, suffix, debruijn, balance, components):
+        monkeypatch.setattr(module, "stash", changing)
+    try:
+        spark.conf.set(key, "4")
+        df = _digest(spark, name, str(tmp_path))
+        spark.conf.set(key, "1")
+        assert rows_of(df, "*") == want and sum(want.values()) >= 200
+    finally:
+        spark.conf.unset(key)
+
+
 # queries and pipeline
 FOLDER = "/root/testdata/sf0.001"
 
@@ -600,6 +638,18 @@ def test_pipeline(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, FOLDER).collect()) == sorted(r["doc_id"] for r in kept.collect())
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_keep_clashing_columns(spark, stage):
+    names = ["score", "spans", "n_words", "items", "first", "copies", "copy", "size", "target", "source_size", "rid", "__rid", "n_shingles", "component_id", "node", "root", "label", "a.b", "__text"]
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id < 60").withColumns({f"{n}": F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    more = spark.createDataFrame([(900, None, "en", None, None), (901, "", "en", "s", 0), (None, "one more text", "en", "s", 13), (5, "a text", "en", "s", 6)], rows.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    rows = rows.unionByName(more, allowMissingColumns=True)
+    out = corpus_pipeline.STAGES[stage][1](spark, rows, FOLDER)
+    assert out.columns[: len(rows.columns)] == rows.columns
+    got = out.select(*[F.col(f"`{c}`") for c in rows.columns]).collect()
+    assert len(got) > 30 and set(map(tuple, got)) <= set(map(tuple, rows.collect()))
+
+
 def test_stages_take_empty_tables(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, FOLDER).count() == 0
