@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 # Amino acids (three letters, one letter), charges, secondary-structure letters.
 ONE_LETTER = {"ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V"}
+STRUCTURE_LETTERS = ("H", "G", "I", "P", "E", "B", "T", "S", "-", "C")
 CHARGES = {"K": 1, "H": 1, "R": 1, "D": -1, "E": -1}
 # End of the fixed values.
 
@@ -80,6 +81,11 @@ def ratio_text(n: Column, d: Column) -> Column:
     return F.concat(n.cast("string"), F.lit("/"), d.cast("string"))
 
 
+def structure_number(letter: Column) -> Column:
+    """Secondary-structure letter to 0-9; null for other letters."""
+    return literal_map({x: i for i, x in enumerate(STRUCTURE_LETTERS)})[letter]
+
+
 def clash_text(p: str, q: str) -> Column:
     side = lambda s: F.concat(F.col(f"{s}chain"), F.lit("/"), F.col(f"{s}resname"), F.col(f"{s}resid").cast("string"), F.lit(":"), F.col(f"{s}name"))
     return F.concat(side(p), F.lit(" <-> "), side(q))

@@ -31,15 +31,18 @@ def consensus_class() -> Column:
 
 
 def residue_statistics(df: DataFrame, key: list[str], features: list[str], stats: tuple = STATS, row_id: str | None = "row_id", seed: int = 7) -> DataFrame:
-    """One hash aggregation: statistics of each feature, the class and the number of structures.
+    """Statistics of each feature, the class and the number of structures.
 
     With a row id also `<feature>_rand`, of one row drawn for all features by a seeded hash.
     """
-    aggs = [statistic(f, s) for f in features for s in stats] + [F.countDistinct("PDB_Code").alias("num_structures")]
+    aggs = [statistic(f, s) for f in features for s in stats]
     aggs.append(consensus_class() if "class" in df.columns else F.lit("-1").alias("class"))
     if row_id:
         aggs.append(F.min_by(F.struct(*features), F.struct(F.xxhash64(F.lit(seed), F.col(row_id)), F.col(row_id))).alias("__one"))
-    out = _keyed(df, key).groupBy(*key).agg(*aggs)
+    rows = _keyed(df, key)
+    # apart from the rest: beside a distinct count, Spark would keep each median's values by key and structure first
+    counts = rows.select(*key, "PDB_Code").distinct().groupBy(*key).agg(F.count("PDB_Code").alias("num_structures"))
+    out = rows.groupBy(*key).agg(*aggs).join(counts, key)
     return out.select("*", *[F.col(f"__one.{f}").alias(f"{f}_rand") for f in features]).drop("__one") if row_id else out
 
 

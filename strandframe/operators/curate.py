@@ -29,7 +29,7 @@ def clean(atoms: DataFrame, parents: DataFrame, keep: tuple = ()) -> DataFrame:
     """
     r, n = F.col("resname"), F.col("name")
     a = atoms.filter(~F.coalesce(F.col("element"), F.substring(F.regexp_replace("name", "[0-9]", ""), 1, 1)).isin("H", "D"))
-    a = a.join(F.broadcast(parents), ["structure", "resname"], "left") if parents is not None else a.withColumn("parent", F.lit(None).cast("string"))
+    a = a.join(parents, ["structure", "resname"], "left") if parents is not None else a.withColumn("parent", F.lit(None).cast("string"))
     free = ~r.isin(*keep) if keep else F.lit(True)
     a = a.filter(~(free & (r == "KCX") & n.isin(*CARBAMATE)))
     special = r.isin(*SELENO, "KCX")
@@ -56,7 +56,7 @@ def pick_models(atoms: DataFrame, how, most: int | None = None, representative:
         if representative is None:
             return atoms.filter("model = 1")
         chosen = representative.select("structure", F.col("model").alias("__m"))
-        return atoms.join(F.broadcast(chosen), "structure", "left").filter(F.col("model") == F.coalesce("__m", F.lit(1))).drop("__m")
+        return atoms.join(chosen, "structure", "left").filter(F.col("model") == F.coalesce("__m", F.lit(1))).drop("__m")
     if isinstance(how, int):
         return atoms.filter(F.col("model") <= cap(how))
     return atoms.filter(F.col("model").isin(list(how)[: cap(len(how))]))
@@ -96,14 +96,14 @@ def small_gaps(atoms: DataFrame, most: int) -> DataFrame:
 
 def incomplete_residues(atoms: DataFrame, expected: DataFrame) -> DataFrame:
     """(structure, chain, resid, resname, missing): expected (resname, name) atoms that are not there."""
-    seen = atoms.filter("record = 'ATOM'").select("structure", "chain", "resid", "resname").distinct().join(F.broadcast(expected), "resname")
+    seen = atoms.filter("record = 'ATOM'").select("structure", "chain", "resid", "resname").distinct().join(expected, "resname")
     gone = seen.join(atoms.select("structure", "chain", "resid", "name").distinct(), ["structure", "chain", "resid", "name"], "left_anti")
     return gone.groupBy("structure", "chain", "resid", "resname").agg(F.array_sort(F.collect_list("name")).alias("missing"))
 
 
 def rename_chains(atoms: DataFrame, names: DataFrame) -> DataFrame:
     """names: (structure, chain, new)."""
-    return atoms.join(F.broadcast(names), ["structure", "chain"], "left").withColumn("chain", F.coalesce("new", "chain")).drop("new")
+    return atoms.join(names, ["structure", "chain"], "left").withColumn("chain", F.coalesce("new", "chain")).drop("new")
 
 
 def renumber(atoms: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def choose_biomolecule(records: DataFrame) -> DataFrame:
     """records: (structure, biomolecule, determined, op, chains, matrix); keeps those of the first author-determined, else of the lowest."""
     order = F.struct((F.col("determined") != "author").alias("a"), F.col("biomolecule"))
     best = records.groupBy("structure").agg(F.min(order).alias("__b")).select("structure", F.col("__b.biomolecule").alias("biomolecule"))
-    return records.join(F.broadcast(best), ["structure", "biomolecule"])
+    return records.join(best, ["structure", "biomolecule"])
 
 
 IDENTITY = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0]
@@ -165,6 +165,25 @@ def build_assembly(atoms: DataFrame, records: DataFrame, most_atoms: int = 99_99
     return made.select(*atoms.columns).unionByName(rest), status.select("structure", "status")
 
 
+def structure_numbers(residues: DataFrame, found: DataFrame, expected: tuple, of_interest: Column) -> tuple[DataFrame, DataFrame]:
+    """residues and found letters (structure, ordinal, amino, letter) -> residues of interest with `secondarystructure` (0-9), and error records.
+
+    A structure for which as many letters were not found as it has residues, or one of whose residues of interest is none of
+    the `expected` amino acids by the found sequence, gets no values but an error (stage, path, error).
+    """
+    from ..functions.scalars import structure_number
+
+    n, m = residues.groupBy("structure").agg(F.count("*").alias("n")), found.groupBy("structure").agg(F.count("*").alias("m"))
+    counts = n.join(m, "structure", "left").withColumn("m", F.coalesce("m", F.lit(0))).filter("n <> m")
+    rows = residues.join(counts, "structure", "left_anti").filter(of_interest).join(found, ["structure", "ordinal"])
+    other = rows.filter(~F.col("amino").isin(*expected)).select("structure").distinct()
+    message = F.concat(F.col("m").cast("string"), F.lit(" residues found, but the structure has "), F.col("n").cast("string"))
+    record = lambda df, text: df.select(F.lit("secondarystructure").alias("stage"), F.col("structure").alias("path"), text.alias("error"))
+    errors = record(counts, message).unionByName(record(other, F.lit("a residue of interest is another one in the sequence found")))
+    good = rows.join(other, "structure", "left_anti")
+    return good.withColumn("secondarystructure", structure_number(F.col("letter"))).drop("amino", "letter"), errors
+
+
 def measured_chains(df: DataFrame, assemblies: DataFrame) -> DataFrame:
     """Rows of chains declared for the protein (Chains, '/') and listed by the structure's assembly record, if it has one."""
     from ..functions.scalars import split_list

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import stem
@@ -46,6 +46,19 @@ def choose_features(df: DataFrame, names: list[str] | None, known: list[str]) ->
     return df.dropna(subset=names)
 
 
+def prune_features(df: DataFrame, wanted: list[str], key: list[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """The table with key, PDB_Code, class, Method and the wanted features only; the features, without Method and Resolution; and those wanted that it doesn't have."""
+    have = [f for f in wanted if f in df.columns]
+    base = [c for c in df.columns if c in (*key, "PDB_Code", "class", "Method")]
+    return df.select(*base, *[f for f in have if f not in base]), [f for f in have if f not in ("Method", "Resolution")], [f for f in wanted if f not in df.columns]
+
+
+def first_rows(df: DataFrame, key: list[str], order: list[str], n: int, skip: int = 0) -> DataFrame:
+    """Rows skip+1 .. skip+n of each key, in order."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    return df.withColumn("__rn", F.row_number().over(w)).filter((F.col("__rn") > skip) & (F.col("__rn") <= skip + n)).drop("__rn")
+
+
 def missing_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     """One pass over the table; '' holds the number of rows."""
     return df.agg(F.count("*").alias(""), *[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).first().asDict()

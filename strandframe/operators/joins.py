@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -81,7 +82,23 @@ def add_labels(df: DataFrame, sites: DataFrame, label: str, unlisted: str = "-1"
     return flagged.withColumn("class", F.when(F.col("__in"), label).otherwise(F.coalesce(old, F.lit(unlisted)))).drop("__in")
 
 
-def with_term(df: DataFrame, edges: DataFrame, go_id: str) -> DataFrame:
+def with_term(df: DataFrame, edges: DataFrame, go_id: str | None = None, name: str | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """Rows of the proteins that a term annotates, by its code, its name (terms: go_id, name) or both.
+
+    A code that isn't the name's, an unknown name and neither of the two are errors. A code without
+    proteins gives an empty table and a warning.
+    """
+    if go_id is None and name is None:
+        raise ValueError("a term needs a code or a name")
+    if name is not None:
+        codes = {r["go_id"] for r in terms.filter(F.col("name") == name).select("go_id").distinct().collect()}  # one term, or few that share a name
+        if not codes:
+            raise KeyError(f"unknown term {name!r}")
+        if go_id is not None and go_id not in codes:
+            raise ValueError(f"the code {go_id} is not that of {name!r}")
+        go_id = go_id if go_id is not None else min(codes)
+    if edges.filter(F.col("go_id") == go_id).isEmpty():
+        warnings.warn(f"no protein has the term {go_id}; the table is empty", UserWarning, stacklevel=2)
     return df.join(edges.filter(F.col("go_id") == go_id).select(F.col("uniprot").alias("Uniprot_Entry")).distinct(), "Uniprot_Entry", "left_semi")
 
 

@@ -54,12 +54,35 @@ def nearest_distance(left: DataFrame, right: DataFrame, allowed: Column, key: li
     return left.select(*key).distinct().join(found, key, "left")
 
 
+# Residue codes of proteins (standard, other protonation states, modified), of water and of ions; metal elements; backbone atoms.
+PROTEIN = (
+    "ALA", "ARG", "CIR", "2MR", "AGM", "ASN", "MEN", "ASP", "ASH", "CYS", "CYX", "CSO", "CSD", "OCS", "CSX", "CME", "CSS", "SNC", "SMC", "CAS", "CAF",
+    "GLN", "MEQ", "GLU", "GLH", "CGU", "GLY", "HIS", "HID", "HIE", "HIP", "HIC", "NEP", "ILE", "LEU", "NLE", "LYS", "LYSN", "LYN", "LYE", "KCX", "MLY", "MLZ", "M3L", "ALY", "LYR",
+    "MET", "MSE", "OMT", "MHO", "PHE", "MEA", "PRO", "HYP", "SER", "SEP", "THR", "TPO", "TRP", "TRO", "TRQ", "0AF", "TYR", "PTR", "TYS", "NIY", "DAH", "TYY", "VAL",
+)
+WATERS = ("HOH", "WAT", "DOD", "H2O")
+IONS = ("ZN", "NI", "CU", "FE", "MG", "MN", "NA", "K", "CA", "CO", "CL", "MO", "CD", "HG", "PT", "AU", "AG", "SR", "BA", "CS", "RB", "LI", "BR", "IOD", "F")
+METALS = ("FE", "ZN", "CU", "MG", "MN", "NI", "CO", "MO", "CA", "NA", "K", "LI", "CD", "HG", "PT", "AU", "AG", "W", "V", "CR", "SR", "BA", "CS", "RB")
+BACKBONE = ("N", "CA", "C", "O")
+# End of the fixed values.
+
+
+def _code(c: str) -> Column:
+    return F.upper(F.trim(F.col(c)))
+
+
 def heavy(atoms: DataFrame) -> DataFrame:
     return atoms.filter(~F.coalesce(F.col("element").isin("H", "D"), F.lit(False)))
 
 
 def other_chain_distance(anchors: DataFrame, atoms: DataFrame, key: list[str], **options) -> DataFrame:
-    return nearest_distance(anchors, heavy(atoms), F.col("p_chain") != F.col("q_chain"), key, **options)
+    """To the nearest heavy atom of a protein residue in another chain: water, ions and ligands are no chains. Null where there is none."""
+    partners = heavy(atoms).filter(_code("resname").isin(*PROTEIN))
+    # anchors whose structure has no other chain never enter the rounds
+    chains = partners.groupBy("structure").agg(F.min("chain").alias("__c1"), F.max("chain").alias("__c2"))
+    met = anchors.join(chains, "structure").filter((F.col("chain") != F.col("__c1")) | (F.col("chain") != F.col("__c2"))).drop("__c1", "__c2")
+    near = nearest_distance(met, partners, F.col("p_chain") != F.col("q_chain"), key, **options)
+    return anchors.select(*key).distinct().join(near, key, "left")
 
 
 def terminus_distance(anchors: DataFrame, atoms: DataFrame, key: list[str]) -> DataFrame:
@@ -75,7 +98,8 @@ def terminus_distance(anchors: DataFrame, atoms: DataFrame, key: list[str]) -> D
 def modelled_distance(anchors: DataFrame, atoms: DataFrame, key: list[str], **options) -> DataFrame:
     """Distance to the nearest built atom (occupancy 0), and whether the residue holds one."""
     built = heavy(atoms).filter("occupancy = 0")
-    near = nearest_distance(anchors, built, F.lit(True), key, **options)
+    near = nearest_distance(anchors.join(built.select("structure").distinct(), "structure", "left_semi"), built, F.lit(True), key, **options)
+    near = anchors.select(*key).distinct().join(near, key, "left")
     inside = atoms.groupBy("structure", "chain", "resid").agg(F.max(F.col("occupancy") == 0).alias("in_modelled_region"))
     where = anchors.select(*key, "structure", "chain", "resid").distinct() if "structure" not in key else anchors.select(*dict.fromkeys([*key, "chain", "resid"])).distinct()
     return where.join(inside, ["structure", "chain", "resid"], "left").join(near, key).select(*key, "distance", "in_modelled_region")
@@ -86,26 +110,20 @@ def neighbours(anchors: DataFrame, atoms: DataFrame, key: list[str], radius: flo
     return anchors.select(*key).distinct().join(got, key, "left").fillna(0, ["n_neighbours"])
 
 
-# Backbone atoms and metals that clash with nothing.
-BACKBONE = ("N", "CA", "C", "O")
-METALS = ("ZN", "MG", "CA", "FE", "MN", "CU", "NI", "CO", "NA", "K")
-# End of the fixed values.
-
-
-def clashes(atoms: DataFrame, ordinals: DataFrame, limit: float = 2.0) -> DataFrame:
+def clashes(atoms: DataFrame, ordinals: DataFrame, limit: float = 2.0, min_occupancy: float = 0.0) -> DataFrame:
     """Offending pairs p < q, by serial, closer than the limit.
 
-    Not counted: one residue, backbones of residues next to each other, SG-SG, metals, rival
-    alternate locations and low occupancies (together below 1, unless built).
+    Not counted: one residue, backbones of residues next to each other, SG-SG, metals in any record and single-atom ions, rival
+    alternate locations, and atoms with an occupancy below `min_occupancy` (none by default).
     """
     a = heavy(atoms).join(ordinals.select("structure", "chain", "resid", "ordinal"), ["structure", "chain", "resid"])
     p, q = (lambda c: F.col(f"p_{c}")), (lambda c: F.col(f"q_{c}"))
     same = (p("chain") == q("chain")) & (p("resid") == q("resid"))
     bonded = (p("chain") == q("chain")) & (F.abs(p("ordinal") - q("ordinal")) == 1) & p("name").isin(*BACKBONE) & q("name").isin(*BACKBONE)
     bridge = (p("name") == "SG") & (q("name") == "SG")
-    metal = p("element").isin(*METALS) & (p("record") == "HETATM") | q("element").isin(*METALS) & (q("record") == "HETATM")
+    metal = F.coalesce(_code("p_element").isin(*METALS), F.lit(False)) | F.coalesce(_code("q_element").isin(*METALS), F.lit(False)) | _code("p_resname").isin(*IONS) | _code("q_resname").isin(*IONS)
     rival = (p("altloc") != "") & (q("altloc") != "") & (p("altloc") != q("altloc"))
-    faint = (p("occupancy") > 0) & (q("occupancy") > 0) & (p("occupancy") + q("occupancy") <= 1) & ((p("occupancy") < 1) | (q("occupancy") < 1))
+    faint = (p("occupancy") < min_occupancy) | (q("occupancy") < min_occupancy)
     pairs = pairs_within(a, a, limit).filter((p("serial") < q("serial")) & (F.col("distance") < limit))
     return pairs.filter(~(same | bonded | bridge | metal | rival | faint))
 
@@ -122,7 +140,7 @@ def geometry_summary(atoms: DataFrame, ordinals: DataFrame, limit: float = 2.0,
         F.coalesce(F.max(hit & (F.col("p_chain") != F.col("q_chain"))), F.lit(False)).alias("inter_chain"),
         F.coalesce(F.max(hit & ((F.col("p_record") == "HETATM") | (F.col("q_record") == "HETATM"))), F.lit(False)).alias("involves_hetatm"),
         F.coalesce(F.max(hit & ((F.col("p_occupancy") == 0) | (F.col("q_occupancy") == 0))), F.lit(False)).alias("involves_modelled"),
-        F.coalesce(F.max(hit & ((F.col("p_resname") == "HOH") | (F.col("q_resname") == "HOH"))), F.lit(False)).alias("involves_water"),
+        F.coalesce(F.max(hit & (_code("p_resname").isin(*WATERS) | _code("q_resname").isin(*WATERS))), F.lit(False)).alias("involves_water"),
     )
     whole = atoms.groupBy("structure").agg(F.count("*").alias("n_atoms"))
     out = whole.join(pairs, "structure", "left")

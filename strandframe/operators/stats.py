@@ -30,7 +30,7 @@ def log_factorials(spark, n: int) -> DataFrame:
     k = spark.range(1, n + 1).select(F.col("id").alias("k"), F.log(F.col("id").cast("double")).alias("l"), F.floor(F.col("id") / 1024).alias("block"))
     inner = k.withColumn("s", F.sum("l").over(Window.partitionBy("block").orderBy("k")))
     blocks = k.groupBy("block").agg(F.sum("l").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    return inner.join(F.broadcast(blocks), "block").select("k", (F.col("s") + F.col("before")).alias("lf")).unionByName(spark.sql("select 0L as k, 0.0D as lf"))
+    return inner.join(blocks, "block").select("k", (F.col("s") + F.col("before")).alias("lf")).unionByName(spark.sql("select 0L as k, 0.0D as lf"))
 
 
 def fisher_greater(tables: DataFrame) -> DataFrame:

@@ -27,15 +27,18 @@ HIGH_IS_BETTER = ("sasa", "das", "seqcharge", "frustration")
 
 
 def best_weights(weights, n: int) -> list[float]:
-    """Weights of n features: one number gives equal shares or, for two features, w and 1 - w; lists are padded, cut or rescaled."""
+    """Weights of n features: one number gives equal shares or, for two features, w and 1 - w; lists are padded or cut and then rescaled to two places.
+
+    A list of n weights that sum to 1 stays as it is.
+    """
     if isinstance(weights, (int, float)):
         return [weights, 1 - weights] if n == 2 and weights != 0.5 else [1 / n] * n
     given = list(weights)
     if len(set(given)) <= 1:
         return [1 / n] * n
-    if len(given) < n:
-        given += [1 / n] * (n - len(given))
-    given = given[:n]
+    if len(given) == n and sum(given) == 1:
+        return given
+    given = (given + [1 / n] * (n - len(given)))[:n]
     return [round(w / sum(given), 2) for w in given]
 
 

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.scalars import chain_residue, confidence_band
 
 # Bin widths of features.
-WIDTHS = {"propka": 0.5, "pkaANI": 0.5, "sasa": 5.0, "depth": 0.5, "seqcharge": 1.0, "das": 5.0, "flexibility": 0.2, "rmsf": 0.1, "phi": 10.0, "psi": 10.0, "legolas": 0.5, "curvature": 0.05, "torsion": 0.05, "writhing": 0.05, "arc_length": 0.5}
+WIDTHS = {"depth": 0.1, "sasa": 2.0, "propka": 0.2, "flexibility": 0.1, "curvature": 0.1, "arc_length": 0.1, "das": 2.0, "legolas": 2.0, "phi": 2.0, "psi": 2.0, "seqcharge": 0.5, "torsion": 0.2, "writhing": 0.02, "frustration": 0.5, "rmsf": 0.2}
 # End of the fixed values.
 
 
-def histogram(df: DataFrame, feature: str, step: float, split: Column | None = None) -> DataFrame:
-    """Counts and densities of whole bins from the minimum on; what lies past the last edge is not counted, the last edge is."""
-    x = F.col(feature)
+def histogram(df: DataFrame, feature: str, step: float | None = None, split: Column | None = None) -> DataFrame:
+    """Counts and densities of whole bins (as wide as `WIDTHS` says where no step is given) from the minimum on; what lies past the last edge is not counted, the last edge is."""
+    x, step = F.col(feature), WIDTHS[feature] if step is None else step
     ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).withColumn("bins", F.ceil((F.col("hi") - F.col("lo")) / step - 1e-12).cast("long") - 1)
     at = df.filter(x.isNotNull()).crossJoin(F.broadcast(ends))  # one row
     bin_ = F.least(F.floor((x - F.col("lo")) / step), F.when(x == F.col("lo") + F.col("bins") * step, F.col("bins") - 1).otherwise(F.floor((x - F.col("lo")) / step)))
@@ -31,13 +31,13 @@ def colours(how: str) -> Column:
 
 
 def density(df: DataFrame, feature: str, bandwidth: float, points: int = 200) -> DataFrame:
-    """Gaussian kernel density on an even grid over the data's range."""
+    """Gaussian kernel density on an even grid over the data's range. Equal values are counted before they meet the grid."""
     x = F.col(feature)
     ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"))
     grid = ends.select("n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"), "lo", "hi").withColumn("at", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
     z = (F.col("at") - x) / bandwidth
-    sums = df.filter(x.isNotNull()).select(x).crossJoin(F.broadcast(grid))  # `points` rows
-    return sums.groupBy("i", "at", "n").agg(F.sum(F.exp(-z * z / 2)).alias("s")).select("at", (F.col("s") / (F.col("n") * bandwidth * 2.5066282746310002)).alias("density"))
+    sums = df.filter(x.isNotNull()).groupBy(feature).agg(F.count("*").alias("__k")).crossJoin(F.broadcast(grid))  # `points` rows
+    return sums.groupBy("i", "at", "n").agg(F.sum(F.col("__k") * F.exp(-z * z / 2)).alias("s")).select("at", (F.col("s") / (F.col("n") * bandwidth * 2.5066282746310002)).alias("density"))
 
 
 def violins(df: DataFrame, columns: list[str]) -> DataFrame:

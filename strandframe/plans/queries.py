@@ -12,6 +12,7 @@ from ..operators import aggregate as ag
 from ..operators import curate as cu
 from ..operators import filters as fl
 from ..operators import joins as jn
+from ..operators import learning as le
 from ..operators import spatial as sp
 from ..operators import stats as st
 from ..operators import windows as wi
@@ -59,7 +60,9 @@ on_measures("p06_box_exclusive", f"SELECT {SHORT} FROM measures WHERE propka > 5
 on_measures("p08_choose_features", "SELECT Uniprot_Entry, Resid, propka, sasa FROM measures WHERE propka IS NOT NULL AND sasa IS NOT NULL", lambda m: fl.choose_features(m, ["propka", "sasa"], FEATURES).select(*KEY, "propka", "sasa"))
 on_measures("p09_pool_relaxed", f"SELECT {SHORT} FROM measures WHERE Source = 'relaxed'", lambda m: short(fl.pool_sources(m, "relaxed")[0]))
 on_measures("p09_pool_separate", "SELECT Uniprot_Entry, Resid, Source, avg(sasa) AS sasa_avg FROM measures GROUP BY ALL", lambda m: m.groupBy(*KEY, "Source").agg(ag.statistic("sasa", "avg")))
-on_measures("p12_drop_sparse", "SELECT Uniprot_Entry, Resid, sasa FROM measures", lambda m: fl.drop_sparse(m, ["propka", "sasa"], 0.05)[0].select(*[c for c in ("Uniprot_Entry", "Resid", "propka", "sasa") if c in fl.drop_sparse(m, ["propka", "sasa"], 0.05)[1] + KEY]))
+on_measures("p12_drop_sparse", "SELECT Uniprot_Entry, Resid, sasa FROM measures", lambda m: (lambda left: left[0].select(*KEY, *left[1]))(fl.drop_sparse(m, ["propka", "sasa"], 0.05)))
+on_measures("p10_prune_features", "SELECT Uniprot_Entry, Resid, PDB_Code, class, Method, sasa FROM measures", lambda m: fl.prune_features(m, ["sasa", "frustration"], KEY)[0])
+on_measures("o05_first_rows", "SELECT Uniprot_Entry, Resid, PDB_Code, sasa FROM measures QUALIFY row_number() OVER (PARTITION BY Uniprot_Entry, Resid ORDER BY row_id) BETWEEN 3 AND 7", lambda m: fl.first_rows(m, KEY, ["row_id"], 5, skip=2).select(*KEY, "PDB_Code", "sasa"))
 on_measures("p13_drop_missing", f"SELECT {SHORT} FROM measures WHERE propka IS NOT NULL", lambda m: short(fl.drop_missing(m, ["propka", "sasa"])))
 on_measures("k04_rows_with_missing", f"SELECT {SHORT} FROM measures WHERE propka IS NULL", lambda m: short(fl.rows_with_missing(m, FEATURES)))
 on_measures("p14_bounds", f"SELECT {SHORT}, depth FROM measures WHERE depth BETWEEN 0 AND 20", lambda m: fl.within_bounds(m).select("Uniprot_Entry", "PDB_Code", "Chain", "Resid", "sasa", "depth"))
@@ -137,12 +140,6 @@ def g09(s, d):
     return ag.flexibility(si.atoms(s, d)).select("structure", "chain", "resid", F.round("flexibility", 6).alias("flexibility"))
 
 
-@query("g10_geometry_summary", None)
-def g10(s, d):
-    a = si.atoms(s, d)
-    return sp.geometry_summary(a, wi.residue_ordinals(a), 1.0, 2.0)
-
-
 @query("g16_altloc_occupancy", "SELECT structure, model, chain, resid, altloc, round(avg(occupancy), 6) AS occupancy FROM atoms WHERE altloc <> '' GROUP BY ALL", A)
 def g16(s, d):
     return cu.altloc_occupancy(si.atoms(s, d)).withColumn("occupancy", F.round("occupancy", 6))
@@ -169,9 +166,9 @@ on_measures("j01_combine_features", f"SELECT PDB_Code, Chain, Resid, propka, sas
 on_measures("j02_late_features", f"SELECT PDB_Code, Chain, Resid, propka, CASE WHEN raw > 5 THEN depth END AS depth FROM {J01} WHERE propka IS NOT NULL", lambda m: jn.join_late_features(_feature_frames(m)[0], _feature_frames(m)[2], ["PDB_Code", "Chain", "Resid"]))
 
 
-@query("j03_confidence", f"SELECT {SHORT}, PLDDT FROM measures LEFT JOIN (SELECT CAST(l_orderkey AS VARCHAR) AS PDB_Code, l_linestatus AS Chain, CAST(l_linenumber AS INT) AS Resid, l_quantity * 2 AS PLDDT FROM lineitem WHERE l_orderkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linestatus, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1) USING (PDB_Code, Chain, Resid)", M)
+@query("j03_confidence", f"SELECT {SHORT}, PLDDT FROM measures LEFT JOIN (SELECT CAST(l_orderkey AS VARCHAR) AS PDB_Code, l_linestatus AS Chain, CAST(l_linenumber AS INT) AS Resid, l_quantity * 2 AS PLDDT FROM lineitem WHERE l_returnflag = 'A' QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linestatus, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1) USING (PDB_Code, Chain, Resid)", M)
 def j03(s, d):
-    log = si.table(s, d, "lineitem").filter("l_orderkey % 2 = 0").select(F.col("l_orderkey").cast("string").alias("PDB_Code"), F.col("l_linestatus").alias("Chain"), F.col("l_linenumber").cast("int").alias("Resid"), (F.col("l_quantity") * 2).alias("PLDDT"), "l_partkey", "l_suppkey", "l_extendedprice")
+    log = si.table(s, d, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").cast("string").alias("PDB_Code"), F.col("l_linestatus").alias("Chain"), F.col("l_linenumber").cast("int").alias("Resid"), (F.col("l_quantity") * 2).alias("PLDDT"), "l_partkey", "l_suppkey", "l_extendedprice")
     return jn.join_confidence(si.measures(s, d).withColumn("PDB_Code", F.concat("PDB_Code", F.lit("_relaxed"))), log, ["l_partkey", "l_suppkey", "l_extendedprice"]).select("Uniprot_Entry", fn.stem(F.col("PDB_Code")).alias("PDB_Code"), "Chain", "Resid", "sasa", "PLDDT")
 
 
@@ -189,14 +186,14 @@ def s04(s, d):
     return tb.last_per_structure(e, "minimisation", "event_id")
 
 
-@query("j04_collate_logs", "SELECT g.structure, g.status AS geometry_status, g.energy AS geometry_energy, m.status AS minimisation_status, m.energy AS minimisation_energy FROM (" + LOG.format(w="user_id % 3 <> 0") + ") g LEFT JOIN (" + LOG.format(w="event_type <> 'click'") + ") m USING (structure)")
+@query("j04_collate_logs", "SELECT g.structure, g.status AS geometry_status, g.energy AS geometry_energy, m.status AS minimisation_status, m.energy AS minimisation_energy FROM (" + LOG.format(w="event_type <> 'view'") + ") g LEFT JOIN (" + LOG.format(w="event_type <> 'click'") + ") m USING (structure)")
 def j04(s, d):
-    return jn.collate_logs({"geometry": _log(s, d, "user_id % 3 <> 0"), "minimisation": _log(s, d, "event_type <> 'click'")})
+    return jn.collate_logs({"geometry": _log(s, d, "event_type <> 'view'"), "minimisation": _log(s, d, "event_type <> 'click'")})
 
 
-@query("j05_add_logs", f"SELECT {SHORT}, g.status AS geometry_status, m.energy AS minimisation_energy FROM measures x LEFT JOIN (" + LOG.format(w="user_id % 3 <> 0") + ") g ON x.PDB_Code = g.structure LEFT JOIN (" + LOG.format(w="event_type <> 'click'") + ") m ON x.PDB_Code = m.structure", M)
+@query("j05_add_logs", f"SELECT {SHORT}, g.status AS geometry_status, m.energy AS minimisation_energy FROM measures x LEFT JOIN (" + LOG.format(w="event_type <> 'view'") + ") g ON x.PDB_Code = g.structure LEFT JOIN (" + LOG.format(w="event_type <> 'click'") + ") m ON x.PDB_Code = m.structure", M)
 def j05(s, d):
-    return jn.add_logs(si.measures(s, d), {"geometry": _log(s, d, "user_id % 3 <> 0"), "minimisation": _log(s, d, "event_type <> 'click'")}).select("Uniprot_Entry", "PDB_Code", "Chain", "Resid", "sasa", "geometry_status", "minimisation_energy")
+    return jn.add_logs(si.measures(s, d), {"geometry": _log(s, d, "event_type <> 'view'"), "minimisation": _log(s, d, "event_type <> 'click'")}).select("Uniprot_Entry", "PDB_Code", "Chain", "Resid", "sasa", "geometry_status", "minimisation_energy")
 
 
 EXTRA = "(SELECT CAST(l_orderkey AS VARCHAR) AS PDB_Code, l_linestatus AS Chain, CAST(l_linenumber AS INT) AS Resid, max(l_tax) AS das, min(l_extendedprice) AS sasa FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL)"
@@ -212,10 +209,17 @@ query("j07_required_residues", f"SELECT DISTINCT {SHORT}, propka, depth FROM mea
 query("j08_class_labels", "SELECT class, count(*) AS n FROM (SELECT CASE WHEN s.Resid IS NOT NULL THEN 'site' ELSE coalesce(class, '-1') END AS class FROM measures m LEFT JOIN (SELECT DISTINCT * FROM sites) s USING (Uniprot_Entry, Resid)) GROUP BY 1", M, S)(lambda s, d: jn.add_labels(si.measures(s, d), si.sites(s, d), "site").groupBy("class").agg(F.count("*").alias("n")))
 query("j09_match_files", "SELECT o_orderkey, PDB_Code FROM (SELECT DISTINCT PDB_Code FROM measures) JOIN orders ON PDB_Code = CAST(o_orderkey AS VARCHAR)", M)(lambda s, d: jn.match_files(si.measures(s, d).select("PDB_Code").distinct(), si.table(s, d, "orders").select("o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit("-alt-1_relaxed")).alias("file"))).select("o_orderkey", "PDB_Code"))
 query("j10_with_term", f"SELECT {SHORT} FROM measures WHERE Uniprot_Entry IN (SELECT uniprot FROM edges WHERE go_id = 'Brand#11')", M, E)(lambda s, d: short(jn.with_term(si.measures(s, d), si.edges(s, d), "Brand#11")))
+@query("j10_with_term_name", f"SELECT {SHORT} FROM measures WHERE Uniprot_Entry IN (SELECT uniprot FROM edges WHERE go_id = (SELECT min(go_id) FROM terms WHERE name = (SELECT name FROM terms WHERE go_id = 'Brand#12')))", M, E)
+def j10_name(s, d):
+    terms = si.terms(s, d)
+    name = terms.filter("go_id = 'Brand#12'").first()["name"]
+    return short(jn.with_term(si.measures(s, d), si.edges(s, d), name=name, terms=terms))
+
+
 query("j11_terms_of", "SELECT DISTINCT uniprot, go_id, name FROM edges JOIN terms USING (go_id)", E)(lambda s, d: jn.terms_of(si.edges(s, d), si.terms(s, d)))
 query("j19_renumber", "SELECT structure, chain, CAST(CASE WHEN min(ok) OVER (PARTITION BY structure, chain) THEN n ELSE resid END AS INT) AS resid, serial, CASE WHEN min(ok) OVER (PARTITION BY structure) THEN 'uniprot' WHEN max(chain_ok) OVER (PARTITION BY structure) THEN 'mixed' ELSE 'author' END AS numbering FROM (SELECT *, min(ok) OVER (PARTITION BY structure, chain) AS chain_ok FROM (SELECT structure, chain, resid, serial, CASE WHEN resid % 23 <> 0 THEN resid + 1000 ELSE resid END AS n, (record <> 'ATOM' OR resid % 23 <> 0) AS ok FROM atoms))", A)(lambda s, d: cu.renumber(si.atoms(s, d), si.atoms(s, d).select("structure", "chain", "resid").distinct().filter("resid % 23 <> 0").withColumn("new", F.col("resid") + 1000)).select("structure", "chain", "resid", "serial", "numbering"))
 query("j18_rename_chains", "SELECT CASE WHEN chain = '3' THEN 'C' ELSE chain END AS chain, count(*) AS n FROM atoms GROUP BY 1", A)(lambda s, d: cu.rename_chains(si.atoms(s, d), si.atoms(s, d).filter("chain = '3'").select("structure", "chain").distinct().withColumn("new", F.lit("C"))).groupBy("chain").agg(F.count("*").alias("n")))
-query("j20_fill_values", "SELECT k, coalesce(a, b) AS v FROM (SELECT l_suppkey AS k, min(l_quantity) AS a FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1) FULL JOIN (SELECT s_suppkey AS k, s_acctbal AS b FROM supplier) USING (k)")(lambda s, d: jn.fill_from(si.table(s, d, "lineitem").filter("l_suppkey % 2 = 0").groupBy(F.col("l_suppkey").alias("k")).agg(F.min("l_quantity").alias("v")), si.table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v")), ["k"], "v"))
+query("j20_fill_values", "SELECT k, coalesce(a, b) AS v FROM (SELECT l_suppkey AS k, min(l_quantity) AS a FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 GROUP BY 1) FULL JOIN (SELECT s_suppkey AS k, s_acctbal AS b FROM supplier) USING (k)")(lambda s, d: jn.fill_from(si.table(s, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity = 50").groupBy(F.col("l_suppkey").alias("k")).agg(F.min("l_quantity").alias("v")), si.table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v")), ["k"], "v"))
 query("j21_not_done", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(lambda s, d: jn.not_done(si.table(s, d, "customer").select("c_custkey"), si.table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey"))
 query("j22_restart", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey <> (SELECT arg_max(o_custkey, o_orderkey) FROM orders))")(lambda s, d: jn.not_done_but_last(si.table(s, d, "customer").select("c_custkey"), si.table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), "c_custkey", ["o_orderkey"]))
 
@@ -224,14 +228,20 @@ P = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) *
 AKEY = ["structure", "serial"]
 anchors = lambda s, d: si.atoms(s, d).filter("name = 'NZ'")
 _near = lambda df: df.withColumn("distance", F.round("distance", 6))
-query("j12_other_chain_distance", f"SELECT p.structure, p.serial, round(min({P}), 6) AS distance FROM atoms p LEFT JOIN atoms q ON p.structure = q.structure AND p.chain <> q.chain WHERE p.name = 'NZ' GROUP BY ALL", A)(lambda s, d: _near(sp.other_chain_distance(anchors(s, d), si.atoms(s, d), AKEY, start=1.0)))
+query("j12_other_chain_distance", f"SELECT p.structure, p.serial, round(min({P}), 6) AS distance FROM atoms p LEFT JOIN atoms q ON p.structure = q.structure AND p.chain <> q.chain AND q.resname IN {sp.PROTEIN} AND coalesce(q.element, '') NOT IN ('H', 'D') WHERE p.name = 'NZ' GROUP BY ALL", A)(lambda s, d: _near(sp.other_chain_distance(anchors(s, d), si.atoms(s, d), AKEY, start=1.0)))
 query("j13_terminus_distance", f"SELECT p.structure, p.serial, round(min({P}), 6) AS distance FROM atoms p JOIN (SELECT a.* FROM atoms a JOIN (SELECT structure, chain, arg_min(resid, serial) AS r1, arg_max(resid, serial) AS r2 FROM atoms GROUP BY ALL) USING (structure, chain) WHERE resid IN (r1, r2)) q USING (structure) WHERE p.name = 'NZ' GROUP BY p.structure, p.serial", A)(lambda s, d: _near(sp.terminus_distance(anchors(s, d), si.atoms(s, d), AKEY)))
 query("j14_modelled_distance", f"SELECT p.structure, p.serial, round(min({P}), 6) AS distance, min(m.b) AS in_modelled_region FROM atoms p JOIN atoms q ON p.structure = q.structure AND q.occupancy = 0 JOIN (SELECT structure, chain, resid, max(occupancy = 0) AS b FROM atoms GROUP BY ALL) m ON m.structure = p.structure AND m.chain = p.chain AND m.resid = p.resid WHERE p.name = 'NZ' GROUP BY p.structure, p.serial", A)(lambda s, d: _near(sp.modelled_distance(anchors(s, d), si.atoms(s, d), AKEY, start=1.0)).select("structure", "serial", "distance", "in_modelled_region"))
 query("j16_neighbours", f"SELECT p.structure, p.serial, count(q.serial) AS n_neighbours FROM atoms p LEFT JOIN atoms q ON p.structure = q.structure AND {P} <= 3 WHERE p.name = 'NZ' GROUP BY ALL", A)(lambda s, d: sp.neighbours(anchors(s, d), si.atoms(s, d), AKEY, 3.0))
 ORD = "(SELECT *, dense_rank() OVER (PARTITION BY structure, chain ORDER BY f) AS o FROM (SELECT *, min(serial) OVER (PARTITION BY structure, chain, resid) AS f FROM atoms))"
-query("j15_clashes", f"""SELECT p.serial AS p_serial, q.serial AS q_serial, round({P}, 6) AS distance FROM {ORD} p JOIN {ORD} q ON p.structure = q.structure AND p.serial < q.serial AND {P} < 1.0
+CLASHES = f"""(SELECT p.structure, {P} AS distance, p.serial AS p_serial, q.serial AS q_serial, p.chain AS p_chain, q.chain AS q_chain, p.record AS p_record, q.record AS q_record, p.occupancy AS p_occupancy, q.occupancy AS q_occupancy, p.resname AS p_resname, q.resname AS q_resname,
+  p.chain || '/' || p.resname || p.resid || ':' || p.name || ' <-> ' || q.chain || '/' || q.resname || q.resid || ':' || q.name AS pair
+ FROM {ORD} p JOIN {ORD} q ON p.structure = q.structure AND p.serial < q.serial AND {P} <= 4.0
  WHERE NOT (p.chain = q.chain AND p.resid = q.resid) AND NOT (p.chain = q.chain AND abs(p.o - q.o) = 1 AND p.name IN ('N','CA','C','O') AND q.name IN ('N','CA','C','O')) AND NOT (p.name = 'SG' AND q.name = 'SG')
- AND NOT (p.altloc <> '' AND q.altloc <> '' AND p.altloc <> q.altloc) AND NOT (p.occupancy > 0 AND q.occupancy > 0 AND p.occupancy + q.occupancy <= 1 AND (p.occupancy < 1 OR q.occupancy < 1)) AND NOT ((p.element = 'K' AND p.record = 'HETATM') OR (q.element = 'K' AND q.record = 'HETATM'))""", A)(lambda s, d: sp.clashes(si.atoms(s, d), wi.residue_ordinals(si.atoms(s, d)), 1.0).select("p_serial", "q_serial", F.round("distance", 6).alias("distance")))
+ AND NOT (p.altloc <> '' AND q.altloc <> '' AND p.altloc <> q.altloc) AND p.resname NOT IN {sp.IONS} AND q.resname NOT IN {sp.IONS} AND p.element NOT IN {sp.METALS} AND q.element NOT IN {sp.METALS} AND p.element NOT IN ('H', 'D') AND q.element NOT IN ('H', 'D'))"""
+query("j15_clashes", f"SELECT p_serial, q_serial, round(distance, 6) AS distance FROM {CLASHES} WHERE distance < 2.0", A)(lambda s, d: sp.clashes(si.atoms(s, d), wi.residue_ordinals(si.atoms(s, d))).select("p_serial", "q_serial", F.round("distance", 6).alias("distance")))
+query("g10_geometry_summary", f"""SELECT structure, n_atoms, coalesce(n_clashes, 0) AS n_clashes, round(min_contact, 6) AS min_contact, worst, coalesce(inter_chain, false) AS inter_chain, coalesce(involves_hetatm, false) AS involves_hetatm, coalesce(involves_modelled, false) AS involves_modelled, coalesce(involves_water, false) AS involves_water
+ FROM (SELECT structure, count(*) AS n_atoms FROM atoms GROUP BY 1) LEFT JOIN (SELECT structure, count(*) FILTER (distance < 2) AS n_clashes, min(distance) AS min_contact, arg_min(pair, row(distance, p_serial, q_serial)) FILTER (distance < 2) AS worst, bool_or(distance < 2 AND p_chain <> q_chain) AS inter_chain, bool_or(distance < 2 AND 'HETATM' IN (p_record, q_record)) AS involves_hetatm,
+ bool_or(distance < 2 AND (p_occupancy = 0 OR q_occupancy = 0)) AS involves_modelled, bool_or(distance < 2 AND (p_resname IN {sp.WATERS} OR q_resname IN {sp.WATERS})) AS involves_water FROM {CLASHES} WHERE distance < 4 GROUP BY 1) USING (structure)""", A)(lambda s, d: sp.geometry_summary(si.atoms(s, d), wi.residue_ordinals(si.atoms(s, d))).withColumn("min_contact", F.round("min_contact", 6)))
 
 # windows
 on_measures("w01_row_position", "SELECT PDB_Code, CAST(max(position) AS INT) AS last FROM (SELECT PDB_Code, row_number() OVER (PARTITION BY Uniprot_Entry, Resid ORDER BY row_id) AS position FROM measures) GROUP BY 1", lambda m: wi.row_position(m, KEY, "row_id").groupBy("PDB_Code").agg(F.max("position").alias("last")))
@@ -273,14 +283,17 @@ query("u04_merge_hetero", "SELECT serial, 'target' AS side FROM atoms WHERE reco
 query("u01_union_by_name", "SELECT n_nationkey AS k, n_name AS name, NULL AS region FROM nation UNION ALL SELECT r_regionkey, NULL, r_name FROM region")(lambda s, d: si.table(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")).unionByName(si.table(s, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("region")), allowMissingColumns=True))
 query("u03_set_difference", "SELECT uniprot FROM edges WHERE go_id = 'Brand#11' EXCEPT SELECT uniprot FROM edges WHERE go_id = 'Brand#12'", E)(lambda s, d: si.edges(s, d).filter("go_id = 'Brand#11'").select("uniprot").exceptAll(si.edges(s, d).filter("go_id = 'Brand#12'").select("uniprot")))
 query("u05_structure_names", "SELECT CAST(user_id AS VARCHAR) AS structure FROM events UNION SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem")(lambda s, d: si.table(s, d, "events").select(F.col("user_id").cast("string").alias("structure")).union(si.table(s, d, "lineitem").select(F.col("l_orderkey").cast("string"))).distinct())
-query("s03_resolve_input", """SELECT DISTINCT Uniprot_Entry, PDB_Code, Method FROM (SELECT k.* FROM (SELECT CAST(o_custkey AS VARCHAR) AS Uniprot_Entry, CAST(o_orderkey AS VARCHAR) AS PDB_Code, o_orderpriority AS Method FROM orders) k JOIN customer ON Uniprot_Entry = CAST(c_custkey AS VARCHAR) WHERE c_custkey % 3 = 0
- UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'AF-' || CAST(c_custkey AS VARCHAR) || '-F1-model_v6', 'Predicted' FROM customer WHERE c_custkey % 3 = 1)""")(lambda s, d: tb.resolve_input(si.table(s, d, "customer").filter("c_custkey % 3 < 2").select(F.col("c_custkey").cast("string").alias("Uniprot_Entry"), F.when(F.col("c_custkey") % 3 == 1, "AF").alias("PDB_Code")), si.table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("Uniprot_Entry"), F.col("o_orderkey").cast("string").alias("PDB_Code"), F.col("o_orderpriority").alias("Method"))))
+query("s03_resolve_input", """SELECT DISTINCT Uniprot_Entry, PDB_Code, Method FROM (SELECT k.* FROM (SELECT CAST(o_custkey AS VARCHAR) AS Uniprot_Entry, CAST(o_orderkey AS VARCHAR) AS PDB_Code, o_orderpriority AS Method FROM orders) k JOIN customer ON Uniprot_Entry = CAST(c_custkey AS VARCHAR) WHERE c_mktsegment <> 'BUILDING'
+ UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'AF-' || CAST(c_custkey AS VARCHAR) || '-F1-model_v6', 'Predicted' FROM customer WHERE c_mktsegment = 'BUILDING')""")(lambda s, d: tb.resolve_input(si.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("Uniprot_Entry"), F.when(F.col("c_mktsegment") == "BUILDING", "AF").alias("PDB_Code")), si.table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("Uniprot_Entry"), F.col("o_orderkey").cast("string").alias("PDB_Code"), F.col("o_orderpriority").alias("Method"))))
 query("s07_json_maps", "SELECT event_id, unnest(json_keys(props)) AS k, CAST(json_extract_string(props, '$.' || json_keys(props)[1]) AS DOUBLE) AS v FROM events")(lambda s, d: si.table(s, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("k", "v")).withColumn("v", F.col("v").try_cast("double")))
 query("s07_confidence_rows", "SELECT CAST(event_id AS VARCHAR) AS PDB_Code, 'A' AS Chain, CAST(user_id AS INT) AS Resid, round(value, 4) AS PLDDT FROM events")(lambda s, d: tb.confidence_rows(si.table(s, d, "events").select(F.to_json(F.create_map(F.col("event_id").cast("string"), F.create_map(F.concat(F.lit("A_"), F.col("user_id").cast("string")), F.round("value", 4).cast("string")))).alias("json"))))
 query("s08_ontology_edges", "SELECT DISTINCT e.go_id, name, uniprot FROM edges e JOIN terms USING (go_id)", E)(lambda s, d: tb.ontology_edges(tb.ontology_json(jn.terms_of(si.edges(s, d), si.terms(s, d))).select(F.col("value").alias("json"))))
 query("s12_proteome", "SELECT c_custkey FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0")(lambda s, d: tb.proteome(si.table(s, d, "customer").withColumns({"proteome": F.col("c_nationkey").cast("string"), "reviewed": F.col("c_acctbal") > 0}), "3", True).select("c_custkey"))
 query("f04_regex_counts", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]+')) AS INT) AS n FROM documents")(lambda s, d: si.table(s, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("([0-9]+)"))).alias("n")))
-query("f05_fixed_width", "SELECT doc_id, trim(substr(text, 13, 4)) AS name, try_cast(trim(substr(text, 31, 8)) AS DOUBLE) AS x FROM documents")(lambda s, d: si.table(s, d, "documents").select("doc_id", F.trim(F.substring("text", 13, 4)).alias("name"), F.trim(F.substring("text", 31, 8)).try_cast("double").alias("x")))
+query("f05_fixed_width", "SELECT doc_id, i - 1 AS line, trim(substr(t, 13, 4)) AS name, try_cast(trim(substr(t, 31, 8)) AS DOUBLE) AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)")(lambda s, d: si.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("doc_id", F.col("line").cast("long").alias("line"), F.trim(F.substring("t", 13, 4)).alias("name"), F.trim(F.substring("t", 31, 8)).try_cast("double").alias("x")))
+LETTERS = "CASE letter " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(fn.STRUCTURE_LETTERS)) + " END"
+query("f09_structure_number", f"SELECT event_id, {LETTERS} AS code FROM residues", R)(lambda s, d: si.residues(s, d).select("event_id", fn.structure_number(F.col("letter")).alias("code")))
+query("k06_error_records", f"SELECT '{tb.ERROR_LINE}' || chr(10) || event_type || ' calc error' || chr(10) || CAST(user_id AS VARCHAR) || chr(10) || coalesce(props, '') AS value FROM events WHERE event_type = 'error'")(lambda s, d: tb.error_lines(si.table(s, d, "events").filter("event_type = 'error'").select(F.col("event_type").alias("stage"), F.col("user_id").cast("string").alias("path"), F.col("props").alias("error"))))
 query("f06_parse_vector", "SELECT vec_id, round(aev[2], 6) AS second, len(aev) AS width FROM vectors", V)(lambda s, d: si.vectors(s, d).withColumn("aev", fn.parse_vector(F.to_json("aev"))).select("vec_id", F.round(F.col("aev")[1], 6).alias("second"), F.size("aev").cast("long").alias("width")))
 query("f10_vector_norm", "SELECT vec_id, round(sqrt(list_sum(list_transform(aev, lambda x: x * x))), 6) AS norm FROM vectors", V)(lambda s, d: si.vectors(s, d).select("vec_id", F.round(fn.norm(F.col("aev")), 6).alias("norm")))
 query("f13_vector_columns", "SELECT vec_id, i - 1 AS pos, round(x, 6) AS x FROM (SELECT vec_id, unnest(aev) AS x, generate_subscripts(aev, 1) AS i FROM vectors)", V)(lambda s, d: si.vectors(s, d).select("vec_id", F.posexplode("aev").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x")))
@@ -325,11 +338,21 @@ def m07(s, d):
 @query("m09_undersample", None)
 def m09(s, d):
     v = si.vectors(s, d).select("vec_id", *[F.col("aev")[i].alias(f"a{i}") for i in range(3)])
-    got = st.undersample(v, ["a0", "a1", "a2"], "vec_id", k=8, seeds=3)
+    got = st.undersample(v, ["a0", "a1", "a2"], "vec_id", k=8)
     return got["common_kept"].withColumn("kind", F.lit("common")).unionByName(got["outliers_kept"].withColumn("kind", F.lit("outlier"))).select("vec_id", "kind")
 
 
-query("m10_learning_table", "SELECT Uniprot_Entry, Resid, round(avg(sasa), 6) AS sasa_avg, round(max(propka), 6) AS propka_max, CAST(CASE min(class) WHEN 'A' THEN 3 WHEN 'N' THEN 4 ELSE 5 END AS TINYINT) AS y FROM measures GROUP BY 1, 2", M)(lambda s, d: si.measures(s, d).groupBy(*KEY).agg(F.round(F.avg("sasa"), 6).alias("sasa_avg"), F.round(F.max("propka"), 6).alias("propka_max"), F.min("class").alias("class")).transform(lambda t: t.join(F.broadcast(si.measures(s, d).select("class").distinct().withColumn("n", F.row_number().over(Window.orderBy("class")))), "class").select(*KEY, "sasa_avg", "propka_max", (F.col("n") + 2).cast("tinyint").alias("y"))))
+@query("m10_learning_table", "SELECT Uniprot_Entry, Resid, round(avg(sasa), 6) AS sasa_avg, round(max(propka), 6) AS propka_max, CAST(CASE min(class) WHEN 'A' THEN 3 WHEN 'N' THEN 4 ELSE 5 END AS TINYINT) AS y FROM measures GROUP BY 1, 2", M)
+def m10(s, d):
+    t = si.measures(s, d).groupBy(*KEY).agg(F.round(F.avg("sasa"), 6).alias("sasa_avg"), F.round(F.max("propka"), 6).alias("propka_max"), F.max("depth").alias("depth_max"), F.min("class").alias("class"))
+    return le.learning_table(t, ["sasa", "propka"])[0]
+
+
+@query("f18_class_codes", "SELECT c AS class, CAST(CASE WHEN c IS NULL THEN 9 WHEN c = 'N' THEN 8 ELSE CAST(c AS INT) END AS TINYINT) AS y, count(*) AS n FROM (SELECT CASE WHEN l_linestatus = 'F' AND l_quantity > 25 THEN NULL WHEN l_returnflag = 'N' THEN 'N' ELSE CAST(l_linenumber AS VARCHAR) END AS c FROM lineitem) GROUP BY 1, 2")
+def f18(s, d):
+    label = F.when((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 25), None).when(F.col("l_returnflag") == "N", "N").otherwise(F.col("l_linenumber").cast("string"))
+    t = si.table(s, d, "lineitem").select(label.alias("class"))
+    return t.withColumn("y", le.class_number(le.class_codes(t))).groupBy("class", "y").agg(F.count("*").alias("n"))
 
 
 @query("m12_rmsf", None)

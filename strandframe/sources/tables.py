@@ -127,6 +127,27 @@ def write_sorted(df: DataFrame, path: str, by: list[str], file_format: str = "pa
     out.option("header", True).csv(path) if file_format == "csv" else out.parquet(path)
 
 
+#: Stands before each record of an error file.
+ERROR_LINE = "-" * 70
+
+
+def error_lines(errors: DataFrame) -> DataFrame:
+    """(stage, path, error) -> `value`, the four lines of each record of an error file."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return errors.select(F.concat_ws("\n", F.lit(ERROR_LINE), F.concat(text("stage"), F.lit(" calc error")), text("path"), text("error")).alias("value"))
+
+
+def write_errors(errors: DataFrame, path: str) -> None:
+    error_lines(errors).write.mode("append").text(path)
+
+
+def read_errors(spark: SparkSession, path: str) -> DataFrame:
+    """The records (stage, path, error) of error files; an error may have several lines."""
+    x = spark.read.option("lineSep", ERROR_LINE).text(path).select(F.regexp_replace("value", r"^-*\n", "").alias("x")).filter(F.trim("x") != "")
+    part = lambda i: F.regexp_extract("x", r"(?s)^(.*?) calc error\n([^\n]*)\n(.*?)\n?$", i)
+    return x.select(part(1).alias("stage"), part(2).alias("path"), part(3).alias("error"))
+
+
 def append_rows(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """Append-only logs and failure tables; missing columns become ''."""
     if columns:
