@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,18 +69,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders of stashed tables that are not deleted yet.
+_stashed: set[str] = set()
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stashed.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(path: str) -> None:
+    where = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(SparkContext._jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(where, True)
+
+
 def discard(*stashed: DataFrame) -> None:
     """Delete stashed tables that no result reads any more."""
     for df in stashed:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if path.rsplit("/", 1)[1].startswith("stash-"):
-                where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        for name in {f.rsplit("/", 2)[1] for f in df.inputFiles()}:
+            for path in [p for p in _stashed if p.endswith(f"/{name}")]:
+                _delete(path)
+                _stashed.discard(path)
+
+
+@atexit.register
+def _clear() -> None:
+    """What is left when the driver ends; results have been written by then. What a killed driver leaves goes with the shared folder."""
+    with contextlib.suppress(Exception):
+        for path in _stashed:
+            _delete(path)
