@@ -299,6 +299,22 @@ query("f10_vector_norm", "SELECT vec_id, round(sqrt(list_sum(list_transform(aev,
 query("f13_vector_columns", "SELECT vec_id, i - 1 AS pos, round(x, 6) AS x FROM (SELECT vec_id, unnest(aev) AS x, generate_subscripts(aev, 1) AS i FROM vectors)", V)(lambda s, d: si.vectors(s, d).select("vec_id", F.posexplode("aev").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x")))
 query("f14_confidence_band", "SELECT band, count(*) AS n FROM (SELECT CASE WHEN v >= 0 AND v <= 100 THEN CAST(CAST(greatest(ceil(v / 5), 1) - 1 AS INT) * 5 AS VARCHAR) || '-' || CAST(CAST(greatest(ceil(v / 5), 1) AS INT) * 5 AS VARCHAR) ELSE 'nan' END AS band FROM (SELECT CAST(l_quantity * 2.5 AS DOUBLE) AS v FROM lineitem)) GROUP BY 1")(lambda s, d: si.table(s, d, "lineitem").select(fn.confidence_band(F.col("l_quantity").cast("double") * 2.5).alias("band")).groupBy("band").agg(F.count("*").alias("n")))
 
+# names, letters and coordinates
+query("f01_entry_names", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS entry FROM orders")(lambda s, d: si.table(s, d, "orders").select("o_orderkey", fn.entry_of(F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderstatus") == "F", "_relaxed").when(F.col("o_orderstatus") == "O", "-alt2B_relaxed.pdb").otherwise(".pdb"))).alias("entry")))
+query("f03_split_lists", "SELECT p_partkey, x, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(p_type || ' ', ' ')) AS x FROM part) WHERE x <> '' GROUP BY ALL")(lambda s, d: si.table(s, d, "part").select("p_partkey", F.explode(fn.split_list(F.concat("p_type", F.lit(" ")), " ")).alias("x")).groupBy("p_partkey", "x").agg(F.count("*").alias("n")))
+ONE = "CASE resname " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fn.ONE_LETTER.items()) + " ELSE 'X' END"
+query("f07_one_letter", f"SELECT structure, serial, {ONE} AS letter, CASE WHEN {ONE} IN ('K', 'H', 'R') THEN 1 WHEN {ONE} IN ('D', 'E') THEN -1 ELSE 0 END AS charge FROM atoms", A)(lambda s, d: si.atoms(s, d).select("structure", "serial", fn.one_letter(F.col("resname")).alias("letter")).withColumn("charge", fn.charge(F.col("letter"))))
+query("f11_affine", "SELECT structure, serial, round(1 - y, 6) AS x, round(x + 2, 6) AS y, round(z + 3, 6) AS z FROM atoms", A)(lambda s, d: si.atoms(s, d).select("structure", "serial", *[F.round(c, 6).alias(n) for c, n in zip(fn.affine(F.array(*[F.lit(float(x)) for x in (0, -1, 0, 1, 1, 0, 0, 2, 0, 0, 1, 3)]), [F.col("x"), F.col("y"), F.col("z")]), "xyz", strict=True)]))
+query("f12_minimum_without_nan", "SELECT l_suppkey, min(CASE WHEN l_tax > 0.02 THEN l_tax END) AS low FROM lineitem GROUP BY 1")(lambda s, d: fn.nan_to_null(si.table(s, d, "lineitem").select("l_suppkey", F.when(F.col("l_tax") > 0.02, F.col("l_tax")).otherwise(float("nan")).alias("x"))).groupBy("l_suppkey").agg(F.min("x").alias("low")))
+on_measures("f15_chain_residue", "SELECT Chain || '_' || CAST(Resid AS VARCHAR) AS colour, count(*) AS n FROM measures GROUP BY 1", lambda m: m.select(fn.chain_residue(F.col("Chain"), F.col("Resid")).alias("colour")).groupBy("colour").agg(F.count("*").alias("n")))
+query("f19_clash_text", "SELECT p.serial, p.chain || '/' || p.resname || p.resid || ':' || p.name || ' <-> ' || q.chain || '/' || q.resname || q.resid || ':' || q.name AS pair FROM atoms p JOIN atoms q ON q.serial = p.serial + 1", A)(lambda s, d: (lambda a: a.select(*[F.col(c).alias(f"p_{c}") for c in a.columns]).join(a.select(*[F.col(c).alias(f"q_{c}") for c in a.columns]), F.col("q_serial") == F.col("p_serial") + 1).select(F.col("p_serial").alias("serial"), fn.clash_text("p_", "q_").alias("pair")))(si.atoms(s, d).select("serial", "chain", "resname", "resid", "name")))
+on_measures("p11_drop_absent", "SELECT Uniprot_Entry, Resid, propka, sasa FROM measures", lambda m: (lambda left: left[0].select(*KEY, *left[1]))(fl.drop_sparse(m.withColumn("frustration", F.lit(None).cast("double")), ["propka", "sasa", "frustration"], 1.0)))
+on_measures("p21_measured_chains", "SELECT PDB_Code, Chain, Resid, sasa FROM measures LEFT JOIN orders ON PDB_Code = CAST(o_orderkey AS VARCHAR) WHERE o_orderkey IS NULL OR o_orderstatus = 'P' OR Chain = o_orderstatus", lambda m: m)
+QUERIES["p21_measured_chains"] = lambda s, d: cu.measured_chains(si.measures(s, d).withColumn("Chains", F.lit("F/O")), si.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("structure"), F.when(F.col("o_orderstatus") == "P", "O/F").otherwise(F.col("o_orderstatus")).alias("measured_chains"))).select("PDB_Code", "Chain", "Resid", "sasa")
+query("p27_models", "SELECT structure, serial FROM atoms WHERE floor(serial / 3) % 4 < 2", A)(lambda s, d: cu.pick_models(si.atoms(s, d).withColumn("model", (F.floor(F.col("serial") / 3) % 4 + 1).cast("int")), "all", most=2).select("structure", "serial"))
+query("p29_scalars_only", "SELECT vec_id, Uniprot_Entry, Resid FROM vectors", V)(lambda s, d: fl.drop_vectors(si.vectors(s, d)).select("vec_id", "Uniprot_Entry", "Resid"))
+query("j17_restore_columns", "SELECT serial, name, round(beta, 6) AS beta FROM atoms", A)(lambda s, d: jn.restore_columns(si.atoms(s, d), si.atoms(s, d).select("serial", "beta"), ["serial"], ["beta"]).select("serial", "name", F.round("beta", 6).alias("beta")))
+
 # statistics
 SELECTED = "(SELECT Uniprot_Entry AS uniprot, coalesce(max(CASE WHEN sasa > 50000 AND propka BETWEEN 40 AND 45 THEN 1 ELSE 0 END), 0) AS s FROM measures GROUP BY 1)"
 G08 = f"SELECT go_id, CAST(sum(s) AS BIGINT) AS a, CAST(count(*) - sum(s) AS BIGINT) AS b, CAST(any_value(ns) - sum(s) AS BIGINT) AS c, CAST(any_value(n) - any_value(ns) - count(*) + sum(s) AS BIGINT) AS d FROM edges JOIN (SELECT *, sum(s) OVER () AS ns, count(*) OVER () AS n FROM {SELECTED}) f USING (uniprot) GROUP BY 1"
