@@ -106,8 +106,10 @@ def pka_errors(lines: DataFrame, code: str) -> DataFrame:
 
 
 def pka_network(lines: DataFrame, code: str) -> DataFrame:
-    p = F.split(F.trim("value"), r"\s+")
-    return lines.filter(F.col("value").startswith(code)).select(F.col("file").alias("structure"), F.regexp_extract(p[0], r"(-?\d+)$", 1).try_cast("int").alias("a"), p.alias("p")).select("structure", F.coalesce("a", F.col("p")[1].try_cast("int")).alias("resid"), F.when(F.col("a").isNull(), F.col("p")[2]).otherwise(F.col("p")[1]).alias("chain"), F.element_at("p", -1).try_cast("double").alias("pkaANI"))
+    """Lines 'LYS  21 A  10.3' or 'LYS-21 A  10.3', code and one separator first -> structure, resid, chain, pkaANI; distinct."""
+    p = F.split(F.trim(F.substring("value", len(code) + 2, 2**31 - 1)), r"\s+")
+    found = lines.filter(F.col("value").startswith(code)).select(F.col("file").alias("structure"), p.alias("p"))
+    return found.select("structure", F.get("p", F.lit(0)).try_cast("int").alias("resid"), F.get("p", F.lit(1)).alias("chain"), F.get("p", F.lit(2)).try_cast("double").alias("pkaANI")).dropna().distinct()
 
 
 # Residue ids of the chemical-shift output, in its order.

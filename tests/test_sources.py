@@ -87,6 +87,7 @@ def test_flexibility(spark):
 def test_solver_outputs(spark):
     df = spark.createDataFrame([("f", 0, "   LYS  21 A     10.33       10.50"), ("f", 1, "   LYS  21 A     10.33       10.50"), ("f", 2, "   ASP   2 A      2.00"), ("f", 3, "atoms missing in LYS 12 A and LYS 13 B"), ("f", 4, "bad 14-LYS (C)"), ("f", 5, "LYS-33 B x 9.5"), ("f", 6, "P1 1 [1.0, 2.0] 3"), ("f", 7, "-----"), ("f", 8, "GO; GO:0030089; C:phycobilisome; IEA:X."), ("f", 9, "DR   PDB; 1ABC; X-ray; 1.50 A; A/C=1-100.")], "file string, line_no int, value string")
     assert [tuple(r) for r in text.pka_results(df, "LYS").collect()] == [("f", 21, "A", 10.33)]
+    assert sorted(tuple(r) for r in text.pka_network(spark.createDataFrame([("f", 0, "LYS-33 B 9.5 1.0"), ("f", 1, "LYS  34 A 8.5"), ("f", 2, "LYS  34 A 8.5"), ("f", 3, "ASP-1 A 3.0"), ("f", 4, "LYS")], "file string, line_no int, value string"), "LYS").collect()) == [("f", 33, "B", 9.5), ("f", 34, "A", 8.5)]
     assert sorted((r["resid"], r["chain"]) for r in text.pka_errors(df.filter("line_no in (3, 4)"), "LYS").collect()) == [(12, "A"), (13, "B"), (14, "C")]
     assert [tuple(r) for r in text.log_measures(df.filter("line_no in (6, 7)"), ["Uniprot_Entry", "Resid", "aev", "x"]).collect()] == [("f", "P1", "1", "[1.0, 2.0]", "3")]
     assert [tuple(r)[:3] for r in text.ontology_lines(df).collect()] == [("f", "GO:0030089", "phycobilisome")]
