@@ -257,7 +257,19 @@ query("w09_local_sequence", "SELECT event_id, lpad(coalesce(string_agg(letter, '
 query("w10_fdr", "SELECT s_suppkey, round(least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS fdr FROM (SELECT s_suppkey, p, row_number() OVER (ORDER BY p, s_suppkey) AS i, count(*) OVER () AS m FROM (SELECT s_suppkey, abs(s_acctbal) / 100000 AS p FROM supplier))")(lambda s, d: wi.step_up_fdr(si.table(s, d, "supplier").select("s_suppkey", (F.abs("s_acctbal") / 100000).alias("p")), "p", "s_suppkey").select("s_suppkey", F.round("fdr", 9).alias("fdr")))
 
 
-@query("w11_dihedrals", None)
+def _turn_sql(*p: str) -> str:
+    """Degrees of the dihedral angle of four points, each a list of three coordinates."""
+    minus = lambda a, b: [f"({a}[{i}] - {b}[{i}])" for i in (1, 2, 3)]
+    cross = lambda a, b: [f"({a[1]} * {b[2]} - {a[2]} * {b[1]})", f"({a[2]} * {b[0]} - {a[0]} * {b[2]})", f"({a[0]} * {b[1]} - {a[1]} * {b[0]})"]
+    dot = lambda a, b: f"({a[0]} * {b[0]} + {a[1]} * {b[1]} + {a[2]} * {b[2]})"
+    u, v, w = minus(p[1], p[0]), minus(p[2], p[1]), minus(p[3], p[2])
+    return f"round(degrees(atan2({dot(u, cross(v, w))} * sqrt({dot(v, v)}), {dot(cross(u, v), cross(v, w))})), 6)"
+
+
+BLOCKS = "blocks AS (SELECT structure, serial // 10 AS ordinal, " + ", ".join(f"arg_min([x, y, z], serial) FILTER (name = '{n.upper()}') AS {n}" for n in ("n", "ca", "c")) + " FROM atoms GROUP BY ALL)"
+
+
+@query("w11_dihedrals", f"SELECT structure, ordinal, {_turn_sql('c0', 'n', 'ca', 'c')} AS phi, {_turn_sql('n', 'ca', 'c', 'n1')} AS psi FROM (SELECT *, lag(c) OVER w AS c0, lead(n) OVER w AS n1 FROM blocks WINDOW w AS (PARTITION BY structure ORDER BY ordinal))", A, BLOCKS)
 def w11(s, d):
     xyz = F.array("x", "y", "z")
     each = lambda n: F.first(F.when(F.col("name") == n, xyz), ignorenulls=True)
@@ -377,7 +389,14 @@ def m12(s, d):
     return st.rmsf(a.filter("name in ('N', 'CA', 'C', 'O')"), a.filter("name = 'NZ'")).withColumn("rmsf", F.round("rmsf", 6))
 
 
-@query("m14_accessible_area", None)
+REACH = "reach AS (SELECT *, 1.4 + CASE element WHEN 'N' THEN 1.55 WHEN 'O' THEN 1.52 WHEN 'S' THEN 1.8 ELSE 1.7 END AS r FROM atoms)"
+POINTS = "points AS (SELECT cos(t * i) * sqrt(1 - h * h) AS px, sin(t * i) * sqrt(1 - h * h) AS py, h AS pz FROM (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / 100 AS h, pi() * (3 - sqrt(5)) AS t FROM range(100) n(i)))"
+
+
+@query("m14_accessible_area", """SELECT structure, chain, resid, round(sum(4 * pi() * r * r * free / 100), 4) AS sasa FROM
+ (SELECT a.structure, a.chain, a.resid, a.r, CASE WHEN EXISTS (SELECT 1 FROM reach b WHERE b.structure = a.structure AND b.serial <> a.serial
+ AND (a.x + p.px * a.r - b.x) ** 2 + (a.y + p.py * a.r - b.y) ** 2 + (a.z + p.pz * a.r - b.z) ** 2 < b.r * b.r) THEN 0 ELSE 1 END AS free
+ FROM reach a, points p WHERE a.resname = 'LYS' AND a.name NOT IN ('N', 'CA', 'C', 'O')) GROUP BY ALL""", A, REACH, POINTS)
 def m14(s, d):
     a = si.atoms(s, d)
     return st.accessible_area(a.filter("resname = 'LYS' and name not in ('N', 'CA', 'C', 'O')"), a).withColumn("sasa", F.round("sasa", 4))

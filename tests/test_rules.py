@@ -2,11 +2,13 @@
 
 import warnings
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandframe.operators import curate, filters, joins, learning, spatial, windows
-from strandframe.plans import plots
+from strandframe.plans import plots, standins
+from strandframe.plans.queries import QUERIES
 from strandframe.sources import tables
 
 ATOM = "structure string, serial int, record string, name string, altloc string, resname string, chain string, resid int, x double, y double, z double, occupancy double, element string"
@@ -108,3 +110,20 @@ def test_row_slices_and_pruning(spark):
     assert sorted(map(tuple, filters.first_rows(df, ["Resid"], ["i"], 2, skip=1).select("Resid", "i").collect())) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
     table, features, gone = filters.prune_features(df.withColumn("Method", F.lit("NMR")), ["sasa", "Method", "aev"], ["Resid"])
     assert table.columns == ["Resid", "Method", "sasa"] and features == ["sasa"] and gone == ["aev"]
+
+
+def test_fluctuations_by_hand(spark):
+    """The query m12 against superpositions by numpy, one conformer after the other."""
+    got = {r["resid"]: r["rmsf"] for r in QUERIES["m12_rmsf"](spark, "/root/testdata/sf0.01").collect()}
+    a = standins.atoms(spark, "/root/testdata/sf0.01").withColumn("resid", F.col("resid") % 25).toPandas()
+    points = {k: g.set_index(["resid", "name"])[["x", "y", "z"]] for k, g in a[a["name"].isin(["N", "CA", "C", "O"])].groupby("structure")}
+    first, at = points[min(points)], {}
+    for k, g in a[a["name"] == "NZ"].groupby("structure"):
+        both = points[k].join(first, rsuffix="_q", how="inner").to_numpy()
+        p, q = both[:, :3], both[:, 3:]
+        u, _, vt = np.linalg.svd((p - p.mean(0)).T @ (q - q.mean(0)))
+        turn = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt
+        for resid, xyz in zip(g["resid"], g[["x", "y", "z"]].to_numpy(), strict=True):
+            at.setdefault(resid, []).append((xyz - p.mean(0)) @ turn + q.mean(0))
+    want = {k: np.sqrt(np.var(np.array(v), axis=0).sum()) for k, v in at.items() if len(v) > 1}
+    assert want and {k: v for k, v in got.items() if v is not None} == pytest.approx(want, abs=2e-6) and set(got) == set(at)
