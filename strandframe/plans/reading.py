@@ -250,7 +250,7 @@ def t02(s, d):
     for lot in ("event_type = 'error'", "event_type <> 'error'"):
         e.filter(lot).write.mode("append").parquet(f"{folder}/in")
         inc.upsert_latest(s, s.readStream.schema(e.schema).parquet(f"{folder}/in"), f"{folder}/run", ["user_id"], ["ts", "event_id"]).awaitTermination()
-    return inc.read_latest(s, f"{folder}/run").select("user_id", "event_id", "event_type")
+    return inc.read_latest(s, f"{folder}/run", ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("x02_registered_features", "SELECT structure, chain, resid, count(*) AS atoms_of, round(max(beta), 6) AS top_beta FROM atoms GROUP BY ALL", A)

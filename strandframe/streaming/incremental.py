@@ -34,23 +34,20 @@ def run_new_files(spark: SparkSession, source: str, schema, measure: Callable[[D
 
 
 def upsert_latest(spark: SparkSession, stream: DataFrame, folder: str, key: list[str], order: list[str]):
-    """Keep the latest record of each key. Each batch writes a new version of the table from the one before; read_latest finds the last."""
+    """Keep the latest record of each key. A batch writes only its own latest records, under its number, so a batch that is repeated replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        old = read_latest(spark, folder, below=number)
-        both = batch if old is None else batch.unionByName(old.select(*batch.columns))
-        keep_last(both, key, order).write.mode("overwrite").parquet(f"{folder}/table/upsert_version={number}")
+        keep_last(batch, key, order).write.mode("overwrite").parquet(f"{folder}/table/upsert_version={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
-def read_latest(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
+def read_latest(spark: SparkSession, folder: str, key: list[str], order: list[str]) -> DataFrame | None:
+    """The latest record of each key over all batches (of equal ones the later batch's), by one shuffle on the key; None before the first batch."""
     try:
         every = spark.read.parquet(f"{folder}/table")
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         return None
-    some = every if below is None else every.filter(F.col("upsert_version") < below)
-    last = some.agg(F.max("upsert_version")).first()[0]
-    return None if last is None else some.filter(F.col("upsert_version") == last).drop("upsert_version")
+    return keep_last(every, key, [*order, "upsert_version"]).drop("upsert_version")

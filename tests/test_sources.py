@@ -175,10 +175,11 @@ def test_incremental(spark, tmp_path):
     with pytest.raises(ValueError, match="a"):
         incremental.run_new_files(spark, src, schema_, lambda d: d, run, {"a": 2})
     log = str(tmp_path / "log")
+    assert incremental.read_latest(spark, log, ["id"], ["v"]) is None
     for v in (1, 2):
         spark.range(2).withColumn("v", F.lit(v)).write.mode("append").parquet(f"{src}2")
         incremental.upsert_latest(spark, spark.readStream.schema(schema_).parquet(f"{src}2"), log, ["id"], ["v"]).awaitTermination()
-    assert sorted(tuple(r) for r in incremental.read_latest(spark, log).collect()) == [(0, 2), (1, 2)]
+    assert sorted(tuple(r) for r in incremental.read_latest(spark, log, ["id"], ["v"]).collect()) == [(0, 2), (1, 2)]
 
 
 def test_registry(spark):
