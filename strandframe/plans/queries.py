@@ -266,7 +266,7 @@ def _turn_sql(*p: str) -> str:
     return f"round(degrees(atan2({dot(u, cross(v, w))} * sqrt({dot(v, v)}), {dot(cross(u, v), cross(v, w))})), 6)"
 
 
-BLOCKS = "blocks AS (SELECT structure, serial // 10 AS ordinal, " + ", ".join(f"arg_min([x, y, z], serial) FILTER (name = '{n.upper()}') AS {n}" for n in ("n", "ca", "c")) + " FROM atoms GROUP BY ALL)"
+BLOCKS = "blocks AS (SELECT structure, CAST(serial // 10 AS BIGINT) AS ordinal, " + ", ".join(f"arg_min([x, y, z], serial) FILTER (name = '{n.upper()}') AS {n}" for n in ("n", "ca", "c")) + " FROM atoms GROUP BY ALL)"
 
 
 @query("w11_dihedrals", f"SELECT structure, ordinal, {_turn_sql('c0', 'n', 'ca', 'c')} AS phi, {_turn_sql('n', 'ca', 'c', 'n1')} AS psi FROM (SELECT *, lag(c) OVER w AS c0, lead(n) OVER w AS n1 FROM blocks WINDOW w AS (PARTITION BY structure ORDER BY ordinal))", A, BLOCKS)
