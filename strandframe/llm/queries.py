@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .ann import nearest
 from .balance import mix
 from .bytenet import held_out, score_quality
+from .collocations import collocations
 from .common import table
 from .debruijn import dedup_spans
 from .decontaminate import decontaminate
+from .langid import identify
 from .lines import drop_boilerplate
 from .minhash import label_components
 from .ring import assign
@@ -80,9 +83,37 @@ def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    found = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~held & F.col("doc_id").isNotNull(), ["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"), F.col("lang"), least=10, share=50, most=2000)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_near_dedup, op3_substring_dedup, op4_line_dedup, op5_secret_scan, op6_nearest, op7_sharding, op8_mixing, op9_quality, op10_span_dedup)
+    for f in (
+        op1_decontaminate,
+        op2_near_dedup,
+        op3_substring_dedup,
+        op4_line_dedup,
+        op5_secret_scan,
+        op6_nearest,
+        op7_sharding,
+        op8_mixing,
+        op9_quality,
+        op10_span_dedup,
+        op11_language_id,
+        op12_collocations,
+        op13_token_alignment,
+    )
 }
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,4 +159,20 @@ k AS (SELECT doc_id, i, line, trim(line, ' ') IN (SELECT line FROM b) AS gone FR
 SELECT doc_id, count(i) AS n_lines, CAST(coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_removed,
        sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
 FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id""",
+    "op12_collocations": rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, 'und') AS lang, regexp_split_to_array({FOLD}, '[.,;:!?\x0A-\x0D]') AS pieces, row_number() OVER () AS d FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM t)),
+x AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM p WHERE len(w) > 0),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM x, (VALUES (1), (2), (3)) AS s(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, a, k, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+u AS (SELECT c.*, unnest(generate_series(1, k - 1)) AS cut FROM c),
+s AS (SELECT u.lang, u.phrase, u.a, u.k, cut, l.a AS l, r.a AS r, CAST(1000000::HUGEINT * u.a * u.a // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+      FROM u JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(w[1 : cut], ' ') AND l.k = cut JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(w[cut + 1 :], ' ') AND r.k = u.k - cut),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+h AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase, a FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE k = 3)) GROUP BY ALL),
+d AS (SELECT b.* FROM b LEFT JOIN h USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * b.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) WHERE rank <= 2000""",
 }
