@@ -160,7 +160,7 @@ SELECT doc_id, count(i) AS n_lines, CAST(coalesce(sum(CASE WHEN gone THEN 1 ELSE
        sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
 FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id""",
     "op12_collocations": rf"""
-WITH t AS (SELECT doc_id, coalesce(lang, 'und') AS lang, regexp_split_to_array({FOLD}, '[.,;:!?\x0A-\x0D]') AS pieces, row_number() OVER () AS d FROM documents WHERE text IS NOT NULL),
+WITH t AS (SELECT doc_id, coalesce(lang, 'und') AS lang, regexp_split_to_array({_FOLD}, '[.,;:!?\x0A-\x0D]') AS pieces, row_number() OVER () AS d FROM documents WHERE text IS NOT NULL),
 p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM t)),
 x AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM p WHERE len(w) > 0),
 g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM x, (VALUES (1), (2), (3)) AS s(k) WHERE i + k - 1 <= len(w)),
