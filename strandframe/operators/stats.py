@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+from .quantiles import quantiles
 from .windows import step_up_fdr
 
 
@@ -25,25 +26,32 @@ def contingency(edges: DataFrame, flags: DataFrame) -> DataFrame:
     return t.select("go_id", "a", (F.col("n_term") - F.col("a")).alias("b"), (F.col("n_sel") - F.col("a")).alias("c"), (F.col("n") - F.col("n_sel") - F.col("n_term") + F.col("a")).alias("d"))
 
 
-def log_factorials(spark, n: int) -> DataFrame:
-    """(k, lf) for 0..n; sums of ln within blocks and over the blocks before."""
-    k = spark.range(1, n + 1).select(F.col("id").alias("k"), F.log(F.col("id").cast("double")).alias("l"), F.floor(F.col("id") / 1024).alias("block"))
-    inner = k.withColumn("s", F.sum("l").over(Window.partitionBy("block").orderBy("k")))
-    blocks = k.groupBy("block").agg(F.sum("l").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    return inner.join(blocks, "block").select("k", (F.col("s") + F.col("before")).alias("lf")).unionByName(spark.sql("select 0L as k, 0.0D as lf"))
+def log_factorial(n: Column) -> Column:
+    """ln n! of a whole number: a table of the first twenty, then Stirling's series for the gamma function, to about 1e-15 of the result."""
+    small = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(20)])
+    x = n.cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / (x * x)) / (x * x)) / (x * x)) / x
+    return F.when(n < 20, F.get(small, n.cast("int"))).otherwise(series)
 
 
 def fisher_greater(tables: DataFrame) -> DataFrame:
-    """Add p: probability of at least a in the first cell given the margins of a, b, c, d."""
-    spark = tables.sparkSession
-    top = tables.agg(F.max(F.col("a") + F.col("b") + F.col("c") + F.col("d"))).first()[0] or 0
-    lf = log_factorials(spark, int(top))
-    each = tables.withColumn("x", F.explode(F.sequence(F.col("a"), F.least(F.col("a") + F.col("b"), F.col("a") + F.col("c")))))
-    terms = [("x", -1), ("r1 - x", -1), ("c1 - x", -1), ("n - r1 - c1 + x", -1), ("r1", 1), ("n - r1", 1), ("c1", 1), ("n - c1", 1), ("n", -1)]
-    each = each.selectExpr("*", "a + b as r1", "a + c as c1", "a + b + c + d as n")
-    cells = each.select("go_id", "x", F.explode(F.array(*[F.struct(F.expr(e).alias("k"), F.lit(s).alias("sign")) for e, s in terms])).alias("t")).select("go_id", "x", F.col("t.k").alias("k"), F.col("t.sign").alias("sign"))
-    logs = cells.join(lf, "k").groupBy("go_id", "x").agg(F.sum(F.col("lf") * F.col("sign")).alias("lp"))
-    return tables.join(logs.groupBy("go_id").agg(F.least(F.lit(1.0), F.sum(F.exp("lp"))).alias("p")), "go_id")
+    """Add p: probability of at least a in the first cell given the margins of a, b, c, d.
+
+    The first term comes from factorials, each further one from the ratio to the one before, all in logarithms and within the row.
+    """
+    a, b, c, d = (F.col(x).cast("double") for x in "abcd")
+    lf = log_factorial
+    first = lf(F.col("a") + F.col("b")) + lf(F.col("c") + F.col("d")) + lf(F.col("a") + F.col("c")) + lf(F.col("b") + F.col("d"))
+    first = first - lf(F.col("a") + F.col("b") + F.col("c") + F.col("d")) - lf(F.col("a")) - lf(F.col("b")) - lf(F.col("c")) - lf(F.col("d"))
+    more = F.least(F.col("b"), F.col("c"))
+    steps = F.when(more > 0, F.sequence(F.lit(0).cast("long"), more - 1)).otherwise(F.array().cast("array<long>"))
+
+    def step(acc: Column, k: Column) -> Column:
+        term = acc["term"] + F.log((b - k) * (c - k) / ((a + k + 1) * (d + k + 1)))
+        return F.struct(term.alias("term"), (acc["sum"] + F.exp(term)).alias("sum"))
+
+    start = F.struct(first.alias("term"), F.exp(first).alias("sum"))
+    return tables.withColumn("p", F.least(F.lit(1.0), F.aggregate(steps, start, step, lambda acc: acc["sum"])))
 
 
 def enrichment(measures: DataFrame, edges: DataFrame, terms: DataFrame, box, cutoff: int = 1) -> DataFrame:
@@ -55,9 +63,15 @@ def enrichment(measures: DataFrame, edges: DataFrame, terms: DataFrame, box, cut
     return tested.select("go_id", "name", F.round("p", 6).alias("p"), F.round("fdr", 6).alias("fdr"), ratio("a", "c").alias("in_region"), ratio("b", "d").alias("in_background")).orderBy("p", "go_id")
 
 
-def outliers(df: DataFrame, key: list[str], feature: str, whisker: float = 1.5) -> DataFrame:
-    """Rows beyond the whiskers of their group, by linear quartiles."""
-    q = df.groupBy(*key).agg(F.percentile(feature, F.lit(0.25)).alias("__q1"), F.percentile(feature, F.lit(0.75)).alias("__q3"))
+def outliers(df: DataFrame, key: list[str], feature: str, whisker: float = 1.5, by_ranks: bool = False) -> DataFrame:
+    """Rows beyond the whiskers of their group, by linear quartiles.
+
+    by_ranks: for groups too large for one task's buffer; their quartiles come from a range partitioning of all values.
+    """
+    if by_ranks:
+        q = quantiles(df, key, [feature], [0.25, 0.75]).select(*key, F.col("q")[0].alias("__q1"), F.col("q")[1].alias("__q3"))
+    else:
+        q = df.groupBy(*key).agg(F.percentile(feature, F.lit(0.25)).alias("__q1"), F.percentile(feature, F.lit(0.75)).alias("__q3"))
     reach = whisker * (F.col("__q3") - F.col("__q1"))
     return df.join(q, key).filter((F.col(feature) < F.col("__q1") - reach) | (F.col(feature) > F.col("__q3") + reach)).drop("__q1", "__q3")
 
@@ -93,82 +107,6 @@ def apply_pca(df: DataFrame, vector: str, fitted, alias: str = "pc") -> DataFram
     return model.transform(centred).withColumn(alias, F.slice(vector_to_array("pc"), 1, k)).drop("v", *["pc"] * (alias != "pc"))
 
 
-def gram(df: DataFrame, features: list[str]) -> np.ndarray:
-    """X'X of [1, features] in one pass."""
-    cols = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
-    n = len(cols)
-    sums = df.agg(*[F.sum(cols[i] * cols[j]).alias(f"{i}_{j}") for i in range(n) for j in range(i, n)]).first().asDict()
-    g = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i, n):
-            g[i, j] = g[j, i] = sums[f"{i}_{j}"]
-    return g
-
-
-def vif(g: np.ndarray, names: list[str]) -> dict[str, float]:
-    """Variance inflation of each column from the Gram matrix; about the mean while the constant is in."""
-    has = "const" in names
-    c = names.index("const") if has else 0
-    out = {}
-    for i, name in enumerate(names):
-        total = g[i, i] - (g[i, c] ** 2 / g[c, c] if has and name != "const" else 0)
-        rest = [j for j in range(len(names)) if j != i]
-        unexplained = g[i, i] - g[i, rest] @ np.linalg.pinv(g[np.ix_(rest, rest)]) @ g[rest, i]
-        out[name] = float(total / unexplained) if unexplained > 1e-10 * abs(g[i, i]) else math.inf
-    return out
-
-
-def drop_collinear(df: DataFrame, features: list[str], threshold: float = 5.0) -> list[str]:
-    """Features left after dropping the highest inflation until all are below the threshold or two columns remain."""
-    names, g = ["const", *features], gram(df, features)
-    while len(names) > 2:
-        found = vif(g, names)
-        worst = max(names, key=lambda n: (found[n], n))
-        if found[worst] < threshold:
-            break
-        i = names.index(worst)
-        names.pop(i)
-        g = np.delete(np.delete(g, i, 0), i, 1)
-    return [n for n in names if n != "const"]
-
-
-def undersample(df: DataFrame, features: list[str], row_id: str, k: int = 8, seeds: int = 5) -> dict[str, DataFrame]:
-    """Common rows and outliers, each thinned: rows nearest to k-means centres, and rows nearest to the means of density clusters.
-
-    Results: common, outliers (the split) and common_kept, outliers_kept.
-    """
-    q = df.agg(*[F.percentile(f, F.array(F.lit(0.25), F.lit(0.75))).alias(f) for f in features]).first()
-    far = F.lit(False)
-    for f in features:
-        a, b = q[f]
-        far = far | (F.col(f) < a - 1.5 * (b - a)) | (F.col(f) > b + 1.5 * (b - a))
-    common, rare = df.filter(~far), df.filter(far)
-    z = VectorAssembler(inputCols=features, outputCol="__v").transform(normalise(common, features))
-    fits = [KMeans(k=k, featuresCol="__v", predictionCol="__c", maxIter=100, seed=s).fit(z) for s in range(1, seeds + 1)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    centres = df.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(best.clusterCenters())], "__c int, __m array<double>")
-    gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    near = best.transform(z).withColumn("__a", vector_to_array("__v")).join(F.broadcast(centres), "__c").groupBy("__c").agg(F.min_by(row_id, F.struct(gap(F.col("__a"), F.col("__m")), F.col(row_id))).alias(row_id))
-    n = max(1, z.count())
-    radius = 0.6 * math.sqrt(best.summary.trainingCost / n)
-    kept_rare = _density_representatives(normalise(rare, features), features, row_id, radius)
-    return {"common": common, "outliers": rare, "common_kept": common.join(near.select(row_id), row_id, "left_semi"), "outliers_kept": rare.join(kept_rare, row_id, "left_semi")}
-
-
-def _density_representatives(df: DataFrame, features: list[str], row_id: str, radius: float) -> DataFrame:
-    """Clusters are the components of the graph of rows at most `radius` apart; the row nearest to each mean."""
-    from .spatial import pairs_within
-
-    at = [F.col(f) for f in features[:3]] + [F.lit(0.0)] * (3 - len(features[:3]))
-    points = df.select(F.lit("").alias("structure"), F.col(row_id).alias("id"), *[a.alias(c) for a, c in zip(at, ("x", "y", "z"), strict=True)], F.array(*features).alias("f"))
-    gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    links = pairs_within(points, points, max(radius, 1e-9)).filter(gap(F.col("p_f"), F.col("q_f")) <= radius).select(F.col("p_id").alias("a"), F.col("q_id").alias("b"))
-    labels = spread_labels(points.select(F.col("id")), links)
-    members = points.join(labels, "id")
-    means = members.select("label", F.posexplode("f").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
-    return members.join(means, "label").groupBy("label").agg(F.min_by("id", F.struct(gap(F.col("f"), F.col("m")), F.col("id"))).alias(row_id)).select(row_id)
-
-
 def spread_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, label): least id of the component. Labels go to neighbours and jump to their label's label until nothing changes."""
     labels = nodes.select("id", F.col("id").alias("label"))
@@ -177,7 +115,7 @@ def spread_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
         step = labels.join(near, "id", "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
         jump = step.select(F.col("id").alias("label"), F.col("label").alias("next"))
         fresh = step.join(jump, "label").select("id", F.col("next").alias("label"))
-        fresh = fresh.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else fresh.persist()
+        fresh = written(fresh)
         if fresh.join(labels.withColumnRenamed("label", "old"), "id").filter("label <> old").isEmpty():
             return fresh
         labels = fresh
@@ -218,22 +156,41 @@ def superpositions(pairs: DataFrame, key: list[str]) -> DataFrame:
     return one.mapInPandas(fit, f"{kinds}, matrix array<double>, rmsd double").withColumn("rmsd", F.when(~F.isnan("rmsd"), F.col("rmsd")))
 
 
-def rmsf(backbone: DataFrame, anchors: DataFrame) -> DataFrame:
+def rmsf(backbone: DataFrame, anchors: DataFrame, align: str = "backbone") -> DataFrame:
     """Fluctuation of each anchor over an ensemble after laying every conformer on the first.
 
-    backbone: (ensemble, structure, chain, resid, name, x, y, z); anchors alike. One conformer gives null.
+    backbone: (ensemble, structure, chain, resid, name, x, y, z); anchors alike. align: `backbone` lays whole structures, once for each; `local` lays, for
+    every residue number, the backbone of the residues that have it, in all chains. One conformer gives null, and so does an anchor whose
+    residue has fewer than three backbone atoms to lay.
     """
     from ..functions.scalars import affine
 
+    if align not in ("backbone", "local"):
+        raise ValueError("align by the backbone or local")
     first = backbone.groupBy("ensemble").agg(F.min("structure").alias("first"))
     on = ["ensemble", "chain", "resid", "name"]
+    unit = ["ensemble", "structure", *(["resid"] if align == "local" else [])]
     base = backbone.join(first, "ensemble").filter("structure = first").select(*on, *[F.col(a).alias(f"q_{a}") for a in "xyz"])
-    fits = superpositions(backbone.select(*on, "structure", *[F.col(a).alias(f"p_{a}") for a in "xyz"]).join(base, on), ["ensemble", "structure"])
-    laid = anchors.join(fits, ["ensemble", "structure"])
+    fits = superpositions(backbone.select(*on, "structure", *[F.col(a).alias(f"p_{a}") for a in "xyz"]).join(base, on), unit)
+    laid = anchors.join(fits, unit, "left")
     x, y, z = affine(F.col("matrix"), [F.col("x"), F.col("y"), F.col("z")])
-    laid = laid.select("ensemble", "structure", "chain", "resid", x.alias("x"), y.alias("y"), z.alias("z"))
+    laid = laid.select("ensemble", "chain", "resid", F.col("rmsd").isNotNull().alias("fits"), x.alias("x"), y.alias("y"), z.alias("z"))
     spread = lambda a: F.avg(F.col(a) * F.col(a)) - F.avg(a) * F.avg(a)
-    return laid.groupBy("ensemble", "chain", "resid").agg(F.when(F.count("*") > 1, F.sqrt(F.greatest(F.lit(0.0), spread("x") + spread("y") + spread("z")))).alias("rmsf"))
+    return laid.groupBy("ensemble", "chain", "resid").agg(F.when((F.count("*") > 1) & F.min("fits"), F.sqrt(F.greatest(F.lit(0.0), spread("x") + spread("y") + spread("z")))).alias("rmsf"))
+
+
+def ensemble_rmsf(atoms: DataFrame, anchor: str, align: str = "backbone", names: tuple = ("N", "CA", "C", "O")) -> DataFrame:
+    """(protein, structure, chain, resid, resname, name, x, y, z) -> (protein, signature, members, chain, resid, rmsf) of the atoms named `anchor`.
+
+    The ensembles are the structures of a protein whose CA atoms have equal residue names, chains and numbers.
+    """
+    from .joins import ensemble_members
+
+    members = ensemble_members(atoms.filter("name = 'CA'"))
+    sizes = members.groupBy("protein", "signature").agg(F.count("*").alias("members"))
+    mine = atoms.join(members, ["protein", "structure"]).withColumn("ensemble", F.struct("protein", "signature"))
+    found = rmsf(mine.filter(F.col("name").isin(*names)), mine.filter(F.col("name") == anchor), align)
+    return found.select("ensemble.*", "chain", "resid", "rmsf").join(sizes, ["protein", "signature"]).select("protein", "signature", "members", "chain", "resid", "rmsf")
 
 
 def sphere_points(n: int) -> list[tuple[float, float, float]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def row_position(df: DataFrame, key: list[str], row_id: str) -> DataFrame:
     return df.withColumn("position", F.row_number().over(Window.partitionBy(*key).orderBy(row_id)))
@@ -107,7 +109,7 @@ def local_sequence(df: DataFrame, key: list[str], order: list[str], letter: str,
 def step_up_fdr(df: DataFrame, p: str, tie: str) -> DataFrame:
     """Adjusted p-values: the least of p * m / rank from here on, at most 1. Only counts and minima of range partitions meet in one task."""
     ranked = df.repartitionByRange(p, tie).sortWithinPartitions(p, tie).withColumn("__at", F.monotonically_increasing_id())
-    ranked = (ranked.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranked.persist()).withColumn("__part", F.shiftright("__at", 33))
+    ranked = written(ranked).withColumn("__part", F.shiftright("__at", 33))
     parts = ranked.groupBy("__part").agg(F.min("__at").alias("__lowest"), F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("__part", "__lowest", before.alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__m"))

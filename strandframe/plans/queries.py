@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import aggregate as ag
+from ..operators import collinear as co
 from ..operators import curate as cu
 from ..operators import filters as fl
 from ..operators import joins as jn
 from ..operators import learning as le
 from ..operators import spatial as sp
 from ..operators import stats as st
+from ..operators import undersample as us
 from ..operators import windows as wi
 from ..sources import tables as tb
 from . import plots as pl
@@ -346,6 +348,8 @@ query("g08_contingency", G08, M, E)(lambda s, d: st.contingency(si.edges(s, d),
 query("m01_fisher", f"SELECT go_id, round({TAIL}, 6) AS p FROM ({G08})", M, E)(lambda s, d: st.fisher_greater(st.contingency(si.edges(s, d), _flags(s, d))).select("go_id", F.round("p", 6).alias("p")))
 query("m02_enrichment", f"SELECT go_id, name, round(p, 6) AS p, round(least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS fdr, a || '/' || (a + c) AS in_region, b || '/' || (b + d) AS in_background FROM (SELECT *, row_number() OVER (ORDER BY p, go_id) AS i, count(*) OVER () AS m FROM (SELECT *, {TAIL} AS p FROM ({G08}) WHERE a + b >= 1)) LEFT JOIN terms USING (go_id)", M, E)(lambda s, d: st.enrichment(si.measures(s, d), si.edges(s, d), si.terms(s, d), _box()))
 on_measures("m03_outliers", f"SELECT {SHORT} FROM measures JOIN (SELECT Uniprot_Entry, Resid, quantile_cont(sasa, 0.25) AS a, quantile_cont(sasa, 0.75) AS b FROM measures GROUP BY ALL) USING (Uniprot_Entry, Resid) WHERE sasa < a - 0.6 * (b - a) OR sasa > b + 0.6 * (b - a)", lambda m: short(st.outliers(m, KEY, "sasa", 0.6)))
+HOT = "(SELECT PDB_Code, Chain, Resid, sasa, CASE WHEN Resid <= 3 THEN 'hot' ELSE Uniprot_Entry END AS g FROM measures)"
+on_measures("m03_outliers_by_ranks", f"SELECT g, PDB_Code, Chain, Resid, sasa FROM {HOT} JOIN (SELECT g, quantile_cont(sasa, 0.25) AS a, quantile_cont(sasa, 0.75) AS b FROM {HOT} GROUP BY g) USING (g) WHERE sasa < a - 0.6 * (b - a) OR sasa > b + 0.6 * (b - a)", lambda m: st.outliers(m.withColumn("g", F.when(F.col("Resid") <= 3, "hot").otherwise(F.col("Uniprot_Entry"))), ["g"], "sasa", 0.6, by_ranks=True).select("g", "PDB_Code", "Chain", "Resid", "sasa"))
 on_measures("m04_clean", "SELECT propka, seqcharge, count(*) AS n FROM (SELECT DISTINCT propka, seqcharge FROM measures WHERE propka IS NOT NULL) GROUP BY ALL", lambda m: st.clean(m, ["propka", "seqcharge"]).groupBy("propka", "seqcharge").agg(F.count("*").alias("n")))
 on_measures("m05_normalise", "SELECT PDB_Code, Resid, round((sasa - avg(sasa) OVER ()) / stddev_pop(sasa) OVER (), 6) AS sasa FROM measures", lambda m: st.normalise(m, ["sasa"]).select("PDB_Code", "Resid", F.round("sasa", 6).alias("sasa")))
 
@@ -359,14 +363,21 @@ def m06(s, d):
 @query("m07_vif", None)
 def m07(s, d):
     m = si.measures(s, d).withColumn("copy", F.col("sasa") * 2 + F.col("seqcharge"))
-    kept = st.drop_collinear(m.dropna(subset=FEATURES), [*FEATURES, "copy"])
+    kept = co.drop_collinear(m.dropna(subset=FEATURES), [*FEATURES, "copy"])
     return m.dropna(subset=FEATURES).agg(*[F.round(F.avg(f), 4).alias(f) for f in kept])
 
 
+@query("m07_vif_vectors", None)
+def m07_vectors(s, d):
+    """All components of the vectors, and three columns made of them: a sum, a near copy and one of zeros."""
+    v = si.vectors(s, d)
+    more = {"both": F.col("aev")[0] + F.col("aev")[1], "near": F.col("aev")[2] + F.col("aev")[3] / 20, "none": F.lit(0.0)}
+    return co.inflation_table(v.withColumns(more), ["aev", *more])
+
+
 @query("m09_undersample", None)
 def m09(s, d):
-    v = si.vectors(s, d).select("vec_id", *[F.col("aev")[i].alias(f"a{i}") for i in range(3)])
-    got = st.undersample(v, ["a0", "a1", "a2"], "vec_id", k=8)
+    got = us.undersample(si.vectors(s, d), ["aev"], "vec_id", k=8)
     return got["common_kept"].withColumn("kind", F.lit("common")).unionByName(got["outliers_kept"].withColumn("kind", F.lit("outlier"))).select("vec_id", "kind")
 
 
@@ -389,6 +400,14 @@ def m12(s, d):
     return st.rmsf(a.filter("name in ('N', 'CA', 'C', 'O')"), a.filter("name = 'NZ'")).withColumn("rmsf", F.round("rmsf", 6))
 
 
+@query("m12_rmsf_ensembles", None)
+def m12_ensembles(s, d):
+    """Ensembles found by their CA atoms; whole structures laid on the first, and each residue by itself."""
+    a = si.atoms(s, d).withColumns({"protein": F.lit("P"), "resid": F.col("resid") % 25, "chain": F.lit("A")})
+    modes = [st.ensemble_rmsf(a, "NZ", align).withColumn("align", F.lit(align)) for align in ("backbone", "local")]
+    return modes[0].unionByName(modes[1]).withColumn("rmsf", F.round("rmsf", 6))
+
+
 REACH = "reach AS (SELECT *, 1.4 + CASE element WHEN 'N' THEN 1.55 WHEN 'O' THEN 1.52 WHEN 'S' THEN 1.8 ELSE 1.7 END AS r FROM atoms)"
 POINTS = "points AS (SELECT cos(t * i) * sqrt(1 - h * h) AS px, sin(t * i) * sqrt(1 - h * h) AS py, h AS pz FROM (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / 100 AS h, pi() * (3 - sqrt(5)) AS t FROM range(100) n(i)))"
 
@@ -405,7 +424,8 @@ def m14(s, d):
 # plot tables
 on_measures("v01_histogram", "SELECT CAST(b AS BIGINT) AS bin, round(lo + b * 5.0, 6) AS left_edge, count(*) AS n, round(count(*) / (sum(count(*)) OVER () * 5.0), 9) AS density FROM (SELECT lo, bins, CASE WHEN propka = lo + bins * 5.0 THEN bins - 1 ELSE floor((propka - lo) / 5.0) END AS b FROM measures, (SELECT min(propka) AS lo, ceil((max(propka) - min(propka)) / 5.0 - 1e-12) - 1 AS bins FROM measures) WHERE propka IS NOT NULL) WHERE b >= 0 AND b < bins GROUP BY b, lo", lambda m: pl.histogram(m, "propka", 5.0).select("bin", F.round("left_edge", 6).alias("left_edge"), "n", F.round("density", 9).alias("density")))
 on_measures("v04_count_histogram", "SELECT Chain AS colour, CAST(b AS BIGINT) AS bin, count(*) AS n FROM (SELECT Chain, bins, CASE WHEN propka = lo + bins * 5.0 THEN bins - 1 ELSE floor((propka - lo) / 5.0) END AS b FROM measures, (SELECT min(propka) AS lo, ceil((max(propka) - min(propka)) / 5.0 - 1e-12) - 1 AS bins FROM measures) WHERE propka IS NOT NULL) WHERE b < bins GROUP BY ALL", lambda m: pl.histogram(m, "propka", 5.0, pl.colours("chain")).select("colour", "bin", "n"))
-on_measures("v02_density", "SELECT i AS point, round(sum(exp(-(((lo + (hi - lo) * i / 49 - propka) / 2.0) ** 2) / 2)) / (any_value(n) * 2.0 * 2.5066282746310002), 9) AS density FROM measures, (SELECT min(propka) AS lo, max(propka) AS hi, count(propka) AS n FROM measures), (SELECT unnest(generate_series(0, 49)) AS i) WHERE propka IS NOT NULL GROUP BY 1", lambda m: pl.density(m, "propka", 2.0, 50).select(F.round((F.col("at") - 1) / (44 / 49)).cast("long").alias("point"), F.round("density", 9).alias("density")))
+on_measures("v02_density", "SELECT i AS point, round(sum(exp(-(((lo + (hi - lo) * i / 49 - propka) / 2.0) ** 2) / 2)) / (any_value(n) * 2.0 * 2.5066282746310002), 9) AS density FROM measures, (SELECT min(propka) AS lo, max(propka) AS hi, count(propka) AS n FROM measures), (SELECT unnest(generate_series(0, 49)) AS i) WHERE propka IS NOT NULL GROUP BY 1", lambda m: pl.density(m, "propka", 2.0, 50, cells=4096).select(F.round((F.col("at") - 1) / (44 / 49)).cast("long").alias("point"), F.round("density", 9).alias("density")))
+on_measures("v02_density_by_rule", "SELECT i AS point, round(sum(exp(-(((lo + (hi - lo) * i / 49 - propka) / h) ** 2) / 2)) / (any_value(n) * any_value(h) * 2.5066282746310002), 6) AS density FROM measures, (SELECT min(propka) AS lo, max(propka) AS hi, count(propka) AS n, stddev_samp(propka) * count(propka) ** -0.2 AS h FROM measures), (SELECT unnest(generate_series(0, 49)) AS i) WHERE propka IS NOT NULL GROUP BY 1", lambda m: pl.density(m, "propka", None, 50, cells=4096).select(F.round((F.col("at") - 1) / (44 / 49)).cast("long").alias("point"), F.round("density", 6).alias("density")))
 on_measures("v03_violins", "SELECT f AS feature, round(min(v), 6) AS low, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS q2, round(quantile_cont(v, 0.75), 6) AS q3, round(max(v), 6) AS high FROM (SELECT 'sasa' AS f, sasa AS v FROM measures UNION ALL SELECT 'depth', depth FROM measures) GROUP BY 1", lambda m: _rounded(pl.violins(m, ["sasa", "depth"])))
 on_measures("v05_scatter", "SELECT Uniprot_Entry, Resid, sasa, propka FROM measures WHERE propka BETWEEN 1 AND 30 AND sasa BETWEEN 0 AND 40000", lambda m: pl.scatter(m, KEY, ["sasa", "propka"], {"propka": (1, 30), "sasa": (0, 40000)}))
 on_measures("v06_pick_list", "SELECT 'All' AS value UNION ALL SELECT DISTINCT CAST(Resid AS VARCHAR) FROM measures WHERE Uniprot_Entry = 'P2'", lambda m: pl.pick_list(fl.subset(m, proteins=("P2",)), "Resid"))

@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import re
-import tempfile
-import uuid
-
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +9,7 @@ from .. import registry, schema
 from ..operators import curate as cu
 from ..operators import joins as jn
 from ..operators import stats as st
+from ..shared import new_folder
 from ..sources import tables as tb
 from ..sources import text as tx
 from ..streaming import incremental as inc
@@ -23,29 +17,6 @@ from . import standins as si
 from .queries import query
 from .standins import A, M
 
-_folders: set[str] = set()
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; it goes when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    path = f"{base}/files-{uuid.uuid4().hex}"
-    _folders.add(path)
-    return path
-
-
-@atexit.register
-def _clear() -> None:
-    with contextlib.suppress(Exception):
-        for path in _folders:
-            where = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(SparkContext._jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(where, True)
-
-
 def _lines(df: DataFrame, file, *values) -> DataFrame:
     """(file, line_no, value) with one line for each of `values`, which are null where there is none."""
     return df.select(file.alias("file"), F.posexplode(F.array(*values)).alias("line_no", "value")).filter("value is not null")
@@ -65,7 +36,7 @@ def _supplier_file():
 # tables
 @query("s01_read_measures", "SELECT Uniprot_Entry, Resid, propka, CASE WHEN propka IS NULL THEN 'NonTitratable' END AS propka_status, sasa, sasa / 2 AS aev_1, depth AS aev_2 FROM measures", M)
 def s01(s, d):
-    path = f"{_folder(s)}/measures.csv"
+    path = f"{new_folder(s)}/measures.csv"
     vector = F.concat(F.lit("["), (F.col("sasa") / 2).cast("string"), F.lit(", "), F.col("depth").cast("string"), F.lit("]"))
     m = si.measures(s, d).select(F.col("Resid").alias("Unnamed: 0"), "Uniprot_Entry", "Resid", F.coalesce(F.col("propka").cast("string"), F.lit("NonTitratable")).alias("propka"), F.coalesce(F.col("sasa").cast("string"), F.lit("NaN")).alias("sasa"), vector.alias("aev"))
     m.write.option("header", True).csv(path)
@@ -75,7 +46,7 @@ def s01(s, d):
 
 @query("s02_resume_list", "SELECT DISTINCT Uniprot_Entry, PDB_Code, Method, 'protein' AS mode FROM measures", M)
 def s02(s, d):
-    path = f"{_folder(s)}/structures"
+    path = f"{new_folder(s)}/structures"
     si.measures(s, d).select("Uniprot_Entry", "PDB_Code", "Method").write.option("header", True).csv(path)
     got, mode = tb.resume_list(s.read.option("header", True).csv(path))
     return got.withColumn("mode", F.lit(mode))
@@ -194,14 +165,14 @@ def s22(s, d):
 # writers
 @query("k01_sorted_measures", "SELECT Uniprot_Entry, Resid, PDB_Code, sasa FROM measures", M)
 def k01(s, d):
-    path = f"{_folder(s)}/sorted"
+    path = f"{new_folder(s)}/sorted"
     tb.write_sorted(si.measures(s, d).select("Uniprot_Entry", "Resid", "PDB_Code", "sasa"), path, ["Uniprot_Entry"])
     return s.read.parquet(path)
 
 
 @query("k02_failures", "SELECT CAST(event_id AS VARCHAR) AS protein, CAST(user_id AS VARCHAR) AS structure, '' AS error FROM events WHERE event_type = 'error' UNION ALL SELECT CAST(event_id AS VARCHAR), '', event_type FROM events WHERE event_type <> 'error'")
 def k02(s, d):
-    path, e, columns = f"{_folder(s)}/failures", si.table(s, d, "events"), ["protein", "structure", "error"]
+    path, e, columns = f"{new_folder(s)}/failures", si.table(s, d, "events"), ["protein", "structure", "error"]
     tb.append_rows(e.filter("event_type = 'error'").select(F.col("event_id").alias("protein"), F.col("user_id").alias("structure")), path, columns)
     tb.append_rows(e.filter("event_type <> 'error'").select(F.col("event_id").alias("protein"), F.col("event_type").alias("error")), path, columns)
     return s.read.parquet(path)
@@ -234,7 +205,7 @@ def m13(s, d):
 @query("t01_resumed_run", "SELECT l_orderkey, l_linenumber, l_extendedprice, l_extendedprice * 2 AS twice FROM lineitem")
 def t01(s, d):
     """Files that come in two lots are measured by two runs, and a third run finds nothing new."""
-    folder, li = _folder(s), si.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    folder, li = new_folder(s), si.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
     kind = li.drop("l_returnflag").schema
     for lot in ("l_returnflag = 'A'", "l_returnflag <> 'A'", None):
         if lot:
@@ -246,7 +217,7 @@ def t01(s, d):
 @query("t02_latest_records", "SELECT user_id, arg_max(event_id, row(ts, event_id)) AS event_id, arg_max(event_type, row(ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def t02(s, d):
     """Batches of errors and of the rest; the latest record of each user stays, whichever batch it is in."""
-    folder, e = _folder(s), si.table(s, d, "events").select("user_id", "ts", "event_id", "event_type")
+    folder, e = new_folder(s), si.table(s, d, "events").select("user_id", "ts", "event_id", "event_type")
     for lot in ("event_type = 'error'", "event_type <> 'error'"):
         e.filter(lot).write.mode("append").parquet(f"{folder}/in")
         inc.upsert_latest(s, s.readStream.schema(e.schema).parquet(f"{folder}/in"), f"{folder}/run", ["user_id"], ["ts", "event_id"]).awaitTermination()

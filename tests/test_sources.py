@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandframe import registry, schema
-from strandframe.operators import aggregate, curate, filters, joins, spatial, stats, windows
+from strandframe.operators import aggregate, collinear, curate, filters, joins, spatial, stats, windows
 from strandframe.plans import plots
 from strandframe.sources import tables, text
 from strandframe.streaming import incremental
@@ -149,8 +149,8 @@ def test_accessible_area_of_one_atom(spark):
 
 def test_vif_drops_the_copy(spark):
     df = spark.range(200).select(F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("c", F.col("a") * 2 + F.col("b"))
-    assert len(stats.drop_collinear(df, ["a", "b", "c"])) == 2
-    assert stats.drop_collinear(df, ["a", "b"]) == ["a", "b"]
+    assert len(collinear.drop_collinear(df, ["a", "b", "c"])) == 2
+    assert collinear.drop_collinear(df, ["a", "b"]) == ["a", "b"]
 
 
 def test_pca(spark):
