@@ -1,25 +1,31 @@
 """Entropy balancing: mix sources to target token counts with the least change of the documents' rates.
 
-Among all rates r_d with sum(size_d * r_d over a source) = target of the source, those
-nearest to 1 in relative entropy are r_d = exp(lambda_source). The multipliers solve a
-convex dual problem; each Newton step needs, for each source, the sum of size *
-exp(lambda) over its documents, a distributed aggregation. Rates are then rounded to
-whole copies so that the copies' tokens follow the target.
+A document's rate lies between 0 and a cap. Among all rates that bring each source to its target of tokens and keep the number of documents that
+equal rates within the sources would give, the ones of least relative entropy to 1 (that of the rate, plus that of what it lacks of the cap) are
+
+    rate = cap * sigmoid(base + lam[source] * size + mu),
+
+so that documents are tilted by their size: lam turns a source's tokens, and mu, common to all, its documents.
+The multipliers minimise a convex dual. A Newton step takes its gradient and Hessian from one aggregation; the Hessian is an arrow
+(a diagonal for the sources, a border for mu), so its solution is one more sum, and no table of the sources
+passes through the driver. Rates are then rounded to whole copies so that the copies' tokens follow the target.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, with_rid
+from .common import discard, stash, with_rid
 
-#: Newton steps between two looks at the error, which squares with each one near the solution; rates between 1e-4 and 2 need at most 14.
-STEPS = 14
-#: Largest error of a source's tokens, as a share of its target.
+#: Largest error of a source's tokens, and of all documents, as a share of what they should be.
 TOLERANCE = 1e-9
-#: An error after so many looks is raised, not used.
-MOST_LOOKS = 50
+#: Newton steps after which the error is raised, not used; near the solution it squares with each one.
+MOST_STEPS = 60
+#: Step lengths that the line search looks at, in one aggregation.
+LENGTHS = tuple(0.5**i for i in range(12))
 #: Documents that are rounded together.
 LOT = 500
 
@@ -52,63 +58,108 @@ def targets(stats: DataFrame, share: float, weights: list[float], most: float) -
     return w.select("source", "source_size", F.when(F.col("__full"), F.col("__limit")).otherwise(F.col("__w") * F.col("__top")).alias("target"))
 
 
-def _tilted(units: DataFrame, state: DataFrame) -> DataFrame:
-    """One row a source: target, lam, and `tokens`, the sum of n * size * exp(lam) over its units."""
-    joined = units.alias("u").join(state.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source")))
-    return joined.groupBy(F.col("s.source").alias("source")).agg(F.first("s.target").alias("target"), F.first("s.lam").alias("lam"), F.sum(F.col("u.n") * F.col("u.size") * F.exp("s.lam")).alias("tokens"))
+def _base(most: float) -> float:
+    """What the sigmoid starts from, so that multipliers of 0 are a rate of 1."""
+    return -math.log(most - 1) if most > 1 else 0.0
 
 
-def multipliers(units: DataFrame, wanted: DataFrame, steps: int = STEPS) -> DataFrame:
-    """The dual solution: `lam` for each source of `wanted` (source, target); null where nothing is to be taken.
+def rate_of(size: Column, lam: Column, mu: Column, most: float) -> Column:
+    """The rate of a document under multipliers for tokens and documents."""
+    return most / (1 + F.exp(-(_base(most) + lam * size + mu)))
 
-    units: (source, size, n), n documents of that size. Each Newton step sums over the
-    units: gradient sum(n*size*exp(lam)) - target, curvature sum(n*size*exp(lam)). After every `steps` steps the
-    state is written and its error looked at, until no source's tokens are off by over `TOLERANCE` of its target.
+
+def multipliers(units: DataFrame, wanted: DataFrame, most: float) -> tuple[DataFrame, float]:
+    """The dual solution: (source, lam) for each source of `wanted` (source, target) whose target can be met in between, and mu.
+
+    units: (source, size, n), n documents of that size. Sources with a target of 0 or of `most` times their size are no
+    part of it: their rates are 0 and `most`. Each step solves the full Newton system and takes the longest of LENGTHS that lowers the dual enough.
     """
-    units = units.filter(F.col("size") > 0)
-    state = wanted.select("source", "target", F.when(F.col("target") > 0, F.lit(0.0)).alias("lam"))
-    for _ in range(MOST_LOOKS):
-        for _ in range(steps):
-            state = _tilted(units, state).select("source", "target", (F.col("lam") - 1 + F.col("target") / F.col("tokens")).alias("lam"))
-        state = stash(state)
-        worst = _tilted(units, state).agg(F.max(F.abs(F.col("tokens") / F.col("target") - 1))).first()[0]
-        if worst is None or worst <= TOLERANCE:
-            return state.select("source", "lam")
-    raise ArithmeticError(f"the Newton steps leave an error of {worst}")
-
-
-def _round(sizes: Column, rate: Column) -> Column:
-    """Copies of documents, largest first: each takes the number that brings the lot's tokens nearest to its rate so far."""
+    some = units.filter("size > 0")
+    sizes = some.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("tokens"), F.sum("n").alias("docs"))
+    free = wanted.alias("w").join(sizes.alias("s"), F.col("w.source").eqNullSafe(F.col("s.source"))).filter((F.col("target") > 0) & (F.col("target") < most * F.col("tokens") * (1 - 1e-12)))
+    state = stash(free.select(F.col("w.source").alias("source"), "target", "tokens", "docs", F.lit(0.0).alias("lam")))
+    scale, goal = state.agg(F.sum("tokens") / F.sum("docs"), F.sum(F.col("docs") * F.col("target") / F.col("tokens"))).first()
+    if scale is None:
+        return state.select("source", "lam"), 0.0
+    mu = 0.0
+    some = stash(some.alias("u").join(state.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source"))).select("u.source", (F.col("size") / scale).alias("x"), "n"))
+    state = state.select("source", (F.col("target") / scale).alias("target"), "lam")
+    soft = lambda eta: F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
+
+    def joined(state: DataFrame) -> DataFrame:
+        return some.alias("u").join(state.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source")))
+
+    for _ in range(MOST_STEPS):
+        rate = rate_of(F.col("x"), F.col("lam"), F.lit(mu), most)
+        bend = F.col("n") * rate * (1 - rate / most)
+        sums = joined(state).groupBy(F.col("s.source").alias("source")).agg(
+            F.first("target").alias("target"),
+            F.first("lam").alias("lam"),
+            (F.sum(F.col("n") * rate * F.col("x")) - F.first("target")).alias("g"),
+            F.sum(F.col("n") * rate).alias("docs"),
+            (F.sum(bend * F.col("x") ** 2) + 1e-300).alias("a"),
+            F.sum(bend * F.col("x")).alias("b"),
+            F.sum(bend).alias("c"),
+        )
+        sums = stash(sums)
+        at = sums.agg(F.max(F.abs(F.col("g")) / F.col("target")).alias("error"), F.sum("docs").alias("docs"), F.sum("c").alias("c"), F.sum(F.col("b") ** 2 / F.col("a")).alias("bb"), F.sum(F.col("b") * F.col("g") / F.col("a")).alias("bg"), F.sum(F.col("g") ** 2 / F.col("a")).alias("gg")).first()
+        over = at["docs"] - goal
+        schur = at["c"] - at["bb"]
+        loose = schur > 1e-9 * at["c"]  # else every source has documents of one size only, and mu is not needed
+        if at["error"] <= TOLERANCE and (abs(over) <= TOLERANCE * goal or not loose):
+            return sums.select("source", (F.col("lam") / scale).alias("lam")), mu
+        step = -(over - at["bg"]) / schur if loose else 0.0
+        moved = sums.select("source", "target", "lam", (-(F.col("g") + F.col("b") * step) / F.col("a")).alias("d"))
+        # the dual along the step: its slope, and its change at each length
+        slope = -at["gg"] - at["bg"] * step + over * step
+        eta = _base(most) + F.col("lam") * F.col("x") + mu
+        along = joined(moved).agg(*[F.sum(F.col("n") * most * (soft(eta + t * (F.col("d") * F.col("x") + step)) - soft(eta))).alias(f"t{i}") for i, t in enumerate(LENGTHS)]).first()
+        fixed = (moved.agg(F.sum(F.col("d") * F.col("target"))).first()[0] or 0.0) + step * goal
+        length = next((t for i, t in enumerate(LENGTHS) if along[f"t{i}"] - t * fixed <= 1e-4 * t * slope), LENGTHS[-1])
+        if at["error"] < 1e-4 and abs(over) < 1e-4 * goal:
+            length = 1.0  # changes of the dual are below its rounding here
+        state, mu = moved.select("source", "target", (F.col("lam") + length * F.col("d")).alias("lam")), mu + length * step
+    raise ArithmeticError(f"the Newton steps leave an error of {at['error']}")
+
+
+def _round(docs: Column, most: int) -> Column:
+    """Copies of documents (size, rate), largest first: each takes the number that brings the lot's tokens nearest to what is due so far."""
     start = F.struct(F.lit(0.0).alias("due"), F.array().cast("array<int>").alias("copies"))
 
-    def step(acc: Column, size: Column) -> Column:
-        due = acc["due"] + rate * size
-        copies = F.greatest(F.lit(0), F.least(F.lit(2), F.round(due / size).cast("int")))
-        return F.struct((due - copies * size).alias("due"), F.concat(acc["copies"], F.array(copies)).alias("copies"))
+    def step(acc: Column, doc: Column) -> Column:
+        due = acc["due"] + doc["rate"] * doc["size"]
+        copies = F.greatest(F.lit(0), F.least(F.lit(most), F.round(due / doc["size"]).cast("int")))
+        return F.struct((due - copies * doc["size"]).alias("due"), F.concat(acc["copies"], F.array(copies)).alias("copies"))
 
-    return F.aggregate(sizes, start, step, lambda acc: acc["copies"])
+    return F.aggregate(docs, start, step, lambda acc: acc["copies"])
 
 
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple = (5.0, 2.0, 1.0), most: float = 2.0, lot: int = LOT, keep: list[str] | None = None) -> DataFrame:
-    """(source, text and other columns) -> the columns `keep` (all by default) with size, source_size, target and `copies` (0, 1 or 2).
+    """(source, text and other columns) -> the columns `keep` (all by default) with size, source_size, target, `rate` and `copies` (0 to `most`).
 
     Nulls: a null source is a source of its own, the last one; a null or empty text has
-    size 0 and no copies. Repeated rows are rows of their own; ties in size go by row id. An
-    empty table gives an empty result. Columns of any name pass through, but those of the four names are replaced. Reruns agree.
+    size 0, rate 0 and no copies. Repeated rows are rows of their own, with one rate; ties in size go by row id. An
+    empty table gives an empty result. Long texts and long words are counted whole. Columns of any name pass through, but those of the five names are replaced. Reruns agree.
     A hot source is rounded in lots of about `lot` documents, each by itself.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "source_size", "target", "copies")]
-    rows = with_rid(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.col("source"), words_of(F.col("text")).alias("size")), "__rid")
+    new = ("size", "source_size", "target", "rate", "copies")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    rows = with_rid(docs.select(F.struct(F.lit(0).alias("__0"), *[F.col(f"`{c}`") for c in kept]).alias("__row"), F.col("source"), words_of(F.col("text")).alias("size")), "__rid")
     thin = stash(rows.select("__rid", "source", "size"))
-    units = thin.groupBy("source", "size").agg(F.count("*").alias("n"))
+    units = stash(thin.groupBy("source", "size").agg(F.count("*").alias("n")))
     stats = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n_docs"))
-    wanted = targets(stats.select("source", "source_size"), share, list(weights), most)
-    plan = wanted.alias("w").join(multipliers(units, wanted).alias("m"), F.col("w.source").eqNullSafe(F.col("m.source")), "left")
+    stats = stash(stats)
+    wanted = stash(targets(stats.select("source", "source_size"), share, list(weights), most))
+    found, mu = multipliers(units, wanted, most)
+    plan = wanted.alias("w").join(found.alias("m"), F.col("w.source").eqNullSafe(F.col("m.source")), "left")
     plan = plan.join(stats.alias("t"), F.col("w.source").eqNullSafe(F.col("t.source")))
-    plan = stash(plan.select(F.col("w.source").alias("p_source"), F.col("w.source_size").alias("p_size"), F.col("w.target").alias("p_target"), F.coalesce(F.exp("m.lam"), F.lit(0.0)).alias("rate"), F.greatest(F.lit(1), F.ceil(F.col("t.n_docs") / lot)).alias("lots")))
-
-    dealt = thin.filter("size > 0").join(plan, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("lot", F.pmod(F.xxhash64("__rid"), F.col("lots")))
-    by_lot = dealt.groupBy("p_source", "lot").agg(F.first("rate").alias("rate"), F.sort_array(F.collect_list(F.struct("size", "__rid")), asc=False).alias("docs"))
-    copies = by_lot.select(F.explode(F.arrays_zip(F.col("docs.__rid").alias("rid"), _round(F.col("docs.size"), F.col("rate")).alias("copies"))).alias("x")).select(F.col("x.rid").alias("__rid"), F.col("x.copies").alias("copies"))
+    fixed = F.when(F.col("w.target") > 0, F.lit(float(most))).otherwise(0.0)
+    plan = stash(plan.select(F.col("w.source").alias("p_source"), F.col("w.source_size").alias("p_size"), F.col("w.target").alias("p_target"), "m.lam", fixed.alias("fixed"), F.greatest(F.lit(1), F.ceil(F.col("t.n_docs") / lot)).alias("lots")))
+    discard(units)
+    rate = F.when(F.col("size") > 0, F.coalesce(rate_of(F.col("size"), F.col("lam"), F.lit(mu), most), F.col("fixed"))).otherwise(0.0)
+
+    dealt = thin.filter("size > 0").join(plan, F.col("source").eqNullSafe(F.col("p_source"))).withColumns({"lot": F.pmod(F.xxhash64("__rid"), F.col("lots")), "rate": rate})
+    by_lot = dealt.groupBy("p_source", "lot").agg(F.sort_array(F.collect_list(F.struct("size", "__rid", "rate")), asc=False).alias("docs"))
+    copies = by_lot.select(F.explode(F.arrays_zip(F.col("docs.__rid").alias("rid"), _round(F.col("docs"), int(most)).alias("copies"))).alias("x")).select(F.col("x.rid").alias("__rid"), F.col("x.copies").alias("copies"))
     out = rows.join(copies, "__rid", "left").join(plan, F.col("source").eqNullSafe(F.col("p_source")), "left")
-    return out.select("__row.*", "size", F.col("p_size").alias("source_size"), F.col("p_target").alias("target"), F.coalesce("copies", F.lit(0)).alias("copies"))
+    return out.select("__row.*", "size", F.col("p_size").alias("source_size"), F.col("p_target").alias("target"), rate.alias("rate"), F.coalesce("copies", F.lit(0)).alias("copies")).drop("__0")
