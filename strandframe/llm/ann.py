@@ -16,6 +16,7 @@ Positive multiples of a vector have its direction and go on as one, with the few
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -189,23 +190,28 @@ def _search(k: int):
 def nearest(vectors: DataFrame, queries, k: int = 5, orderings: int = ORDERINGS, share: float = SHARE, least: int = LEAST, block: int = BLOCK, seed: int = 1) -> DataFrame:
     """(vec_id, embedding) -> (query_id, rank, vec_id, score): the k nearest by cosine of each row that meets the condition `queries`.
 
-    A row is no neighbour of its own; ties go to the smaller vec_id. Null ids and vectors that are null, zero,
-    hold null or non-finite components, or differ in length from that of the least vec_id take no part. Rows
+    A row is no neighbour of its own; ties go to the smaller vec_id. Null ids and vectors that are null, zero, or
+    hold null or non-finite components take no part. Vectors of different lengths are no neighbours: those of each length are searched by themselves. Rows
     with equal vec_id and direction count once. A table of fewer rows gives what there is, an empty one
-    an empty result.
+    an empty result. Other columns are not looked at.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(finite & F.exists("v", lambda x: x != 0))
-    width = rows.agg(F.min_by(F.size("v"), "vec_id")).first()[0] or 0
-    rows = rows.filter(F.size("v") == width)
+    widths = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).filter("n > 1").orderBy("width").collect()
+    found = [_nearest(rows.filter(F.size("v") == r["width"]), queries, k, orderings, share, least, block, seed) for r in widths]
+    return reduce(DataFrame.unionByName, found) if found else rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
 
+
+def _nearest(rows: DataFrame, queries, k: int, orderings: int, share: float, least: int, block: int, seed: int) -> DataFrame:
+    """Neighbours among vectors of one length."""
     # distinct directions: the least id names it; k + 1 ids are enough for any query's answer. Division is rounded
-    # correctly, so that exact multiples become bit-equal
+    # correctly, so that exact multiples become bit-equal. Scores come from the vector of the least id, scaled by a power of two, which loses no bit
     most = F.array(F.array_max(F.transform("v", F.abs)))  # bound by a lambda, which computes it once for each row
-    rows = rows.select("vec_id", F.transform(most, lambda m: F.transform("v", lambda x: x / m))[0].alias("v"))
-    ids = rows.select("v", "vec_id").distinct().withColumn("i", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("i") <= k + 1)
-    nodes = stash(ids.groupBy("v").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
+    even = F.transform(most, lambda m: F.transform("v", lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2(m)))))[0]
+    rows = rows.select("vec_id", even.alias("original"), F.transform(most, lambda m: F.transform("v", lambda x: x / m))[0].alias("v"))
+    ids = rows.groupBy("v", "vec_id").agg(F.min("original").alias("original")).withColumn("i", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("i") <= k + 1)
+    nodes = stash(ids.groupBy("v").agg(F.min("vec_id").alias("node"), F.min_by("original", "vec_id").alias("original"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
     asked = stash(rows.filter(queries).select("vec_id", "v").distinct().join(nodes.select("v", "node"), "v").select("vec_id", "node"))
 
     n = nodes.count()
@@ -236,7 +242,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5, orderings: int = ORDERINGS,
         low, high = F.least(low, "lowest"), F.greatest(high, "highest")
     reach = F.sequence(F.floor(low / block), F.floor(high / block))
     sent = sent.select("t", "node", F.explode(reach).alias("b")).select(gid(F.col("b")).alias("gid"), F.lit(1).alias("kind"), "node")
-    work = held.unionByName(sent).join(nodes.select("node", "v"), "node").select("gid", "kind", "node", "v")
+    work = held.unionByName(sent).join(nodes.select("node", F.col("original").alias("v")), "node").select("gid", "kind", "node", "v")
     found = work.repartition("gid").sortWithinPartitions("gid", "kind").mapInArrow(_search(k + 1), "q long, c long, score double")
     merged = found.groupBy("q", "c").agg(F.max("score").alias("score"))
     top = merged.withColumn("i", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("i") <= k + 1)
