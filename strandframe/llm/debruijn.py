@@ -8,8 +8,8 @@ Nodes of the graph are `window` - 1 words in a row, edges are windows of `window
 2. Of other minimizers, the paths at their first source coordinates are opened into edges again. Aggregations give the
    first document of each edge and the in- and out-degree of each node over the distinct edges. Joins bring these to
    the edges' coordinates, and repeated edges that follow each other there across a node of in- and out-degree one compact into one span.
-3. All occurrences of a path meet its first one by a join, in which the words at both coordinates have to agree in 96 bits of two independent
-   hashes (those of an edge in 160); spans then are cut out of the texts at these coordinates.
+3. All occurrences of a path meet its first one by a join on the 128-bit BLAKE2b digest of the words that stand at their source
+   coordinates (of an edge, on 64 bits of it besides its two nodes); spans then are cut out of the texts at these coordinates.
 """
 
 from __future__ import annotations
@@ -41,8 +41,14 @@ def _grams(words: np.ndarray, k: int):
     return at
 
 
-def _short(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def _at_places(texts: list[bytes], doc: np.ndarray, first: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """Digests of the words first..end-1 of documents, in rising order of these; whatever stands between the words."""
+    out, cut = [], np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+    for text, a, b in zip(texts, cut[:-1], cut[1:], strict=True):
+        if b > a:
+            whole, begins, ends = tx.spelled(text)
+            out.append(tx.digests([whole[x:y] for x, y in zip(begins[first[a:b]].tolist(), ends[end[a:b] - 1].tolist(), strict=True)], size))
+    return np.concatenate(out).view(np.int64) if out else np.zeros((0, size // 8), np.int64)
 
 
 def _paths(window: int, core: int, whole: bool):
@@ -56,14 +62,12 @@ def _paths(window: int, core: int, whole: bool):
                 words, bounds = tx.words(data, offsets[i : j + 1], tx.BYTE_VALUES)
                 if len(words) < window:
                     continue
-                if whole:
-                    sums = tx.word_prefix_sums(words)
-                    more = tx.word_prefix_sums(tx.words(data, offsets[i : j + 1], tx.OTHER_VALUES)[0])
+                texts = [data[a:b].tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)] if whole else []
                 for first, last, _, m, doc in stretches(_grams(words, core), len(words), bounds, window, core):
                     columns = {"m": pa.array(m.view(np.int64)), "doc_id": doc_id.take(pa.array(i + doc))}
                     if whole:
-                        p1, p2 = (tx.word_stretch_hashes(x, first, last + window) for x in (sums, more))
-                        columns |= {"p1": pa.array(p1.view(np.int64)), "p2": pa.array(_short(p2)), "rid": pa.array(rid[i + doc]), "first": pa.array((first - bounds[doc]).astype(np.int32)), "n": pa.array((last - first + 1).astype(np.int32))}
+                        p = _at_places(texts, doc, first - bounds[doc], last + window - bounds[doc], 16)
+                        columns |= {"p1": pa.array(p[:, 0]), "p2": pa.array(p[:, 1]), "rid": pa.array(rid[i + doc]), "first": pa.array((first - bounds[doc]).astype(np.int32)), "n": pa.array((last - first + 1).astype(np.int32))}
                     yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
@@ -79,13 +83,13 @@ def _edges(window: int):
             for i, j in tx.groups_of_docs(offsets):
                 words, bounds = tx.words(data, offsets[i : j + 1], tx.BYTE_VALUES)
                 sums = tx.word_prefix_sums(words)
-                more = tx.word_prefix_sums(tx.words(data, offsets[i : j + 1], tx.OTHER_VALUES)[0])
+                texts = [data[a:b].tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)]
                 first, n = (np.array([p[k] for d in places[i:j] for p in d], np.int64) for k in ("first", "n"))
                 doc = np.repeat(np.repeat(np.arange(i, j), [len(d) for d in places[i:j]]), n)
                 begin = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 start = bounds[doc - i] + begin
                 u, v = (tx.word_stretch_hashes(sums, start + k, start + k + window - 1).view(np.int64) for k in (0, 1))
-                e = _short(tx.word_stretch_hashes(more, start, start + window))
+                e = _at_places(texts, doc - i, begin, begin + window, 8)[:, 0]
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(e), pa.array(rids[doc]), doc_ids.take(pa.array(doc)), pa.array(begin.astype(np.int32))], names=["u", "v", "e", "rid", "doc_id", "first"])
 
     return run
@@ -155,7 +159,7 @@ def dedup_spans(docs: DataFrame, window: int = 13, core: int = CORE, keep: tuple
     texts = docs.filter("doc_id is not null").select("rid", "doc_id", "text")
     # minimizers that more than one document holds; written first, so that the join shuffles both sides anew and Spark can split a hot one
     shared = stash(texts.mapInArrow(_paths(window, core, False), f"m long, doc_id {kind}").groupBy("m").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).filter("d1 < d2").select("m"))
-    met = texts.mapInArrow(_paths(window, core, True), f"m long, doc_id {kind}, p1 long, p2 int, rid long, first int, n int").join(shared, "m")
+    met = texts.mapInArrow(_paths(window, core, True), f"m long, doc_id {kind}, p1 long, p2 long, rid long, first int, n int").join(shared, "m")
     met = stash(met)
     discard(shared)
     paths = stash(met.groupBy("m", "p1", "p2").agg(F.min("doc_id").alias("p_first")))
@@ -165,7 +169,7 @@ def dedup_spans(docs: DataFrame, window: int = 13, core: int = CORE, keep: tuple
     discard(met, paths, alone, of_paths)
     copies = held.filter("doc_id > p_first").select("rid", "first", "n")
     opened = held.filter("doc_id = p_first AND NOT alone").groupBy("rid").agg(F.collect_list(F.struct("first", "n")).alias("places"))
-    edges = stash(docs.join(opened, "rid").select("rid", "doc_id", "text", "places").mapInArrow(_edges(window), f"u long, v long, e int, rid long, doc_id {kind}, first int"))
+    edges = stash(docs.join(opened, "rid").select("rid", "doc_id", "text", "places").mapInArrow(_edges(window), f"u long, v long, e long, rid long, doc_id {kind}, first int"))
     later = compacted(edges)
     discard(edges)
 

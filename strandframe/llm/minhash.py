@@ -4,7 +4,7 @@ Each document's distinct word shingles give 128 minima. Groups of four minima ar
 keys; documents that share one are candidates. Of each minimum the lowest two bits are
 packed into a 256-bit signature, and candidates are compared by bit counts, corrected
 for chance agreement of two-bit values. What passes a generous limit is confirmed on
-the full shingle sets.
+the full shingle sets, in which words are compared as they are, not by hashes.
 
 Neither step emits all pairs: within a group it is enough to know a spanning forest of
 the links. A task compares pivots with the whole group until every member outside the
@@ -59,6 +59,26 @@ def shingle_sets(column, width: int) -> Iterator[np.ndarray]:
             yield np.unique(tx.word_stretch_hashes(sums, start, start + min(width, n)))
 
 
+def exact_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text, as numbers that are equal for equal words only (within this list)."""
+    ids: dict[bytes, int] = {}
+    rows, at = [], [0]
+    for text in texts:
+        words = np.array([ids.setdefault(w, len(ids) + 1) for w in (text or b"").lower().split()], np.int64)  # bytes.lower folds A-Z only
+        if 0 < len(words) < width:
+            words = np.concatenate([words, np.zeros(width - len(words), np.int64)])  # 0 is no word
+        rows.append(np.lib.stride_tricks.sliding_window_view(words, width) if len(words) else np.zeros((0, width), np.int64))
+        at.append(at[-1] + len(rows[-1]))
+    shingles = np.concatenate(rows)
+    bits, code, most = len(ids).bit_length(), np.zeros(len(shingles), np.int64), 0
+    for c in range(width):
+        if most + bits > 62:  # number what is there so far
+            code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+            most = len(code).bit_length()
+        code, most = (code << bits) | shingles[:, c], most + bits
+    return [np.unique(code[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def minima(shingles: np.ndarray) -> np.ndarray:
     out = np.full(MINIMA, np.iinfo(np.uint64).max)
     for i in range(0, len(shingles), 512):
@@ -91,7 +111,7 @@ def _sketches(width: int):
             n, ids, keys, sigs = [], [], [], []
             for s in shingle_sets(batch.column("text"), width):
                 n.append(len(s))
-                ids.append((int(tx.mix(s).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(tx.mix(s ^ np.uint64(0x1234567)), initial=np.uint64(0)))))
+                ids.append(tx.digests([s.tobytes()])[0])
                 m = minima(s)
                 bands = tx.mix(m.reshape(BANDS, ROWS) * np.array([1, 3, 5, 7], np.uint64) + np.uint64(11)).sum(1, dtype=np.uint64)
                 keys.append(tx.mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
@@ -182,7 +202,7 @@ def _confirmed(width: int, num: int, den: int):
         a, b = [], []
         for _, parts in _grouped(batches, "gid"):
             node, label = _members(parts)
-            sets = [s for p in parts for s in shingle_sets(p.column("text"), width)]
+            sets = exact_sets([t for p in parts for t in p.column("text").to_pylist()], width)
             size = np.array([len(s) for s in sets])
             edges = np.cumsum(size) - size
             values, token = np.unique(np.concatenate(sets), return_inverse=True)

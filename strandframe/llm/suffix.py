@@ -5,7 +5,7 @@ Byte strings that occur twice are found without comparing whole texts:
 1. Every window of `report` bytes chooses an anchor, its minimizer of `core` bytes; so equal windows
    have equal anchors at equal places. An anchor's context is what any window of
    `length` bytes whose first `report` bytes chose it can hold. Anchors that occur once are done with, and of the
-   others only hashes are shuffled (64 bits of the anchor, 128 of the context, whose equality is taken for that of the bytes).
+   others only hashes are shuffled: 64 bits of the anchor, and the 128-bit BLAKE2b digest of the context's bytes, which decides whether contexts are equal.
 2. Each distinct context of an anchor that has several sends its bytes to the anchor's block.
    There, all suffixes that start at an anchor are sorted with their longest common
    prefixes, and so are the reversed prefixes that end there. A stack scan over the first
@@ -55,7 +55,7 @@ def _anchors(window: int, core: int, left: int, right: int, whole: bool):
                 if len(mine) < window:
                     continue
                 sums = tx.prefix_sums(tx.BYTE_VALUES[mine])
-                more = tx.prefix_sums(tx.OTHER_VALUES[mine]) if whole else None
+                raw = mine.tobytes() if whole else b""
 
                 def grams(a, b, sums=sums):
                     start = np.arange(a, b)
@@ -71,7 +71,7 @@ def _anchors(window: int, core: int, left: int, right: int, whole: bool):
                     names, columns = ["m"], [m.view(np.int64)]
                     if whole:
                         before, after = np.minimum(left, place - bounds[doc]), np.minimum(right, bounds[doc + 1] - place)
-                        s1, s2 = (tx.stretch_hashes(x, place - before, place + after) for x in (sums, more))
+                        s1, s2 = tx.digests([raw[a:b] for a, b in zip((place - before).tolist(), (place + after).tolist(), strict=True)]).T
                         s1 = tx.mix(s1 + before.astype(np.uint64))  # the anchor's place in it is part of a context
                         names += ["s1", "s2", "rid", "place", "before", "after"]
                         columns += [s1.view(np.int64), s2.view(np.int64), rid[i + doc], *(x.astype(np.int32) for x in (place - bounds[doc], before, after))]
@@ -307,16 +307,16 @@ def _contexts(docs: DataFrame, window: int, core: int, right: int, block: int) -
     return found, distinct, rows
 
 
-def dedup_substrings(docs: DataFrame, length: int = 400, report: int | None = None, core: int | None = None, keep: tuple = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"), block: int = BLOCK_CONTEXTS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 400, report: int | None = None, core: int | None = None, keep: tuple = ("n_bytes", "n_removed", "n_spans", "kept_sha256"), block: int = BLOCK_CONTEXTS) -> DataFrame:
     """(doc_id, text) -> doc_id and the columns `keep` of: n_bytes, n_removed, n_spans, kept_sha256, n_repeated, kept (the remaining bytes).
 
     Removes each byte that a `length`-byte string covers which also starts anywhere else in the
     UTF-8 bytes of the texts, the same document included; strings never cross
-    documents. n_repeated counts the bytes that such strings of `report` bytes cover (three fifths of `length` by
-    default: 240 bytes, which fifty short words have), whether they are removed or not. Null texts are empty. Repeated rows are rows of their own, and so repeat
+    documents. n_repeated counts the bytes that such strings of `report` bytes (by default `length`) cover, whether they
+    are removed or not. Null texts are empty. Repeated rows are rows of their own, and so repeat
     each other; texts shorter than `length` stay. An empty table gives an empty result. Extra columns are not looked at.
     """
-    report = report or length * 3 // 5
+    report = report or length
     core = core or report // 2
     docs = with_rid(docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")))
     found, distinct, rows = _contexts(docs, report, core, length, block)
@@ -334,44 +334,71 @@ def dedup_substrings(docs: DataFrame, length: int = 400, report: int | None = No
     return docs.join(per_doc, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_clean(list(keep)), schema)
 
 
+#: Rows of depths or pairs in one Arrow batch.
+_ROWS = 50_000
+
+
+def _joined(parts: list[dict[str, np.ndarray | list]], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(p[k], t) for p in parts]) for k, t in kinds.items()], names=list(kinds))
+
+
+def _prefix_digests(first: bytes, rest: bytes) -> np.ndarray:
+    """Digests of first, of first and one byte of rest, and so on."""
+    at, out = hashlib.blake2b(first, digest_size=8), []
+    out.append(at.digest())
+    for i in range(len(rest)):
+        at.update(rest[i : i + 1])
+        out.append(at.digest())
+    return np.frombuffer(b"".join(out), np.int64)
+
+
 def _depths(core: int):
     """For each number of bytes before (side 0) and after (side 1) the anchor: its hash, and the next byte as least and largest."""
+    kinds = {"m": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "side": pa.int32(), "depth": pa.int32(), "h": pa.int64(), "low": pa.int32(), "high": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             for m, s1, s2, b, t in zip(*(batch.column(c).to_pylist() for c in ("m", "s1", "s2", "before", "bytes")), strict=True):
-                raw = np.frombuffer(t, np.uint8)
-                sums = tx.prefix_sums(tx.BYTE_VALUES[raw])
-                rest = raw[b + core :]
-                e, d = np.arange(b + 1), np.arange(len(rest) + 1)
-                h = np.concatenate([tx.stretch_hashes(sums, b - e, np.full(len(e), b + core)), tx.stretch_hashes(sums, np.full(len(d), b), b + core + d)])
-                after = [raw[:b][::-1].astype(np.int32), rest.astype(np.int32)]  # a context's end differs from everything
-                low, high = (np.concatenate([after[0], [x], after[1], [x]]).astype(np.int32) for x in (-1, 256))
+                left, middle, right = t[:b][::-1], t[b : b + core], t[b + core :]
+                e, d = np.arange(len(left) + 1), np.arange(len(right) + 1)
+                after = [np.frombuffer(x, np.uint8).astype(np.int32) for x in (left, right)]  # a context's end differs from everything
+                low, high = (np.concatenate([after[0], [x], after[1], [x]]) for x in (-1, 256))
+                h = np.concatenate([_prefix_digests(middle, left), _prefix_digests(middle, right)])
                 n = len(h)
-                columns = [np.full(n, m), np.full(n, s1), np.full(n, s2), np.repeat([0, 1], [len(e), len(d)]).astype(np.int32), np.concatenate([e, d]).astype(np.int32), h.view(np.int64), low, high]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["m", "s1", "s2", "side", "depth", "h", "low", "high"])
+                held.append({"m": np.full(n, m), "s1": np.full(n, s1), "s2": np.full(n, s2), "side": np.repeat([0, 1], [len(e), len(d)]), "depth": np.concatenate([e, d]), "h": h, "low": low, "high": high})
+                rows += n
+                if rows >= _ROWS:
+                    yield _joined(held, kinds)
+                    held, rows = [], 0
+        if held:
+            yield _joined(held, kinds)
 
     return run
 
 
 def _pairs(least: int, core: int):
     """For each pair of depths at which a context's two sides branch: the name of the bytes between, and the next bytes."""
+    kinds = {"repeat": pa.string(), "m": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "n": pa.int32(), "left": pa.int32(), "n_bytes": pa.int32()} | dict.fromkeys(("l0", "l1", "r0", "r1"), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {k: [] for k in kinds}
         for batch in batches:
             for m, s1, s2, n, b, t, lefts, rights in zip(*(batch.column(c).to_pylist() for c in ("m", "s1", "s2", "n", "before", "bytes", "lefts", "rights")), strict=True):
                 end = len(t)
-                found = [(left, right) for left in {*lefts, b} for right in {*rights, end - b - core} if left + core + right >= least]
-                names, ends = [], []
-                for left, right in found:
-                    i, j = b - left, b + core + right
-                    names.append(hashlib.sha256(t[i:j]).hexdigest())
-                    ends.append((t[i - 1] if i else -1, t[i - 1] if i else 256, t[j] if j < end else -1, t[j] if j < end else 256))
-                k = len(found)
-                whole = [np.full(k, m), np.full(k, s1), np.full(k, s2), np.full(k, n, np.int32)]
-                each = [pa.array([left for left, _ in found], pa.int32()), pa.array([left + core + right for left, right in found], pa.int32())]
-                sides = [pa.array([x[c] for x in ends], pa.int32()) for c in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *map(pa.array, whole), *each, *sides], names=["repeat", "m", "s1", "s2", "n", "left", "n_bytes", "l0", "l1", "r0", "r1"])
+                for left in {*lefts, b}:
+                    for right in {*rights, end - b - core}:
+                        if left + core + right >= least:
+                            i, j = b - left, b + core + right
+                            before, after = (t[i - 1],) * 2 if i else (-1, 256), (t[j],) * 2 if j < end else (-1, 256)
+                            row = (hashlib.sha256(t[i:j]).hexdigest(), m, s1, s2, n, left, j - i, *before, *after)
+                            for k, x in zip(kinds, row, strict=True):
+                                held[k].append(x)
+                if len(held["m"]) >= _ROWS:
+                    yield _joined([held], kinds)
+                    held = {k: [] for k in kinds}
+        if held["m"]:
+            yield _joined([held], kinds)
 
     return run
 

@@ -1,11 +1,17 @@
 """Vectorised hashing of the bytes and words in Arrow batches of texts.
 
 Hashes are polynomials modulo 2**64 over random byte values, so the hash of any
-stretch comes from two prefix sums, whatever its place in the buffer.
+stretch comes from two prefix sums, whatever its place in the buffer. They find what may be
+equal. Modulo a power of two, Thue-Morse strings of 1,024 bytes and their complements are equal whatever the
+values are; therefore long words are hashed by BLAKE2b, and what decides whether stretches are equal
+is `digests` of their bytes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from hashlib import blake2b
+
 import numpy as np
 
 U = np.uint64
@@ -17,11 +23,12 @@ _WORD_INVERSE = pow(_WORD_BASE, -1, 1 << 64)
 PIECE = 1 << 20
 
 BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-#: For a second, independent hash.
-OTHER_VALUES = np.random.default_rng(20250311).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 FOLDED_VALUES = BYTE_VALUES.copy()
 FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
 
+#: Words of more bytes are hashed by BLAKE2b.
+LONG_WORD = 64
+
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -66,6 +73,19 @@ def word_stretch_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) ->
     return stretch_hashes(sums, start, end, _WORD_INVERSE)
 
 
+def digests(stretches: Iterable[bytes], size: int = 16) -> np.ndarray:
+    """BLAKE2b of each stretch, as rows of 64-bit words."""
+    return np.frombuffer(b"".join([blake2b(x, digest_size=size).digest() for x in stretches]), "<u8").reshape(-1, size // 8)
+
+
+def spelled(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of a text with single spaces between them, and where they begin and end there."""
+    found = text.split()
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    end = np.cumsum(size + 1) - 1
+    return b" ".join(found), end - size, end
+
+
 def binary_column(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the offsets of an Arrow binary column; nulls are empty."""
     n = len(column)
@@ -101,7 +121,11 @@ def _words_at_once(data: np.ndarray, bounds: np.ndarray, values: np.ndarray) ->
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return stretch_hashes(prefix_sums(values[data]), start, end), start
+    hashes = stretch_hashes(prefix_sums(values[data]), start, end)
+    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+        word = data[start[k] : end[k]].tobytes()
+        hashes[k] = digests([word.lower() if values is FOLDED_VALUES else word], 8)[0, 0]
+    return hashes, start
 
 
 def words(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
