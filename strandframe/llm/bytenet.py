@@ -15,10 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import text as tx
-from .common import small_batches
+from .common import packed, schema_of, small_batches, unpacked
 
 WIDTH, FILTERS, BLOCK = 5, 16, 256
 #: Bound of the training sample: rows, and bytes of each text that are learnt from.
@@ -156,15 +155,15 @@ class Net:
         return self
 
 
-def _score(keep: list[str], model):
+def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = pickle.loads(model.value)
         for batch in batches:
-            data, offsets = tx.binary_column(batch.column("__text"))
+            data, offsets = tx.binary_column(batch.column("text"))
             scores = np.zeros(batch.num_rows)
             for i, j in tx.groups_of_docs(offsets, GROUP_BYTES):
                 scores[i:j] = net.scores(data, offsets[i : j + 1])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(scores)], names=["__row", "score"])
 
     return run
 
@@ -199,11 +198,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str], net: Net
     """The columns `keep` and `score`, the probability of quality 1, for every whole text.
 
     Null and empty texts get the score of no evidence. Repeated rows get equal scores; an empty table
-    gives an empty result; other columns are not looked at.
+    gives an empty result. Long texts go through piece by piece. A kept column named score is replaced; other columns are not looked at.
     """
     spark = docs.sparkSession
     small_batches(spark)
     net = net or train_quality(docs, labels)
     model = spark.sparkContext.broadcast(pickle.dumps(net))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("binary").alias("__text"))
-    return rows.mapInArrow(_score(keep, model), T.StructType(rows.drop("__text").schema.fields).add("score", "double"))
+    rows = packed(docs, keep, F.col("text").cast("binary").alias("text"))
+    return unpacked(rows.mapInArrow(_score(model), schema_of(rows, ["__row"], "score double")), "score")

@@ -9,8 +9,9 @@ import tempfile
 import uuid
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in one Arrow batch; texts are long, so batches hold fewer rows than Spark's default of 10,000.
 BATCH_ROWS = 2000
@@ -27,6 +28,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def packed(docs: DataFrame, keep: list[str], *others: Column) -> DataFrame:
+    """The columns `keep` as one struct __row beside the columns that an operator reads, so that no name clashes."""
+    return docs.select(F.struct(F.lit(0).alias("__0"), *[F.col(f"`{c}`") for c in keep]).alias("__row"), *others)  # a struct can't be empty
+
+
+def schema_of(rows: DataFrame, columns: list[str], ddl: str) -> T.StructType:
+    """The columns as they are, and those of a DDL text."""
+    return T.StructType([*(rows.schema[c] for c in columns), *T.StructType.fromDDL(ddl).fields])
+
+
+def unpacked(rows: DataFrame, *new: str) -> DataFrame:
+    """The columns of __row, but for those of the names `new`, and these."""
+    kept = [c for c in rows.schema["__row"].dataType.names if c != "__0" and c not in new]
+    return rows.select(*[F.col(f"__row.`{c}`") for c in kept], *new)
+
+
 #: A row's id holds its place in its file in the lower bits and the file's number in the upper ones.
 ROW_BITS, MOST_FILES = 40, 1 << 20
 

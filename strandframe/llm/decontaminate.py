@@ -15,9 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import small_batches, stash
+from .common import packed, schema_of, small_batches, stash, unpacked
 
 #: Words of a test phrase.
 WINDOW = 10
@@ -202,7 +201,7 @@ def _mapper(phrases, round_one: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = phrases.value
         for batch in batches:
-            docs = [words_of(t) for t in batch.column("__text").to_pylist()]
+            docs = [words_of(t) for t in batch.column("text").to_pylist()]
             spans, items = _search(docs, known)
             if not round_one:
                 spans = [_merged([(s["first"], s["end"]) for s in old] + new) for old, new in zip(batch.column("spans").to_pylist(), spans, strict=True)]
@@ -224,19 +223,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
     benchmark: item_id, text. A null or empty text has no words and no phrases; an item with
     a null id marks words but is not listed. Repeated items and documents are each taken as
     they come; either table may be empty. Longer benchmarks than block_words go in
-    several rounds over the documents, each with the items of one block.
+    several rounds over the documents, each with the items of one block. Long texts and long words are taken whole. Kept columns of the new names are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("binary").alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
     size = items.agg(F.sum("n")).first()[0] or 0
     blocks = 1 + int(size // (6 * block_words))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__text"))
-    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string("n_words long, spans array<struct<first:int,end:int>>, items array<string>").fields])
+    rows = packed(docs, keep, F.col(f"`{text}`").cast("binary").alias("text"))
+    schema = schema_of(rows, ["__row", "text"], "n_words long, spans array<struct<first:int,end:int>>, items array<string>")
     for b in range(blocks):
         mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
         phrases = spark.sparkContext.broadcast(Phrases([(r["id"], bytes(r["text"]) if r["text"] is not None else None) for r in mine.select("id", "text").toLocalIterator()], window))
         rows = rows.mapInArrow(_mapper(phrases, b == 0), schema)
         if b < blocks - 1:
             rows = stash(rows)
-    return rows.drop("__text")
+    return unpacked(rows, "n_words", "spans", "items")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, stash, with_rid
+from .common import discard, packed, schema_of, small_batches, stash, unpacked, with_rid
 
 ORDER, BITS = 5, 12
 SYMBOLS = 1 << BITS
@@ -237,8 +237,7 @@ def entropies(rows: DataFrame, stored: DataFrame, most: int = BLOCK_ENTRIES) ->
     for k, langs in enumerate(blocks or [[]]):
         models = spark.sparkContext.broadcast(_load(stored, langs) if langs else [])
         keep = [c for c in rows.columns if c != "text" and (k == 0 or c == "__rid")]
-        kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-        part = rows.select(*keep, "text").mapInArrow(_scores(models, keep), f"{kinds}, n_symbols long, has_letter boolean, total array<double>")
+        part = rows.select(*keep, "text").mapInArrow(_scores(models, keep), schema_of(rows, keep, "n_symbols long, has_letter boolean, total array<double>"))
         parts.append(part if len(blocks) < 2 else stash(part))
         names += langs
     out = parts[0]
@@ -318,18 +317,19 @@ def identify(docs: DataFrame, learn: Column, keep: list[str] | None = None, part
         measured = stash(_decided(scored, names))
         curve, limits = _calibrated(measured, F.col("__row.lang"), names)
         discard(measured)
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "rejected", "cross_entropy", "n_symbols")]
-    _, scored = entropies(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), "text"), stored, most)
+    kept = docs.columns if keep is None else keep
+    _, scored = entropies(packed(docs, kept, F.col("text")), stored, most)
     decided = _decided(scored, names)
     sure = F.col("has_letter") & F.col("best").isNotNull()
     at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("best")) if values else F.lit(None)
     score = F.when(sure, 1 / (1 + F.exp(-(F.lit(curve[0]) + F.lit(curve[1]) * F.col("x"))))).otherwise(0.0)
     limit = at([m for m, _, _ in limits]) + DEVIATIONS * F.sqrt(at([t for _, t, _ in limits]) + at([s for _, _, s in limits]) / F.col("n_symbols"))
-    return decided.select(
-        "__row.*",
+    labelled = decided.select(
+        "__row",
         F.when(sure, at(names)).otherwise("und").cast("string").alias("lang_pred"),
         score.alias("score"),
         (~sure | (score < 0.5) | F.coalesce(F.col("least") > limit, F.lit(False))).alias("rejected"),
         F.when(sure, F.col("least")).cast("double").alias("cross_entropy"),
         "n_symbols",
     )
+    return unpacked(labelled, "lang_pred", "score", "rejected", "cross_entropy", "n_symbols")

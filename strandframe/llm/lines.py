@@ -35,13 +35,14 @@ def drop_boilerplate(docs: DataFrame, site: str, text: str = "text", sites: int
     if these are, and empty ones stay. Returns all columns with the cleaned text, and
     n_lines and n_removed. A null text stays null, with no lines; rows with a null site lose
     boilerplate but make none. Repeated rows are rows of their own; an empty table
-    gives an empty result; other columns pass through.
+    gives an empty result. Long texts and long lines are taken whole. Columns n_lines and n_removed are replaced; others pass through.
     """
-    kept = docs.columns
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = with_rid(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.col(f"`{site}`").alias("site"), F.split(F.col(f"`{text}`"), "\n", -1).alias("lines")), "rid")
     each = rows.select("rid", "site", F.posexplode(F.transform("lines", lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))).alias("i", "line"))
     common = boilerplate(each.filter(F.col("line").isNotNull()).select("line", "site"), sites)
-    flagged = each.join(common.withColumn("hit", F.lit(True)), "line", "left")
+    told = each.filter(F.col("line").isNotNull()).join(common.withColumn("hit", F.lit(True)), "line", "left").select("rid", "i", "hit")
+    flagged = told.unionByName(each.filter(F.col("line").isNull()).select("rid", "i", F.lit(None).cast("boolean").alias("hit")))  # blank lines have no key to meet on
     flags = flagged.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("flags"), F.max("hit").alias("any")).filter(F.col("any"))
     out = rows.join(flags, "rid", "left")
     left = F.filter(F.zip_with("lines", F.col("flags.hit"), lambda x, hit: F.when(~hit, x)), lambda x: x.isNotNull())

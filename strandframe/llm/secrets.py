@@ -17,9 +17,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import packed, schema_of, small_batches, unpacked
 
 # Kinds in the order in which equal starts are listed, and their patterns.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "iban", "card")
@@ -58,10 +57,12 @@ def iban_holds(code: str) -> bool:
 
 
 def jwt_holds(header: str) -> bool:
+    """Whether it decodes to an object that names its algorithm. What isn't JSON, or nested beyond what the parser takes, is none."""
     try:
-        return "alg" in json.loads(urlsafe_b64decode(header + "=" * (-len(header) % 4)))
-    except ValueError:
+        found = json.loads(urlsafe_b64decode(header + "=" * (-len(header) % 4)))
+    except (ValueError, RecursionError):
         return False
+    return isinstance(found, dict) and "alg" in found
 
 
 #: kind: (pattern, keywords in lower case, whether a match counts).
@@ -119,15 +120,13 @@ def find(text: str | None, automaton: ahocorasick.Automaton) -> list[tuple[int,
     return sorted(out)
 
 
-def _scan(keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton()
-        for batch in batches:
-            found = [find(t, automaton) for t in batch.column("__text").to_pylist()]
-            spans = pa.array([[{"kind": KINDS[k], "first": a, "end": b} for a, k, b in x] for x in found], pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), spans], names=[*keep, "secrets"])
-
-    return run
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    automaton = _automaton()
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        found = [find(t, automaton) for t in batch.column("text").to_pylist()]
+        spans = pa.array([[{"kind": KINDS[k], "first": a, "end": b} for a, k, b in x] for x in found], kind)
+        yield pa.RecordBatch.from_arrays([batch.column("__row"), spans], names=["__row", "secrets"])
 
 
 def scan_secrets(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -135,9 +134,8 @@ def scan_secrets(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
 
     Each kind is matched from left to right without overlaps; kinds may overlap each other. A
     null or empty text holds none. Repeated rows are scanned each; an empty table gives an empty
-    result; no other column matters.
+    result. Long texts and long words are scanned whole. A kept column named secrets is replaced; no other column matters.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    found = T.StructType.fromDDL("secrets array<struct<kind:string,first:int,end:int>>")
-    return rows.mapInArrow(_scan(keep), T.StructType([*rows.drop("__text").schema.fields, *found.fields]))
+    rows = packed(docs, keep, F.col(f"`{text}`").alias("text"))
+    return unpacked(rows.mapInArrow(_scan, schema_of(rows, ["__row"], "secrets array<struct<kind:string,first:int,end:int>>")), "secrets")

@@ -140,6 +140,9 @@ def test_components(spark):
 
 
 # 3
+REPORTED = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")
+
+
 def covered_by_repeats(raw, length):
     """For each text, which bytes a string of that length covers that starts anywhere else."""
     seen = Counter(t[p : p + length] for t in raw for p in range(len(t) - length + 1))
@@ -164,7 +167,7 @@ def brute_substrings(rows, length, report):
 
 @pytest.mark.parametrize("block", [20_000, 2])
 def test_substrings(docs, empty, block):
-    got = suffix.dedup_substrings(docs, length=40, block=block)
+    got = suffix.dedup_substrings(docs, length=40, report=24, keep=REPORTED, block=block)
     assert rows_of(got, *got.columns) == brute_substrings([(i, t) for i, t, *_ in DOCS], 40, 24)
     assert suffix.dedup_substrings(empty, length=40).count() == 0
 
@@ -174,7 +177,7 @@ def test_substrings_that_overlap_themselves(spark, block):
     rng = random.Random(21)
     some = lambda n: "".join(rng.choice("ab") for _ in range(n))
     rows = list(enumerate([*(some(rng.randint(0, 90)) for _ in range(40)), "a" * 70, "a" * 23, "ab" * 50, "abc" * 9, some(300) * 3]))
-    got = suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), length=15, report=9, core=4, block=block)
+    got = suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), length=15, report=9, core=4, keep=REPORTED, block=block)
     assert rows_of(got, *got.columns) == brute_substrings(rows, 15, 9)
 
 
@@ -468,11 +471,60 @@ def test_mixing(spark, docs, empty):
     assert again == Counter((r["doc_id"], r["copies"]) for r in got)
 
 
-def test_newton_steps(spark):
-    units = spark.createDataFrame([("a", 10, 5), ("a", 3, 2), ("b", 1, 1), (None, 4, 4)], "source string, size long, n long")
-    wanted = spark.createDataFrame([("a", 5.6), ("b", 2.0), (None, 0.0)], "source string, target double")
-    got = {r["source"]: r["lam"] for r in balance.multipliers(units, wanted).collect()}
-    assert got["a"] == pytest.approx(np.log(0.1)) and got["b"] == pytest.approx(np.log(2)) and got[None] is None
+def brute_rates(sizes, sources, wanted, most):
+    """The rates of least entropy by plain Newton steps with halving, on all documents and the full Hessian."""
+    names = sorted(wanted)
+    uniform = sum(wanted[s] / sum(n for n, o in zip(sizes, sources) if o == s) for s in sources)
+    design = np.array([[n if o == s else 0 for s in names] + [1] for n, o in zip(sizes, sources)], float) / [*[np.mean(sizes)] * len(names), 1]
+    goal = np.array([wanted[s] / np.mean(sizes) for s in names] + [uniform])
+    dual = lambda w: most * np.logaddexp(0, design @ w - np.log(most - 1)).sum() - goal @ w
+    w = np.zeros(len(goal))
+    for _ in range(200):
+        rate = most / (1 + np.exp(-(design @ w - np.log(most - 1))))
+        g = design.T @ rate - goal
+        step = -np.linalg.lstsq(design.T @ (design * (rate * (1 - rate / most))[:, None]), g, rcond=None)[0]
+        t = 1.0
+        while dual(w + t * step) > dual(w) + 1e-4 * t * (g @ step) and t > 1e-6 and abs(g).max() > 1e-6:
+            t /= 2
+        w = w + t * step
+    return rate
+
+
+@pytest.mark.parametrize("most", [2.0, 3.0])
+def test_rates_by_brute_force(spark, most):
+    rng = random.Random(31)
+    docs = [(s, rng.choice([1, 2, 5, 9, 30, 200]) + rng.randrange(3)) for s in "abc" for _ in range(40)]
+    size = Counter()
+    for s, n in docs:
+        size[s] += n
+    wanted = {"a": 0.4 * size["a"], "b": 0.9 * most * size["b"], "c": 1.1 * size["c"]}
+    units = spark.createDataFrame([(s, n, k) for (s, n), k in Counter(docs).items()] + [("full", 7, 3), ("none", 4, 4), (None, 0, 5)], "source string, size long, n long")
+    table = spark.createDataFrame([*wanted.items(), ("full", 21 * most), ("none", 0.0), (None, 0.0)], "source string, target double")
+    lam, mu = balance.multipliers(units, table, most)
+    lam = {r["source"]: r["lam"] for r in lam.collect()}
+    assert set(lam) == {"a", "b", "c"}
+    got = np.array([most / (1 + np.exp(-(-np.log(most - 1) + lam[s] * n + mu))) for s, n in docs])
+    want = brute_rates([n for _, n in docs], [s for s, _ in docs], wanted, most)
+    assert got == pytest.approx(want, abs=1e-6) and len(np.unique(got.round(6))) > 20  # rates depend on the documents
+    for s, n in wanted.items():
+        assert sum(r * m for r, (o, m) in zip(got, docs) if o == s) == pytest.approx(n, rel=1e-8)
+    one_size = spark.createDataFrame([("a", 10, 5), ("b", 10, 2)], "source string, size long, n long")
+    alone, mu = balance.multipliers(one_size, spark.createDataFrame([("a", 25.0), ("b", 30.0)], "source string, target double"), 2.0)
+    assert {r["source"]: 2 / (1 + np.exp(-(r["lam"] * 10 + mu))) for r in alone.collect()} == {"a": pytest.approx(0.5), "b": pytest.approx(1.5)}
+
+
+def test_rounding_follows_rates(spark):
+    rng = random.Random(37)
+    rows = [(i, "w " * rng.choice([1, 3, 10, 400]), rng.choice(["x", "y", "z", None])) for i in range(700)]
+    got = balance.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), lot=40).collect()
+    due, taken = Counter(), Counter()
+    for r in got:
+        assert 0 <= r["rate"] <= 2 and r["copies"] in (0, 1, 2)
+        due[r["source"]] += r["rate"] * r["size"]
+        taken[r["source"]] += r["copies"] * r["size"]
+        due["target", r["source"]] = r["target"]
+    for s in ("x", "y", "z", None):
+        assert due[s] == pytest.approx(due["target", s], rel=1e-6) and abs(taken[s] - due[s]) <= 0.01 * due[s] + 20
 
 
 # 9
