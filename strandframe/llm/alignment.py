@@ -5,7 +5,7 @@ adds up rows of B') links tokens that overlap. Where the last link of one A toke
 no B token in common, both vocabularies end a token: there groups are cut. The product of the group incidence
 matrices then links all tokens that share a group.
 
-Neither tokenizer joins anything across a single space between two visible characters, so a text is a sequence of units, and a
+Neither tokenizer joins anything across a single space between two visible characters, or from a letter to a stop, so a text is a sequence of units, and a
 task aligns each distinct unit once. How many documents hold a pair of ids linked is a Spark aggregation over all documents.
 The commonest pairs, up to a bound, go to the tasks as sorted arrays; the counts of all others come by a join.
 """
@@ -24,18 +24,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, stash, with_rid
+from .common import discard, packed, schema_of, small_batches, stash, unpacked, with_rid
 
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs of ids whose counts are broadcast (17 bytes each).
 HEAD = 1 << 20
 #: Characters of text that are aligned at once, and what the units that a task remembers may hold: characters, of units up to a length, and links.
-PIECE, MOST_CHARS, LONGEST, MOST_LINKS = 1 << 19, 1 << 22, 64, 1 << 21
+PIECE, MOST_CHARS, LONGEST, MOST_LINKS = 1 << 19, 1 << 22, 64, 1_500_000
+#: Bytes of units that are encoded as one text.
+TOGETHER = 1 << 14
 #: Products that a block of rows may add up.
 BLOCK = 1 << 21
 
 _UNITS = re.compile(r"(?<=\S) (?=\S)")
+_STOPS = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ώЀ-ҁ])(?=[.,;:!?])")  # these ranges hold letters only
+#: Begins a unit that goes on from a letter without a space. Texts that hold it are one unit, in a tuple.
+_ON = "\0"
+
+
+def _goes_on(unit) -> bool:
+    return isinstance(unit, str) and unit[0] == _ON
 
 
 class Csr:
@@ -101,10 +110,57 @@ class Tokenizers:
         split = rules.get("pre_tokenizer") or {}
         #: Whether texts may be cut at single spaces: no token of either vocabulary then goes on after one.
         self.cuts = rules.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not any("▁" in p.lstrip("▁") for p in pieces)
-        self.cuts &= self.b.encode("a  b") == self.b.encode("a  b c")[: len(self.b.encode("a  b"))]
-
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)], self.b.encode(units, num_threads=1)
+        self.cuts &= not any(_STOPS.search(p) for p in pieces) and self.b.encode("a  b") == self.b.encode("a  b c")[: len(self.b.encode("a  b"))]
+        self.letter = tuple(len(x[0]) for x in self.encode(["a"]))
+        self.widths = tuple(np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes))
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        return [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+
+    def units(self, text: str) -> list:
+        if not text:
+            return []
+        if not self.cuts or _ON in text:
+            return [(text,)]
+        return _UNITS.split(_STOPS.sub(" " + _ON, text))
+
+    def one_by_one(self, units: list) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """For either vocabulary the ids of all units and their number in each, and whether they spell it. What goes on from a letter is encoded after one, whose tokens are cut off."""
+        on = [_goes_on(u) for u in units]
+        a, b = self.encode(["a" + u[1:] if o else u if isinstance(u, str) else u[0] for u, o in zip(units, on, strict=True)])
+        a, b = ([x[k:] if o else x for x, o in zip(ids, on, strict=True)] for ids, k in zip((a, b), self.letter, strict=True))
+        spelled = [(u[1:] if o else " " + u if isinstance(u, str) else " " + u[0]).encode() for u, o in zip(units, on, strict=True)]
+        ok = [b"".join(map(self.a_bytes.__getitem__, x)) == b"".join(map(self.b_bytes.__getitem__, y)) == u for u, x, y in zip(spelled, a, b, strict=True)]
+        out = []
+        for ids in (a, b):
+            kept = [x if o else [] for x, o in zip(ids, ok, strict=True)]
+            out.append((np.fromiter(chain.from_iterable(kept), np.int64), np.array([len(x) for x in kept], np.int64), np.array(ok, bool)))
+        return out
+
+    def together(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same for units that begin and end visibly, which are encoded as texts of many units; these are cut where the units end."""
+        on = np.array([_goes_on(u) for u in units], bool)
+        texts = ["a" + u[1:] if o else u for u, o in zip(units, on.tolist(), strict=True)]
+        size = np.array([len(t.encode()) + 1 for t in texts], np.int64)
+        cut = np.searchsorted(np.cumsum(size) // TOGETHER, np.arange(size.sum() // TOGETHER + 2))
+        parts = [slice(i, j) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if j > i]
+        joined = [" ".join(texts[p]) for p in parts]
+        found: list[list] = [[], []]
+        for p, text, *both in zip(parts, joined, *self.encode(joined), strict=True):
+            ends, raw, mine = np.cumsum(size[p]), (" " + text).encode(), []
+            for ids, of, width, letter in zip(both, (self.a_bytes, self.b_bytes), self.widths, self.letter, strict=True):
+                ids = np.array(ids, np.int64)
+                at = np.searchsorted(np.cumsum(width[ids]), ends) + 1
+                if b"".join(map(of.__getitem__, ids.tolist())) != raw or (np.cumsum(width[ids])[at - 1] != ends).any():
+                    break
+                first = np.concatenate([[0], at[:-1]])
+                keep = np.ones(len(ids), bool)
+                for k in range(letter):
+                    keep[first[on[p]] + k] = False
+                mine.append((ids[keep], at - first - letter * on[p], np.ones(len(at), bool)))
+            for out, x in zip(found, mine if len(mine) == 2 else self.one_by_one(units[p]), strict=True):
+                out.append(x)
+        return [tuple(map(np.concatenate, zip(*x, strict=True))) for x in found]
 
 
 @lru_cache(2)
@@ -112,20 +168,23 @@ def load(a_path: str, b_path: str) -> Tokenizers:
     return Tokenizers(a_path, b_path)
 
 
-def _joined(ids: np.ndarray, of: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    return [b"".join(x) for x in np.split(of[ids], np.cumsum(lengths)[:-1])] if len(lengths) else []
+@lru_cache(1)
+def _written(n: int) -> list[str]:
+    """Ids below n as text before a comma, a bar and a semicolon."""
+    return [f"{i}{c}" for c in ",|;" for i in range(n)]
 
 
 class Links:
-    """Tokens, groups and links of distinct units."""
-
-    def __init__(self, units: list[str], made: Tokenizers):
-        a_ids, b_ids = made.encode(units)
-        self.ok = np.array([b"".join(map(made.a_bytes.__getitem__, x)) == b"".join(map(made.b_bytes.__getitem__, y)) == (" " + u).encode() for u, x, y in zip(units, a_ids, b_ids, strict=True)], bool)
-        a_ids, b_ids = ([x if ok else [] for x, ok in zip(ids, self.ok, strict=True)] for ids in (a_ids, b_ids))
-        self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
-        self.a, self.b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a_ids, b_ids))
-        a, b = (self._incidence(ids, of) for ids, of in ((self.a, made.a_bytes), (self.b, made.b_bytes)))
+    """Tokens, groups and links of distinct units, in an order of its own (`units`)."""
+
+    def __init__(self, units: list, made: Tokenizers):
+        visible = [made.cuts and isinstance(u, str) and not (u[0].isspace() or u[-1].isspace()) for u in units]
+        order = np.argsort(~np.array(visible, bool), kind="stable")
+        units = [units[i] for i in order.tolist()]
+        self.units, n = units, sum(visible)
+        sides = [f(part) for f, part in ((made.together, units[:n]), (made.one_by_one, units[n:])) if part]
+        (self.a, self.n_a, self.ok), (self.b, self.n_b, _) = (tuple(map(np.concatenate, zip(*(x[side] for x in sides), strict=True))) for side in (0, 1))
+        a, b = self._incidence(self.a, made.widths[0]), self._incidence(self.b, made.widths[1])
         self.overlaps = product(a, b.transposed())  # tokens by tokens, the bytes in common
         last, first = self.overlaps.columns[self.overlaps.start[1:] - 1], self.overlaps.columns[self.overlaps.start[:-1]]
         cut = np.append(last[:-1] < first[1:], True)[: len(self.a)]
@@ -149,22 +208,34 @@ class Links:
         self.shown = self._show(len(units))
 
     @staticmethod
-    def _incidence(ids: np.ndarray, of: list[bytes]) -> Csr:
-        size = np.array([len(of[i]) for i in ids.tolist()], np.int64)
-        start = np.concatenate([[0], np.cumsum(size)])
+    def _incidence(ids: np.ndarray, widths: np.ndarray) -> Csr:
+        start = np.concatenate([[0], np.cumsum(widths[ids])])
         return Csr(start, np.arange(start[-1]), np.ones(start[-1], np.int64), int(start[-1]))
 
     def _show(self, n: int) -> list[bytes]:
         """The groups of each unit as text."""
-        sides = []
-        for ids, group in ((self.a, self.group_a), (self.b, self.group_b)):
-            words = list(map(str, ids.tolist()))
-            ends = np.flatnonzero(np.append(group[1:] != group[:-1], True))[: len(group)] + 1
-            begins = np.concatenate([[0], ends[:-1]]).tolist() if len(ends) else []
-            sides.append([",".join(words[i:j]) for i, j in zip(begins, ends.tolist(), strict=True)])
-        groups = [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
-        at = np.concatenate([[0], np.cumsum(self.n_groups)]).tolist()
-        return [";".join(groups[i:j]).encode() for i, j in zip(at[:-1], at[1:], strict=True)]
+        top = int(max(self.a.max(initial=0), self.b.max(initial=0))) + 1
+        ends = [np.append(g[1:] != g[:-1], True)[: len(g)] for g in (self.group_a, self.group_b)]
+        code = np.concatenate([self.a + top * ends[0], self.b + 2 * top * ends[1]])
+        order = np.argsort(np.concatenate([2 * self.group_a, 2 * self.group_b + 1]), kind="stable")
+        words = list(map(_written(1 << top.bit_length()).__getitem__, (code // top * (1 << top.bit_length()) + code % top)[order].tolist()))
+        at = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)]).tolist()
+        return ["".join(words[i:j])[:-1].encode() for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+class _Grown:
+    """An array that grows by doubling."""
+
+    def __init__(self, *shape: int):
+        self.held, self.n = np.zeros((1024, *shape), np.int64), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            grown = np.zeros((2 * (self.n + len(more)), *self.held.shape[1:]), np.int64)
+            grown[: self.n] = self.held[: self.n]
+            self.held = grown
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
 
 
 class _Known:
@@ -175,26 +246,28 @@ class _Known:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict = {}
         self.chars, self.shown = 0, []
-        self.numbers, self.start = np.zeros((0, 5), np.int64), np.zeros(1, np.int64)
-        self.pairs, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.numbers, self.start, self.pairs, self.links = _Grown(5), _Grown(), _Grown(), _Grown()
+        self.start.add(np.zeros(1, np.int64))
 
-    def of(self, units: list[str]) -> np.ndarray:
+    def of(self, units: list) -> np.ndarray:
         """Places of the units; they hold until the next call."""
-        if self.chars > MOST_CHARS or len(self.pairs) > MOST_LINKS:
+        if self.chars > MOST_CHARS or self.pairs.n > MOST_LINKS:
             self.clear()
         fresh = list(set(units).difference(self.place))
         if fresh:
             new = Links(fresh, self.made)
+            fresh = new.units
             self.place.update(zip(fresh, range(len(self.shown), len(self.shown) + len(fresh)), strict=True))
             self.chars += sum(map(len, fresh))
             self.shown += new.shown
-            self.numbers = np.concatenate([self.numbers, np.stack([new.n_a, new.n_b, new.n_groups, new.n_links, ~new.ok], 1)])
-            self.start = np.concatenate([self.start, self.start[-1] + new.start[1:]])
-            self.pairs, self.links = np.concatenate([self.pairs, new.pairs]), np.concatenate([self.links, new.links])
+            self.numbers.add(np.stack([new.n_a, new.n_b, new.n_groups, new.n_links, ~new.ok], 1))
+            self.start.add(self.start.held[self.start.n - 1] + new.start[1:])
+            self.pairs.add(new.pairs)
+            self.links.add(new.links)
         found = np.array(list(map(self.place.__getitem__, units)), np.int64)
-        for unit in [u for u in fresh if len(u) > LONGEST]:
+        for unit in [u for u in fresh if isinstance(u, tuple) or len(u) > LONGEST]:
             del self.place[unit]  # long units hardly come again
         return found
 
@@ -202,7 +275,7 @@ class _Known:
 def _cut(text: str, cuts: bool) -> Iterator[str]:
     """A text in pieces of about PIECE characters, which end between units."""
     a = 0
-    while cuts and len(text) - a > PIECE:
+    while cuts and _ON not in text and len(text) - a > PIECE:
         gap = _UNITS.search(text, a + PIECE)
         if not gap:
             break
@@ -235,21 +308,21 @@ def _aligned(a_path: str, b_path: str, keep: list[str]):
                 keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 pieces = [[(texts[k] or "")] for k in range(i, j)] if j > i + 1 else [_cut(texts[i] or "", made.cuts)]
                 for turn, parts in enumerate(zip(*pieces, strict=True)):
-                    units = [_UNITS.split(p) if made.cuts else [p] for p in parts]
-                    units = [u if u != [""] else [] for u in units]
+                    units = [made.units(p) for p in parts]
                     size = np.array([len(u) for u in units])
                     at = known.of(list(chain.from_iterable(units)))
                     doc = np.repeat(np.arange(j - i), size)
                     ends = np.cumsum(size)
-                    totals = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(known.numbers[at], 0)])
+                    totals = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(known.numbers.held[at], 0)])
                     numbers[i:j] += totals[ends] - totals[ends - size]
                     for k, (x, y) in enumerate(zip((ends - size).tolist(), ends.tolist(), strict=True)):
                         if y > x:
                             sums[k].update((b";" if turn else b"") + b";".join(map(known.shown.__getitem__, at[x:y].tolist())))
-                    each = np.diff(known.start)[at]
-                    entry = np.repeat(known.start[at] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-                    pair, place = np.unique(known.pairs[entry], return_inverse=True)
-                    key, n = _gathered([np.repeat(doc, each) * max(len(pair), 1) + place], [known.links[entry]])
+                    begin = known.start.held[at]
+                    each = known.start.held[at + 1] - begin
+                    entry = np.repeat(begin - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                    pair, place = np.unique(known.pairs.held[entry], return_inverse=True)
+                    key, n = _gathered([np.repeat(doc, each) * max(len(pair), 1) + place], [known.links.held[entry]])
                     part = (key // max(len(pair), 1), pair[key % max(len(pair), 1)] if len(pair) else key, n)
                     keys, counts, docs = (keys + [part[1]], counts + [part[2]], part[0])
                 if len(keys) > 2:  # a text in pieces
@@ -328,10 +401,9 @@ def align(docs: DataFrame, keep: list[str] | None = None, a_path: str = f"{FOLDE
     spark = docs.sparkSession
     small_batches(spark)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    packed = docs.select(F.struct(F.lit(0).alias("__0"), *[F.col(f"`{c}`") for c in kept]).alias("__row"), "text")
-    kind = packed.schema["__row"].dataType.simpleString()
+    rows = packed(docs, kept, F.col("text"))
     numbers = ", ".join(f"{c} long" for c in new[:4])
-    found = stash(packed.mapInArrow(_aligned(a_path, b_path, ["__row"]), f"__row {kind}, {numbers}, groups_sha256 string, a array<int>, b array<int>, links array<long>"))
+    found = stash(rows.mapInArrow(_aligned(a_path, b_path, ["__row"]), schema_of(rows, ["__row"], f"{numbers}, groups_sha256 string, a array<int>, b array<int>, links array<long>")))
     counts = stash(found.select(F.explode(F.arrays_zip("a", "b")).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")))
     highest = counts.groupBy(F.col("a").alias("__a")).agg(F.max("n").alias("highest"))
     ranked = stash(counts.join(highest, F.col("a") == F.col("__a")).select(F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("pair"), "n", (F.col("n") == F.col("highest")).alias("best")))
@@ -339,38 +411,44 @@ def align(docs: DataFrame, keep: list[str] | None = None, a_path: str = f"{FOLDE
     arrays, more = _head(ranked, head)
     keep = ["__row", *new[:5], *(("a", "b", "links") if pairs else ()), *(("__rid",) if more else ())]
     rows = with_rid(found, "__rid") if more else found
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
     columns = sorted({*keep, "a", "b", "links"})
-    summed = rows.select(*columns).mapInArrow(_counted(spark.sparkContext.broadcast(arrays), keep, more), f"{kinds}, n_best long, count_sum long" + (", rest array<struct<pair:long,n:long>>" if more else ""))
+    summed = rows.select(*columns).mapInArrow(_counted(spark.sparkContext.broadcast(arrays), keep, more), schema_of(rows, keep, "n_best long, count_sum long" + (", rest array<struct<pair:long,n:long>>" if more else "")))
     if more:
         summed = stash(summed)
         rest = summed.select("__rid", F.inline("rest").alias("pair", "times")).join(ranked.withColumnRenamed("n", "count"), "pair")
         sums = rest.groupBy("__rid").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("count") * F.col("times")).alias("more_sum"))
         with_rest = summed.join(sums, "__rid", "left")
         summed = with_rest.withColumns({"n_best": F.col("n_best") + F.coalesce("more_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("more_sum", F.lit(0))})
-    listed = [F.arrays_zip("a", "b", "links").alias("pairs")] if pairs else []
-    return summed.select("__row.*", *new[:4], "n_best", "count_sum", "groups_sha256", *listed).drop("__0")
+    if pairs:
+        summed = summed.withColumn("pairs", F.arrays_zip("a", "b", "links"))
+    return unpacked(summed, *new[:4], "n_best", "count_sum", "groups_sha256", *(["pairs"] if pairs else []))
 
 
 def _units(a_path: str, b_path: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = load(a_path, b_path)
+        made, known = load(a_path, b_path), {}
         group = pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
         link = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("bytes", pa.int32())])
         for batch in batches:
             for i, text in enumerate(batch.column("text").to_pylist()):
                 groups, overlaps, at = [], [], np.zeros(2, np.int64)
                 for part in _cut(text or "", made.cuts):
-                    units = [u for u in (_UNITS.split(part) if made.cuts else [part]) if u]
-                    links = Links(units, made)
-                    if not links.ok.all():
+                    ok = True
+                    for unit in made.units(part):
+                        if unit not in known:
+                            known[unit] = Links([unit], made)
+                        links, ok = known[unit], ok and known[unit].ok.all()
+                        if not ok:
+                            break
+                        groups += [dict(zip("ab", (list(map(int, x.split(","))) for x in g.split("|")), strict=True)) for g in links.shown[0].decode().split(";")]
+                        o = links.overlaps
+                        overlaps += [{"a": x, "b": y, "bytes": n} for x, y, n in zip((o.rows() + at[0]).tolist(), (o.columns + at[1]).tolist(), o.values.tolist(), strict=True)]
+                        at += [len(links.a), len(links.b)]
+                    if not ok:
                         groups, overlaps = [], []
                         break
-                    for shown in links.shown:
-                        groups += [dict(zip("ab", (list(map(int, x.split(","))) for x in g.split("|")), strict=True)) for g in shown.decode().split(";")]
-                    o = links.overlaps
-                    overlaps += [{"a": x, "b": y, "bytes": n} for x, y, n in zip((o.rows() + at[0]).tolist(), (o.columns + at[1]).tolist(), o.values.tolist(), strict=True)]
-                    at += [len(links.a), len(links.b)]
+                    if len(known) > 20_000:
+                        known.clear()
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in keep), pa.array([groups], pa.list_(group)), pa.array([overlaps], pa.list_(link))], names=[*keep, "groups", "overlaps"])
 
     return run
@@ -379,7 +457,6 @@ def _units(a_path: str, b_path: str, keep: list[str]):
 def token_links(docs: DataFrame, keep: list[str], a_path: str = f"{FOLDER}/{A_FILE}", b_path: str = f"{FOLDER}/{B_FILE}") -> DataFrame:
     """The columns `keep` with each text's groups (ids of both vocabularies) and overlaps (places of an a and a b token, and the bytes in common)."""
     small_batches(docs.sparkSession)
-    packed = docs.select(F.struct(F.lit(0).alias("__0"), *[F.col(f"`{c}`") for c in keep]).alias("__row"), "text")
-    kind = packed.schema["__row"].dataType.simpleString()
-    out = packed.mapInArrow(_units(a_path, b_path, ["__row"]), f"__row {kind}, groups array<struct<a:array<int>,b:array<int>>>, overlaps array<struct<a:int,b:int,bytes:int>>")
-    return out.select("__row.*", "groups", "overlaps").drop("__0")
+    rows = packed(docs, keep, F.col("text"))
+    schema = schema_of(rows, ["__row"], "groups array<struct<a:array<int>,b:array<int>>>, overlaps array<struct<a:int,b:int,bytes:int>>")
+    return unpacked(rows.mapInArrow(_units(a_path, b_path, ["__row"]), schema), "groups", "overlaps")
