@@ -70,14 +70,24 @@ def altloc_occupancy(atoms: DataFrame) -> DataFrame:
 
 
 def pick_rotamers(atoms: DataFrame, how: str) -> DataFrame:
-    """One conformer (first, highest_occupancy), or one for each letter (all); adds `conformer`, empties altloc."""
+    """One conformer (first, highest_occupancy), or one for each letter of an ATOM record (all); adds `conformer`, empties the altloc of what is chosen.
+
+    A structure without a letter on an ATOM record stays as it is. With `all`, a letter that stands on hetero atoms only is none of
+    the conformers' letters: its atoms are in each of them, and keep it.
+    """
+    file = ["structure", "model"]
+    letters = atoms.filter("record = 'ATOM' AND altloc <> ''").select(*file, F.col("altloc").alias("conformer")).distinct()
     if how == "all":
-        letters = atoms.filter("altloc <> ''").select("structure", "model", F.col("altloc").alias("conformer")).distinct()
-        both = atoms.join(letters, ["structure", "model"], "left").withColumn("conformer", F.coalesce("conformer", F.lit("")))
-        return both.filter((F.col("altloc") == "") | (F.col("altloc") == F.col("conformer"))).withColumn("altloc", F.lit(""))
+        own = letters.groupBy(*file).agg(F.collect_set("conformer").alias("__letters"))
+        both = atoms.join(own, file, "left").withColumn("conformer", F.explode(F.coalesce("__letters", F.array(F.lit("")))))
+        chosen = F.col("altloc") == F.col("conformer")
+        kept = both.filter((F.col("altloc") == "") | chosen | F.col("__letters").isNull() | ~F.array_contains("__letters", F.col("altloc")))
+        return kept.withColumn("altloc", F.when(chosen, "").otherwise(F.col("altloc"))).drop("__letters")
     rank = [F.col("altloc")] if how == "first" else [F.desc(F.round("occupancy", 9)), F.col("altloc")]
-    best = altloc_occupancy(atoms).withColumn("__rn", F.row_number().over(Window.partitionBy(*RESIDUE).orderBy(*rank))).filter("__rn = 1").select(*RESIDUE, F.col("altloc").alias("__best"))
-    return atoms.join(best, RESIDUE, "left").filter((F.col("altloc") == "") | (F.col("altloc") == F.col("__best"))).drop("__best").withColumns({"altloc": F.lit(""), "conformer": F.lit("")})
+    some = atoms.join(letters.select(*file).distinct(), file, "left_semi")
+    best = altloc_occupancy(some).withColumn("__rn", F.row_number().over(Window.partitionBy(*RESIDUE).orderBy(*rank))).filter("__rn = 1").select(*RESIDUE, F.col("altloc").alias("__best"))
+    kept = atoms.join(best, RESIDUE, "left").filter((F.col("altloc") == "") | F.col("__best").isNull() | (F.col("altloc") == F.col("__best")))
+    return kept.withColumns({"altloc": F.when(F.col("__best").isNull(), F.col("altloc")).otherwise(""), "conformer": F.lit("")}).drop("__best")
 
 
 def fits_limits(atoms: DataFrame, most_chains: int = 62) -> tuple[DataFrame, DataFrame]:
@@ -194,7 +204,17 @@ def measured_chains(df: DataFrame, assemblies: DataFrame) -> DataFrame:
     return out.filter(declared & (F.col("__m").isNull() | F.array_contains("__m", F.col("Chain")))).drop("__m")
 
 
-def anchor_atoms(atoms: DataFrame, codes: tuple, names: tuple, modified: tuple = ()) -> DataFrame:
-    """The first anchor atom of each residue of interest; `modified` codes count as well."""
-    hit = atoms.filter(F.col("resname").isin(*codes, *modified) & F.col("name").isin(*names)).withColumn("Modified", F.col("resname").isin(*modified) if modified else F.lit(False))
+def anchor_atoms(atoms: DataFrame, codes: tuple, names: tuple, modified: tuple = (), modified_names: tuple | None = None) -> DataFrame:
+    """The first anchor atom of each residue of interest; `modified` codes count as well, with anchors of `modified_names` (by default `names`)."""
+    plain = F.col("resname").isin(*codes) & F.col("name").isin(*names)
+    changed = F.col("resname").isin(*modified) & F.col("name").isin(*(names if modified_names is None else modified_names)) if modified else F.lit(False)
+    hit = atoms.filter(plain | changed).withColumn("Modified", F.col("resname").isin(*modified) if modified else F.lit(False))
     return hit.withColumn("__rn", F.row_number().over(Window.partitionBy("structure", "chain", "resid").orderBy("serial"))).filter("__rn = 1").drop("__rn")
+
+
+def preset_anchors(atoms: DataFrame, residue: str, include_modified: bool = True) -> DataFrame:
+    """Anchor atoms by a residue's preset, of its modified forms too unless told otherwise."""
+    from ..schema import preset
+
+    p = preset(residue)
+    return anchor_atoms(atoms, p["codes"], p["atoms"], p["modified"] if include_modified else (), p["modified_atoms"])

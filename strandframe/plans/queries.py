@@ -287,7 +287,43 @@ query("p26_without_insertions", "SELECT serial FROM atoms WHERE structure NOT IN
 ROT = "(SELECT structure, model, chain, resid, altloc, row_number() OVER (PARTITION BY structure, model, chain, resid ORDER BY {o}) AS n FROM (SELECT structure, model, chain, resid, altloc, round(avg(occupancy), 9) AS occ FROM atoms WHERE altloc <> '' GROUP BY ALL))"
 for _how, _order in (("first", "altloc"), ("highest_occupancy", "occ DESC, altloc")):
     query(f"p28_rotamers_{_how}", f"SELECT serial FROM atoms a LEFT JOIN {ROT.format(o=_order)} b ON a.structure = b.structure AND a.model = b.model AND a.chain = b.chain AND a.resid = b.resid AND b.n = 1 WHERE a.altloc = '' OR a.altloc = b.altloc", A)(lambda s, d, how=_how: cu.pick_rotamers(si.atoms(s, d), how).select("serial"))
-query("p28_rotamers_all", "SELECT a.serial, l.c AS conformer FROM atoms a JOIN (SELECT DISTINCT structure, altloc AS c FROM atoms WHERE altloc <> '') l USING (structure) WHERE altloc = '' OR altloc = c", A)(lambda s, d: cu.pick_rotamers(si.atoms(s, d), "all").select("serial", "conformer"))
+# a letter on hetero atoms only, and a structure without letters on its ATOM records
+LETTERS = f"{A}, lettered AS (SELECT structure, serial, record, CASE WHEN structure = 'S1' AND record = 'ATOM' THEN '' WHEN record = 'HETATM' AND altloc = 'A' THEN 'C' ELSE altloc END AS altloc FROM atoms)"
+
+
+def _lettered(s, d):
+    letter = F.when((F.col("structure") == "S1") & (F.col("record") == "ATOM"), "").when((F.col("record") == "HETATM") & (F.col("altloc") == "A"), "C")
+    return si.atoms(s, d).withColumn("altloc", letter.otherwise(F.col("altloc")))
+
+
+@query("p28_rotamers_all", """SELECT serial, l AS conformer, CASE WHEN altloc = l THEN '' ELSE altloc END AS altloc
+FROM lettered LEFT JOIN (SELECT DISTINCT structure, altloc AS l FROM lettered WHERE record = 'ATOM' AND altloc <> '') x USING (structure)
+WHERE l IS NOT NULL AND (altloc = '' OR altloc = l OR altloc NOT IN (SELECT altloc FROM lettered y WHERE y.structure = lettered.structure AND y.record = 'ATOM'))
+UNION ALL SELECT serial, '', altloc FROM lettered WHERE structure NOT IN (SELECT structure FROM lettered WHERE record = 'ATOM' AND altloc <> '')""", LETTERS)
+def p28_all(s, d):
+    return cu.pick_rotamers(_lettered(s, d), "all").select("serial", "conformer", "altloc")
+
+
+# residues that the presets name, with modified forms of their own anchors
+FORMS = f"""{A}, forms AS (SELECT structure, chain, resid, serial, CASE WHEN resname = 'LYS' AND resid % 3 = 0 THEN 'KCX' WHEN resname = 'GLU' AND resid % 2 = 1 THEN 'CGU' WHEN resname = 'ASP' AND resid % 3 = 1 THEN 'ASH' ELSE resname END AS resname,
+  CASE WHEN resname = 'MSE' AND name = 'CE' THEN 'SE' WHEN resname = 'GLU' AND name = 'CE' THEN 'CD1' ELSE name END AS name FROM atoms)"""
+PRESET_SQL = {
+    "LYS": ("'LYS', 'LYSN', 'LYN'", "'LYE', 'KCX', 'MLY', 'MLZ', 'M3L', 'ALY', 'LYR'", "'NZ'", "'NZ', 'N07'"),
+    "GLU": ("'GLU', 'GLH'", "'CGU'", "'CD'", "'CD', 'CD1'"),
+    "MET": ("'MET'", "'MSE', 'OMT', 'MHO'", "'SD'", "'SD', 'SE'"),
+    "ASP": ("'ASP', 'ASH'", "''", "'CG'", "'CG'"),
+}
+
+
+@query("p20_presets", " UNION ALL ".join(f"(SELECT '{r}' AS residue, structure, chain, resid, serial, name, resname IN ({m}) AS \"Modified\" FROM forms WHERE (resname IN ({c}) AND name IN ({n})) OR (resname IN ({m}) AND name IN ({k})) QUALIFY row_number() OVER (PARTITION BY structure, chain, resid ORDER BY serial) = 1)" for r, (c, m, n, k) in PRESET_SQL.items()), FORMS)
+def p20_presets(s, d):
+    code = F.when((F.col("resname") == "LYS") & (F.col("resid") % 3 == 0), "KCX").when((F.col("resname") == "GLU") & (F.col("resid") % 2 == 1), "CGU").when((F.col("resname") == "ASP") & (F.col("resid") % 3 == 1), "ASH")
+    name = F.when((F.col("resname") == "MSE") & (F.col("name") == "CE"), "SE").when((F.col("resname") == "GLU") & (F.col("name") == "CE"), "CD1")
+    forms = si.atoms(s, d).withColumns({"resname": code.otherwise(F.col("resname")), "name": name.otherwise(F.col("name"))})
+    found = [cu.preset_anchors(forms, r).select(F.lit(r).alias("residue"), "structure", "chain", "resid", "serial", "name", "Modified") for r in PRESET_SQL]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
 query("p31_chain_limits", "SELECT structure, 'too many chains' AS reason FROM atoms GROUP BY 1 HAVING count(DISTINCT chain) > 9", A)(lambda s, d: cu.fits_limits(si.atoms(s, d), 9)[1])
 query("p32_small_gaps", "SELECT structure, count(*) AS n FROM atoms WHERE structure NOT IN (SELECT structure FROM (SELECT structure, resid - lag(resid) OVER (PARTITION BY structure, chain ORDER BY resid) - 1 AS g FROM (SELECT DISTINCT structure, chain, resid FROM atoms WHERE name = 'CA')) GROUP BY 1 HAVING max(g) > 12) GROUP BY 1", A)(lambda s, d: cu.small_gaps(si.atoms(s, d), 12).groupBy("structure").agg(F.count("*").alias("n")))
 query("p33_incomplete_residues", "SELECT structure, chain, resid, resname, string_agg(n, ',' ORDER BY n) AS missing FROM (SELECT DISTINCT structure, chain, resid, resname FROM atoms WHERE record = 'ATOM' AND resname IN ('LYS', 'CYS')) r, (SELECT unnest(['CA', 'NZ', 'SG']) AS n) e WHERE NOT EXISTS (SELECT 1 FROM atoms a WHERE a.structure = r.structure AND a.chain = r.chain AND a.resid = r.resid AND a.name = e.n) GROUP BY ALL", A)(lambda s, d: cu.incomplete_residues(si.atoms(s, d), si.atoms(s, d).filter("resname in ('LYS', 'CYS')").select("resname").distinct().withColumn("name", F.explode(F.array(F.lit("CA"), F.lit("NZ"), F.lit("SG"))))).withColumn("missing", F.array_join("missing", ",")))

@@ -10,6 +10,7 @@ from ..operators import curate as cu
 from ..operators import joins as jn
 from ..operators import stats as st
 from ..shared import new_folder
+from ..sources import logs as lg
 from ..sources import tables as tb
 from ..sources import text as tx
 from ..streaming import incremental as inc
@@ -247,3 +248,74 @@ def p07(s, d):
     m = si.measures(s, d)
     names = schema.features(m)
     return m.agg(*[F.count(c).alias(c) for c in names]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in names])).alias("x")).select("x.*")
+
+
+# records of minimisations and assemblies: one file for each supplier, some of them broken
+BROKEN = "(s_suppkey % 7 = 3)"
+
+
+def _records(s: SparkSession, d: str, record):
+    made = _suppliers(s, d).withColumn("structure", _supplier_file())
+    text = F.when(F.expr(BROKEN), '{"status": "rel').when(F.col("s_suppkey") % 11 == 5, "{}").otherwise(F.to_json(record, {"ignoreNullFields": "false"}))
+    path = f"{new_folder(s)}/records"
+    tb.write_records(made.select("structure", text.alias("value")), path)
+    return path
+
+
+def _minimised(s, d):
+    bad = F.col("s_acctbal") < 0
+    settings = F.struct(F.array(F.lit("amber14"), F.col("n_name")).alias("forcefield"), F.lit(10.5).alias("tolerance_kj_mol_nm"), F.col("s_nationkey").cast("int").alias("max_iterations"), (F.col("s_nationkey") > 9).alias("restrain_heavy_atoms"), F.lit(None).cast("double").alias("restraint_k_kcal_mol_a2"), F.lit("CPU").alias("platform"))
+    return _records(s, d, F.struct(F.when(bad, "failed").otherwise("relaxed").alias("status"), F.when(bad, F.concat(F.lit("energy "), F.col("s_acctbal").cast("string"))).alias("reason"), F.lit("8.1").alias("openmm_version"), F.lit("2024-05-06T07:08:09").alias("date"), F.col("s_acctbal").alias("energy_final_kj_mol"), settings.alias("settings")))
+
+
+GOOD = "NOT (s_suppkey % 7 = 3) AND s_suppkey % 11 <> 5"
+
+
+@query("s05_minimisation_records", f"SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS structure, CASE WHEN s_acctbal < 0 THEN 'failed' ELSE 'relaxed' END AS status, CAST(TIMESTAMP '2024-05-06 07:08:09' AS VARCHAR) AS date, s_acctbal AS energy, 'amber14+' || n_name AS forcefield, CAST(s_nationkey AS INT) AS iterations, s_nationkey > 9 AS restrained FROM suppliers WHERE {GOOD}", SUPPLIERS)
+def s05(s, d):
+    flat, _ = tb.read_minimisation(s, _minimised(s, d))
+    return flat.select("structure", "status", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.col("energy_final_kj_mol").alias("energy"), F.col("setting_forcefield").alias("forcefield"), F.col("setting_max_iterations").alias("iterations"), F.col("setting_restrain_heavy_atoms").alias("restrained"))
+
+
+@query("s05_skipped_minimisations", f"SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS structure, substr(CAST(s_acctbal AS VARCHAR), 1, 2) AS energy FROM suppliers WHERE s_acctbal < 0 AND {GOOD}", SUPPLIERS)
+def s05_skipped(s, d):
+    return tb.read_minimisation(s, _minimised(s, d))[1].select("structure", F.substring(F.substring_index("reason", " ", -1), 1, 2).alias("energy"))
+
+
+@query("s05_quarantine", "SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS structure, CASE WHEN s_suppkey % 7 = 3 THEN 'not readable as a record' ELSE 'no status' END AS reason FROM supplier WHERE s_suppkey % 7 = 3 OR s_suppkey % 11 = 5")
+def s05_quarantine(s, d):
+    return tb.read_records(s, _minimised(s, d), tb.MINIMISATION, r"\.minimisation\.json")[1].select("structure", "reason")
+
+
+@query("s06_assembly_records", f"SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS structure, CASE WHEN s_acctbal < 0 THEN 'kept' ELSE 'built' END AS status, 'A/B/' || substr(n_name, 1, 1) AS chains, '' AS measured_chains, CAST(s_nationkey AS INT) AS n_operators, CAST(s_regionkey AS INT) AS n_clashes FROM (SELECT *, n_regionkey AS s_regionkey FROM suppliers) WHERE {GOOD}", SUPPLIERS)
+def s06(s, d):
+    none = F.array().cast("array<string>")
+    record = F.struct(F.lit(1).alias("biomolecule"), F.lit("author").alias("determined"), F.when(F.col("s_acctbal") < 0, "kept").otherwise("built").alias("status"), F.col("s_nationkey").cast("int").alias("n_operators"), F.array(F.lit("A")).alias("original_chains"), F.array(F.lit("A"), F.lit("B"), F.substring("n_name", 1, 1)).alias("chains"), none.alias("measured_chains"), F.col("n_regionkey").cast("int").alias("n_clashes"))
+    return tb.read_assemblies(s, _records(s, d, record)).select("structure", "status", "chains", "measured_chains", "n_operators", "n_clashes")
+
+
+# logs that name their columns: each supplier's has two headers, and rows without a column of theirs
+@query("s22_recovered_log", """SELECT Uniprot_Entry, PDB_Code, Method, Chain, CAST(Resid AS VARCHAR) AS Resid, CASE WHEN Chain = 'F' THEN CAST(CAST(floor(sasa) AS INT) AS VARCHAR) END AS sasa,
+  CASE WHEN Chain <> 'F' THEN '[' || CAST(CAST(floor(sasa) AS INT) AS VARCHAR) || ', -2.5]' END AS aev, CASE WHEN Chain <> 'F' THEN CAST(Resid AS VARCHAR) END AS seqcharge FROM measures WHERE NOT (Chain = 'F' AND Resid = 4)""", M)
+def s22_recovered(s, d):
+    return lg.recover_log(_log_lines(s, d))[0].select("Uniprot_Entry", "PDB_Code", "Method", "Chain", "Resid", "sasa", "aev", "seqcharge")
+
+
+@query("s22_unread_rows", "SELECT Uniprot_Entry, count(*) AS n FROM measures WHERE Chain = 'F' AND Resid = 4 GROUP BY 1", M)
+def s22_unread(s, d):
+    return lg.recover_log(_log_lines(s, d))[1].groupBy(F.regexp_extract("value", r"(P\d+)", 1).alias("Uniprot_Entry")).agg(F.count("*").alias("n"))
+
+
+def _log_lines(s, d):
+    """A log for each protein: a header and its rows, then another header and rows with other columns; messages, dashes and numbers in front as logs have them."""
+    m = si.measures(s, d).withColumn("whole", F.floor("sasa").cast("string"))
+    first = F.col("Chain") == "F"
+    begin = F.format_string("%d   %s  %s %s  -   %s  %d %s", F.lit(7), "Uniprot_Entry", "PDB_Code", "Method", "Chain", "Resid", "Source")
+    row = F.when(first & (F.col("Resid") == 4), begin).when(first, F.concat_ws("  ", begin, F.col("whole"))).otherwise(F.concat_ws("  ", begin, F.concat(F.lit("["), F.col("whole"), F.lit(", -2.5]")), F.col("Resid").cast("string")))
+    names = " ".join(lg.BASE_COLUMNS)
+    lines = m.select("Uniprot_Entry", F.when(first, 0).otherwise(1).alias("half"), row.alias("row")).groupBy("Uniprot_Entry", "half").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    head = F.when(F.col("half") == 0, f"   {names}  sasa\n----  ---- ---").otherwise(f"{names} aev  seqcharge\nmeasuring goes on with the next structure of the run now\n")
+    text = F.concat_ws("\n", head, F.array_join("rows", "\n"))
+    path = f"{new_folder(s)}/log"
+    lines.select("Uniprot_Entry", "half", text.alias("value")).repartition("Uniprot_Entry").sortWithinPartitions("Uniprot_Entry", "half").select("value").write.text(path)
+    return lg.read_lines(s, path)

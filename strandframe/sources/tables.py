@@ -62,26 +62,44 @@ def read_logs(spark: SparkSession, paths: dict[str, str]) -> tuple[dict[str, Dat
     return found, missing
 
 
-MINIMISATION = "status string, reason string, openmm_version string, date string, platform_used string, energy_initial_kj_mol double, energy_final_kj_mol double, heavy_atom_rmsd_a double, settings struct<forcefield:array<string>,tolerance_kj_mol_nm:double,max_iterations:int,restrain_heavy_atoms:boolean,restraint_k_kcal_mol_a2:double,platform:string>, _corrupt_record string"
-ASSEMBLY = "biomolecule int, determined string, status string, reason string, n_operators int, original_chains array<string>, chains array<string>, measured_chains array<string>, n_atoms int, n_clashes int, _corrupt_record string"
+MINIMISATION = "status string, reason string, openmm_version string, date string, platform_used string, energy_initial_kj_mol double, energy_final_kj_mol double, heavy_atom_rmsd_a double, settings struct<forcefield:array<string>,tolerance_kj_mol_nm:double,max_iterations:int,restrain_heavy_atoms:boolean,restraint_k_kcal_mol_a2:double,platform:string>"
+ASSEMBLY = "biomolecule int, determined string, status string, reason string, n_operators int, original_chains array<string>, chains array<string>, measured_chains array<string>, n_atoms int, n_clashes int"
 
 
-def _file_stem(suffix: str) -> Column:
-    return F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), f"{suffix}$", "")
+def write_records(records: DataFrame, path: str) -> None:
+    """(structure, value) -> one JSON file for each structure, in a folder of its name: Spark names the files in it."""
+    records.select("structure", "value").write.mode("append").partitionBy("structure").text(path)
+
+
+def read_records(spark: SparkSession, path: str, schema: str, suffix: str) -> tuple[DataFrame, DataFrame]:
+    """(structure and the fields of each readable record; the quarantine: file, structure, n_bytes, reason).
+
+    Files are scanned whole. The structure is that of the folder `structure=...`, else the file's name without `suffix`. A file that is no JSON object of the
+    schema, or has no status, is unreadable.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*[!_]").load(path)
+    folder = F.regexp_extract("path", r"/structure=([^/]*)/[^/]*$", 1)
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), f"{suffix}$", "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}
+    record = F.from_json(F.col("content").cast("string"), f"{schema}, __corrupt string", options)
+    read = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.when(folder != "", F.url_decode(folder)).otherwise(stem).alias("structure"), F.col("length").alias("n_bytes"), record.alias("r"))
+    reason = F.when(F.col("r").isNull() | F.col("r.__corrupt").isNotNull(), "not readable as a record").when(F.col("r.status").isNull(), "no status")
+    read = read.withColumn("why", reason)
+    return read.filter("why is null").select("structure", "r.*").drop("__corrupt"), read.filter("why is not null").select("file", "structure", "n_bytes", F.col("why").alias("reason"))
 
 
 def read_minimisation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records with flat settings, structures that are not relaxed with the reason); unreadable files are left out."""
-    raw = spark.read.schema(MINIMISATION).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("structure", _file_stem(r"\.minimisation\.json")).filter("_corrupt_record is null and status is not null")
+    raw, _ = read_records(spark, path, MINIMISATION, r"\.minimisation\.json")
     settings = [F.array_join("settings.forcefield", "+").alias("setting_forcefield"), *[F.col(f"settings.{c}").alias(f"setting_{c}") for c in ("tolerance_kj_mol_nm", "max_iterations", "restrain_heavy_atoms", "restraint_k_kcal_mol_a2", "platform")]]
     flat = raw.select("structure", "status", "reason", "openmm_version", F.to_timestamp("date").alias("date"), "platform_used", "energy_initial_kj_mol", "energy_final_kj_mol", "heavy_atom_rmsd_a", *settings)
     return flat, flat.filter("status <> 'relaxed'").select("structure", "reason")
 
 
 def read_assemblies(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(ASSEMBLY).option("multiLine", True).json(path).withColumn("structure", _file_stem(r"\.assembly\.json")).filter("_corrupt_record is null and status is not null")
+    raw, _ = read_records(spark, path, ASSEMBLY, r"\.assembly\.json")
     lists = ("original_chains", "chains", "measured_chains")
-    return raw.select("structure", *[(F.array_join(c, "/").alias(c) if c in lists else F.col(c)) for c in raw.columns if c not in ("structure", "_corrupt_record")])
+    return raw.select("structure", *[(F.array_join(c, "/").alias(c) if c in lists else F.col(c)) for c in raw.columns if c != "structure"])
 
 
 def confidence_rows(records: DataFrame, cell: str = "json") -> DataFrame:
