@@ -28,11 +28,11 @@ MASK = (1 << ID_BITS) - 1
 #: Of a second word's id, what a burst container is split by.
 DIGIT = 63
 #: Entries of a container that make it burst; entries of a task's tries, and words of its dictionary, that make it spill.
-BURST, FULL, MOST_WORDS = 1024, 1_000_000, 500_000
+BURST, FULL, MOST_WORDS = 1024, 300_000, 200_000
 #: Bytes of text for each merging partition, of the whole table.
 PARTITION_BYTES = 8 << 20
 #: Bytes of text split into words at once.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 _STOP = b"\xff"  # in no UTF-8 text
 _FOLD = bytes(ord(_STOP) if i in b".,;:!?\n\x0b\x0c\r" else i + 32 if 65 <= i <= 90 else 32 if i == 9 else i for i in range(256))
@@ -53,9 +53,11 @@ class Trie:
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """Sorted distinct packed keys with their counts."""
+        if not len(keys):
+            return
         first = keys >> (2 * ID_BITS)
         cut = np.concatenate([[0], np.flatnonzero(first[1:] != first[:-1]) + 1, [len(first)]]).tolist()
-        words, rest, counts = first[cut[:-1]].tolist() if len(first) else [], (keys & ((1 << (2 * ID_BITS)) - 1)).tolist(), counts.tolist()
+        words, rest, counts = first[cut[:-1]].tolist(), (keys & ((1 << (2 * ID_BITS)) - 1)).tolist(), counts.tolist()
         for word, a, b in zip(words, cut[:-1], cut[1:], strict=True):
             if word not in self.sizes:
                 self.root[word] = dict(zip(rest[a:b], counts[a:b], strict=True))
