@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm
+from .quantiles import quantiles
 
 STATS = ("min", "max", "med", "avg", "sd", "range")
 # Features that `mixmatch` takes at an extreme.
@@ -30,12 +31,14 @@ def consensus_class() -> Column:
     return F.when((F.min(x) == F.max(x)) & (F.min(x) != "\0"), F.min(x)).otherwise("-1").alias("class")
 
 
-def residue_statistics(df: DataFrame, key: list[str], features: list[str], stats: tuple = STATS, row_id: str | None = "row_id", seed: int = 7) -> DataFrame:
+def residue_statistics(df: DataFrame, key: list[str], features: list[str], stats: tuple = STATS, row_id: str | None = "row_id", seed: int = 7, by_ranks: bool = False) -> DataFrame:
     """Statistics of each feature, the class and the number of structures.
 
-    With a row id also `<feature>_rand`, of one row drawn for all features by a seeded hash.
+    With a row id also `<feature>_rand`, of one row drawn for all features by a seeded hash. A median holds the distinct values of its group in a task's memory; by_ranks
+    takes medians from a range partitioning of all values instead, for residues too large for that.
     """
-    aggs = [statistic(f, s) for f in features for s in stats]
+    ranked = by_ranks and "med" in stats
+    aggs = [statistic(f, s) for f in features for s in stats if not (ranked and s == "med")]
     aggs.append(consensus_class() if "class" in df.columns else F.lit("-1").alias("class"))
     if row_id:
         aggs.append(F.min_by(F.struct(*features), F.struct(F.xxhash64(F.lit(seed), F.col(row_id)), F.col(row_id))).alias("__one"))
@@ -43,6 +46,9 @@ def residue_statistics(df: DataFrame, key: list[str], features: list[str], stats
     # apart from the rest: beside a distinct count, Spark would keep each median's values by key and structure first
     counts = rows.select(*key, "PDB_Code").distinct().groupBy(*key).agg(F.count("PDB_Code").alias("num_structures"))
     out = rows.groupBy(*key).agg(*aggs).join(counts, key)
+    if ranked:
+        medians = quantiles(rows, key, features, [0.5]).groupBy(*key).agg(*[F.max(F.when(F.col("feature") == f, F.col("q")[0])).alias(f"{f}_med") for f in features])
+        out = out.join(medians, key, "left")
     return out.select("*", *[F.col(f"__one.{f}").alias(f"{f}_rand") for f in features]).drop("__one") if row_id else out
 
 

@@ -2,8 +2,8 @@
 
 A point lies in the cell floor(xyz / c). Within distance c of it there are only points of its own and the 26
 cells around, so a fixed-radius join is an equi-join on (structure, cell) after one side is
-copied to the 27 cells. Nearest neighbours start with a small c and repeat the points
-that found none with c doubled.
+copied to the 27 cells. Nearest neighbours start with a c by the structure's density and repeat the points
+that found none with c four times as large.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 XYZ = ("x", "y", "z")
 
 
@@ -38,19 +40,46 @@ def pairs_within(left: DataFrame, right: DataFrame, c: float) -> DataFrame:
     return p.join(q, on).withColumn("distance", F.sqrt(_d2())).filter(F.col("distance") <= c).drop("__x", "__y", "__z", "__qx", "__qy", "__qz")
 
 
-def nearest_distance(left: DataFrame, right: DataFrame, allowed: Column, key: list[str], start: float = 8.0, rounds: int = 3) -> DataFrame:
+def _spacing(left: DataFrame, right: DataFrame, start: float | None) -> DataFrame:
+    """(structure, c, extent): for each structure with right points the first radius, by their density, and what covers all points.
+
+    The first radius is the side of a cube that holds eight points of the structure's box on average.
+    """
+    ends = right.groupBy("structure").agg(F.count("*").alias("n"), *[F.min(a).alias(f"lo_{a}") for a in XYZ], *[F.max(a).alias(f"hi_{a}") for a in XYZ])
+    sides = [F.greatest(F.col(f"hi_{a}") - F.col(f"lo_{a}"), F.lit(1e-3)) for a in XYZ]
+    by_density = F.pow(8 * sides[0] * sides[1] * sides[2] / F.col("n"), F.lit(1 / 3))
+    both = left.select("structure", *XYZ).unionByName(right.select("structure", *XYZ)).groupBy("structure")
+    extent = both.agg(F.greatest(*[F.max(a) - F.min(a) for a in XYZ]).alias("extent"))
+    return ends.join(extent, "structure").select("structure", (F.greatest(by_density, F.col("extent") / 1024) if start is None else F.lit(float(start))).alias("c"), "extent")
+
+
+def nearest_distance(left: DataFrame, right: DataFrame, allowed: Column, key: list[str], start: float | None = None) -> DataFrame:
     """key -> least distance from a left point to a right point of the structure that `allowed` (on p_*, q_*) admits; null if there is none.
 
-    After the rounds the points that are left join all of their structure.
+    Each round joins on cells as wide as the structure's radius, and only points that found nothing go on, with a radius four times as large, until it covers the structure. So dense structures
+    have small cells and sparse ones large cells, and the many points with near partners never meet the rest. What a round found, and what is left, is written.
     """
-    todo, found = left, None
-    best = lambda pairs: pairs.filter(allowed).groupBy(*[F.col(f"p_{k}").alias(k) for k in key]).agg(F.min("distance").alias("distance"))
-    for i in range(rounds):
-        got = best(pairs_within(todo, right, start * 2**i))
-        found = got if found is None else found.unionByName(got)
-        todo = todo.join(got, key, "left_anti")
-    rest = _renamed(todo, "p_").join(_renamed(right, "q_"), F.col("p_structure") == F.col("q_structure")).withColumn("distance", F.sqrt(_d2()))
-    found = found.unionByName(best(rest))
+    left, right = written(left), written(right)
+    grid = _spacing(left, right, start)
+    todo, found, i = left.join(grid, "structure"), None, 0
+    q = _renamed(written(right.join(grid, "structure")), "q_")
+    around = F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip((x, y, z), XYZ, strict=True)]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
+    while True:
+        reach = 4.0**i
+        p = _renamed(todo, "p_").withColumn("__d", F.explode(around))
+        on = F.col("p_structure") == F.col("q_structure")
+        for a in XYZ:
+            on = on & (F.floor(F.col(f"p_{a}") / (F.col("p_c") * reach)) + F.col(f"__d.{a}") == F.floor(F.col(f"q_{a}") / (F.col("q_c") * reach)))
+        near = p.join(q, on).withColumn("__distance", F.sqrt(_d2())).filter((F.col("__distance") <= F.col("p_c") * reach) & allowed)
+        got = near.groupBy(*[F.col(f"p_{k}").alias(k) for k in key]).agg(F.min("__distance").alias("__distance"))
+        state = written(todo.join(got, key, "left"))
+        have = state.filter("__distance IS NOT NULL").select(*key, F.col("__distance").alias("distance")).distinct()
+        found = have if found is None else found.unionByName(have)
+        # at twice the extent, rounding cannot hide a point
+        todo = state.filter(F.col("__distance").isNull() & (F.col("c") * reach < 2 * F.col("extent"))).drop("__distance")
+        if todo.isEmpty():
+            break
+        i += 1
     return left.select(*key).distinct().join(found, key, "left")
 
 

@@ -47,21 +47,24 @@ def best_weights(weights, n: int) -> list[float]:
 def relative_best(df: DataFrame, key: list[str], weights, features: dict[str, str | None], row_id: str) -> DataFrame:
     """The row of each residue with the best weighted sum of z-scores; the last row wins ties.
 
-    features: name to 'min' or 'max', None for the usual direction.
+    features: name to 'min' or 'max', None for the usual direction. Means, deviations and the best row are aggregations, so that rows of a hot
+    residue are never sorted in one task.
     """
-    w = Window.partitionBy(*key)
     df = df.dropna(subset=list(features))
+    stats = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)]).agg(*[g(f).alias(f"__{n}_{f}") for f in features for n, g in (("mean", F.avg), ("sd", F.stddev_pop))])
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     score: Column = F.lit(0.0)
     for (f, how), weight in zip(features.items(), best_weights(weights, len(features)), strict=True):
         how = how or ("min" if f in LOW_IS_BETTER else "max" if f in HIGH_IS_BETTER else None)
         if how is None:
             raise ValueError(f"no direction for {f}")
-        x = F.max(f).over(w) - F.col(f) if how == "min" else F.col(f)
-        df = df.withColumn(f"__x_{f}", x)
-        mean, sd = F.avg(f"__x_{f}").over(w), F.stddev_pop(f"__x_{f}").over(w)
-        score = score + weight * F.when(sd > 1e-12, (F.col(f"__x_{f}") - mean) / sd).otherwise(0.0)
-    df = df.withColumn("score", F.round(score, 9)).withColumn("__rn", F.row_number().over(w.orderBy(F.desc("score"), F.desc(row_id))))
-    return df.filter("__rn = 1").drop("__rn", *[f"__x_{f}" for f in features])
+        above = F.col(f) - F.col(f"__mean_{f}") if how == "max" else F.col(f"__mean_{f}") - F.col(f)
+        score = score + weight * F.when(F.col(f"__sd_{f}") > 1e-12, above / F.col(f"__sd_{f}")).otherwise(0.0)
+    scored = df.join(stats, same).select(*df.columns, F.round(score, 9).alias("score"))
+    best = F.max_by(F.struct(*scored.columns), F.struct("score", row_id)).alias("__best")
+    return scored.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)]).agg(best).select("__best.*")
 
 
 def sliding_sum(df: DataFrame, key: list[str], order: list[str], x: str, reach: int = 10, alias: str = "seqcharge") -> DataFrame:

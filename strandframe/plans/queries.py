@@ -95,6 +95,8 @@ def _select(how: str, picks=None):
 ALL = ["Uniprot_Entry", "Resid", "class", "num_structures"]
 _r6 = lambda names: ", ".join([*ALL, *[f"round({n}, 6) AS {n}" for n in names]])
 on_measures("g01_residue_statistics", _stats_sql(_r6([f"{f}_{s}" for f in FEATURES for s in ag.STATS])), lambda m: _rounded(ag.residue_statistics(m, KEY, FEATURES, row_id=None).select(*ALL, *[f"{f}_{s}" for f in FEATURES for s in ag.STATS])))
+HOT_SQL = f"SELECT {_r6([f'{f}_med' for f in FEATURES])} FROM (SELECT Uniprot_Entry, Resid, {STAT_SQL}, {CLASS_SQL} FROM (SELECT * REPLACE (CASE WHEN Resid <= 3 THEN 'hot' ELSE Uniprot_Entry END AS Uniprot_Entry, CASE WHEN Resid <= 3 THEN 0 ELSE Resid END AS Resid) FROM measures) GROUP BY 1, 2)"
+on_measures("g01_hot_residue", HOT_SQL, lambda m: _rounded(ag.residue_statistics(m.withColumns({"Uniprot_Entry": F.when(F.col("Resid") <= 3, "hot").otherwise(F.col("Uniprot_Entry")), "Resid": F.when(F.col("Resid") <= 3, 0).otherwise(F.col("Resid"))}), KEY, FEATURES, row_id=None, by_ranks=True).select(*ALL, *[f"{f}_med" for f in FEATURES])))
 on_measures("p15_minmax", _stats_sql(_r6([f"{f}_{s}" for f in FEATURES for s in ("min", "max")])), _select("minmax"))
 on_measures("p15_median", _stats_sql(_r6([f"{f}_med" for f in FEATURES])), _select("median"))
 on_measures("p15_minmaxavg", _stats_sql(_r6([f"{f}_{s}" for f in FEATURES for s in ("min", "max", "avg")])), _select("minmaxavg"))

@@ -225,6 +225,19 @@ def t02(s, d):
     return inc.read_latest(s, f"{folder}/run", ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
+@query("t02_compacted_records", "SELECT user_id, arg_max(event_id, row(ts, event_id)) AS event_id, arg_max(event_type, row(ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def t02_compacted(s, d):
+    """A batch for each type; the first ones are compacted, and their files removed, before the last comes."""
+    folder, e = new_folder(s), si.table(s, d, "events").select("user_id", "ts", "event_id", "event_type")
+    key, order = ["user_id"], ["ts", "event_id"]
+    for lot in ("event_type = 'error'", "event_type = 'purchase'", "event_type NOT IN ('error', 'purchase')"):
+        e.filter(lot).write.mode("append").parquet(f"{folder}/in")
+        inc.upsert_latest(s, s.readStream.schema(e.schema).parquet(f"{folder}/in"), f"{folder}/run", key, order).awaitTermination()
+        if "NOT" not in lot:
+            inc.compact_latest(s, f"{folder}/run", key, order, delete=True)
+    return inc.read_latest(s, f"{folder}/run", key, order).select("user_id", "event_id", "event_type")
+
+
 @query("x02_registered_features", "SELECT structure, chain, resid, count(*) AS atoms_of, round(max(beta), 6) AS top_beta FROM atoms GROUP BY ALL", A)
 def x02(s, d):
     key = ["structure", "chain", "resid"]
