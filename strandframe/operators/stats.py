@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -199,22 +200,52 @@ def sphere_points(n: int) -> list[tuple[float, float, float]]:
     return [(math.cos(turn * i) * math.sqrt(1 - h * h), math.sin(turn * i) * math.sqrt(1 - h * h), h) for i, h in enumerate(rings)]
 
 
-# Van der Waals radii.
+# Van der Waals radii; atoms of carbamylated residues that occlude nothing.
 RADII = {"C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8, "P": 1.8}
+NOT_OCCLUDING = ("CX", "OQ1", "OQ2")
 # End of the fixed values.
 
 
-def accessible_area(side_chains: DataFrame, atoms: DataFrame, probe: float = 1.4, points: int = 100) -> DataFrame:
-    """(structure, chain, resid, sasa): exposed share of the spheres of side-chain atoms; needs serial, element and xyz."""
+def _exposed(points: int):
+    """How many points of each atom's sphere (of radius r) lie in none of the spheres around (x, y, z from its centre, r)."""
+    unit = np.array(sphere_points(points))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            around, radius = batch.column("around"), batch.column("r").to_numpy()
+            offsets = around.offsets.to_numpy() - around.offsets.to_numpy()[0] if len(around) else np.zeros(1, np.int64)
+            near = np.stack([around.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("x", "y", "z", "r")], 1)
+            free = np.empty(len(radius), np.int64)
+            for i, r in enumerate(radius):
+                at, out = r * unit, np.ones(points, bool)
+                for o in near[offsets[i] : offsets[i + 1]]:
+                    left = np.flatnonzero(out)
+                    gap = at[left] - o[:3]
+                    out[left] = (gap * gap).sum(1) >= o[3] * o[3]
+                free[i] = out.sum()
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(free)], names=["key", "free"])
+
+    return run
+
+
+def accessible_area(side_chains: DataFrame, atoms: DataFrame, probe: float = 1.4, points: int = 960, threshold: float = 0.0, ignore: tuple = NOT_OCCLUDING) -> DataFrame:
+    """(structure, chain, resid, sasa): exposed share of the spheres of side-chain atoms; needs serial, name, element and xyz.
+
+    An atom counts if at least the share `threshold` of its points is exposed. Atoms named in `ignore` neither count nor occlude. The spheres that can reach an atom
+    come from a join on cells; a task then tests its atoms' points against their lists.
+    """
     from .spatial import XYZ, pairs_within
 
-    if probe < 0 or points < 1:
-        raise ValueError("probe and points must be positive")
+    if probe <= 0 or points < 1 or not 0 <= threshold <= 1:
+        raise ValueError("the probe has to be positive, with one point at least and a threshold between 0 and 1")
+    if ignore and "name" in atoms.columns:
+        side_chains, atoms = (df.filter(~F.coalesce(F.col("name").isin(*ignore), F.lit(False))) for df in (side_chains, atoms))
     radius = lambda e: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in RADII.items() for x in kv]), F.col(e)), F.lit(1.7)) + probe
-    near = pairs_within(side_chains, atoms, 2 * (max(RADII.values()) + probe)).filter(F.col("p_serial") != F.col("q_serial"))
-    unit = F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip(p, XYZ, strict=True)]) for p in sphere_points(points)])
+    near = pairs_within(side_chains, atoms, 2 * (max(RADII.values()) + probe)).filter(F.col("p_serial") != F.col("q_serial")).filter(F.col("distance") < radius("p_element") + radius("q_element"))
     around = near.groupBy("p_structure", "p_serial").agg(F.collect_list(F.struct(*[(F.col(f"q_{a}") - F.col(f"p_{a}")).alias(a) for a in XYZ], radius("q_element").alias("r"))).alias("around"))
     own = side_chains.select(F.col("structure").alias("p_structure"), F.col("serial").alias("p_serial"), "chain", "resid", radius("element").alias("r")).join(around, ["p_structure", "p_serial"], "left")
-    inside = lambda u, r: F.exists(F.coalesce("around", F.array()), lambda o: sum(((u[a] * r - o[a]) * (u[a] * r - o[a]) for a in XYZ), F.lit(0.0)) < o["r"] * o["r"])
-    own = own.withColumn("free", F.size(F.filter(unit, lambda u: ~inside(u, F.col("r")))))
-    return own.groupBy(F.col("p_structure").alias("structure"), "chain", "resid").agg(F.sum(4 * math.pi * F.col("r") * F.col("r") * F.col("free") / points).alias("sasa"))
+    own = own.select(F.struct(F.col("p_structure").alias("structure"), "chain", "resid", "r").alias("key"), "r", F.coalesce("around", F.array().cast("array<struct<x:double,y:double,z:double,r:double>>")).alias("around"))
+    kind = own.schema["key"].dataType.simpleString()
+    tested = own.mapInArrow(_exposed(points), f"key {kind}, free long").select("key.*", (F.col("free") / points).alias("share"))
+    area = F.when(F.col("share") >= threshold, 4 * math.pi * F.col("r") * F.col("r") * F.col("share")).otherwise(0.0)
+    return tested.groupBy("structure", "chain", "resid").agg(F.sum(area).alias("sasa"))

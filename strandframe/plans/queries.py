@@ -447,18 +447,29 @@ def m12_ensembles(s, d):
 
 
 REACH = "reach AS (SELECT *, 1.4 + CASE element WHEN 'N' THEN 1.55 WHEN 'O' THEN 1.52 WHEN 'S' THEN 1.8 ELSE 1.7 END AS r FROM atoms)"
-POINTS = "points AS (SELECT cos(t * i) * sqrt(1 - h * h) AS px, sin(t * i) * sqrt(1 - h * h) AS py, h AS pz FROM (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / 100 AS h, pi() * (3 - sqrt(5)) AS t FROM range(100) n(i)))"
+POINTS = "points AS (SELECT cos(t * i) * sqrt(1 - h * h) AS px, sin(t * i) * sqrt(1 - h * h) AS py, h AS pz FROM (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / 960 AS h, pi() * (3 - sqrt(5)) AS t FROM range(960) n(i)))"
 
 
-@query("m14_accessible_area", """SELECT structure, chain, resid, round(sum(4 * pi() * r * r * free / 100), 4) AS sasa FROM
- (SELECT a.structure, a.chain, a.resid, a.r, CASE WHEN EXISTS (SELECT 1 FROM reach b WHERE b.structure = a.structure AND b.serial <> a.serial
- AND (a.x + p.px * a.r - b.x) ** 2 + (a.y + p.py * a.r - b.y) ** 2 + (a.z + p.pz * a.r - b.z) ** 2 < b.r * b.r) THEN 0 ELSE 1 END AS free
- FROM reach a, points p WHERE a.resname = 'LYS' AND a.name NOT IN ('N', 'CA', 'C', 'O')) GROUP BY ALL""", A, REACH, POINTS)
+FREE = """(SELECT a.structure, a.chain, a.resid, a.r, sum(CASE WHEN EXISTS (SELECT 1 FROM reach b WHERE b.structure = a.structure AND b.serial <> a.serial {b}
+ AND (a.x + p.px * a.r - b.x) ** 2 + (a.y + p.py * a.r - b.y) ** 2 + (a.z + p.pz * a.r - b.z) ** 2 < b.r * b.r) THEN 0 ELSE 1 END) AS free
+ FROM reach a, points p WHERE a.resname IN ({names}) AND a.name NOT IN ('N', 'CA', 'C', 'O') {a} GROUP BY a.structure, a.serial, a.chain, a.resid, a.r)"""
+AREA = "round(sum(CASE WHEN free >= {t} * 960 THEN 4 * pi() * r * r * free / 960 ELSE 0 END), 4) AS sasa"
+
+
+@query("m14_accessible_area", f"SELECT structure, chain, resid, {AREA.format(t=0)} FROM {FREE.format(a='', b='', names=chr(39) + 'LYS' + chr(39))} GROUP BY ALL", A, REACH, POINTS)
 def m14(s, d):
     a = si.atoms(s, d)
     return st.accessible_area(a.filter("resname = 'LYS' and name not in ('N', 'CA', 'C', 'O')"), a).withColumn("sasa", F.round("sasa", 4))
 
 
+@query("m14_exposed_area", f"SELECT structure, chain, resid, {AREA.format(t=0.9)} FROM {FREE.format(a='AND a.name <> ' + chr(39) + 'CE' + chr(39), b='AND b.name <> ' + chr(39) + 'CE' + chr(39), names=chr(39) + 'LYS' + chr(39) + ', ' + chr(39) + 'GLU' + chr(39))} GROUP BY ALL", A, REACH, POINTS)
+def m14_exposed(s, d):
+    """Only atoms of which nine tenths are exposed; atoms of one name stand for those that occlude nothing."""
+    a = si.atoms(s, d)
+    side = a.filter("resname in ('LYS', 'GLU') and name not in ('N', 'CA', 'C', 'O')")
+    return st.accessible_area(side, a, threshold=0.9, ignore=("CE",)).withColumn("sasa", F.round("sasa", 4))
+
+
 # plot tables
 on_measures("v01_histogram", "SELECT CAST(b AS BIGINT) AS bin, round(lo + b * 5.0, 6) AS left_edge, count(*) AS n, round(count(*) / (sum(count(*)) OVER () * 5.0), 9) AS density FROM (SELECT lo, bins, CASE WHEN propka = lo + bins * 5.0 THEN bins - 1 ELSE floor((propka - lo) / 5.0) END AS b FROM measures, (SELECT min(propka) AS lo, ceil((max(propka) - min(propka)) / 5.0 - 1e-12) - 1 AS bins FROM measures) WHERE propka IS NOT NULL) WHERE b >= 0 AND b < bins GROUP BY b, lo", lambda m: pl.histogram(m, "propka", 5.0).select("bin", F.round("left_edge", 6).alias("left_edge"), "n", F.round("density", 9).alias("density")))
 on_measures("v04_count_histogram", "SELECT Chain AS colour, CAST(b AS BIGINT) AS bin, count(*) AS n FROM (SELECT Chain, bins, CASE WHEN propka = lo + bins * 5.0 THEN bins - 1 ELSE floor((propka - lo) / 5.0) END AS b FROM measures, (SELECT min(propka) AS lo, ceil((max(propka) - min(propka)) / 5.0 - 1e-12) - 1 AS bins FROM measures) WHERE propka IS NOT NULL) WHERE b < bins GROUP BY ALL", lambda m: pl.histogram(m, "propka", 5.0, pl.colours("chain")).select("colour", "bin", "n"))
