@@ -102,6 +102,11 @@ def alignment_gaps(pairs: DataFrame, trim: bool = True) -> DataFrame:
     return runs.join(ends, "id").filter((F.col("first") > F.col("a")) & (F.col("last") < F.col("b"))).drop("a", "b")
 
 
+def gaps_over(pairs: DataFrame, cutoff: int, trim: bool = True) -> DataFrame:
+    """(id, largest_gap) of the pairs with a gap of more than `cutoff` target positions."""
+    return alignment_gaps(pairs, trim).groupBy("id").agg(F.max("n").alias("largest_gap")).filter(F.col("largest_gap") > cutoff)
+
+
 def local_sequence(df: DataFrame, key: list[str], order: list[str], letter: str, reach: int, pad: str = "X") -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
     before = F.array_join(F.collect_list(letter).over(w.rowsBetween(-reach, -1)), "")

@@ -224,7 +224,9 @@ query("j11_terms_of", "SELECT DISTINCT uniprot, go_id, name FROM edges JOIN term
 query("j19_renumber", "SELECT structure, chain, CAST(CASE WHEN min(ok) OVER (PARTITION BY structure, chain) THEN n ELSE resid END AS INT) AS resid, serial, CASE WHEN min(ok) OVER (PARTITION BY structure) THEN 'uniprot' WHEN max(chain_ok) OVER (PARTITION BY structure) THEN 'mixed' ELSE 'author' END AS numbering FROM (SELECT *, min(ok) OVER (PARTITION BY structure, chain) AS chain_ok FROM (SELECT structure, chain, resid, serial, CASE WHEN resid % 23 <> 0 THEN resid + 1000 ELSE resid END AS n, (record <> 'ATOM' OR resid % 23 <> 0) AS ok FROM atoms))", A)(lambda s, d: cu.renumber(si.atoms(s, d), si.atoms(s, d).select("structure", "chain", "resid").distinct().filter("resid % 23 <> 0").withColumn("new", F.col("resid") + 1000)).select("structure", "chain", "resid", "serial", "numbering"))
 query("j18_rename_chains", "SELECT CASE WHEN chain = '3' THEN 'C' ELSE chain END AS chain, count(*) AS n FROM atoms GROUP BY 1", A)(lambda s, d: cu.rename_chains(si.atoms(s, d), si.atoms(s, d).filter("chain = '3'").select("structure", "chain").distinct().withColumn("new", F.lit("C"))).groupBy("chain").agg(F.count("*").alias("n")))
 query("j20_fill_values", "SELECT k, coalesce(a, b) AS v FROM (SELECT l_suppkey AS k, min(l_quantity) AS a FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 GROUP BY 1) FULL JOIN (SELECT s_suppkey AS k, s_acctbal AS b FROM supplier) USING (k)")(lambda s, d: jn.fill_from(si.table(s, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity = 50").groupBy(F.col("l_suppkey").alias("k")).agg(F.min("l_quantity").alias("v")), si.table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v")), ["k"], "v"))
-query("j21_not_done", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(lambda s, d: jn.not_done(si.table(s, d, "customer").select("c_custkey"), si.table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey"))
+query("j21_not_done", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")(
+    lambda s, d: jn.not_done(si.table(s, d, "customer").select("c_custkey"), si.table(s, d, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+)
 query("j22_restart", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey <> (SELECT arg_max(o_custkey, o_orderkey) FROM orders))")(lambda s, d: jn.not_done_but_last(si.table(s, d, "customer").select("c_custkey"), si.table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), "c_custkey", ["o_orderkey"]))
 
 # distances
@@ -257,6 +259,20 @@ query("w05_sliding_charge", "SELECT event_id, CAST(sum(charge) OVER (PARTITION B
 query("w06_chain_termini", "SELECT structure, chain, arg_min(resid, serial) AS first_resid, arg_max(resid, serial) AS last_resid FROM atoms GROUP BY ALL", A)(lambda s, d: wi.chain_termini(si.atoms(s, d)))
 query("w07_gap_profile", "SELECT l_suppkey, count(*) FILTER (g > 0) AS n_gaps, CAST(coalesce(sum(g), 0) AS BIGINT) AS missing, CAST(coalesce(max(g), 0) AS BIGINT) AS largest_gap FROM (SELECT l_suppkey, r - lag(r) OVER (PARTITION BY l_suppkey ORDER BY r) - 1 AS g FROM (SELECT DISTINCT l_suppkey, l_orderkey % 1000 AS r FROM lineitem)) GROUP BY 1")(lambda s, d: wi.gap_profile(si.table(s, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") % 1000).alias("r")), ["l_suppkey"], "r"))
 query("w08_islands", "SELECT user_id, min(i) AS first, max(i) AS last, count(*) AS n FROM (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS run FROM (SELECT user_id, charge, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM residues) WHERE charge = 0) GROUP BY user_id, run", R)(lambda s, d: wi.islands(wi.row_position(si.residues(s, d).withColumn("o", F.struct("ts", "event_id")), ["user_id"], "o").withColumn("position", F.col("position").cast("long")), ["user_id"], "position", F.col("charge") == 0))
+# aligned strings: what the target lacks, and what the template lacks
+PAIRS = """cols AS (SELECT p_partkey AS id, substr(translate(p_type, 'O', '-'), i, 1) AS t, substr(translate(p_type, 'AEIU', '----'), i, 1) AS s, i FROM (SELECT p_partkey, p_type, unnest(generate_series(1, length(p_type))) AS i FROM part)),
+placed AS (SELECT id, s, sum(CASE WHEN t <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS pos FROM cols QUALIFY t <> '-'),
+runs AS (SELECT id, min(pos) AS first, max(pos) AS last, count(*) AS n FROM (SELECT id, pos, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS run FROM placed WHERE s = '-') GROUP BY id, run),
+inner_runs AS (SELECT r.* FROM runs r JOIN (SELECT id, min(pos) AS a, max(pos) AS b FROM placed WHERE s <> '-' GROUP BY id) USING (id) WHERE first > a AND last < b)"""
+
+
+def _aligned(s, d):
+    return si.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.translate("p_type", "O", "-").alias("target"), F.translate("p_type", "AEIU", "----").alias("template"))
+
+
+query("w08_alignment_gaps", "SELECT id, CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, n FROM inner_runs", PAIRS)(lambda s, d: wi.alignment_gaps(_aligned(s, d)).select("id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "n"))
+query("w08_untrimmed_gaps", "SELECT id, CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, n FROM runs", PAIRS)(lambda s, d: wi.alignment_gaps(_aligned(s, d), trim=False).select("id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "n"))
+query("w08_gaps_over_cutoff", "SELECT id, max(n) AS largest_gap FROM inner_runs GROUP BY id HAVING max(n) > 1", PAIRS)(lambda s, d: wi.gaps_over(_aligned(s, d), 1))
 query("w09_local_sequence", "SELECT event_id, lpad(coalesce(string_agg(letter, '') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), ''), 4, 'X') || letter || rpad(coalesce(string_agg(letter, '') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), ''), 4, 'X') AS local FROM residues", R)(lambda s, d: wi.local_sequence(si.residues(s, d), ["user_id"], ["ts", "event_id"], "letter", 4).select("event_id", "local"))
 query("w10_fdr", "SELECT s_suppkey, round(least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS fdr FROM (SELECT s_suppkey, p, row_number() OVER (ORDER BY p, s_suppkey) AS i, count(*) OVER () AS m FROM (SELECT s_suppkey, abs(s_acctbal) / 100000 AS p FROM supplier))")(lambda s, d: wi.step_up_fdr(si.table(s, d, "supplier").select("s_suppkey", (F.abs("s_acctbal") / 100000).alias("p")), "p", "s_suppkey").select("s_suppkey", F.round("fdr", 9).alias("fdr")))
 
@@ -327,13 +343,15 @@ def p20_presets(s, d):
 
 
 query("p31_chain_limits", "SELECT structure, 'too many chains' AS reason FROM atoms GROUP BY 1 HAVING count(DISTINCT chain) > 9", A)(lambda s, d: cu.fits_limits(si.atoms(s, d), 9)[1])
-query("p32_small_gaps", "SELECT structure, count(*) AS n FROM atoms WHERE structure NOT IN (SELECT structure FROM (SELECT structure, resid - lag(resid) OVER (PARTITION BY structure, chain ORDER BY resid) - 1 AS g FROM (SELECT DISTINCT structure, chain, resid FROM atoms WHERE name = 'CA')) GROUP BY 1 HAVING max(g) > 12) GROUP BY 1", A)(lambda s, d: cu.small_gaps(si.atoms(s, d), 12).groupBy("structure").agg(F.count("*").alias("n")))
+query("p32_small_gaps", "SELECT structure, count(*) AS n FROM atoms WHERE structure NOT IN (SELECT structure FROM (SELECT structure, resid - lag(resid) OVER (PARTITION BY structure, chain ORDER BY resid) - 1 AS g FROM (SELECT DISTINCT structure, chain, resid FROM atoms WHERE name = 'CA')) GROUP BY 1 HAVING max(g) > 15) GROUP BY 1", A)(lambda s, d: cu.small_gaps(si.atoms(s, d), 15).groupBy("structure").agg(F.count("*").alias("n")))
 query("p33_incomplete_residues", "SELECT structure, chain, resid, resname, string_agg(n, ',' ORDER BY n) AS missing FROM (SELECT DISTINCT structure, chain, resid, resname FROM atoms WHERE record = 'ATOM' AND resname IN ('LYS', 'CYS')) r, (SELECT unnest(['CA', 'NZ', 'SG']) AS n) e WHERE NOT EXISTS (SELECT 1 FROM atoms a WHERE a.structure = r.structure AND a.chain = r.chain AND a.resid = r.resid AND a.name = e.n) GROUP BY ALL", A)(lambda s, d: cu.incomplete_residues(si.atoms(s, d), si.atoms(s, d).filter("resname in ('LYS', 'CYS')").select("resname").distinct().withColumn("name", F.explode(F.array(F.lit("CA"), F.lit("NZ"), F.lit("SG"))))).withColumn("missing", F.array_join("missing", ",")))
 query("u04_merge_hetero", "SELECT serial, 'target' AS side FROM atoms WHERE record <> 'HETATM' UNION ALL SELECT serial, 'source' FROM atoms WHERE record = 'HETATM'", A)(lambda s, d: cu.merge_hetero(si.atoms(s, d).withColumn("side", F.lit("target")), si.atoms(s, d).withColumn("side", F.lit("source"))).select("serial", "side"))
 
 # sets and sources
 query("u01_union_by_name", "SELECT n_nationkey AS k, n_name AS name, NULL AS region FROM nation UNION ALL SELECT r_regionkey, NULL, r_name FROM region")(lambda s, d: si.table(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")).unionByName(si.table(s, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("region")), allowMissingColumns=True))
-query("u03_set_difference", "SELECT uniprot FROM edges WHERE go_id = 'Brand#11' EXCEPT SELECT uniprot FROM edges WHERE go_id = 'Brand#12'", E)(lambda s, d: si.edges(s, d).filter("go_id = 'Brand#11'").select("uniprot").exceptAll(si.edges(s, d).filter("go_id = 'Brand#12'").select("uniprot")))
+query("u03_set_difference", "SELECT uniprot FROM edges WHERE go_id = 'Brand#11' EXCEPT SELECT 'P' || CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal > 3000", E)(
+    lambda s, d: si.edges(s, d).filter("go_id = 'Brand#11'").select("uniprot").exceptAll(si.table(s, d, "supplier").filter("s_acctbal > 3000").select(F.concat(F.lit("P"), F.col("s_suppkey").cast("string"))))
+)
 query("u05_structure_names", "SELECT CAST(user_id AS VARCHAR) AS structure FROM events UNION SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem")(lambda s, d: si.table(s, d, "events").select(F.col("user_id").cast("string").alias("structure")).union(si.table(s, d, "lineitem").select(F.col("l_orderkey").cast("string"))).distinct())
 query("s03_resolve_input", """SELECT DISTINCT Uniprot_Entry, PDB_Code, Method FROM (SELECT k.* FROM (SELECT CAST(o_custkey AS VARCHAR) AS Uniprot_Entry, CAST(o_orderkey AS VARCHAR) AS PDB_Code, o_orderpriority AS Method FROM orders) k JOIN customer ON Uniprot_Entry = CAST(c_custkey AS VARCHAR) WHERE c_mktsegment <> 'BUILDING'
  UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'AF-' || CAST(c_custkey AS VARCHAR) || '-F1-model_v6', 'Predicted' FROM customer WHERE c_mktsegment = 'BUILDING')""")(lambda s, d: tb.resolve_input(si.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("Uniprot_Entry"), F.when(F.col("c_mktsegment") == "BUILDING", "AF").alias("PDB_Code")), si.table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("Uniprot_Entry"), F.col("o_orderkey").cast("string").alias("PDB_Code"), F.col("o_orderpriority").alias("Method"))))
