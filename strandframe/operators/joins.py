@@ -122,6 +122,19 @@ def not_done_but_last(wanted: DataFrame, done: DataFrame, key: str, order: list[
     return not_done(wanted, done.select(key).distinct().join(F.broadcast(last), F.col(key) == F.col("__last"), "left_anti"), key)
 
 
+def restart_structures(wanted: DataFrame, files: DataFrame, log: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """wanted (PDB_Code), files (file, with .pdb), log (code, order columns) -> the wanted codes that are left, and the files to measure for them, with `ignored`.
+
+    Of the codes in the log the last one may be partial and counts as not done. A wanted code that is done as it stands goes; where curation has made files of
+    other names, the wanted code stays, and those of its files that are done are ignored.
+    """
+    last = log.select(F.max_by("code", F.struct(*order)).alias("__last"))
+    done = log.select("code").distinct().join(F.broadcast(last), F.col("code") == F.col("__last"), "left_anti")
+    left = wanted.join(done, F.col("PDB_Code") == F.col("code"), "left_anti")
+    stems = done.select(F.concat("code", F.lit(".pdb")).alias("file"), F.lit(True).alias("ignored"))
+    return left, match_files(left, files).join(stems, "file", "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
+
+
 def restore_columns(df: DataFrame, template: DataFrame, on: list[str], columns: list[str], marker: dict | None = None) -> DataFrame:
     right = assert_unique(template, on).select(*on, *[F.col(c).alias(f"__{c}") for c in columns])
     out = df.drop(*columns).join(right, on, "left")
@@ -137,9 +150,3 @@ def fill_from(df: DataFrame, other: DataFrame, on: list[str], column: str) -> Da
 def ensemble_members(ca: DataFrame) -> DataFrame:
     """(protein, structure, resname, chain, resid) of CA atoms -> (protein, structure, signature); structures of a protein with equal CA tables share a signature."""
     return ca.groupBy("protein", "structure").agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws(":", "chain", F.lpad(F.col("resid").cast("string"), 6, "0"), "resname")))), 256).alias("signature"))
-
-
-def same_ensemble(ca: DataFrame) -> DataFrame:
-    """Pairs of structures of a protein with equal CA tables: all pairs of a group. Where members or counts do, take ensemble_members."""
-    sign = ensemble_members(ca)
-    return sign.alias("a").join(sign.alias("b"), ["protein", "signature"]).select("protein", "signature", F.col("a.structure").alias("structure"), F.col("b.structure").alias("member"))

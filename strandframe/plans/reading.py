@@ -16,7 +16,7 @@ from ..sources import text as tx
 from ..streaming import incremental as inc
 from . import standins as si
 from .queries import query
-from .standins import A, M
+from .standins import A, E, M
 
 def _lines(df: DataFrame, file, *values) -> DataFrame:
     """(file, line_no, value) with one line for each of `values`, which are null where there is none."""
@@ -101,6 +101,15 @@ def s16(s, d):
     return tx.fasta_chains(si.table(s, d, "part").select(F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("structure"), text.alias("value")))
 
 
+@query("s16_unknown_chains", "SELECT 'S' || CAST(p_partkey AS VARCHAR) AS structure, 'B' AS chain FROM part WHERE p_size > 25")
+def s16_unknown(s, d):
+    """Large parts lack a chain that their sequence file names."""
+    names = F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("structure")
+    fasta = tx.fasta_chains(si.table(s, d, "part").select(names, F.lit(">1_1|Chains A[auth X], B|NAME|Homo sapiens (9606)\nKM\n").alias("value")))
+    rows = si.table(s, d, "part").select(names, F.explode(F.when(F.col("p_size") > 25, F.array(F.lit("X"))).otherwise(F.array(F.lit("X"), F.lit("B")))).alias("chain"))
+    return tx.unknown_chains(fasta, rows).select("structure", "chain")
+
+
 @query("s17_biomolecules", """SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS structure, b.b AS biomolecule, CASE WHEN b.b = 2 THEN 'unspecified' WHEN s_acctbal > 3000 THEN 'author' ELSE 'software' END AS determined, o.op,
  CASE b.b WHEN 1 THEN 'A/B' ELSE 'C' END AS chains, 1.0::DOUBLE AS m_1, CAST(CASE WHEN o.op = 1 THEN 0 ELSE s_nationkey END AS DOUBLE) AS m_4, CAST(o.op - 1 AS DOUBLE) AS m_12 FROM supplier, (VALUES (1), (2)) b(b), (VALUES (1), (2)) o(op)""")
 def s17(s, d):
@@ -332,3 +341,36 @@ def _log_lines(s, d):
     path = f"{new_folder(s)}/log"
     lines.select("Uniprot_Entry", "half", text.alias("value")).repartition("Uniprot_Entry").sortWithinPartitions("Uniprot_Entry", "half").select("value").write.text(path)
     return lg.read_lines(s, path)
+
+
+# runs that go on, and what they reuse
+DONE = """log AS (SELECT CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 200000 AND o_orderstatus = 'F' THEN CAST(o_custkey AS VARCHAR) ELSE CAST(o_custkey AS VARCHAR) || '-alt-' || CAST(o_orderkey AS VARCHAR) END AS code, o_orderdate, o_orderkey FROM orders WHERE o_orderstatus <> 'O'),
+done AS (SELECT DISTINCT code FROM log WHERE code <> (SELECT arg_max(code, row(o_orderdate, o_orderkey)) FROM log)),
+still AS (SELECT CAST(c_custkey AS VARCHAR) AS code FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT code FROM done))"""
+
+
+@query("j22_restart_structures", "SELECT CAST(o_custkey AS VARCHAR) || '-alt-' || CAST(o_orderkey AS VARCHAR) || '.pdb' AS file, CAST(o_custkey AS VARCHAR) || '-alt-' || CAST(o_orderkey AS VARCHAR) IN (SELECT code FROM done) AS ignored FROM orders WHERE CAST(o_custkey AS VARCHAR) IN (SELECT code FROM still)", DONE)
+def j22_structures(s, d):
+    """A file for each order of a customer; finished orders are in the log, some under the customer's code alone."""
+    o = si.table(s, d, "orders")
+    name = F.concat(F.col("o_custkey").cast("string"), F.lit("-alt-"), F.col("o_orderkey").cast("string"))
+    alone = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 200000) & (F.col("o_orderstatus") == "F")
+    log = o.filter("o_orderstatus <> 'O'").select(F.when(alone, F.col("o_custkey").cast("string")).otherwise(name).alias("code"), "o_orderdate", "o_orderkey")
+    wanted = si.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("PDB_Code"))
+    files = o.select(F.concat(name, F.lit(".pdb")).alias("file"))
+    return jn.restart_structures(wanted, files, log, ["o_orderdate", "o_orderkey"])[1].select("file", "ignored")
+
+
+@query("s09_written_ontology", "SELECT DISTINCT e.go_id, name, uniprot FROM edges e JOIN terms USING (go_id)", E)
+def s09(s, d):
+    path = f"{new_folder(s)}/ontology"
+    tb.write_ontology(jn.terms_of(si.edges(s, d), si.terms(s, d)), path)
+    return tb.read_ontology(s, path)
+
+
+@query("x05_reused_components", None)
+def x05(s, d):
+    """Components fitted on measured structures, applied to predicted ones."""
+    v = si.vectors(s, d)
+    fitted = st.fit_pca(v.filter("Method <> 'Predicted'"), "aev", 5)
+    return st.apply_pca(v.filter("Method = 'Predicted'"), "aev", fitted).select("vec_id", F.transform("pc", lambda x: F.round(F.abs(x), 6)).alias("pc"))

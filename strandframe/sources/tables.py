@@ -126,6 +126,15 @@ def ontology_json(edges: DataFrame) -> DataFrame:
     return per.select(F.to_json(F.create_map("go_id", F.struct("uniprot", "name"))).alias("value"))
 
 
+def write_ontology(edges: DataFrame, path: str) -> None:
+    """One JSON object a line for each term; an empty table is refused before anything is written."""
+    ontology_json(edges).write.text(path)
+
+
+def read_ontology(spark: SparkSession, path: str) -> DataFrame:
+    return ontology_edges(spark.read.text(path), "value")
+
+
 def organism_names(records: DataFrame) -> DataFrame:
     """(entry, protein, entities) with uniprot_ids and organisms (name, id) -> names and ids of the matching entities, else of all, '; '-joined."""
     mine = F.filter("entities", lambda e: F.array_contains(e["uniprot_ids"], F.col("protein")))

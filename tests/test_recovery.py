@@ -1,9 +1,12 @@
 """Logs that name their own columns, record files, conformers and presets."""
 
+import numpy as np
 import pytest
 
 from strandframe import schema
-from strandframe.operators import curate
+from strandframe.operators import curate, joins
+from strandframe.plans import standins
+from strandframe.plans.queries import QUERIES
 from strandframe.sources import logs, tables
 
 BASE = " ".join(logs.BASE_COLUMNS)
@@ -106,3 +109,23 @@ def test_presets(spark):
     a = spark.createDataFrame([("S", "A", i, n, r, x) for r, x, i, n in rows], "structure string, chain string, resid int, serial int, resname string, name string")
     found = lambda *args: sorted((r["serial"], r["Modified"]) for r in curate.preset_anchors(a, *args).collect())
     assert found("LYS") == [(1, True), (2, True), (4, False), (5, False)] and found("LYS", False) == [(4, False), (5, False)] and found("GLU") == [(6, True)]
+
+
+def test_restart_of_structures(spark):
+    wanted = spark.createDataFrame([("1ABC",), ("2DEF",), ("3GHI",), ("AF-P1-F1",)], "PDB_Code string")
+    files = spark.createDataFrame([(f,) for f in ("1ABC.pdb", "2DEF-alt-1.pdb", "2DEF-alt-2_relaxed.pdb", "3GHI.pdb", "AF-P1-F1-model.pdb")], "file string")
+    log = spark.createDataFrame([("1ABC", 1), ("2DEF-alt-1", 2), ("2DEF-alt-1", 3), ("3GHI", 4), ("9XYZ", 5), ("3GHI", 6)], "code string, at int")
+    left, todo = joins.restart_structures(wanted, files, log, ["at"])
+    assert {r[0] for r in left.collect()} == {"2DEF", "3GHI", "AF-P1-F1"}
+    assert {(r["file"], r["ignored"]) for r in todo.collect()} == {("2DEF-alt-1.pdb", True), ("2DEF-alt-2_relaxed.pdb", False), ("3GHI.pdb", False), ("AF-P1-F1-model.pdb", False)}
+
+
+def test_components_of_another_table(spark):
+    """Fitted on one table and applied to another, with the mean of the first."""
+    got = {r["vec_id"]: r["pc"] for r in QUERIES["x05_reused_components"](spark, "/root/testdata/sf0.01").collect()}
+    rows = standins.vectors(spark, "/root/testdata/sf0.01").collect()
+    fit, new = (np.array([r["aev"] for r in rows if (r["Method"] == "Predicted") == p]) for p in (False, True))
+    turn = np.linalg.svd(fit - fit.mean(0), full_matrices=False)[2][:5]
+    want = np.abs((new - fit.mean(0)) @ turn.T)
+    assert set(got) == {r["vec_id"] for r in rows if r["Method"] == "Predicted"}
+    assert np.array([got[r["vec_id"]] for r in rows if r["Method"] == "Predicted"]) == pytest.approx(want, abs=1e-5)
