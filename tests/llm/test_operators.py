@@ -181,6 +181,26 @@ def test_substrings_that_overlap_themselves(spark, block):
     assert rows_of(got, *got.columns) == brute_substrings(rows, 15, 9)
 
 
+def test_hot_contexts_stay_where_they_are(spark, monkeypatch):
+    """A context with most of the occurrences: no task gets all of them, and the result is the same."""
+    monkeypatch.setattr(suffix, "HOT_CONTEXT", 300)
+    docs = [("own %d begin " % i + "na " * 150 + "own %d end" % i) if i < 30 else "one of two, " * 3 + "%d" % (i // 2) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(8)
+    got = suffix.dedup_substrings(df, length=40, report=24, keep=REPORTED)
+    assert rows_of(got, *got.columns) == brute_substrings(list(enumerate(docs)), 40, 24)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for least, apart in ((300, True), (10**9, False)):
+            monkeypatch.setattr(suffix, "HOT_CONTEXT", least)
+            found, distinct, _ = suffix._contexts(common.with_rid(df.withColumn("text", F.col("text").cast("binary"))), 24, 12, 40, 20_000)
+            rows = suffix._equal_contexts(found.repartition(8), distinct)
+            hottest, total = found.groupBy("m", "s1", "s2").agg(F.count("*").alias("k")).filter("k > 1").agg(F.max("k"), F.sum("k")).first()
+            assert hottest > 0.5 * total and rows.count() == total
+            assert (rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < hottest) == apart
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_long_texts_in_pieces(spark, monkeypatch):
     rng = random.Random(23)
     monkeypatch.setattr(suffix.tx, "PIECE", 500)
