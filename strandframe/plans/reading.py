@@ -272,7 +272,7 @@ def p07(s, d):
     return m.agg(*[F.count(c).alias(c) for c in names]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in names])).alias("x")).select("x.*")
 
 
-# records of minimisations and assemblies: one file for each supplier, some of them broken
+# records of minimisations and assemblies: one for each supplier, some of them broken
 BROKEN = "(s_suppkey % 7 = 3)"
 
 
