@@ -16,7 +16,7 @@ def files_in(path):
     return {f"{at}/{f}" for at, _, names in os.walk(path) for f in names}
 
 
-@pytest.mark.parametrize("name", ["s06_assembly_records", "s05_skipped_minimisations", "s05_minimisation_records"])
+@pytest.mark.parametrize("name", ["s06_assembly_records", "s05_skipped_minimisations", "s05_minimisation_records", "s05_quarantine"])
 def test_files_do_not_grow_with_records(spark, name):
     """100 suppliers have 100 records, but few files."""
     base = spark.conf.get("spark.checkpoint.dir")
